@@ -7,10 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glosswork.llm import mixing, quality_rules, sharding
+from glosswork.llm import decontamination, mixing, quality_rules, sharding
 from glosswork.llm.shared import table
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return decontamination.scan(docs, table(spark, sf_dir, "benchmark"), keep=["doc_id"]).drop("spans")
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     return quality_rules.judged(docs).select("doc_id", *quality_rules.MEASURES, "base_failed", "kept")
