@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glosswork.llm import decontamination, mixing, quality_rules, sharding
+from glosswork.llm import decontamination, mixing, quality_rules, sharding, token_files, url_filters
 from glosswork.llm.shared import table
 
 
@@ -21,14 +21,33 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judged(docs).select("doc_id", *quality_rules.MEASURES, "base_failed", "kept")
 
 
-DOMAIN = F.concat(F.lit("domain"), F.coalesce(F.regexp_extract("source", r"([0-9]+)", 1).try_cast("int") % 4, F.lit(0)).cast("string"))
-MIX_LEVELS = {"domain": DOMAIN, "lang": F.col("lang"), "source": F.col("source")}
+def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return token_files.encoded_digests(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    labels = table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max((F.col("quality") == 0) | (F.col("toxic") == 1)).alias("bad"))
+    # a page's number is the id of the document that was taken from it
+    number = F.regexp_extract(url_filters.path_of(F.col("url")), r"/([0-9]+)(?:\.[A-Za-z0-9]+)?/?\z", 1).try_cast("bigint")
+    pages = pages.withColumn("doc_id", number).join(labels, "doc_id", "left")
+    return url_filters.judged(pages, F.col("bad")).select("page_id", "host", "path", "template", F.round("purity", 6).alias("purity"), "rule", "verdict")
+
+
+def mix_levels() -> dict:
+    number = F.regexp_extract("source", r"([0-9]+)", 1).try_cast("int")
+    return {"domain": F.concat(F.lit("domain"), F.coalesce(number % 4, F.lit(0)).cast("string")), "lang": F.col("lang"), "source": F.col("source")}
+
+
 MIX_WEIGHTS = {"domain": {"domain0": 2.0, "domain1": 1.0, "domain2": 1.0, "domain3": 1.0}, "lang": {"en": 4.0, "de": 2.0, "fr": 2.0, "es": 1.0}}
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text")
-    out = mixing.mix(docs, 1.0, MIX_LEVELS, MIX_WEIGHTS)
+    out = mixing.mix(docs, 1.0, mix_levels(), MIX_WEIGHTS)
     return out.select("doc_id", "lang", "source", "mix_tokens", "mix_copies")
 
 
