@@ -5,7 +5,7 @@ rules' failures are counted for each host (the `source` column by default); a ho
 shrunk towards all hosts' by a beta prior whose two parameters are fitted to the hosts' rates by
 moments; and a host whose shrunk rate for any rule passes that rule's limit rejects its documents.
 The shuffle carries one partial count for each host and task. The verdicts, one row for each host,
-are joined back; AQE broadcasts them while they are small and splits a hot host where they are not.
+are joined back: only those of rejected hosts, broadcast if they are counted to be few.
 """
 
 from __future__ import annotations
@@ -13,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from glosswork.llm.shared import small, written
+
 SPACE = r"[\x20\x09-\x0D]+"
 BLANKS = (" ", "\t", "\n", "\x0b", "\x0c", "\r")
 SYMBOLS = "#*$%&|<>"
@@ -117,8 +119,6 @@ def judged(docs: DataFrame, host_col: str = "source", text_col: str = "text", li
     Defined cases: null hosts are one host of their own; repeated rows are judged each; an empty table
     stays empty. Without keep_texts the text is dropped before the measures are written.
     """
-    from glosswork.llm.shared import written
-
     extra = ["base_failed", "kept", "__host"]
     df = measured(docs.drop(*extra), text_col)
     if not keep_texts:
@@ -128,8 +128,8 @@ def judged(docs: DataFrame, host_col: str = "source", text_col: str = "text", li
     verdicts = hosts(df, F.col("__host"), limits).select(F.col("host").alias("__host"), "host_kept")
     rules = failures(df)
     df = df.withColumn("base_failed", rules["short"] | rules["repeats"])
-    rejecting = verdicts.where(~F.col("host_kept")).select("__host", F.lit(True).alias("__bad"))
-    df = df.join(rejecting, "__host", "left")
+    rejecting = written(verdicts.where(~F.col("host_kept")).select("__host", F.lit(True).alias("__bad")), "hosts")
+    df = df.join(small(rejecting), "__host", "left")
     return df.withColumn("kept", ~F.col("base_failed") & F.col("__bad").isNull()).drop("__host", "__bad", "__n_lines")
 
 

@@ -30,6 +30,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    spark.sparkContext._jvm.System.gc()  # Spark's cleaner frees the shuffle files of what has been written
     return spark.read.schema(df.schema).parquet(path)
 
 
