@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glosswork.llm import decontamination, mixing, quality_rules, sharding, substring_dedup, token_files, url_filters
+from glosswork.llm import decontamination, mixing, ngram_join, quality_rules, sharding, substring_dedup, token_files, url_filters
 from glosswork.llm.shared import table
 
 
@@ -16,6 +16,10 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.scan(docs, table(spark, sf_dir, "benchmark"), keep=["doc_id"]).drop("spans")
 
 
+def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.joined(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     return quality_rules.judged(docs).select("doc_id", *quality_rules.MEASURES, "base_failed", "kept")
