@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from glosswork.llm.components import components
-from glosswork.llm.shared import written
+from glosswork.llm.shared import most_frequent, written
 from glosswork.llm.words import Words, mixed, run_hashes, run_starts, slices
 
 N = 5
@@ -384,8 +384,8 @@ def joined(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: i
     table = written(measured(base, n), "sets")
     sized = table.agg(F.coalesce(F.sum("n_shingles"), F.lit(0)).alias("s")).first()["s"]
     grams = table.where(F.size("grams") > 0).select(F.explode(F.arrays_zip("grams", "times")).alias("x"))
-    top = grams.groupBy("x.grams").agg(F.sum("x.times").alias("t")).orderBy(F.desc("t"), "grams").limit(FREQUENT).collect()
-    often = (np.array([r[0] for r in top], np.int64).view(U), np.array([r[1] for r in top], np.int64))
+    top, _ = most_frequent(written(grams.groupBy(F.col("x.grams").alias("gram")).agg(F.sum("x.times").alias("times")), "grams"), "gram", "times", FREQUENT)
+    often = (np.asarray(top.column("gram")).astype(np.int64).view(U), np.asarray(top.column("times")).astype(np.int64))
     order = np.argsort(often[0])
     often = (often[0][order], often[1][order])
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
