@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glosswork.llm import decontamination, lm_scoring, mixing, ngram_join, quality_rules, sharding, substring_dedup, token_files, url_filters
+from glosswork.llm import cotraining, decontamination, lm_scoring, mixing, ngram_join, quality_rules, sharding, substring_dedup, token_files, url_filters
 from glosswork.llm.shared import table
 
 
@@ -25,6 +25,12 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judged(docs).select("doc_id", *quality_rules.MEASURES, "base_failed", "kept")
 
 
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    good = (F.col("quality") == 1) & (F.col("toxic") == 0)
+    return cotraining.classified(docs, table(spark, sf_dir, "labels"), good)
+
+
 def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scoring.score(table(spark, sf_dir, "documents").select("doc_id", "text"))
 

@@ -13,6 +13,7 @@ drops white space and never merges across it.
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections.abc import Iterator
 
@@ -27,13 +28,15 @@ from glosswork.llm.words import Words, slices
 END = 2
 ROW_GROUP_BYTES = 32 << 20
 PAGE_BYTES = 256 << 10
-MOST_CACHED = 1_000_000
+MOST_CACHED = 200_000
+SLICE_BYTES = 2 << 20
 
 
 class Encoder:
     """ids of words, remembered while at most MOST_CACHED words are known."""
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -46,8 +49,8 @@ class Encoder:
             if len(known) + len(new) > MOST_CACHED:
                 known.clear()
                 new = words
-            for i in range(0, len(new), 20_000):
-                part = new[i : i + 20_000]
+            for i in range(0, len(new), 5_000):
+                part = new[i : i + 5_000]
                 for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
                     known[w] = np.array(e.ids, np.uint32)
         return [known[w] for w in words]
@@ -87,7 +90,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_id", te
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, row = None, 0
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", SLICE_BYTES):
                 encoder = encoder or Encoder(tokenizer)
                 bounds, ids = encoder.encoded(part.column("text"), end)
                 lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids.astype(np.int32)))
