@@ -1,9 +1,491 @@
-"""Queries of the sense-resolution operators and their SQL."""
+"""Queries of the sense-resolution operators; each has its SQL in `oracle`."""
 
+from __future__ import annotations
 
-def queries():
-    return {}
+import atexit
+import tempfile
+import uuid
+from collections.abc import Callable
+from functools import wraps
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-def oracle_sql():
-    return {}
+from glosswork.functions import alphabet as A
+from glosswork.functions import text as X
+from glosswork.operators import corpus as C
+from glosswork.operators import lexicon as L
+from glosswork.operators import prompts as P
+from glosswork.operators import resolve as R
+from glosswork.operators import scoring as S
+from glosswork.operators import tokens as T
+from glosswork.operators import training as TR
+from glosswork.plans.oracle import SQL
+from glosswork.sources import readers, sinks
+from glosswork.streaming import resolve as stream
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+N_EVAL = 500
+
+
+def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    """Registers a query; its whole numbers are given as longs, as the SQL gives them."""
+
+    @wraps(f)
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        df = f(spark, d)
+        return df.withColumns({c: F.col(c).cast("long") for c, kind in df.dtypes if kind == "int"})
+
+    QUERIES[f.__name__] = run
+    return run
+
+
+def table(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def lex(spark: SparkSession, d: str) -> DataFrame:
+    return L.derived(table(spark, d, "benchmark"))
+
+
+def docs(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").select("doc_id", "text")
+
+
+def tagged(spark: SparkSession, d: str) -> DataFrame:
+    return T.tagged(T.base_tokens(docs(spark, d)), lex(spark, d))
+
+
+def every_query(spark: SparkSession, d: str) -> DataFrame:
+    """A look-up for each form under each of the four parts of speech that a token can have."""
+    pos = F.explode(F.array(*[F.lit(p) for p in "nvar"])).alias("pos")
+    rows = L.forms(lex(spark, d)).select("form", pos)
+    return rows.withColumn("query_id", F.concat("form", F.lit("/"), "pos"))
+
+
+def scored(spark: SparkSession, d: str) -> DataFrame:
+    """Candidates of all look-ups with a logit made of their definition's length."""
+    senses = L.definitions(every_query(spark, d), lex(spark, d))
+    rows = senses.withColumn("logit", (F.length("definition") % 7).cast("double"))
+    none = senses.select("query_id").distinct().select("query_id", F.lit("").alias("form"), F.lit("").alias("pos"), F.lit(A.REJECT).alias("ord"), F.lit("").alias("synset_id"), F.lit(P.NONE).alias("definition"), F.lit(3.0).alias("logit"))
+    return rows.unionByName(none)
+
+
+def judged(spark: SparkSession, d: str) -> DataFrame:
+    """Examples with a prediction: the sense with the longest definition, and whether it is the gold."""
+    lexicon = lex(spark, d)
+    ex = C.examples(lexicon)
+    asked = ex.select("form", "pos").distinct().withColumn("query_id", F.struct("form", "pos"))
+    senses = L.definitions(asked, lexicon).withColumn("logit", F.length("definition").cast("double"))
+    best = S.choose(senses, ["form", "pos"]).select("form", "pos", F.col("synset_id").alias("predicted"))
+    rows = ex.join(best, ["form", "pos"]).withColumn("correct", F.col("predicted") == F.col("synset_id"))
+    return rows.withColumn("key", F.concat("synset_id", F.lit("/"), "form"))
+
+
+def gazetteer(spark: SparkSession, d: str) -> DataFrame:
+    """The first two words of each benchmark item's text, one id each."""
+    words = F.regexp_extract_all("text", F.lit(X.WORD + "+"), F.lit(0))
+    two = table(spark, d, "benchmark").select(F.concat_ws(" ", F.get(words, F.lit(0)), F.get(words, F.lit(1))).alias("label"), "item_id")
+    one = table(spark, d, "benchmark").select(F.get(words, F.lit(0)).alias("label"), (F.col("item_id") + 1000000).alias("item_id"))
+    rows = two.unionByName(one).where("label IS NOT NULL AND label <> ''")
+    return rows.groupBy(F.lower("label").alias("label")).agg(F.min("item_id").alias("id"))
+
+
+def spans(spark: SparkSession, d: str) -> DataFrame:
+    tokens = T.base_tokens(docs(spark, d)).withColumn("lemma", F.lower("word"))
+    return R.entity_spans(tokens, gazetteer(spark, d))
+
+
+@query
+def disambiguate_documents(spark, d):
+    return R.disambiguate(docs(spark, d), lex(spark, d)).withColumn("confidence", F.round("confidence", 6)).drop("synset_definition")
+
+
+@query
+def predictions(spark, d):
+    return R.predictions(tagged(spark, d), lex(spark, d)).withColumn("confidence", F.round("confidence", 6))
+
+
+@query
+def lookup_definitions(spark, d):
+    return L.lookup(every_query(spark, d), lex(spark, d))
+
+
+@query
+def lookup_adj_expansion(spark, d):
+    return L.definitions(every_query(spark, d), lex(spark, d))
+
+
+@query
+def local_definition_map(spark, d):
+    return L.local_map(every_query(spark, d), lex(spark, d))
+
+
+@query
+def lexicon_forms(spark, d):
+    return L.forms(lex(spark, d))
+
+
+@query
+def sense_counts(spark, d):
+    return L.sense_counts(lex(spark, d))
+
+
+@query
+def polysemous_forms(spark, d):
+    return L.polysemous(lex(spark, d))
+
+
+@query
+def majority_pos(spark, d):
+    return L.majority_pos(lex(spark, d))
+
+
+@query
+def base_tokens(spark, d):
+    return T.base_tokens(docs(spark, d))
+
+
+@query
+def content_words(spark, d):
+    return T.content(tagged(spark, d)).select("doc_id", "position", "lemma", "pos", "lex_pos")
+
+
+@query
+def word_queries(spark, d):
+    return T.content(tagged(spark, d)).groupBy(F.col("lemma").alias("form"), F.col("lex_pos").alias("pos")).agg(F.count(F.lit(1)).alias("asked"))
+
+
+@query
+def mark_by_index(spark, d):
+    content = T.content(tagged(spark, d)).groupBy("doc_id").agg(F.max(F.struct("position", "word", "start_char")).alias("x")).select("doc_id", "x.*")
+    return T.marked_by_index(docs(spark, d), content).select("doc_id", "position", F.md5("marked").alias("marked_md5"))
+
+
+@query
+def mark_by_search(spark, d):
+    lexicon = lex(spark, d)
+    rows = lexicon.select("synset_id", "form", F.col("definition").alias("text"))
+    return T.marked_by_search(rows, "text", "form").select("synset_id", "form", "marked")
+
+
+@query
+def option_letters(spark, d):
+    return P.options(L.definitions(every_query(spark, d), lex(spark, d)), ["query_id"])
+
+
+@query
+def render_prompt(spark, d):
+    rows = P.gathered(L.definitions(every_query(spark, d), lex(spark, d)), ["query_id", "form"])
+    return rows.select("query_id", P.render(F.col("form"), F.concat(F.lit("Say *"), "form", F.lit("*.")), F.col("definitions")).alias("prompt"))
+
+
+@query
+def answer_alphabet(spark, d):
+    return spark.createDataFrame([(i, c) for i, (c, _) in enumerate(A.alphabet())], "idx int, letter string")
+
+
+@query
+def entity_spans(spark, d):
+    return spans(spark, d)
+
+
+@query
+def entity_coverage(spark, d):
+    tokens = T.base_tokens(docs(spark, d))
+    return R.covered_tokens(tokens, spans(spark, d))
+
+
+@query
+def greedy_spans(spark, d):
+    return R.greedy_spans(spans(spark, d))
+
+
+@query
+def choice_softmax(spark, d):
+    return S.softmax(scored(spark, d), ["query_id"]).select("query_id", "ord", F.round("p", 6).alias("p"))
+
+
+@query
+def choice_argmax(spark, d):
+    return S.choose(scored(spark, d), ["query_id"]).withColumn("confidence", F.round("confidence", 6))
+
+
+@query
+def choice_array_form(spark, d):
+    rows = scored(spark, d).groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("ord", "synset_id", "logit"))).alias("c"))
+    p = S.array_softmax(F.transform("c", lambda x: x["logit"]))
+    rows = rows.withColumn("x", S.array_choice(p))
+    return rows.select("query_id", F.get("c", F.col("x.index").cast("int"))["synset_id"].alias("synset_id"), F.round("x.confidence", 6).alias("confidence"))
+
+
+@query
+def choice_slice(spark, d):
+    full = F.transform(F.sequence(F.lit(0), F.lit(127)), lambda i: (i + F.col("item_id")) % 128 / F.lit(8128.0))
+    rows = table(spark, d, "benchmark").select("item_id", full.alias("p"), (F.col("item_id") % 20 + 1).cast("int").alias("n"))
+    return rows.select("item_id", F.array_join(F.transform(S.choice_slice(F.col("p"), F.col("n")), lambda x: F.format_number(x, 6)), " ").alias("slice"))
+
+
+@query
+def sentinels(spark, d):
+    asked = every_query(spark, d)
+    senses = L.definitions(asked, lex(spark, d)).withColumn("logit", F.length("definition").cast("double"))
+    chosen = S.choose(senses, ["query_id"]).drop("rejected")
+    return S.with_sentinels(asked.select("query_id"), chosen, ["query_id"]).withColumn("confidence", F.round("confidence", 6))
+
+
+@query
+def collect_examples(spark, d):
+    return C.examples(lex(spark, d))
+
+
+@query
+def quota_split(spark, d):
+    return C.split(C.examples(lex(spark, d)), N_EVAL).select("synset_id", "form", "part")
+
+
+@query
+def split_disjointness(spark, d):
+    rows = C.split(C.examples(lex(spark, d)), N_EVAL)
+    both = rows.where("part = 'eval'").select("synset_id").intersect(rows.where("part = 'bench'").select("synset_id"))
+    return both.agg(F.count(F.lit(1)).alias("shared_synsets"))
+
+
+@query
+def accuracy(spark, d):
+    return C.accuracy(judged(spark, d)).withColumn("accuracy", F.round("accuracy", 6))
+
+
+@query
+def running_accuracy(spark, d):
+    return C.running_accuracy(judged(spark, d), ["key"]).withColumn("accuracy", F.round("accuracy", 6))
+
+
+@query
+def mismatch_report(spark, d):
+    return C.mismatches(judged(spark, d), ["key"]).select("idx", "key", "predicted")
+
+
+@query
+def batch_ids(spark, d):
+    return C.batches(judged(spark, d).select("key"), ["key"])
+
+
+@query
+def length_buckets(spark, d):
+    return C.length_buckets(table(spark, d, "conversations").select(F.concat("conv_id", F.lit("/"), "turn").alias("key"), "text"), "text", "key").drop("text")
+
+
+@query
+def bucket_padding(spark, d):
+    rows = C.length_buckets(table(spark, d, "conversations").select(F.concat("conv_id", F.lit("/"), "turn").alias("key"), "text"), "text", "key")
+    per = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.max("len").alias("longest"), F.sum("len").alias("chars"))
+    return per.select("bucket", "n", (F.col("n") * F.col("longest") - F.col("chars")).alias("padding"))
+
+
+@query
+def seeded_shuffle(spark, d):
+    return C.seeded_order(table(spark, d, "benchmark").select("item_id"), "item_id", 42)
+
+
+@query
+def random_offsets(spark, d):
+    n = L.sense_counts(lex(spark, d))
+    k = X.key(42, F.col("form"), F.col("pos"))
+    return n.select("form", "pos", X.number(k, 128 - F.col("senses")).alias("offset"))
+
+
+@query
+def eval_examples(spark, d):
+    lexicon = lex(spark, d)
+    rows = C.eval_examples(C.examples(lexicon), lexicon)
+    return rows.select("synset_id", "form", "answer", F.md5("prompt").alias("prompt_md5"))
+
+
+@query
+def group_by_synset(spark, d):
+    rows = C.examples(lex(spark, d))
+    return rows.groupBy("synset_id").agg(F.array_join(F.array_sort(F.collect_list("form")), " ").alias("forms"), F.count(F.lit(1)).alias("n"))
+
+
+@query
+def sentence_rebuild(spark, d):
+    cut = docs(spark, d).select("doc_id", "text", F.posexplode(X.segments(F.col("text"))).alias("i", "w"))
+    return cut.groupBy("doc_id").agg(F.md5(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "w"))), lambda x: x["w"]), "")).alias("text_md5"))
+
+
+def words(spark, d):
+    return TR.words_of(lex(spark, d))
+
+
+@query
+def train_examples(spark, d):
+    return TR.sense_examples(words(spark, d)).select("word", "synset_id", "nr", "answer", F.md5("prompt").alias("prompt_md5"))
+
+
+@query
+def reject_examples(spark, d):
+    return TR.reject_examples(words(spark, d)).select("word", "synset_id", "nr", "answer", F.md5("prompt").alias("prompt_md5"))
+
+
+@query
+def train_union(spark, d):
+    rows = TR.training_set(words(spark, d))
+    return rows.groupBy("word").agg(F.count(F.lit(1)).alias("examples"), F.count_if(F.col("synset_id").endswith("_none")).alias("rejects"))
+
+
+@query
+def training_majority(spark, d):
+    return TR.majority(words(spark, d))
+
+
+def encoded(spark, d):
+    """Benchmark texts as character codes with a mask (id 1) in the middle, and an answer letter."""
+    codes = F.transform(F.split("text", ""), lambda c: F.ascii(c))
+    half = F.floor(F.size(codes) / 2).cast("int")
+    ids = F.concat(F.slice(codes, F.lit(1), half), F.array(F.lit(1)), F.slice(codes, half + 1, F.size(codes)))
+    rows = table(spark, d, "benchmark").select("item_id", F.filter(ids, lambda x: x < 128).alias("ids"), P.letter(F.col("item_id") % 127).alias("answer"))
+    return rows.select("item_id", "answer", *[c.alias(n) for n, c in TR.encoded(F.col("ids"), F.col("answer"), 1, 120).items()])
+
+
+def joined(column):
+    return F.array_join(F.transform(column, lambda x: x.cast("string")), " ")
+
+
+@query
+def label_encode(spark, d):
+    return encoded(spark, d).where("kept").select("item_id", F.md5(joined("input_ids")).alias("ids_md5"), F.array_max("labels").alias("label"), F.array_position("labels", F.array_max("labels")).alias("at"))
+
+
+@query
+def truncation_filter(spark, d):
+    return encoded(spark, d).agg(F.count_if("kept").alias("kept"), F.count_if(~F.col("kept")).alias("dropped"))
+
+
+@query
+def pad_batch(spark, d):
+    rows = encoded(spark, d).where("kept").withColumn("batch", F.floor(F.col("item_id") / 8))
+    return TR.padded(rows).select("item_id", F.size("input_ids").alias("n"), F.md5(joined("input_ids")).alias("ids_md5"), F.md5(joined("attention_mask")).alias("mask_md5"), F.md5(joined("labels")).alias("labels_md5"))
+
+
+def replies(spark, d):
+    """Service replies made of the lexicon: batches of forms, every fifth failed, every seventh short."""
+    per = lex(spark, d).where("pos = 'n'").groupBy("form").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("synset_id", "definition")))).alias("definitions"))
+    rows = per.withColumn("batch_id", X.number(X.key(7, F.col("form")), 40))
+    rows = rows.groupBy("batch_id").agg(F.array_sort(F.collect_list(F.struct("form", F.map_entries("definitions").alias("e")))).alias("x"))
+    data = F.transform("x", lambda x: F.struct(F.map_from_entries(x["e"]).alias("definitions")))
+    status = F.when(F.col("batch_id") % 5 == 0, 500).otherwise(200)
+    return rows.select("batch_id", status.alias("status"), F.to_json(F.struct(data.alias("data"))).alias("body"), (F.size("x") + F.when(F.col("batch_id") % 7 == 0, 1).otherwise(0)).alias("n_queries"))
+
+
+@query
+def batch_reply(spark, d):
+    return readers.batch_reply(replies(spark, d)).select("batch_id", "query", "ord", "synset_id", "definition")
+
+
+@query
+def synset_payload(spark, d):
+    item = F.struct(F.lit("synset").alias("type"), F.col("synset_id").alias("id"), F.col("pos").alias("pos"), F.col("definition").alias("definition"), F.lit("x").alias("links"))
+    other = F.struct(F.lit("sense").alias("type"), F.col("synset_id").alias("id"), F.col("pos").alias("pos"), F.lit("").alias("definition"), F.lit("x").alias("links"))
+    body = F.to_json(F.struct(F.array(F.struct(F.array(item, other).alias("included"))).alias("data")))
+    return readers.synsets(lex(spark, d).select("form", body.alias("body")))
+
+
+@query
+def ndjson_fold(spark, d):
+    line = F.to_json(F.struct(F.struct(F.col("text").alias("content")).alias("message"), (F.col("turn") == 2).alias("done")))
+    rows = table(spark, d, "conversations").select(F.col("conv_id").alias("stream_id"), F.col("turn").alias("line_no"), line.alias("value"))
+    return readers.folded(rows).select("stream_id", F.md5("content").alias("content_md5"))
+
+
+@query
+def skip_list(spark, d):
+    path = f"{_folder(spark)}/skip-{uuid.uuid4().hex}"
+    sinks.append_skipped(lex(spark, d).where("pos = 'v'").select(F.concat(F.lit("  "), "form").alias("form")), path)
+    return readers.skip_list(spark, path)
+
+
+@query
+def pending_forms(spark, d):
+    lexicon = lex(spark, d)
+    return readers.pending(L.forms(lexicon), lexicon.where("pos = 'v'").select("form").distinct(), lexicon.where("pos = 'r'").select("form").distinct())
+
+
+@query
+def generate_gate(spark, d):
+    more, one = readers.split_by_senses(lex(spark, d).select("form", "synset_id"))
+    return more.withColumn("gate", F.lit("generate")).unionByName(one.withColumn("gate", F.lit("skip")))
+
+
+@query
+def llm_requests(spark, d):
+    return sinks.requests(lex(spark, d), "any-model")
+
+
+def _folder(spark: SparkSession) -> str:
+    """The cluster's shared folder; a temporary one only where the session names none."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if named:
+        return named.rstrip("/")
+    if not _OWN:
+        _OWN.append(tempfile.TemporaryDirectory(prefix="glosswork-"))
+        atexit.register(_OWN[0].cleanup)
+    return f"file://{_OWN[0].name}"
+
+
+_OWN: list = []
+
+
+@query
+def training_directory(spark, d):
+    path = f"{_folder(spark)}/words-{uuid.uuid4().hex}"
+    rows = words(spark, d)
+    item = F.struct("id", "pos", "source_definition", "alternative_definition", "examples")
+    lines = rows.groupBy("word").agg(F.array_sort(F.collect_list(F.struct("ord", item.alias("s")))).alias("x"))
+    # one file a word: the folder's name would be the word, so the word goes through the path of each task's file
+    lines.select(F.to_json(F.transform("x", lambda x: x["s"])).alias("value")).write.text(path)
+    files = spark.read.option("wholetext", False).text(path)
+    return files.select(F.explode(F.from_json("value", readers.TRAINING)).alias("s")).select("s.id", "s.pos", F.md5("s.source_definition").alias("source_md5"), F.size("s.examples").alias("examples"))
+
+
+@query
+def nested_result(spark, d):
+    tokens = R.disambiguate(docs(spark, d), lex(spark, d)).withColumn("confidence", F.round("confidence", 6))
+    return sinks.nested(tokens, R.greedy_spans(spans(spark, d))).select("doc_id", F.get_json_object("result", "$.tokens[0].word").alias("first_word"), F.size(F.from_json("result", "tokens array<string>, entities array<string>")["tokens"]).alias("n_tokens"), F.size(F.from_json("result", "tokens array<string>, entities array<string>")["entities"]).alias("n_entities"))
+
+
+@query
+def html_result(spark, d):
+    return sinks.html(R.disambiguate(docs(spark, d), lex(spark, d))).select("doc_id", F.md5("html").alias("html_md5"))
+
+
+@query
+def letter_sidecar(spark, d):
+    return sinks.sidecar(spark).select(F.array_join("letters", "").alias("letters"), "num_letters")
+
+
+@query
+def request_errors(spark, d):
+    rows = table(spark, d, "conversations").select("conv_id", "turn", "text", F.when(F.col("turn") % 2 == 0, "en").otherwise("").alias("lang"))
+    return sinks.validated(rows).select("conv_id", "turn", "error")
+
+
+@query
+def resolve_array_form(spark, d):
+    return stream.resolved(docs(spark, d), stream.packed(lex(spark, d))).withColumn("confidence", F.round("confidence", 6))
+
+
+@query
+def resolve_stream(spark, d):
+    at = f"{_folder(spark)}/stream-{uuid.uuid4().hex}"
+    docs(spark, d).write.parquet(f"{at}/in")
+    stream.run(spark, f"{at}/in", "doc_id bigint, text string", lex(spark, d), f"{at}/out", f"{at}/checkpoint")
+    return spark.read.parquet(f"{at}/out").withColumn("confidence", F.round("confidence", 6))
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return {k: v for k, v in SQL.items() if k in QUERIES}
