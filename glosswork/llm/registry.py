@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glosswork.llm import cotraining, decontamination, lm_scoring, mixing, ngram_join, quality_rules, sharding, substring_dedup, token_files, url_filters
+from glosswork.llm import cotraining, decontamination, lm_scoring, mixing, ngram_join, oracle, quality_rules, sharding, substring_dedup, token_files, url_filters
 from glosswork.llm.shared import table
 
 
@@ -79,4 +79,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return oracle.sql()
