@@ -76,7 +76,7 @@ def budgets(leaves: DataFrame, budget: int, levels=LEVELS, weights: Mapping[str,
         # the level at which this child and all after it would share what the earlier ones leave
         level = F.try_divide(F.col("given") - F.col("cap_before"), F.col("w_all") - F.col("w_before"))
         here = here.withColumn("level", F.when(F.col("ratio").isNotNull() & (F.col("ratio") > level), level))
-        here = here.withColumn("level", F.min("level").over(by))
+        here = here.withColumn("level", F.max("level").over(by))  # later children's levels count this one as full
         got = (
             F.when(F.col("given") >= F.col("cap_all"), F.col("cap"))
             .when(F.col("level").isNull(), F.when(F.col("w") > 0, F.col("cap")).otherwise(F.lit(0)))
