@@ -14,7 +14,9 @@ index where single ones run out or are frequent. Every set is indexed in its own
 partner can be there, in the next. A set that can't raise its credits (fewer than one in a million) is
 compared with all sets, in blocks.
 
-Signatures travel packed by bucket; those whose elements are all very frequent travel as single rows, so
+Members of a list become a pair only if their sets can be so similar: their odd sketches (the parities
+of their counts in 512 equal parts of the universe) differ in no more bits than the sets in elements, of
+which there must be at most H. Signatures travel packed by bucket; those whose elements are all very frequent travel as single rows, so
 that no bucket holds a very long list. What shares a signature is verified on the whole texts. Lists are
 not expanded into pairs: in each round a list's first probing members are compared with the others that
 are not yet in their component; lists within one component are dropped. A pair that shares a list and is
@@ -27,23 +29,24 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from glosswork.llm.components import components
-from glosswork.llm.shared import most_frequent, written
+from glosswork.llm.shared import forget, most_frequent, small, written
 from glosswork.llm.words import Words, mixed, run_hashes, run_starts, slices
 
 N = 5
 PERCENT = 75
 BANDS = [8 << i for i in range(40)]
 FREQUENT = 50_000  # n-grams whose frequencies are known to the allocation
-LOCAL_FREQUENT = 6  # times in a slice of texts for an n-gram to be counted
+LOCAL_FREQUENT = 4  # times in a slice of texts for an n-gram to be counted
 HOT = 64  # a list of this estimated length is avoided by probes
 VERY_HOT = 4096  # signatures of this estimated length travel as rows
 DELETIONS = 16  # segments with a deletion index in the larger bands
 BUCKET_ROWS = 3_000_000
 BLOCK_SETS = 2000
+SKETCH = tuple(f"s{i}" for i in range(8))
 U = np.uint64
 
 
@@ -83,6 +86,13 @@ class Sets:
         self.key, self.key2 = (sums(x, self.bounds) for x in (mix, mixed(mix + U(0x8EBC6AF09C88C6E3))))
         self.key = mixed(self.key + self.size.astype(U))
 
+    def sketch(self) -> list[np.ndarray]:
+        """The odd sketch: whether the counts in 512 equal parts of the universe are odd, in eight numbers."""
+        rows = len(self.size)
+        at = self.row.astype(np.int64) * 512 + (self.h >> U(55)).astype(np.int64)
+        odd = (np.bincount(at, minlength=512 * rows) & 1).astype(np.uint8).reshape(rows, 64, 8)
+        return list(np.packbits(odd, axis=2, bitorder="little").reshape(rows, 64).view(np.int64).T)
+
     def frequent(self, least: int) -> tuple[np.ndarray, np.ndarray]:
         """Hashes that come `least` times or more in the slice, and how often."""
         new = np.flatnonzero(np.concatenate(([True], self.all[1:] != self.all[:-1]))) if len(self.all) else np.zeros(0, np.int64)
@@ -180,12 +190,12 @@ def measured(docs: DataFrame, n: int) -> DataFrame:
                 grams, times = s.frequent(LOCAL_FREQUENT)
                 at = pa.array(np.where(np.arange(part.num_rows + 1) > 0, len(grams), 0), pa.int32())
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc"), pa.array(s.key.view(np.int64)), pa.array(s.key2.view(np.int64)), pa.array(s.size, pa.int64()), pa.ListArray.from_arrays(at, pa.array(grams.view(np.int64))), pa.ListArray.from_arrays(at, pa.array(times, pa.int64()))],
-                    ["doc", "key", "key2", "n_shingles", "grams", "times"],
+                    [part.column("doc"), pa.array(s.key.view(np.int64)), pa.array(s.key2.view(np.int64)), pa.array(s.size, pa.int64()), *[pa.array(np.ascontiguousarray(x)) for x in s.sketch()], pa.ListArray.from_arrays(at, pa.array(grams.view(np.int64))), pa.ListArray.from_arrays(at, pa.array(times, pa.int64()))],
+                    ["doc", "key", "key2", "n_shingles", *SKETCH, "grams", "times"],
                 )
 
     kind = docs.schema["doc"].dataType.simpleString()
-    return docs.mapInArrow(run, f"doc {kind}, key bigint, key2 bigint, n_shingles bigint, grams array<bigint>, times array<bigint>")
+    return docs.mapInArrow(run, f"doc {kind}, key bigint, key2 bigint, n_shingles bigint, {', '.join(f"{c} bigint" for c in SKETCH)}, grams array<bigint>, times array<bigint>")
 
 
 def lists(docs: DataFrame, n: int, percent: int, often, buckets: int) -> DataFrame:
@@ -314,22 +324,31 @@ def _shared(bucket: int, blobs: list[bytes], buckets: int) -> Iterator[pa.Record
         yield pa.RecordBatch.from_arrays([pa.array(gid[i : i + 100_000].view(np.int64)), pa.array(node[w].view(np.int64)), pa.array((flag[w] & 2) > 0), pa.array((flag[w] & 1) > 0)], ["gid", "node", "probe", "indexed"])
 
 
+def possible(a: dict[str, Column], b: dict[str, Column], percent: int) -> Column:
+    """Whether two sets' sizes and sketches leave room for the similarity."""
+    apart = F.lit(0)
+    for c in SKETCH:
+        apart = apart + F.bit_count(a[c].bitwiseXOR(b[c]))
+    most = (100 - percent) * (a["size"] + b["size"])
+    return ((100 + percent) * F.abs(a["size"] - b["size"]) <= most) & ((100 + percent) * apart <= most)
+
+
 def linked(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
     """a, b, linked: the verified pairs. texts: node, text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text_a", 4 << 20):
-                for small in slices(part, "text_b", 4 << 20):
-                    x, y = Sets(small.column("text_a"), n), Sets(small.column("text_b"), n)
-                    rows = small.num_rows
+                for both in slices(part, "text_b", 4 << 20):
+                    x, y = Sets(both.column("text_a"), n), Sets(both.column("text_b"), n)
+                    rows = both.num_rows
                     h = np.concatenate((x.h, y.h))
                     row = np.concatenate((x.row, y.row))
                     order = np.lexsort((h, row))
                     h, row = h[order], row[order]
                     common = np.bincount(row[1:][(h[1:] == h[:-1]) & (row[1:] == row[:-1])], minlength=rows) if len(h) else np.zeros(rows, np.int64)
                     union = x.size + y.size - common
-                    yield pa.RecordBatch.from_arrays([small.column("a"), small.column("b"), pa.array((100 * common >= percent * union) & (common > 0))], ["a", "b", "linked"])
+                    yield pa.RecordBatch.from_arrays([both.column("a"), both.column("b"), pa.array((100 * common >= percent * union) & (common > 0))], ["a", "b", "linked"])
 
     left = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
     right = texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
@@ -392,36 +411,50 @@ def joined(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: i
     buckets = max(parts, -(-int(sized) // BUCKET_ROWS))
     made = written(lists(base.where("doc IS NOT NULL"), n, percent, often, buckets), "lists")
 
-    sets = table.where("doc IS NOT NULL AND n_shingles > 0").groupBy("key", "key2").agg(F.min("doc").alias("rep"))
+    sets = table.where("doc IS NOT NULL AND n_shingles > 0").groupBy("key", "key2").agg(F.min("doc").alias("rep"), F.first("n_shingles").alias("size"), *[F.first(c).alias(c) for c in SKETCH])
     nodes = made.select("node").distinct()
-    chosen = written(sets.join(nodes.withColumnRenamed("node", "key"), "key").select("key", "rep"), "nodes")
+    chosen = written(sets.join(nodes.withColumnRenamed("node", "key"), "key").select("key", "rep", "size", *SKETCH), "nodes")
     holders = chosen.select(F.col("rep").alias("doc"), F.col("key").alias("node"))
     # a row for each set: of several rows of the id the one with this set
-    texts = written(_keyed(base.join(holders, "doc"), n), "node-texts")
+    texts = written(_keyed(base.join(small(written(holders, "holders")), "doc"), n), "node-texts")
 
-    live = made.where("gid IS NOT NULL")
-    verified = None
-    label = None
+    traits = chosen.select(F.col("key").alias("node"), "size", *SKETCH)
+    state = made.where("gid IS NOT NULL").select("gid", "node", "probe")
+    verified = label = rest = None
     pivots_a_round = 1
     while True:
-        if label is None:
-            state = live.withColumn("comp", F.col("node"))
+        if label is not None:
+            state = state.join(label, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
         else:
-            state = live.join(label, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+            state = state.withColumn("comp", F.col("node"))
         open_ = state.groupBy("gid").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max("probe").alias("p")).where("lo < hi AND p").select("gid")
         state = written(state.join(open_, "gid"), "open-lists")
+        if rest is not None:
+            forget(rest)
         if state.isEmpty():
             break
         rank = F.row_number().over(Window.partitionBy("gid").orderBy("node"))
-        pivots = written(state.where("probe").select("gid", "node", "comp", rank.alias("rank")).where(F.col("rank") <= pivots_a_round).select("gid", "node", "comp"), "pivots")
-        other = state.select("gid", F.col("node").alias("b"), F.col("comp").alias("comp_b"))
-        pairs = pivots.join(other, "gid").where("comp <> comp_b").select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")).distinct()
-        if verified is not None:
+        pivots = state.where("probe").withColumn("rank", rank).where(F.col("rank") <= pivots_a_round).select("gid", "node", "comp")
+        own = written(pivots, "pivots")
+        first, other, by = own, state.select("gid", "node", "comp"), ["gid"]
+        near = F.lit(True)
+        if verified is not None:  # lists that are still open are long, or of sets that are not similar
+            first, other = own.join(traits, "node"), other.join(traits, "node")
+            near = possible({c: F.col(c) for c in ("size", *SKETCH)}, {c: F.col(f"b_{c}") for c in ("size", *SKETCH)}, percent)
+        other = other.withColumnsRenamed({c: f"b_{c}" for c in other.columns if c not in by})
+        pairs = first.join(other, by).where((F.col("comp") != F.col("b_comp")) & near).select(F.least("node", "b_node").alias("a"), F.greatest("node", "b_node").alias("b")).distinct()
+        if verified is None:
+            x, y = (traits.withColumnsRenamed({c: f"{side}_{c}" for c in traits.columns}) for side in "ab")
+            near = possible({c: F.col(f"a_{c}") for c in ("size", *SKETCH)}, {c: F.col(f"b_{c}") for c in ("size", *SKETCH)}, percent)
+            pairs = pairs.join(x, F.col("a") == F.col("a_node")).join(y, F.col("b") == F.col("b_node")).where(near).select("a", "b")
+        else:
             pairs = pairs.join(verified.select("a", "b"), ["a", "b"], "left_anti")
         checked = written(linked(written(pairs, "pairs"), texts, n, percent), "checked-pairs")
         verified = checked if verified is None else verified.unionByName(checked)
         label = written(components(verified.where("linked").select("a", "b")), "components")
-        live = state.select("gid", "node", "probe").join(pivots.select("gid", "node"), ["gid", "node"], "left_anti")
+        rest = written(state.drop("comp").join(own.select("gid", "node"), ["gid", "node"], "left_anti"), "lists-left")
+        forget(state)
+        state = rest
         pivots_a_round *= 4
 
     lacking = made.where("gid IS NULL").select("node").distinct()
@@ -431,7 +464,8 @@ def joined(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: i
         links = more if verified is None else more.unionByName(verified.where("linked").select("a", "b"))
         label = written(components(links), "components")
 
-    least = sets.select("key", "rep") if label is None else sets.join(label, sets["key"] == label["node"], "left").select("key", "rep", "comp")
+    sets = sets.select("key", "rep")
+    least = sets if label is None else sets.join(label, sets["key"] == label["node"], "left").select("key", "rep", "comp")
     if label is not None:
         comp = least.where("comp IS NOT NULL").groupBy("comp").agg(F.min("rep").alias("c"))
         least = least.join(comp, "comp", "left").select("key", F.coalesce("c", "rep").alias("c"))
@@ -459,4 +493,4 @@ def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     stay."""
     classes = joined(docs, id_col, text_col, n, percent)
     rest = written(classes.where(F.col("component_id") < F.col(id_col)).select(F.col(id_col)).distinct(), "copies")
-    return docs.join(rest, id_col, "left_anti").select(*docs.columns)
+    return docs.join(small(rest), id_col, "left_anti").select(*docs.columns)

@@ -31,7 +31,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = f"{folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     spark.sparkContext._jvm.System.gc()  # Spark's cleaner frees the shuffle files of what has been written
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written = path
+    return out
+
+
+def forget(df: DataFrame) -> None:
+    """Removes the table of a frame that `written` returned; other frames are left alone. Nothing may read it again."""
+    path = getattr(df, "_written", None)
+    if path:
+        drop(df.sparkSession, path)
 
 
 def place(spark: SparkSession, name: str) -> str:
