@@ -28,39 +28,65 @@ from glosswork.llm.words import Words, slices
 END = 2
 ROW_GROUP_BYTES = 32 << 20
 PAGE_BYTES = 256 << 10
-MOST_CACHED = 200_000
+MOST_CACHED = 400_000
 SLICE_BYTES = 2 << 20
+CHUNK = 4096
+MARKS = ".,!?;:"
 
 
 class Encoder:
-    """ids of words, remembered while at most MOST_CACHED words are known."""
+    """Ids of white-space words, remembered while at most MOST_CACHED words are known.
+
+    Words of letters alone are one unit to the tokenizer, so thousands are encoded as one text and told
+    apart by its word numbers; marks after a letter are a unit of their own. Other words are encoded
+    one by one.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, np.ndarray] = {}
-
-    def words(self, words: list[str]) -> list[np.ndarray]:
-        known = self.known
-        new = [w for w in words if w not in known]
+        self.known: dict[str, bytes] = {}
+
+    def _learn(self, words: list[str]) -> None:
+        plain, other = [], []
+        for w in words:
+            (plain if w.isalpha() else other).append(w)
+        for i in range(0, len(plain), CHUNK):
+            part = plain[i : i + CHUNK]
+            e = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
+            unit = np.array(e.word_ids, np.int64)
+            if len(unit) and unit[-1] == len(part) - 1:
+                cut = (4 * np.searchsorted(unit, np.arange(len(part) + 1))).tolist()
+                body = np.array(e.ids, "<u4").tobytes()
+                self.known.update(zip(part, (body[x:y] for x, y in zip(cut[:-1], cut[1:], strict=True)), strict=True))
+            else:  # a letter's lower case has a mark of its own
+                other += part
+        for i in range(0, len(other), CHUNK):
+            part = other[i : i + CHUNK]
+            for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
+                self.known[w] = np.array(e.ids, "<u4").tobytes()
+
+    def words(self, words: list[str]) -> list[bytes]:
+        parts = []
+        for w in words:
+            body = w.rstrip(MARKS)
+            parts.append((body, w[len(body) :]) if len(body) < len(w) and body and body.isalpha() and body[-1].isascii() else (w, ""))
+        if len(self.known) > MOST_CACHED:
+            self.known.clear()
+        new = {x for pair in parts for x in pair if x and x not in self.known}
         if new:
-            if len(known) + len(new) > MOST_CACHED:
-                known.clear()
-                new = words
-            for i in range(0, len(new), 5_000):
-                part = new[i : i + 5_000]
-                for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                    known[w] = np.array(e.ids, np.uint32)
-        return [known[w] for w in words]
+            self._learn(sorted(new))
+        known = self.known
+        return [known[a] + known[b] if b else known[a] for a, b in parts]
 
     def encoded(self, column: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
         """Bounds (rows + 1) and ids of a slice of texts, each with the end id."""
         words = Words(column)
         pieces = self.words(words.distinct.to_pylist())
-        size = np.fromiter((len(p) for p in pieces), np.int64, len(pieces))
-        flat = np.concatenate(pieces) if pieces else np.zeros(0, np.uint32)
+        size = np.fromiter((len(p) for p in pieces), np.int64, len(pieces)) // 4
+        flat = np.frombuffer(b"".join(pieces), "<u4")
         first = np.concatenate(([0], np.cumsum(size)))[:-1] if len(size) else size
         n = size[words.codes] if len(words) else np.zeros(0, np.int64)
         upto = np.concatenate(([0], np.cumsum(n)))
