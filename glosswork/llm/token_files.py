@@ -7,18 +7,20 @@ for the column and page indexes to lead a reader to a few documents without the
 list column is not touched by reads of the metadata.
 
 Texts, which are smaller than their ids, are what the one range shuffle carries; they are encoded after it,
-in file order. A worker encodes each distinct white-space word once and joins the pieces: the tokenizer
-drops white space and never merges across it.
+in file order. A worker encodes the distinct white-space words of a slice of texts and joins the pieces: the
+tokenizer drops white space and never merges across it.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -28,79 +30,135 @@ from glosswork.llm.words import Words, slices
 END = 2
 ROW_GROUP_BYTES = 32 << 20
 PAGE_BYTES = 256 << 10
-MOST_CACHED = 400_000
-SLICE_BYTES = 2 << 20
-CHUNK = 4096
-MARKS = ".,!?;:"
+SLICE_BYTES = 8 << 20
+CHUNK = 256
+MARK = "\x01"
+MARKS = "!\"#$%&()*+,-./:;<=>?@[]^_`{|}~"
+LATIN = "^[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+$"
 
 
-class Encoder:
-    """Ids of white-space words, remembered while at most MOST_CACHED words are known.
+def gathered(flat: np.ndarray, size: np.ndarray, index: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The runs of flat (`size` long each) that index names, one after the other, and their sizes."""
+    if not len(index):
+        return flat[:0], np.zeros(0, np.int64)
+    n = size[index]
+    upto = np.cumsum(n)
+    start = np.cumsum(size) - size
+    return flat[np.arange(upto[-1]) + np.repeat(start[index] - (upto - n), n)], n
+
 
-    Words of letters alone are one unit to the tokenizer, so thousands are encoded as one text and told
-    apart by its word numbers; marks after a letter are a unit of their own. Other words are encoded
-    one by one.
+class Encoder:
+    """Ids of white-space words.
+
+    A word of Latin letters, which may end in marks, is a unit of the tokenizer and a second one of marks.
+    Its letters, lower-cased and with their bytes spelt as the vocabulary spells them, go to the tokenizer
+    without its normaliser and its pattern; thousands are encoded as one text and told apart by the ids
+    that end a word. All else goes to the whole tokenizer, words being parted by a control character whose id tells
+    them apart, or one by one where a word holds that character. A tokenizer of other parts than lower
+    case, one pattern, bytes and word ends gets all words that second way.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
-
-    def _learn(self, words: list[str]) -> None:
-        plain, other = [], []
-        for w in words:
-            (plain if w.isalpha() else other).append(w)
-        for i in range(0, len(plain), CHUNK):
-            part = plain[i : i + CHUNK]
-            e = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
-            unit = np.array(e.word_ids, np.int64)
-            if len(unit) and unit[-1] == len(part) - 1:
-                cut = (4 * np.searchsorted(unit, np.arange(len(part) + 1))).tolist()
-                body = np.array(e.ids, "<u4").tobytes()
-                self.known.update(zip(part, (body[x:y] for x, y in zip(cut[:-1], cut[1:], strict=True)), strict=True))
-            else:  # a letter's lower case has a mark of its own
-                other += part
-        for i in range(0, len(other), CHUNK):
-            part = other[i : i + CHUNK]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self.known[w] = np.array(e.ids, "<u4").tobytes()
-
-    def words(self, words: list[str]) -> list[bytes]:
-        parts = []
-        for w in words:
-            body = w.rstrip(MARKS)
-            parts.append((body, w[len(body) :]) if len(body) < len(w) and body and body.isalpha() and body[-1].isascii() else (w, ""))
-        if len(self.known) > MOST_CACHED:
-            self.known.clear()
-        new = {x for pair in parts for x in pair if x and x not in self.known}
-        if new:
-            self._learn(sorted(new))
-        known = self.known
-        return [known[a] + known[b] if b else known[a] for a, b in parts]
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        self.whole = Tokenizer.from_file(path)
+        mark = self._encode(self.whole, [MARK])[0]
+        self.mark = mark[0] if len(mark) == 1 else None
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        suffix = spec["model"].get("end_of_word_suffix")
+        kinds = [x["type"] for part, of in (("normalizer", "normalizers"), ("pre_tokenizer", "pretokenizers")) for x in (spec[part] or {}).get(of, [])]
+        self.bare = None
+        if suffix and kinds == ["NFC", "Replace", "Lowercase", "Split", "ByteLevel"]:
+            self.bare = Tokenizer.from_str(json.dumps(spec | {"normalizer": None, "pre_tokenizer": {"type": "WhitespaceSplit"}}))
+            vocabulary = self.whole.get_vocab()
+            self.last = np.zeros(max(vocabulary.values()) + 1, bool)
+            self.last[[i for token, i in vocabulary.items() if token.endswith(suffix)]] = True
+            bytes_ = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+            latin = [c for c in map(chr, range(0x250)) if c.isalpha()]
+            self.spelt = {}
+            for c in latin:  # how a letter's bytes are spelt
+                self.spelt |= zip(c.encode(), bytes_.pre_tokenize_str(c)[0][0], strict=True)
+
+    @staticmethod
+    def _encode(tokenizer, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _any(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the words one after the other, and the number of each word's."""
+        flat, sizes = [], []
+        for i in range(0, len(words), CHUNK):
+            part = words[i : i + CHUNK]
+            ids = np.array(self._encode(self.whole, [f" {MARK} ".join(part)])[0], np.uint32)
+            marks = np.flatnonzero(ids == self.mark) if self.mark is not None else ids[:0]
+            if self.mark is not None and len(marks) == len(part) - 1:
+                flat.append(np.delete(ids, marks))
+                sizes.append(np.diff(np.concatenate(([-1], marks, [len(ids)]))) - 1)
+            else:
+                one = self._encode(self.whole, part)
+                flat.append(np.array([x for ids in one for x in ids], np.uint32))
+                sizes.append(np.fromiter(map(len, one), np.int64, len(one)))
+        return _joined(flat, sizes)
+
+    def _letters(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The same of lower-case words of Latin letters."""
+        flat, sizes = [], []
+        for i in range(0, len(words), CHUNK):
+            part = words[i : i + CHUNK]
+            text = " ".join(part).encode().decode("latin-1").translate(self.spelt)
+            ids = np.array(self._encode(self.bare, [text])[0], np.uint32)
+            ends = np.flatnonzero(self.last[ids])
+            if len(ends) != len(part) or ends[-1] != len(ids) - 1:
+                ids, n = self._any(part)
+            else:
+                n = np.diff(np.concatenate(([-1], ends)))
+            flat.append(ids)
+            sizes.append(n)
+        return _joined(flat, sizes)
+
+    def words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of distinct words one after the other, and the number of each word's."""
+        if self.bare is None or not len(words):
+            return self._any(words.to_pylist())
+        body = pc.utf8_rtrim(words, characters=MARKS)
+        plain = np.asarray(pc.match_substring_regex(body, pattern=LATIN))
+        letters = pc.utf8_lower(body.filter(pa.array(plain))).dictionary_encode()
+        tailed = plain & (np.asarray(pc.binary_length(body)) < np.asarray(pc.binary_length(words)))
+        at = pa.array(tailed)
+        tails = pa.array([w[len(b) :] for w, b in zip(words.filter(at).to_pylist(), body.filter(at).to_pylist(), strict=True)], pa.large_string()).dictionary_encode()
+        others = words.filter(pa.array(~plain)).to_pylist()
+        parts = [self._letters(letters.dictionary.to_pylist()), self._any(tails.dictionary.to_pylist()), self._any(others)]
+        flat, size = _joined([x for x, _ in parts], [x for _, x in parts])
+        size = np.append(size, 0)  # the empty piece
+        first, second = np.empty(len(words), np.int64), np.full(len(words), len(size) - 1)
+        first[plain] = np.asarray(letters.indices)
+        first[~plain] = len(letters.dictionary) + len(tails.dictionary) + np.arange(len(others))
+        second[tailed] = len(letters.dictionary) + np.asarray(tails.indices)
+        flat, n = gathered(flat, size, np.stack((first, second), 1).ravel())
+        return flat, n.reshape(-1, 2).sum(1)
 
     def encoded(self, column: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
         """Bounds (rows + 1) and ids of a slice of texts, each with the end id."""
         words = Words(column)
-        pieces = self.words(words.distinct.to_pylist())
-        size = np.fromiter((len(p) for p in pieces), np.int64, len(pieces)) // 4
-        flat = np.frombuffer(b"".join(pieces), "<u4")
-        first = np.concatenate(([0], np.cumsum(size)))[:-1] if len(size) else size
-        n = size[words.codes] if len(words) else np.zeros(0, np.int64)
+        flat, size = self.words(words.distinct)
+        ids, n = gathered(flat, size, words.codes)
         upto = np.concatenate(([0], np.cumsum(n)))
         rows = len(words.bounds) - 1
         ends = upto[words.bounds[1:]] + np.arange(rows)  # where each row's end id goes
-        out = np.empty(int(upto[-1]) + rows, np.uint32)
+        out = np.empty(len(ids) + rows, np.uint32)
         where = np.ones(len(out), bool)
         where[ends] = False
-        if len(n):
-            out[where] = flat[np.arange(upto[-1]) + np.repeat(first[words.codes] - upto[:-1], n)]
+        out[where] = ids
         out[ends] = end
         return np.concatenate(([0], ends + 1)), out
 
 
+def _joined(flat: list[np.ndarray], sizes: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    none = np.zeros(0, np.int64)
+    return np.concatenate([none.astype(np.uint32), *flat]), np.concatenate([none, *sizes])
+
+
 def write(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end: int = END, files: int | None = None) -> None:
     """Writes the files: file (int) and row (long, in the file), doc (the id, as it is), n_tokens (long), ids
     (array<int>).
