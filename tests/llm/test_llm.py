@@ -264,6 +264,23 @@ def test_context_tree_sums_to_one():
     assert np.exp(context_tree.predicted(tree, stop)).sum() == pytest.approx(1)
 
 
+def test_encoder_on_odd_words():
+    import random
+
+    import pyarrow as pa
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path, draw = public_tokenizers.path("word_bpe_49k.json"), random.Random(1)
+    bits = ["a", "B", "é", "É", "ŉ", "İ", "ß", "Σ", "ς", "1", "२", ".", "!", "#", "'", "'s", "'S", "\x01", "\u0301", "\u00a0", "\u2028", "<|endoftext|>", "中", "😀", "_", "-", "ǅ", "ª", "×", "ſ", "\u212a", "\u200d", "</w>", "\ufffd", "ﬁ"]
+    words = ["".join(draw.choices(bits, k=draw.randint(1, 5))) for _ in range(4000)]
+    texts = [" ".join(words[i : i + 7]) for i in range(0, len(words), 7)] + ["", "\x01", " \x01 a ", "a" * 5000, "The the THE. the."]
+    bounds, ids = token_files.Encoder(path).encoded(pa.array(texts, pa.large_string()), 2)
+    tokenizer = Tokenizer.from_file(path)
+    for text, a, b in zip(texts, bounds[:-1], bounds[1:], strict=True):
+        assert ids[a:b].tolist() == [*tokenizer.encode(text, add_special_tokens=False).ids, 2], text
+
+
 def test_token_files(spark, corpus, docs, empty):
     import public_tokenizers
     from tokenizers import Tokenizer
