@@ -13,6 +13,7 @@ from glosswork.operators import prompts as P
 SEED = 42
 IGNORE = -100
 PAD = 0
+MAX_LENGTH = 2048  # ids of an example, as in the reference
 
 
 def _options(words: DataFrame, seed: int, by: list[str]) -> DataFrame:
