@@ -169,12 +169,11 @@ class Top:
 
 def grams_of(data: np.ndarray, bounds: np.ndarray, depth: int) -> np.ndarray:
     """(context << 8 | byte) at each byte of the strings between bounds; a context ends at its string's start."""
-    at = np.arange(len(data)) - np.repeat(bounds[:-1], np.diff(bounds))
-    out = data.astype(np.uint64)
-    for back in range(1, depth + 1):
-        far = np.zeros(len(data), np.uint64)
-        far[back:] = data[:-back] if back <= len(data) else 0
-        far[at < back] = 0
-        # the nearest byte stands highest
-        out |= far << np.uint64(8 * (depth - back + 1))
-    return out
+    out = np.zeros((len(data), 8), np.uint8)
+    out[:, 0] = data
+    for back in range(1, min(depth, len(data) - 1) + 1):
+        out[back:, depth - back + 1] = data[:-back]  # the nearest byte stands highest
+    for i in range(depth):
+        at = bounds[:-1] + i
+        out[at[at < bounds[1:]], 1 : depth - i + 1] = 0
+    return out.view("<u8").ravel()

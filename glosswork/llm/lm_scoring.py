@@ -1,14 +1,15 @@
 """Language-model scoring by context-tree weighting.
 
-The model's text is its tokens: each word's bytes and a space, and a line end after the last. A byte's
-context is up to DEPTH bytes before it in its own token, so a token's probability depends on the token
-alone, and a document's score is a sum over its tokens.
-
-One pass counts, over all training texts, the words and the pairs of a context and its byte; both are summed
-by one shuffle. The context trees are made from these counts in subtrees (one for each two nearest bytes, of
-distinct contexts only); their roots, at most 65,536 times 255 numbers, make the top. The scores of
-contexts are sent to the executors while they are counted to be few, and are joined by shuffle beyond
-that; word counts are sent for the most frequent words, and joined for the others. No table that grows
+The model's text is its tokens: each word's bytes and a space, and a line end after the last. With `across`
+a byte's context is the DEPTH bytes before it in the document, earlier words among them; without, those in
+its own token alone.
+
+One pass counts, over all training texts, the words and the pairs of a context and its byte. Words are
+summed as rows; contexts go as packed lists, one for each subtree and task, and are summed where the
+subtree is made. The context trees are made from these counts in subtrees (one for each two nearest bytes, of
+distinct contexts only); their roots, at most 65,536 times 255 numbers, make the top. The scores of the most
+frequent contexts and the counts of the most frequent words are sent to the executors, the others are
+joined by shuffle. No table that grows
 with the corpus is broadcast without a bound, and nothing is left out of the counts.
 """
 
@@ -23,11 +24,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from glosswork.llm import context_tree as tree
-from glosswork.llm.shared import most_frequent, written
+from glosswork.llm.shared import forget, most_frequent, written
 from glosswork.llm.words import Words, slices
 
 DEPTH = tree.DEPTH
-COUNT_BYTES = 32 << 20
+COUNT_BYTES = 16 << 20
+RUN_BYTES = 2 << 20
+KEPT_CONTEXTS = 1_000_000
 SENT_WORDS = 500_000
 SENT_CONTEXTS = 4_000_000
 SPACE, END = b" ", b"\n"
@@ -54,42 +57,87 @@ def _summed(key: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return key[first], np.add.reduceat(n, first) if len(first) else n
 
 
-def counts(docs: DataFrame) -> DataFrame:
-    """kind (0 word, 1 context and byte), key, n over the rows (text, train); also what only rows that
-    don't train have, with n = 0."""
+def _runs(words: Words, data: np.ndarray, bounds: np.ndarray, across: bool) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """Runs of rows of about RUN_BYTES: first row, the row after the last, the contexts and bytes of their
+    running text, and each row's bounds in it."""
+    size = np.diff(bounds)
+    upto = np.concatenate(([0], np.cumsum(size[words.codes]))) if len(words) else np.zeros(1, np.int64)
+    upto = upto[words.bounds] + np.arange(len(words.bounds))
+    at, rows = 0, len(words.bounds) - 1
+    while at < rows:
+        to = max(at + 1, int(np.searchsorted(upto, upto[at] + RUN_BYTES, "right")) - 1)
+        first, last = int(words.bounds[at]), int(words.bounds[to])
+        owner = np.insert(words.codes[first:last], words.bounds[at + 1 : to + 1] - first, len(size) - 1)
+        k = size[owner]
+        end = np.cumsum(k)
+        text = data[np.repeat(bounds[:-1][owner] - end + k, k) + np.arange(end[-1])]
+        row = upto[at : to + 1] - upto[at]
+        yield at, to, tree.grams_of(text, row if across else np.concatenate(([0], end)), DEPTH).view(np.int64), row
+        at = to
+
+
+def _counted(keys: list[np.ndarray], ns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    return _summed(np.concatenate(keys), np.concatenate(ns)) if keys else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+
+
+def counts(docs: DataFrame, across: bool = False) -> DataFrame:
+    """Partial counts over the rows (text, train): of words (kind 0: key, n), and of contexts with their byte
+    (kind 1: key is the subtree; steps of its sorted keys, and their counts); also contexts that only
+    rows that don't train have, with n = 0."""
+
+    def sent(kind: int, key: np.ndarray, n: np.ndarray, *packed: pa.Array) -> pa.RecordBatch:
+        packed = packed or (pa.nulls(len(key), pa.binary()),) * 2
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(key), kind, np.int8)), pa.array(key), pa.array(n.astype(np.int64)), *packed], ["kind", "key", "n", "keys", "ns"])
+
+    def packed(key: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        sub = key >> (8 * (DEPTH - 1))
+        first = np.flatnonzero(np.diff(sub, prepend=-1))
+        at = np.append(first, len(key))
+        step = np.diff(key, prepend=0)
+        step[first] = key[first]
+        lists = [pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer((at * x.itemsize).astype(np.int32)), pa.py_buffer(x)]) for x in (step, n.astype(np.int32))]
+        return sent(1, sub[first], np.zeros(len(first)), *lists)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, ns, held = [], [], 0
         for batch in batches:
             for part in slices(batch, "text", COUNT_BYTES):
                 words = Words(part.column("text"), lower=True)
                 train = np.asarray(part.column("train")).astype(bool)
                 size = len(words.distinct)
                 n = np.bincount(words.codes[train[words.rows]], minlength=size) if len(words) else np.zeros(size, np.int64)
-                words.codes = np.arange(size)
+                codes, words.codes = words.codes, np.arange(size)
                 name = words.hashes()
-                data, bounds = _strings(words.distinct)
-                grams = tree.grams_of(data, bounds, DEPTH)
-                each = np.append(n, train.sum())
-                key, total = _summed(grams, np.repeat(each, np.diff(bounds)))
-                seen = n > 0
-                kind = np.concatenate((np.zeros(seen.sum(), np.int8), np.ones(len(key), np.int8)))
-                keys = np.concatenate((name[seen], key)).view(np.int64)
-                total = np.concatenate((n[seen], total)).astype(np.int64)
-                for i in range(0, len(keys), 200_000):
-                    yield pa.RecordBatch.from_arrays([pa.array(x[i : i + 200_000]) for x in (kind, keys, total)], ["kind", "key", "n"])
-
-    made = docs.mapInArrow(run, "kind tinyint, key bigint, n bigint")
-    return made.groupBy("kind", "key").agg(F.sum("n").alias("n"))
+                words.codes = codes
+                yield sent(0, name[n > 0].view(np.int64), n[n > 0])
+                for a, b, grams, row in _runs(words, *_strings(words.distinct), across):
+                    trains = np.repeat(train[a:b], np.diff(row))
+                    for some, weight in ((grams[trains], 1), (grams[~trains], 0)):
+                        some.sort()
+                        first = np.flatnonzero(np.concatenate(([True], some[1:] != some[:-1]))) if len(some) else np.zeros(0, np.int64)
+                        keys.append(some[first])
+                        ns.append(weight * np.diff(np.append(first, len(some))))
+                        held += len(first)
+                    if held > 2 * KEPT_CONTEXTS:
+                        key, total = _counted(keys, ns)
+                        if len(key) > KEPT_CONTEXTS:
+                            yield packed(key, total)
+                            key, total = key[:0], total[:0]
+                        keys, ns, held = [key], [total], len(key)
+        yield packed(*_counted(keys, ns))
+
+    return docs.mapInArrow(run, "kind tinyint, key bigint, n bigint, keys binary, ns binary")
 
 
 def subtrees(contexts: DataFrame) -> DataFrame:
-    """From key, n: for each key the probabilities of its byte's bits at the root of its subtree (p), and, as
+    """From the partial counts of contexts: for each key n and the probabilities of its byte's bits at the root of its subtree (p), and, as
     rows with p null, each subtree's nodes at its root: sub, bit, prefix, a, b, log_w."""
-    schema = "key bigint, p array<double>, sub int, bit int, prefix int, a bigint, b bigint, log_w double"
-    names = ["key", "p", "sub", "bit", "prefix", "a", "b", "log_w"]
+    schema = "key bigint, n bigint, p array<double>, sub int, bit int, prefix int, a bigint, b bigint, log_w double"
+    names = ["key", "n", "p", "sub", "bit", "prefix", "a", "b", "log_w"]
 
     def made(sub: int, keys: list, ns: list) -> Iterator[pa.RecordBatch]:
-        grams, n = np.concatenate(keys).view(np.uint64), np.concatenate(ns)
+        grams, n = _summed(np.concatenate(keys), np.concatenate(ns))
+        grams = grams.view(np.uint64)
         levels = tree.levels(grams, n, DEPTH, 2)
         stop, below = tree.weighted(levels)
         p = tree.mixed_bits(levels, stop)
@@ -98,39 +146,36 @@ def subtrees(contexts: DataFrame) -> DataFrame:
             part = np.ascontiguousarray(p[:, i : i + 50_000].T)
             m = len(part)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(m + 1) * 8, pa.int32()), pa.array(part.ravel()))
-            yield pa.RecordBatch.from_arrays([pa.array(grams[i : i + m].view(np.int64)), lists, *[pa.nulls(m, t) for t in (pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.float64())]], names)
+            yield pa.RecordBatch.from_arrays([pa.array(grams[i : i + m].view(np.int64)), pa.array(n[i : i + m]), lists, *[pa.nulls(m, t) for t in (pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.float64())]], names)
         last = levels[-1][0]
         for bit in range(8):
             run, _, a, b = last.bits[bit]
             first = np.flatnonzero(np.concatenate(([True], run[1:] != run[:-1])))
             prefix = ((last.grams[first] & np.uint64(255)) >> np.uint64(8 - bit)).astype(np.int32)
             m = len(first)
-            yield pa.RecordBatch.from_arrays([pa.nulls(m, pa.int64()), pa.nulls(m, pa.list_(pa.float64())), pa.array(np.full(m, sub, np.int32)), pa.array(np.full(m, bit, np.int32)), pa.array(prefix), pa.array(a), pa.array(b), pa.array(below[bit])], names)
+            yield pa.RecordBatch.from_arrays([pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.list_(pa.float64())), pa.array(np.full(m, sub, np.int32)), pa.array(np.full(m, bit, np.int32)), pa.array(prefix), pa.array(a), pa.array(b), pa.array(below[bit])], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, keys, ns = None, [], []
         for batch in batches:
-            sub, key, n = (np.asarray(batch.column(c)) for c in ("sub", "key", "n"))
-            cut = np.concatenate(([0], np.flatnonzero(sub[1:] != sub[:-1]) + 1, [len(sub)])) if len(sub) else [0]
-            for a, b in zip(cut[:-1], cut[1:], strict=True):
-                if sub[a] != at:
+            for sub, key, n in zip(*(batch.column(c) for c in ("sub", "keys", "ns")), strict=True):
+                if sub.as_py() != at:
                     if keys:
                         yield from made(at, keys, ns)
-                    at, keys, ns = int(sub[a]), [], []
-                keys.append(key[a:b])
-                ns.append(n[a:b])
+                    at, keys, ns = sub.as_py(), [], []
+                keys.append(np.cumsum(np.frombuffer(key.as_buffer(), np.int64)))
+                ns.append(np.frombuffer(n.as_buffer(), np.int32).astype(np.int64))
         if keys:
             yield from made(at, keys, ns)
 
     parts = int(contexts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    sub = F.shiftrightunsigned("key", 8 * (DEPTH - 1)).bitwiseAND(F.lit(65535)).cast("int")
-    rows = contexts.select(sub.alias("sub"), "key", "n")
+    rows = contexts.select(F.col("key").cast("int").alias("sub"), "keys", "ns")
     # a key's sign bit is never set: a context of DEPTH < 7 bytes and a byte fill 8 * DEPTH + 8 bits
-    return rows.repartition(parts, "sub").sortWithinPartitions("sub", "key").mapInArrow(run, schema)
+    return rows.repartition(parts, "sub").sortWithinPartitions("sub").mapInArrow(run, schema)
 
 
 def scored_contexts(made: DataFrame) -> DataFrame:
-    """key, log10 of its byte's probability."""
+    """key, n, log10 of its byte's probability."""
     nodes = made.where("p IS NULL").select("sub", "bit", "prefix", "a", "b", "log_w").toArrow()
     top = tree.Top(*(np.asarray(nodes.column(c)) for c in ("sub", "bit", "prefix", "a", "b", "log_w")))
     sent = made.sparkSession.sparkContext.broadcast(top)
@@ -141,9 +186,9 @@ def scored_contexts(made: DataFrame) -> DataFrame:
                 key = np.asarray(batch.column("key"))
                 p = np.asarray(batch.column("p").flatten()).reshape(-1, 8).T
                 near = (key >> (8 * DEPTH)) & 255
-                yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(sent.value.mixed(near, key & 255, p) / np.log(10))], ["key", "lp"])
+                yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("n"), pa.array(sent.value.mixed(near, key & 255, p) / np.log(10))], ["key", "n", "lp"])
 
-    return made.where("p IS NOT NULL").select("key", "p").mapInArrow(run, "key bigint, lp double")
+    return made.where("p IS NOT NULL").select("key", "n", "p").mapInArrow(run, "key bigint, n bigint, lp double")
 
 
 class Sent:
@@ -161,7 +206,7 @@ class Sent:
         return np.where(found, self.value[at], 0), found
 
 
-def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held: Column | None = None) -> DataFrame:
+def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held: Column | None = None, across: bool = False) -> DataFrame:
     """For each row of docs: its id, held_out, n_tokens, n_known, train_tokens, base_score, score and
     bits_per_byte.
 
@@ -172,19 +217,21 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held:
     spark = docs.sparkSession
     held = held_out(F.col(id_col)) if held is None else held
     base = docs.select(F.col(id_col).alias("doc"), held.alias("held_out"), F.col(text_col).alias("text"))
-    table = written(counts(base.select("text", (~F.col("held_out")).alias("train"))), "lm-counts")
-    words = table.where("kind = 0").select("key", "n")
+    table = written(counts(base.select("text", (~F.col("held_out")).alias("train")), across), "lm-counts")
+    words = written(table.where("kind = 0").groupBy("key").agg(F.sum("n").alias("n")), "lm-words")
     trained = base.where("NOT held_out").count()
     sums = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
     total, distinct = sums["n"] + trained, sums["v"] + (trained > 0)
-    contexts = written(scored_contexts(written(subtrees(table.where("kind = 1")), "lm-trees")), "lm-contexts")
+    trees = written(subtrees(table.where("kind = 1")), "lm-trees")
+    forget(table)
+    contexts = written(scored_contexts(trees), "lm-contexts")
+    forget(trees)
 
     top, all_words = most_frequent(words, "key", "n", SENT_WORDS)
-    few = contexts.limit(SENT_CONTEXTS + 1).count() <= SENT_CONTEXTS
-    lps = contexts.toArrow() if few else None
+    lps, few = most_frequent(contexts, "key", "n", SENT_CONTEXTS, "lp")
     as_np = lambda t, c: np.asarray(t.column(c).combine_chunks())
     sent_words = spark.sparkContext.broadcast(Sent(as_np(top, "key"), as_np(top, "n")))
-    sent_lps = spark.sparkContext.broadcast(Sent(as_np(lps, "key"), as_np(lps, "lp")) if few else None)
+    sent_lps = spark.sparkContext.broadcast(Sent(as_np(lps, "key"), as_np(lps, "lp")))
     end_n = trained
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -204,17 +251,20 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held:
                 data, bounds = _strings(w.distinct)
                 length = here(np.diff(bounds)[:-1].astype(float)) + 1
                 keys, kinds, times, counts_ = [np.zeros(0, np.int64)], [np.zeros(0, np.int8)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-                grams = tree.grams_of(data, bounds, DEPTH).view(np.int64)
-                if sent_lps.value is not None:
-                    lp = np.add.reduceat(sent_lps.value.get(grams)[0], bounds[:-1])
-                    value = here(lp[:-1]) + lp[-1]
-                else:  # every row's contexts are joined
-                    value = np.zeros(rows)
-                    k = np.append(np.diff(bounds)[:-1][codes], np.full(rows, len(END)))
-                    owner = np.append(codes, np.full(rows, size))
-                    at = np.repeat(bounds[:-1][owner] - np.cumsum(k) + k, k) + np.arange(k.sum())
-                    r, g, t = _pairs(np.repeat(np.append(row, np.arange(rows)), k), grams[at])
-                    keys.append(g), kinds.append(np.ones(len(g), np.int8)), times.append(t), counts_.append(r)
+                value = np.zeros(rows)
+                for a, b, grams, of in _runs(w, data, bounds, across):
+                    order = np.argsort(grams)
+                    sorted_ = grams[order]
+                    first = np.flatnonzero(np.concatenate(([True], sorted_[1:] != sorted_[:-1])))
+                    k = np.diff(np.append(first, len(sorted_)))
+                    lp, sent = sent_lps.value.get(sorted_[first])
+                    each = np.empty(len(grams))
+                    each[order] = np.repeat(lp, k)
+                    value[a:b] = np.add.reduceat(each, of[:-1])
+                    if not sent.all():  # the others are joined
+                        rest = order[np.repeat(~sent, k)]
+                        r, g, t = _pairs(np.searchsorted(of, rest, "right") - 1 + a, grams[rest])
+                        keys.append(g), kinds.append(np.ones(len(g), np.int8)), times.append(t), counts_.append(r)
                 if not all_words:
                     rare = np.flatnonzero(~found[codes]) if len(codes) else np.zeros(0, np.int64)
                     r, g, t = _pairs(row[rare], name[codes[rare]])

@@ -32,7 +32,7 @@ def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lm_scoring.score(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return lm_scoring.score(table(spark, sf_dir, "documents").select("doc_id", "text"), across=True)
 
 
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -65,8 +65,8 @@ def small(df: DataFrame, most: int = 200_000) -> DataFrame:
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
-def most_frequent(df: DataFrame, key: str, count: str, most: int):
-    """At most `most` of the keys with the greatest counts, as an Arrow table (key, count), and whether these
+def most_frequent(df: DataFrame, key: str, count: str, most: int, *more: str):
+    """At most `most` of the keys with the greatest counts, as an Arrow table (key, count, more), and whether these
     are all. The least count that still fits is found from a table of how many keys have each count (in
     1,000 steps a power of ten), so that no task sorts all keys."""
     step = F.floor(F.log10(F.greatest(F.col(count), F.lit(1)).cast("double")) * 1000).cast("int")
@@ -76,6 +76,6 @@ def most_frequent(df: DataFrame, key: str, count: str, most: int):
         if taken + n > most:
             break
         taken, least = taken + n, s
-    rows = df.select(key, count)
+    rows = df.select(key, count, *more)
     rows = rows.where(F.lit(False)) if least is None else rows.where(step >= least)
     return rows.toArrow(), taken == sum(n for _, n in steps)
