@@ -1,15 +1,14 @@
 """Quality classification by co-training.
 
 Two views of a document have a classifier each: its words (hashed, present or not), and its metadata
-(source, language, size and layout, without a word of the text). Both start from the labelled rows of a
-sample. In each round either view labels the rows of the unlabelled pool of which it is most
+(source, language, size and layout, without a word of the text). Both start from the labelled rows
+(a sample beyond SAMPLE of them). In each round either view labels the rows of the unlabelled pool of which it is most
 sure, in the labels' proportion, and hands them to the other view's training set. After the rounds each view's scores are
 calibrated on labelled rows that it has not seen, and a document's probability is the
 product of both views' odds over the prior odds.
 
-The sample is drawn by a hash of the id (SAMPLE rows expected, labelled or not, whatever the table's
-size) and fitted on the driver; its features are at most SAMPLE rows. Everything else, the scores of all documents
-and the features they need, is one pass over the texts without a shuffle.
+The texts are read once, for a table of features. In each round all unlabelled rows are scored from it, and
+at most MOST_PSEUDO of them a view go to the driver, which fits the models on these and the labelled rows.
 """
 
 from __future__ import annotations
@@ -23,15 +22,16 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from glosswork.llm.shared import small, written
+from glosswork.llm.shared import forget, small, written
 from glosswork.llm.words import Words, slices
 
 SAMPLE = 30_000
 MOST_LABELS = 60_000
 ROUNDS = 4
 SURE = 0.05  # the share of the pool that a view labels in a round
+MOST_PSEUDO = 5_000  # rows that a view labels in a round, at most
 PSEUDO_WEIGHT = 0.5
-MIN_ROWS = 5  # rows of the sample that a word must be in
+MIN_ROWS = 5  # rows of the training set that a word must be in
 BITS = 18
 META = 256
 SEED = 29
@@ -77,6 +77,11 @@ def meta_features(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     return np.arange(n + 1) * len(columns), np.stack(columns, 1).ravel().astype(np.int32) if n else np.zeros(0, np.int32)
 
 
+def _blocks(rows: int) -> Iterator[tuple[int, int]]:
+    """Runs of rows, so that the driver's temporary arrays stay small."""
+    return ((a, min(a + 2048, rows)) for a in range(0, rows, 2048))
+
+
 @dataclass
 class Linear:
     """Logistic regression over rows of present features."""
@@ -87,8 +92,12 @@ class Linear:
     scale: tuple[float, float] = (1.0, 0.0)
 
     def logits(self, bounds: np.ndarray, idx: np.ndarray) -> np.ndarray:
-        upto = np.concatenate(([0.0], np.cumsum(self.w[idx])))
-        return upto[bounds[1:]] - upto[bounds[:-1]] + self.bias
+        out = np.empty(len(bounds) - 1)
+        for a, b in _blocks(len(out)):
+            upto = np.concatenate(([0.0], np.cumsum(self.w[idx[bounds[a] : bounds[b]]])))
+            at = bounds[a : b + 1] - bounds[a]
+            out[a:b] = upto[at[1:]] - upto[at[:-1]] + self.bias
+        return out
 
     def fit(self, bounds: np.ndarray, idx: np.ndarray, y: np.ndarray, weight: np.ndarray, steps: int, decay: float) -> None:
         """L-BFGS with backtracking; from the last weights if there are any."""
@@ -103,7 +112,10 @@ class Linear:
             z = self.logits(bounds, idx)
             loss = (weight * (np.logaddexp(0, z) - y * z)).sum() / total + decay / 2 * (self.w**2).sum()
             err = weight * (1 / (1 + np.exp(-np.clip(z, -40, 40))) - y) / total
-            return loss, np.append(np.bincount(idx, weights=np.repeat(err, n), minlength=self.size) + decay * self.w, err.sum())
+            grad = decay * self.w
+            for a, b in _blocks(len(n)):
+                grad += np.bincount(idx[bounds[a] : bounds[b]], weights=np.repeat(err[a:b], n[a:b]), minlength=self.size)
+            return loss, np.append(grad, err.sum())
 
         x = np.append(self.w, self.bias)
         f, g = at(x)
@@ -172,102 +184,155 @@ class Model:
 
 
 def _rows(bounds: np.ndarray, idx: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    n = np.diff(bounds)[rows]
-    at = np.repeat(bounds[:-1][rows] - np.cumsum(n) + n, n) + np.arange(n.sum())
-    return np.concatenate(([0], np.cumsum(n))), idx[at]
-
-
-def cotrain(text: tuple, meta: tuple, y: np.ndarray, fold: np.ndarray, rounds: int = ROUNDS) -> Model:
-    """y: 1, 0, or -1 for the pool. fold: rows of fold 0 calibrate, the others train."""
-    df = np.bincount(text[1], minlength=1 << BITS)
-    common = df >= MIN_ROWS
-    seen = np.concatenate(([0], np.cumsum(common[text[1]])))
-    text = (seen[text[0]], text[1][common[text[1]]])
-    views = {"text": (Linear(1 << BITS), text, 1e-5), "meta": (Linear(META), meta, 1e-4)}
-    train = {v: [np.flatnonzero((y >= 0) & (fold > 0))] for v in views}
-    label = {v: [y[train[v][0]].astype(float)] for v in views}
-    weight = {v: [np.ones(len(train[v][0]))] for v in views}
-    start = train["text"][0]
+    size, out = np.diff(bounds)[rows], [idx[:0]]
+    for a, b in _blocks(len(rows)):
+        n = size[a:b]
+        out.append(idx[np.repeat(bounds[:-1][rows[a:b]] - np.cumsum(n) + n, n) + np.arange(n.sum())])
+    return np.concatenate(([0], np.cumsum(size))), np.concatenate(out)
+
+
+def _packed(bounds: np.ndarray, idx: np.ndarray) -> pa.Array:
+    return pa.Array.from_buffers(pa.binary(), len(bounds) - 1, [None, pa.py_buffer((bounds * 4).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(idx, np.int32))])
+
+
+def _unpacked(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """Bounds and features of a column of `_packed` lists."""
+    lists = column.cast(pa.large_binary())
+    lists = lists.combine_chunks() if isinstance(lists, pa.ChunkedArray) else lists
+    if not len(lists):
+        return np.zeros(1, np.int64), np.zeros(0, np.int32)
+    _, offsets, data = lists.buffers()
+    at = np.frombuffer(offsets, np.int64)[lists.offset : lists.offset + len(lists) + 1] // 4
+    idx = np.frombuffer(data, np.int32)[at[0] : at[-1]] if data is not None else np.zeros(0, np.int32)
+    return at - at[0], idx
+
+
+def _after(a: tuple, b: tuple) -> tuple[np.ndarray, np.ndarray]:
+    return np.concatenate((a[0], b[0][1:] + a[0][-1])), np.concatenate((a[1], b[1]))
+
+
+def cotrain(text: tuple, meta: tuple, y: np.ndarray, fold: np.ndarray, pool, rounds: int = ROUNDS) -> Model:
+    """y: 1 or 0. fold: rows of fold 0 calibrate, the others train. pool(text, meta, rate): for each view
+    the features (text, meta) and classes of the unlabelled rows that it is most sure of; None without such rows."""
+    views = {"text": (Linear(1 << BITS), 1e-5), "meta": (Linear(META), 1e-4)}
+    x = {"text": text, "meta": meta}
+    start = np.flatnonzero(fold > 0)
+    train = {v: [start] for v in views}
+    label = {v: [y[start].astype(float)] for v in views}
+    weight = {v: [np.ones(len(start))] for v in views}
     model = Model(views["text"][0], views["meta"][0], 0.0)
     if not len(start) or len(np.unique(y[start])) < 2:  # nothing to learn from: every score is the prior
         rate = float(y[start].mean()) if len(start) else 0.5
-        for linear, _, _ in views.values():
+        for linear, _ in views.values():
             linear.w, linear.bias = np.zeros(linear.size), 0.0
             linear.scale = (0.0, 0.0)
         model.prior = float(-np.log((rate * len(start) + 1) / ((1 - rate) * len(start) + 1)))
         return model
-    rate = y[start].mean()
-    pool = np.flatnonzero(y < 0)
+    rate = float(y[start].mean())
     for r in range(rounds + 1):
-        for v, (linear, x, decay) in views.items():
-            rows = np.concatenate(train[v])
-            linear.fit(*_rows(*x, rows), np.concatenate(label[v]), np.concatenate(weight[v]), 120 if r == 0 else 40, decay)
-        if r == rounds or not len(pool):
+        for v, (linear, decay) in views.items():
+            bounds, idx = _rows(*x[v], np.concatenate(train[v]))
+            if v == "text":
+                df = np.zeros(1 << BITS, np.int64)
+                for a, b in _blocks(len(bounds) - 1):
+                    df += np.bincount(idx[bounds[a] : bounds[b]], minlength=1 << BITS)
+                common = (df >= MIN_ROWS)[idx]
+                kept = [common[bounds[a] : bounds[a + 1]].sum() for a in range(len(bounds) - 1)]
+                bounds, idx = np.concatenate(([0], np.cumsum(kept))).astype(np.int64), idx[common]
+            linear.fit(bounds, idx, np.concatenate(label[v]), np.concatenate(weight[v]), 120 if r == 0 else 40, decay)
+        found = pool(model.text, model.meta, rate) if r < rounds else None
+        if found is None:
             break
-        took = np.zeros(len(y), bool)
-        for v, other in (("text", "meta"), ("meta", "text")):
-            linear, x, _ = views[v]
-            z = linear.logits(*_rows(*x, pool))
-            order = np.argsort(z, kind="stable")
-            k = int(SURE * len(pool))
-            down, up = order[: int(k * (1 - rate))], order[len(order) - int(k * rate) :]
-            sure = np.concatenate((down[z[down] < 0], up[z[up] > 0]))
-            train[other].append(pool[sure])
-            label[other].append((z[sure] > 0).astype(float))
+        for other, (words, layout, sure) in (("meta", found["text"]), ("text", found["meta"])):
+            at = len(x["text"][0]) - 1
+            x = {"text": _after(x["text"], words), "meta": _after(x["meta"], layout)}
+            train[other].append(np.arange(at, at + len(sure)))
+            label[other].append(sure.astype(float))
             weight[other].append(np.full(len(sure), PSEUDO_WEIGHT))
-            took[pool[sure]] = True
-        pool = pool[~took[pool]]
-    rows = np.flatnonzero((y >= 0) & (fold == 0))
+    rows = np.flatnonzero(fold == 0)
     if not len(rows) or len(np.unique(y[rows])) < 2:
         rows = start
-    for linear, x, _ in views.values():
-        linear.calibrate(linear.logits(*_rows(*x, rows)), y[rows])
+    for v, (linear, _) in views.items():
+        linear.calibrate(linear.logits(*_rows(*x[v], rows)), y[rows])
     model.prior = float(np.log((y[rows].sum() + 1) / (len(rows) - y[rows].sum() + 1)))
     return model
 
 
-def fit(docs: DataFrame, labels: DataFrame, good: Column, id_col: str = "doc_id", sample: int = SAMPLE, rounds: int = ROUNDS) -> Model:
-    """docs: id, text, lang, source. labels: the id and what `good` (boolean) is made of; of an id's several
-    labels all must be good."""
-    n = max(1, docs.count())
-    unit = F.xxhash64(F.col(id_col).cast("string"), F.lit(SEED)).bitwiseAND(F.lit((1 << 30) - 1))
-    marked = labels.where(F.col(id_col).isNotNull()).groupBy(id_col).agg(F.min(good.cast("int")).alias("y"))
-    drawn = unit < int((1 << 30) * min(1.0, sample / n))
-    marks = written(marked.where(drawn), "cotraining-labels")
-    rows = docs.where(drawn).join(small(marks, MOST_LABELS), id_col, "left").select("text", "lang", "source", F.coalesce("y", F.lit(-1)).alias("y"), F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.lit(SEED + 1)), F.lit(5)).cast("int").alias("fold"))
+def features(docs: DataFrame, id_col: str) -> DataFrame:
+    """row, the id, words and meta (packed features) of every row of docs, as a written table."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
-                made = [pa.ListArray.from_arrays(pa.array(b, pa.int32()), pa.array(x)) for b, x in (text_features(part.column("text")), meta_features(part))]
-                yield pa.RecordBatch.from_arrays([part.column("y"), part.column("fold"), *made], ["y", "fold", "words", "meta"])
-
-    made = rows.mapInArrow(run, "y int, fold int, words array<int>, meta array<int>").toArrow()
-
-    def csr(name: str) -> tuple[np.ndarray, np.ndarray]:
-        lists = made.column(name).combine_chunks()
-        lists = lists if isinstance(lists, pa.Array) else pa.array([], pa.list_(pa.int32()))
-        return np.asarray(lists.offsets).astype(np.int64) - (int(lists.offsets[0].as_py()) if len(lists) else 0), np.asarray(lists.flatten())
-
-    y, fold = (np.asarray(made.column(c)).astype(np.int64) for c in ("y", "fold"))
-    return cotrain(csr("words"), csr("meta"), y, fold, rounds)
-
-
-def scored(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
-    """keep's columns of every row, text_score, meta_score and score: the probability of the positive class
-    by each view and by both."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)
-    names = [f"__k{i}" for i in range(len(keep))]
-    rows = docs.select(*[F.col(c).alias(n) for c, n in zip(keep, names, strict=True)], "text", "lang", "source")
+                yield pa.RecordBatch.from_arrays([part.column("id"), _packed(*text_features(part.column("text"))), _packed(*meta_features(part))], ["id", "words", "meta"])
+
+    rows = docs.select(F.col(id_col).alias("id"), "text", "lang", "source")
+    made = rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, words binary, meta binary")
+    return written(made.withColumn("row", F.monotonically_increasing_id()), "cotraining-features")
+
+
+def fit(made: DataFrame, labels: DataFrame, good: Column, id_col: str = "doc_id", sample: int = SAMPLE, rounds: int = ROUNDS) -> Model:
+    """made: from `features`. labels: the id and what `good` (boolean) is made of; of an id's several labels all
+    must be good."""
+    spark = made.sparkSession
+    marked = labels.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.min(good.cast("int")).alias("y")).where("y IS NOT NULL")
+    marked = written(marked, "cotraining-marked")
+    n = max(1, made.select("id").join(marked, "id").count())  # the labelled rows
+    unit = F.xxhash64(F.col("id").cast("string"), F.lit(SEED)).bitwiseAND(F.lit((1 << 30) - 1))
+    marks = marked if n <= sample else written(marked.where(unit < int((1 << 30) * (sample / n))), "cotraining-labels")
+    got = made.join(small(marks, MOST_LABELS), "id").select("y", F.pmod(F.xxhash64(F.col("id").cast("string"), F.lit(SEED + 1)), F.lit(5)).cast("int").alias("fold"), "words", "meta").toArrow()
+    y, fold = (np.asarray(got.column(c)).astype(np.int64) for c in ("y", "fold"))
+    taken = np.zeros(0, np.int64)
+
+    def rows_of(rows: np.ndarray) -> DataFrame:
+        return F.broadcast(spark.createDataFrame(pa.table({"row": pa.array(rows, pa.int64())})))
+
+    def pool(text: Linear, meta: Linear, rate: float):
+        nonlocal taken
+        sent = spark.sparkContext.broadcast((text, meta))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                z = [pa.array(linear.logits(*_unpacked(batch.column(c)))) for linear, c in zip(sent.value, ("words", "meta"), strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("row"), *z], ["id", "row", "text", "meta"])
+
+        z = made.select("id", "row", "words", "meta").mapInArrow(run, f"id {made.schema['id'].dataType.simpleString()}, row bigint, text double, meta double")
+        z = z.join(marked.select("id"), "id", "left_anti").join(rows_of(taken), "row", "left_anti")
+        z = written(z.withColumn("tie", F.xxhash64("id", F.lit(SEED + 2))), "cotraining-round")
+        k = min(int(SURE * z.count()), MOST_PSEUDO)
+        picked = {}
+        for v in ("text", "meta"):
+            down = z.where(F.col(v) < 0).orderBy(v, "tie", "row").limit(int(k * (1 - rate))).select("row").toArrow()
+            up = z.where(F.col(v) > 0).orderBy(F.desc(v), "tie", "row").limit(int(k * rate)).select("row").toArrow()
+            picked[v] = [np.asarray(t.column("row")).astype(np.int64) for t in (down, up)]
+        forget(z)
+        every = np.unique(np.concatenate([r for pair in picked.values() for r in pair]))
+        if not len(every):
+            return None
+        taken = np.concatenate((taken, every))
+        rows = made.join(rows_of(every), "row").select("row", "words", "meta").toArrow().sort_by("row")
+        words, layout = _unpacked(rows.column("words")), _unpacked(rows.column("meta"))
+        out = {}
+        for v, (down, up) in picked.items():
+            at = np.searchsorted(every, np.concatenate((down, up)))
+            out[v] = (_rows(*words, at), _rows(*layout, at), np.repeat([0, 1], [len(down), len(up)]))
+        return out
+
+    return cotrain(_unpacked(got.column("words")), _unpacked(got.column("meta")), y, fold, pool, rounds)
+
+
+def scored(made: DataFrame, model: Model, id_col: str) -> DataFrame:
+    """The id of every row of `features`, text_score, meta_score and score: the probability of the positive
+    class by each view and by both."""
+    sent = made.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text"):
-                p = [1 / (1 + np.exp(-np.clip(z, -40, 40))) for z in sent.value.score(text_features(part.column("text")), meta_features(part))]
-                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in names], *[pa.array(x) for x in p]], [*names, "text_score", "meta_score", "score"])
+            p = [1 / (1 + np.exp(-np.clip(z, -40, 40))) for z in sent.value.score(_unpacked(batch.column("words")), _unpacked(batch.column("meta")))]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), *[pa.array(x) for x in p]], ["id", "text_score", "meta_score", "score"])
 
-    schema = ", ".join([f"{f.name} {f.dataType.simpleString()}" for f in rows.select(*names).schema] + ["text_score double, meta_score double, score double"])
-    return rows.mapInArrow(run, schema).withColumnsRenamed(dict(zip(names, keep, strict=True)))
+    rows = made.select("id", "words", "meta")
+    return rows.mapInArrow(run, f"id {made.schema['id'].dataType.simpleString()}, text_score double, meta_score double, score double").withColumnRenamed("id", id_col)
 
 
 def classified(docs: DataFrame, labels: DataFrame, good: Column, id_col: str = "doc_id", limit: float = 0.5, sample: int = SAMPLE) -> DataFrame:
@@ -277,5 +342,6 @@ def classified(docs: DataFrame, labels: DataFrame, good: Column, id_col: str = "
     are scored like others and never drawn with a label; without labels of both classes every row gets
     the smoothed rate of the class; an empty table stays empty; other columns are not read.
     """
-    model = fit(docs, labels, good, id_col, sample)
-    return scored(docs, model, [id_col]).withColumn("kept", F.col("score") >= limit)
+    made = features(docs, id_col)
+    model = fit(made, labels, good, id_col, sample)
+    return scored(made, model, id_col).withColumn("kept", F.col("score") >= limit)

@@ -3,9 +3,10 @@
 import math
 
 import pytest
+from pyspark.sql import functions as F
+
+from glosswork.llm import cotraining, lm_scoring, registry
 
-from glosswork.llm import lm_scoring
-from glosswork.llm import registry
 
 
 def brute_scores(texts, trained, depth):
@@ -60,3 +61,26 @@ def test_lm_contexts_cross_words(spark, tmp_path, monkeypatch, sent):
     want = brute_scores(texts, [not out[i]["held_out"] for i, _ in rows], lm_scoring.DEPTH)
     assert [out[i]["score"] for i, _ in rows] == pytest.approx(want)
     assert out[0]["score"] > out[12]["score"] + 1  # the order of words counts
+
+
+def test_few_labels_and_the_whole_pool(spark, monkeypatch):
+    """A fixed set of labels counts in full however many documents there are, and pseudo-labels come from all."""
+    rows = [(i, f"w{i % 7} w{i % 11} " + ("awful" if i % 3 == 0 else "fine"), "en", "a") for i in range(3000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    lab = spark.createDataFrame([(i, int(i % 3 != 0)) for i in range(100)], "doc_id long, quality int")
+    seen = []
+    cotrain = cotraining.cotrain
+
+    def watched(text, meta, y, fold, pool, rounds):
+        def picks(*a):
+            found = pool(*a)
+            seen.append({v: len(x[2]) for v, x in found.items()})
+            return found
+
+        seen.append(len(y))
+        return cotrain(text, meta, y, fold, picks, rounds)
+
+    monkeypatch.setattr(cotraining, "cotrain", watched)
+    out = {r["doc_id"]: r for r in cotraining.classified(df, lab, F.col("quality") == 1, sample=100).collect()}
+    assert len(out) == 3000 and seen[0] == 100 and seen[1]["text"] >= 140  # 5 % of 2,900 unlabelled rows
+    assert sum(r["kept"] == (i % 3 != 0) for i, r in out.items()) > 2700  # a constant gives 2,000
