@@ -456,7 +456,7 @@ def nested_result(spark, d):
 
 @query
 def html_result(spark, d):
-    return sinks.html(R.disambiguate(docs(spark, d), lex(spark, d))).select("doc_id", F.md5("html").alias("html_md5"))
+    return sinks.html(R.disambiguate(docs(spark, d), lex(spark, d)), R.greedy_spans(spans(spark, d))).select("doc_id", F.md5("html").alias("html_md5"))
 
 
 @query

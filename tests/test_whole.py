@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from glosswork.plans import registry
+from glosswork.sources import sinks
 
 
 @pytest.fixture
@@ -24,3 +25,11 @@ def test_encoding_keeps_long_items(spark, items):
 def test_truncation(spark, items):
     rows = registry.encoded(spark, items, 60).select("item_id", F.size("input_ids").alias("n"), F.coalesce("kept", F.lit(False)).alias("kept"))
     assert {r["item_id"]: (r["n"], r["kept"]) for r in rows.collect()} == {8: (60, False), 9: (60, True), 10: (21, True), 11: (60, False)}
+
+
+def test_html_entities(spark):
+    t = spark.createDataFrame([(d, i, w, None, None) for d in (1, 2) for i, w in enumerate("in New York <now>".split())], "doc_id long, position long, word string, synset_id string, synset_definition string")
+    e = spark.createDataFrame([(1, 7, 1, 2, "new & york")], "doc_id long, id long, start_token int, end_token int, text string")
+    got = {r["doc_id"]: r["html"] for r in sinks.html(t, e).collect()}
+    assert got[1].endswith('</tr><tr><td>-</td><td colspan="2"><a href="#7">new &amp; york</a></td><td>-</td></tr></table>')
+    assert got[2].endswith("</tr><tr>" + "<td>-</td>" * 4 + "</tr></table>") and got[1].count("<tr>") == 3
