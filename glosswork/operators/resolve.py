@@ -51,9 +51,9 @@ def entity_spans(tokens: DataFrame, gazetteer: DataFrame) -> DataFrame:
     names = gazetteer.select("id", F.col("label").alias("text"), F.split(F.lower("label"), " ").alias("parts"))
     names = names.withColumn("lemma", F.get("parts", 0)).withColumn("size", F.size("parts"))
     w = Window.partitionBy("doc_id").orderBy("position")
-    longest = 4
+    longest = names.agg(F.max("size")).first()[0] or 1
     ahead = F.filter(F.array(*[F.lead("lemma", i).over(w) if i else F.col("lemma") for i in range(longest)]), lambda x: x.isNotNull())
-    rows = tokens.select("doc_id", "position", "lemma", ahead.alias("ahead")).join(L.bounded(names.where(F.col("size") <= longest)), "lemma")
+    rows = tokens.select("doc_id", "position", "lemma", ahead.alias("ahead")).join(L.bounded(names), "lemma")
     rows = rows.where(F.slice("ahead", F.lit(1), F.col("size")) == F.col("parts"))
     return rows.select("doc_id", "id", F.col("position").alias("start_token"), (F.col("position") + F.col("size") - 1).alias("end_token"), "text")
 

@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from glosswork.operators import resolve
 from glosswork.plans import registry
 from glosswork.sources import sinks
 
@@ -33,3 +34,10 @@ def test_html_entities(spark):
     got = {r["doc_id"]: r["html"] for r in sinks.html(t, e).collect()}
     assert got[1].endswith('</tr><tr><td>-</td><td colspan="2"><a href="#7">new &amp; york</a></td><td>-</td></tr></table>')
     assert got[2].endswith("</tr><tr>" + "<td>-</td>" * 4 + "</tr></table>") and got[1].count("<tr>") == 3
+
+
+def test_long_labels(spark):
+    t = spark.createDataFrame([(1, i, w) for i, w in enumerate("at the united states of north america now".split())], "doc_id long, position long, lemma string")
+    g = spark.createDataFrame([(5, "the United States of North America"), (6, "now")], "id long, label string")
+    assert sorted((r["id"], r["start_token"], r["end_token"]) for r in resolve.entity_spans(t, g).collect()) == [(5, 1, 6), (6, 7, 7)]
+    assert resolve.entity_spans(t, g.limit(0)).count() == 0
