@@ -7,20 +7,22 @@ credits of H + 1 in all, one of these segments differs by less than its credits:
 then has equal subsets, one with two credits has subsets that differ by one element at most, which the
 signatures of the subset and of its one-deletion neighbours show.
 
-The larger set probes: it spends its H + 1 credits on its cheapest non-empty segments, the cost being
-the estimated length of a signature's list (the least frequency of its elements, from counts of the
-most frequent n-grams over all documents), and buys second credits on the segments that have a deletion
-index where single ones run out or are frequent. Every set is indexed in its own band and, if a larger
-partner can be there, in the next. A set that can't raise its credits (fewer than one in a million) is
-compared with all sets, in blocks.
-
-Members of a list become a pair only if their sets can be so similar: their odd sketches (the parities
+Every set is indexed in its own band and, if a larger partner can be there, in the next; the larger set
+probes. All signatures of a bucket meet in one task, so the exact length of every list is known before a
+probe is chosen. A set's segments whose list holds no other set are credits that cost nothing; only the
+credits it lacks beyond these are bought, from its shortest lists (equal lists count as one), and a set
+whose free credits reach H + 1 probes nothing. So a passage that many sets share costs nothing as long
+as it is not most of a set. Sets with fewer non-empty segments than H + 1 take second credits on segments with
+a deletion index; those that can't raise their credits even so (fewer than one in a million) are compared
+with all sets, in blocks.
+
+Members of a chosen list become a pair only if their sets can be so similar: their odd sketches (the parities
 of their counts in 512 equal parts of the universe) differ in no more bits than the sets in elements, of
-which there must be at most H. Signatures travel packed by bucket; those whose elements are all very frequent travel as single rows, so
-that no bucket holds a very long list. What shares a signature is verified on the whole texts. Lists are
-not expanded into pairs: in each round a list's first probing members are compared with the others that
-are not yet in their component; lists within one component are dropped. A pair that shares a list and is
-in no common component at the end has been compared, so no link between components is lost.
+which there must be at most H. Signatures travel packed by bucket. What shares a signature is verified on
+the whole texts. Lists are not expanded into pairs: in each round a few of a list's probing members are
+compared with the others that are not yet in their component; lists within one component are dropped. A
+pair that shares a chosen list and is in no common component at the end has been compared, so no link
+between components is lost.
 """
 
 from __future__ import annotations
@@ -33,26 +35,23 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from glosswork.llm.components import components
-from glosswork.llm.shared import forget, most_frequent, small, written
+from glosswork.llm.shared import forget, small, written
 from glosswork.llm.words import Words, mixed, run_hashes, run_starts, slices
 
 N = 5
 PERCENT = 75
 BANDS = [8 << i for i in range(40)]
-FREQUENT = 50_000  # n-grams whose frequencies are known to the allocation
-LOCAL_FREQUENT = 4  # times in a slice of texts for an n-gram to be counted
-HOT = 64  # a list of this estimated length is avoided by probes
-VERY_HOT = 4096  # signatures of this estimated length travel as rows
-DELETIONS = 16  # segments with a deletion index in the larger bands
+DELETIONS = 8  # segments with a deletion index in the larger bands
 BUCKET_ROWS = 3_000_000
 BLOCK_SETS = 2000
+INDEXED, MAY_PROBE, PROBES = 1, 2, 4
 SKETCH = tuple(f"s{i}" for i in range(8))
 U = np.uint64
 
 
 def segments_of(upper: int) -> tuple[int, int]:
     """Segments, and segments with a deletion index, of the band of sizes up to `upper`."""
-    m = max(8, round(0.36 * upper))
+    m = max(8, round(0.5 * upper))
     return m, (m if upper <= 64 else DELETIONS)
 
 
@@ -72,7 +71,6 @@ class Sets:
                 h, row = np.concatenate((h, one)), np.concatenate((row, short))
         order = np.argsort(h)
         h, row = h[order], row[order]
-        self.all = h
         order = np.argsort(row.astype(np.int16 if len(words.bounds) < 32000 else np.int32), kind="stable")
         h, row = h[order], row[order]
         new = np.ones(len(h), bool)
@@ -93,13 +91,6 @@ class Sets:
         odd = (np.bincount(at, minlength=512 * rows) & 1).astype(np.uint8).reshape(rows, 64, 8)
         return list(np.packbits(odd, axis=2, bitorder="little").reshape(rows, 64).view(np.int64).T)
 
-    def frequent(self, least: int) -> tuple[np.ndarray, np.ndarray]:
-        """Hashes that come `least` times or more in the slice, and how often."""
-        new = np.flatnonzero(np.concatenate(([True], self.all[1:] != self.all[:-1]))) if len(self.all) else np.zeros(0, np.int64)
-        times = np.diff(np.append(new, len(self.all)))
-        some = times >= least
-        return self.all[new[some]], times[some]
-
 
 def sums(x: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     """Wrapping sums of the runs between bounds."""
@@ -107,189 +98,166 @@ def sums(x: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return upto[bounds[1:]] - upto[bounds[:-1]]
 
 
-def signatures(sets: Sets, upper: np.ndarray, own: bool, percent: int, often: tuple[np.ndarray, np.ndarray]):
-    """For the rows of which `upper` > 0 (the band's upper size): signatures, their rows, whether they are
-    indexed, whether they probe, their estimated list length; and the rows that lack credits."""
-    use = np.repeat(upper > 0, sets.size)
-    h, row = sets.h[use], sets.row[use]
+class Segments:
+    """The non-empty segments of the rows of which `upper` (their band's upper size) is over 0: bounds into the
+    elements `h`, the row `of` each, and whether it has a deletion index (`d`)."""
+
+    def __init__(self, sets: Sets, upper: np.ndarray):
+        use = np.repeat(upper > 0, sets.size)
+        self.h, row = sets.h[use], sets.row[use]
+        m_of, d_of = np.zeros(len(upper), np.int64), np.zeros(len(upper), np.int64)
+        for u in np.unique(upper[upper > 0]).tolist():
+            m_of[upper == u], d_of[upper == u] = segments_of(u)
+        seg = (((self.h >> U(32)) * m_of[row].astype(U)) >> U(32)).astype(np.int64)
+        new = np.ones(len(self.h), bool)
+        new[1:] = (row[1:] != row[:-1]) | (seg[1:] != seg[:-1])
+        first = np.flatnonzero(new)
+        self.bounds = np.append(first, len(self.h))
+        self.size = np.diff(self.bounds)
+        self.of, self.seg = row[first], seg[first]
+        self.d = (self.seg < d_of[self.of]) & (self.size >= 2)
+
+
+def credits(sets: Sets, parts: Segments, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each row the credits it needs, its non-empty segments, and the second credits it must take."""
+    n = len(sets.size)
+    need = (2 * sets.size * (100 - percent)) // (100 + percent) + 1
+    every = np.bincount(parts.of, minlength=n)
+    second = np.minimum(np.clip(need - every, 0, None), np.bincount(parts.of[parts.d], minlength=n))
+    return need, every, second
+
+
+def signatures(sets: Sets, upper: np.ndarray, own: bool, percent: int):
+    """For the rows of which `upper` > 0: signatures, their rows, their flags; and the rows that lack credits."""
     none = np.zeros(0, np.int64)
-    if not len(h):
-        return np.zeros(0, U), none, none > 0, none > 0, none, none
-    scheme = {int(u): segments_of(int(u)) for u in np.unique(upper) if u}
-    m_of, d_of = np.zeros(len(upper), np.int64), np.zeros(len(upper), np.int64)
-    for u, (m, d) in scheme.items():
-        m_of[upper == u], d_of[upper == u] = m, d
-    seg = ((h >> U(32)) * m_of[row].astype(U)) >> U(32)
-    seg = seg.astype(np.int64)
-    new = np.ones(len(h), bool)
-    new[1:] = (row[1:] != row[:-1]) | (seg[1:] != seg[:-1])
-    first = np.flatnonzero(new)
-    bounds = np.append(first, len(h))
-    size = np.diff(bounds)
-    element = mixed(h ^ U(0xE7037ED1A0B428DB))
-    total = sums(element, bounds)
-    g_row, g_seg = row[first], seg[first]
-    place = mixed(g_seg.astype(U) * U(0x9E3779B97F4A7C15) + upper[g_row].astype(U))
-    # estimated list lengths: the least known frequency among the elements, 1 for the others
-    cost = np.ones(len(first), np.int64)
-    if len(often[0]):
-        at = np.minimum(np.searchsorted(often[0], h), len(often[0]) - 1)
-        cost = np.minimum.reduceat(np.where(often[0][at] == h, often[1][at], 1), first)
-    subset = mixed(total ^ place)
+    parts = Segments(sets, upper)
+    if not len(parts.h):
+        return np.zeros(0, U), none, none, none
+    of, size = parts.of, parts.size
+    element = mixed(parts.h ^ U(0xE7037ED1A0B428DB))
+    total = sums(element, parts.bounds)
+    place = mixed(parts.seg.astype(U) * U(0x9E3779B97F4A7C15) + upper[of].astype(U))
     # deletion index: S holds subsets, D holds subsets without one element (from two elements on)
-    dels = np.flatnonzero(np.repeat((g_seg < d_of[g_row]) & (size >= 2), size))
-    g_of = np.repeat(np.arange(len(first)), size)[dels]
+    S, D = U(0), U(0x1D8E4E27C47D124F)
+    dels = np.flatnonzero(np.repeat(parts.d, size))
+    g_of = np.repeat(np.arange(len(of)), size)[dels]
     fewer = total[g_of] - element[dels]
-    deleted = mixed(fewer ^ place[g_of] ^ U(0x1D8E4E27C47D124F))
-    one = np.ones
-    out = [(subset, g_row, one(len(first), bool), np.zeros(len(first), bool), cost), (deleted, g_row[g_of], one(len(g_of), bool), np.zeros(len(g_of), bool), cost[g_of])]
+    all_of = lambda n, flag: np.full(n, flag, np.int64)
+    out = [(mixed(total ^ place ^ S), of, all_of(len(of), INDEXED | MAY_PROBE if own else INDEXED)), (mixed(fewer ^ place[g_of] ^ D), of[g_of], all_of(len(g_of), INDEXED))]
     short = none
     if own:
-        n = sets.size
-        need_of = (2 * n * (100 - percent)) // (100 + percent) + 1
-        need = need_of[g_row]
-        order = np.lexsort((-size, cost, g_row))
-        start = np.searchsorted(g_row[order], np.arange(len(n) + 1))
-        rank = np.empty(len(order), np.int64)
-        rank[order] = np.arange(len(order)) - start[g_row[order]]
-        cool = np.bincount(g_row[cost < HOT], minlength=len(n))
-        every = np.bincount(g_row, minlength=len(n))
-        # second credits on segments with a deletion index, cheapest first
-        can = (g_seg < d_of[g_row]) & (size >= 2)
-        second = np.full(len(order), 1 << 40)
-        ok = order[can[order]]
-        begin = np.searchsorted(g_row[ok], np.arange(len(n) + 1))
-        second[ok] = np.arange(len(ok)) - begin[g_row[ok]]
-        seconds = np.bincount(g_row[can], minlength=len(n))
-        want = np.clip(need_of - np.minimum(cool, need_of), 0, None)
-        got2 = np.minimum(want, seconds)
-        # a second credit counts on top of the segment's first: both are then spent there
-        single = np.minimum(need_of - got2, every)
-        single = np.maximum(single, 0)
-        two = second < got2[g_row]
-        probing = (rank < single[g_row]) | two
-        credit = np.bincount(g_row[probing], minlength=len(n)) + np.bincount(g_row[two], minlength=len(n))
-        short = np.flatnonzero((credit < need_of) & (upper > 0))
-        out[0] = (subset, g_row, out[0][2], probing, cost)
-        t = np.flatnonzero(two)
-        out.append((mixed(total[t] ^ place[t] ^ U(0x1D8E4E27C47D124F)), g_row[t], np.zeros(len(t), bool), one(len(t), bool), cost[t]))  # in their deletions
-        mine = two[g_of]
-        out.append((mixed(fewer[mine] ^ place[g_of[mine]]), g_row[g_of[mine]], np.zeros(int(mine.sum()), bool), one(int(mine.sum()), bool), cost[g_of[mine]]))  # my deletions in their subsets
-    
+        need, every, second = credits(sets, parts, percent)
+        short = np.flatnonzero((every + second < need) & (upper > 0))
+        ok = np.flatnonzero(parts.d)
+        rank = np.arange(len(ok)) - np.searchsorted(of[ok], np.arange(len(need)))[of[ok]]
+        two = np.zeros(len(of), bool)
+        two[ok] = rank < second[of[ok]]
+        t, mine = np.flatnonzero(two), two[g_of]
+        out.append((mixed(total[t] ^ place[t] ^ D), of[t], all_of(len(t), PROBES)))  # in their deletions
+        out.append((mixed(fewer[mine] ^ place[g_of[mine]] ^ S), of[g_of[mine]], all_of(int(mine.sum()), PROBES)))  # my deletions in their subsets
     return (*(np.concatenate(x) for x in zip(*out, strict=True)), short)
 
 
-def measured(docs: DataFrame, n: int) -> DataFrame:
-    """doc, key, key2, n_shingles of each row (doc, text); on the first row of a slice also the n-grams
-    frequent in it."""
+def bands(sets: Sets) -> np.ndarray:
+    """The upper size of each row's band; 0 for an empty set."""
+    uppers = np.array(BANDS)
+    return np.where(sets.size > 0, uppers[np.searchsorted(uppers, sets.size)], 0)
+
+
+def measured(docs: DataFrame, n: int, percent: int) -> DataFrame:
+    """doc, two hashes of its set, n_shingles, `spare` (its segments beyond the credits it needs) and the sketch
+    of each row (doc, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
                 s = Sets(part.column("text"), n)
-                grams, times = s.frequent(LOCAL_FREQUENT)
-                at = pa.array(np.where(np.arange(part.num_rows + 1) > 0, len(grams), 0), pa.int32())
+                need, every, _ = credits(s, Segments(s, bands(s)), percent)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc"), pa.array(s.key.view(np.int64)), pa.array(s.key2.view(np.int64)), pa.array(s.size, pa.int64()), *[pa.array(np.ascontiguousarray(x)) for x in s.sketch()], pa.ListArray.from_arrays(at, pa.array(grams.view(np.int64))), pa.ListArray.from_arrays(at, pa.array(times, pa.int64()))],
-                    ["doc", "key", "key2", "n_shingles", *SKETCH, "grams", "times"],
+                    [part.column("doc"), pa.array(s.key.view(np.int64)), pa.array(s.key2.view(np.int64)), pa.array(s.size, pa.int64()), pa.array(np.clip(every - need, 0, None), pa.int64()), *[pa.array(np.ascontiguousarray(x)) for x in s.sketch()]],
+                    ["doc", "key", "key2", "n_shingles", "spare", *SKETCH],
                 )
 
     kind = docs.schema["doc"].dataType.simpleString()
-    return docs.mapInArrow(run, f"doc {kind}, key bigint, key2 bigint, n_shingles bigint, {', '.join(f"{c} bigint" for c in SKETCH)}, grams array<bigint>, times array<bigint>")
+    return docs.mapInArrow(run, f"doc {kind}, key bigint, key2 bigint, n_shingles bigint, spare bigint, {', '.join(f"{c} bigint" for c in SKETCH)}")
+
 
+LIST = "gid bigint, node bigint, flag tinyint, times int, members bigint"
 
-def lists(docs: DataFrame, n: int, percent: int, often, buckets: int) -> DataFrame:
-    """gid, node, probe: the members of each signature that several sets share. gid null: a set without
-    enough credits."""
-    sent = docs.sparkSession.sparkContext.broadcast(often)
+
+def lists(docs: DataFrame, n: int, percent: int, buckets: int) -> DataFrame:
+    """The members (node, flag) of each signature's list that several sets share, one of which may probe: the
+    list's name gid, how many signatures of the bucket have this list, and its length. gid null: a set
+    without enough credits."""
     uppers = np.array(BANDS)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
                 s = Sets(part.column("text"), n)
-                some = s.size > 0
-                band = np.searchsorted(uppers, s.size)
-                upper = np.where(some, uppers[band], 0)
+                upper = bands(s)
                 most = s.size * 100 // percent
-                nxt = np.where(some & (most > upper), uppers[band + 1], 0)
-                a = signatures(s, upper, True, percent, sent.value)
-                b = signatures(s, nxt, False, percent, sent.value)
-                sig, row, index, probe, cost = (np.concatenate((x, y)) for x, y in zip(a[:5], b[:5], strict=True))
+                nxt = np.where((upper > 0) & (most > upper), 2 * upper, 0)
+                a = signatures(s, upper, True, percent)
+                b = signatures(s, nxt, False, percent)
+                sig, row, flag = (np.concatenate((x, y)) for x, y in zip(a[:3], b[:3], strict=True))
                 node = s.key
-                flag = index.astype(np.uint8) + 2 * probe.astype(np.uint8)
-                hot = cost >= VERY_HOT
-                cold = np.flatnonzero(~hot)
-                bucket = ((sig[cold] >> U(40)) * U(buckets) >> U(24)).astype(np.int32)
-                cold = cold[np.argsort(bucket, kind="stable")]
+                bucket = ((sig >> U(40)) * U(buckets) >> U(24)).astype(np.int32)
+                order = np.argsort(bucket, kind="stable")
+                sig, row, flag = sig[order], row[order], flag[order].astype(np.uint32)
                 cut = np.concatenate(([0], np.cumsum(np.bincount(bucket, minlength=buckets))))
-                low = (sig & U((1 << 40) - 1)).astype(U)  # 40 bits beside the bucket
                 to, blob = [], []
                 for k in np.flatnonzero(np.diff(cut)):
-                    c = cold[cut[k] : cut[k + 1]]
+                    c = slice(cut[k], cut[k + 1])
                     used, local = np.unique(row[c], return_inverse=True)
-                    five = low[c].view(np.uint8).reshape(-1, 8)[:, :5]
-                    place = (local.astype(np.uint32) << 2 | flag[c]).astype("<u4").view(np.uint8).reshape(-1, 4)[:, :3] if len(used) < 1 << 22 else None
+                    five = sig[c].view(np.uint8).reshape(-1, 8)[:, :5]  # the low 40 bits, beside the bucket
+                    # an Arrow batch has fewer rows than 21 bits count
+                    place = (local.astype(np.uint32) << 3 | flag[c]).astype("<u4").view(np.uint8).reshape(-1, 4)[:, :3]
                     to.append(int(k))
-                    blob.append(np.array([len(c), len(used)], "<u4").tobytes() + node[used].tobytes() + five.tobytes() + place.tobytes())
-                yield _rows(to, blob, None, None, None)
-                h = np.flatnonzero(hot)
-                if len(h):
-                    yield _rows((mixed(sig[h] ^ node[row[h]]) % U(buckets)).astype(np.int32), None, sig[h], node[row[h]], flag[h])
-                short = a[5]
+                    blob.append(np.array([cut[k + 1] - cut[k], len(used)], "<u4").tobytes() + node[used].tobytes() + five.tobytes() + place.tobytes())
+                yield pa.RecordBatch.from_arrays([pa.array(to, pa.int32()), pa.array(blob, pa.binary()), pa.nulls(len(to), pa.int64())], ["to", "blob", "node"])
+                short = a[3]
                 if len(short):
-                    yield _rows(np.arange(len(short)) % buckets, None, None, node[short], np.full(len(short), 4))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(short)) % buckets, pa.int32()), pa.nulls(len(short), pa.binary()), pa.array(node[short].view(np.int64))], ["to", "blob", "node"])
 
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, held = None, []
         for batch in batches:
             to = np.asarray(batch.column("to"))
-            loose = np.asarray(batch.column("blob").is_null())
-            if loose.any():
-                x = batch.filter(pa.array(loose))
-                flag = np.asarray(x.column("flag"))
-                yield pa.RecordBatch.from_arrays([x.column("sig"), x.column("node"), pa.array((flag & 2) > 0), pa.array((flag & 1) > 0)], ["gid", "node", "probe", "indexed"])
-            for i in np.flatnonzero(~loose).tolist():
+            lacking = batch.column("node").filter(batch.column("node").is_valid())
+            if len(lacking):
+                nulls = [pa.nulls(len(lacking), t) for t in (pa.int64(), pa.int8(), pa.int32(), pa.int64())]
+                yield pa.RecordBatch.from_arrays([nulls[0], lacking, *nulls[1:]], ["gid", "node", "flag", "times", "members"])
+            for i in np.flatnonzero(np.asarray(batch.column("blob").is_valid())).tolist():
                 if to[i] != at and held:
-                    yield from _shared(at, held, buckets)
+                    yield from _shared(held)
                     held = []
                 at = int(to[i])
                 held.append(batch.column("blob")[i].as_py())
         if held:
-            yield from _shared(at, held, buckets)
+            yield from _shared(held)
 
-    packed = docs.mapInArrow(pack, "to int, blob binary, sig bigint, node bigint, flag int")
+    packed = docs.mapInArrow(pack, "to int, blob binary, node bigint")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return packed.repartition(parts, "to").sortWithinPartitions("to").mapInArrow(unpack, "gid bigint, node bigint, probe boolean, indexed boolean")
-
+    return packed.repartition(parts, "to").sortWithinPartitions("to").mapInArrow(unpack, LIST)
 
-def _rows(to, blob, sig, node, flag) -> pa.RecordBatch:
-    n = len(to)
-    long = lambda x: pa.nulls(n, pa.int64()) if x is None else pa.array(np.asarray(x).view(np.int64))
-    return pa.RecordBatch.from_arrays(
-        [pa.array(to, pa.int32()), pa.nulls(n, pa.binary()) if blob is None else pa.array(blob, pa.binary()), long(sig), long(node), pa.nulls(n, pa.int32()) if flag is None else pa.array(flag.astype(np.int32))],
-        ["to", "blob", "sig", "node", "flag"],
-    )
 
-
-def _shared(bucket: int, blobs: list[bytes], buckets: int) -> Iterator[pa.RecordBatch]:
-    """The lists of a bucket that two sets or more share, one of them probing; of lists with the same
-    members and probes one is enough."""
+def _shared(blobs: list[bytes]) -> Iterator[pa.RecordBatch]:
+    """The lists of a bucket that two sets or more share, one of which may probe; lists with the same members and flags
+    are one."""
     sig, node, flag = [], [], []
     for b in blobs:
-        k, used = np.frombuffer(b, "<u4", 2)
-        at = 8
-        names = np.frombuffer(b, U, used, at)
-        at += 8 * int(used)
+        k, used = (int(x) for x in np.frombuffer(b, "<u4", 2))
+        names = np.frombuffer(b, U, used, 8)
+        at = 8 + 8 * used
         five = np.zeros((k, 8), np.uint8)
-        five[:, :5] = np.frombuffer(b, np.uint8, 5 * int(k), at).reshape(-1, 5)
-        at += 5 * int(k)
+        five[:, :5] = np.frombuffer(b, np.uint8, 5 * k, at).reshape(-1, 5)
         three = np.zeros((k, 4), np.uint8)
-        three[:, :3] = np.frombuffer(b, np.uint8, 3 * int(k), at).reshape(-1, 3)
+        three[:, :3] = np.frombuffer(b, np.uint8, 3 * k, at + 5 * k).reshape(-1, 3)
         place = three.view("<u4").ravel()
         sig.append(five.view(U).ravel())
-        node.append(names[place >> 2])
-        flag.append((place & 3).astype(np.uint8))
+        node.append(names[place >> 3])
+        flag.append((place & 7).astype(np.uint8))
     sig, node, flag = np.concatenate(sig), np.concatenate(node), np.concatenate(flag)
     blobs.clear()
     order = np.argsort(sig)
@@ -311,17 +279,33 @@ def _shared(bucket: int, blobs: list[bytes], buckets: int) -> Iterator[pa.Record
     sig, node = sig[first], node[first]
     group = np.flatnonzero(np.concatenate(([True], sig[1:] != sig[:-1])))
     size = np.diff(np.append(group, len(sig)))
-    probing = np.bitwise_or.reduceat(flag, group) & 2
+    probing = np.bitwise_or.reduceat(flag, group) & (MAY_PROBE | PROBES)
     member = mixed(node ^ mixed(flag.astype(U)))
     name = mixed(np.add.reduceat(member, group) + size.astype(U))
     keep = (size > 1) & (probing > 0)
-    _, one = np.unique(name[keep], return_index=True)
+    _, one, times = np.unique(name[keep], return_index=True, return_counts=True)
     chosen = np.flatnonzero(keep)[one]
-    where = np.repeat(group[chosen] - np.cumsum(size[chosen]) + size[chosen], size[chosen]) + np.arange(size[chosen].sum())
-    gid = np.repeat(name[chosen], size[chosen])
+    length = size[chosen]
+    where = np.repeat(group[chosen] - np.cumsum(length) + length, length) + np.arange(length.sum())
+    list_of = np.repeat(np.arange(len(chosen)), length)
+    gid = name[chosen].view(np.int64)
     for i in range(0, len(where), 100_000):
-        w = where[i : i + 100_000]
-        yield pa.RecordBatch.from_arrays([pa.array(gid[i : i + 100_000].view(np.int64)), pa.array(node[w].view(np.int64)), pa.array((flag[w] & 2) > 0), pa.array((flag[w] & 1) > 0)], ["gid", "node", "probe", "indexed"])
+        w, g = where[i : i + 100_000], list_of[i : i + 100_000]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(gid[g]), pa.array(node[w].view(np.int64)), pa.array(flag[w].astype(np.int8)), pa.array(times[g].astype(np.int32)), pa.array(length[g].astype(np.int64))], ["gid", "node", "flag", "times", "members"]
+        )
+
+
+def probes(made: DataFrame, sets: DataFrame) -> DataFrame:
+    """gid, node: the lists that a set has to probe. sets: key, spare. Of its lists with other sets it may leave out as many
+    as it has segments to spare; the longest are left out."""
+    optional = made.where(F.col("flag").bitwiseAND(MAY_PROBE) > 0).groupBy("node", "gid").agg(F.sum("times").alias("times"), F.max("members").alias("members"))
+    optional = optional.join(sets.select(F.col("key").alias("node"), "spare"), "node")
+    by = Window.partitionBy("node")
+    before = F.coalesce(F.sum("times").over(by.orderBy("members", "gid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    bought = optional.withColumns({"before": before, "every": F.sum("times").over(by)}).where(F.col("before") < F.col("every") - F.col("spare")).select("gid", "node")
+    must = made.where(F.col("flag").bitwiseAND(PROBES) > 0).select("gid", "node")
+    return bought.unionByName(must).distinct()
 
 
 def possible(a: dict[str, Column], b: dict[str, Column], percent: int) -> Column:
@@ -400,69 +384,77 @@ def joined(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: i
     """
     spark = docs.sparkSession
     base = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text"))
-    table = written(measured(base, n), "sets")
+    table = written(measured(base, n, percent), "sets")
     sized = table.agg(F.coalesce(F.sum("n_shingles"), F.lit(0)).alias("s")).first()["s"]
-    grams = table.where(F.size("grams") > 0).select(F.explode(F.arrays_zip("grams", "times")).alias("x"))
-    top, _ = most_frequent(written(grams.groupBy(F.col("x.grams").alias("gram")).agg(F.sum("x.times").alias("times")), "grams"), "gram", "times", FREQUENT)
-    often = (np.asarray(top.column("gram")).astype(np.int64).view(U), np.asarray(top.column("times")).astype(np.int64))
-    order = np.argsort(often[0])
-    often = (often[0][order], often[1][order])
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     buckets = max(parts, -(-int(sized) // BUCKET_ROWS))
-    made = written(lists(base.where("doc IS NOT NULL"), n, percent, often, buckets), "lists")
-
-    sets = table.where("doc IS NOT NULL AND n_shingles > 0").groupBy("key", "key2").agg(F.min("doc").alias("rep"), F.first("n_shingles").alias("size"), *[F.first(c).alias(c) for c in SKETCH])
-    nodes = made.select("node").distinct()
-    chosen = written(sets.join(nodes.withColumnRenamed("node", "key"), "key").select("key", "rep", "size", *SKETCH), "nodes")
-    holders = chosen.select(F.col("rep").alias("doc"), F.col("key").alias("node"))
+    made = written(lists(base.where("doc IS NOT NULL"), n, percent, buckets), "lists")
+
+    sets = table.where("doc IS NOT NULL AND n_shingles > 0").groupBy("key", "key2").agg(F.min("doc").alias("rep"), F.first("n_shingles").alias("size"), F.first("spare").alias("spare"), *[F.first(c).alias(c) for c in SKETCH])
+    chosen = written(probes(made.where("gid IS NOT NULL"), sets), "probes")
+    state = made.where("gid IS NOT NULL").select("gid", "node").distinct().join(chosen.select("gid").distinct(), "gid", "left_semi")
+    state = written(state.join(chosen.withColumn("probe", F.lit(True)), ["gid", "node"], "left").select("gid", "node", F.coalesce("probe", F.lit(False)).alias("probe")), "probed-lists")
+    lacking = written(made.where("gid IS NULL").select("node").distinct(), "lacking")
+    forget(made)
+    forget(chosen)
+
+    nodes = state.select("node").unionByName(lacking).distinct()
+    traits = written(sets.join(nodes.withColumnRenamed("node", "key"), "key").select(F.col("key").alias("node"), "rep", "size", *SKETCH), "nodes")
     # a row for each set: of several rows of the id the one with this set
-    texts = written(_keyed(base.join(small(written(holders, "holders")), "doc"), n), "node-texts")
+    holders = written(traits.select(F.col("rep").alias("doc"), "node"), "holders")
+    texts = written(_keyed(base.join(small(holders), "doc"), n), "node-texts")
+    forget(holders)
 
-    traits = chosen.select(F.col("key").alias("node"), "size", *SKETCH)
-    state = made.where("gid IS NOT NULL").select("gid", "node", "probe")
-    verified = label = rest = None
+    verified = label = None
+    spent = []  # tables that the result doesn't read
     pivots_a_round = 1
     while True:
+        last = state
         if label is not None:
             state = state.join(label, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
         else:
             state = state.withColumn("comp", F.col("node"))
-        open_ = state.groupBy("gid").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max("probe").alias("p")).where("lo < hi AND p").select("gid")
-        state = written(state.join(open_, "gid"), "open-lists")
-        if rest is not None:
-            forget(rest)
+        open_ = state.groupBy("gid").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count_if("probe").alias("n"), F.min(F.when(F.col("probe"), F.col("node"))).alias("first")).where("lo < hi AND n > 0")
+        # the pivots: one of the list's probing members at least, and by a hash about pivots_a_round of them
+        unit = F.xxhash64("gid", "node").bitwiseAND(F.lit((1 << 30) - 1)) / F.lit(float(1 << 30))
+        pivot = F.col("probe") & ((F.col("node") == F.col("first")) | (unit * F.col("n") < pivots_a_round - 1))
+        state = written(state.join(open_.select("gid", "n", "first"), "gid").select("gid", "node", "probe", "comp", pivot.alias("pivot")), "open-lists")
+        forget(last)
         if state.isEmpty():
             break
-        rank = F.row_number().over(Window.partitionBy("gid").orderBy("node"))
-        pivots = state.where("probe").withColumn("rank", rank).where(F.col("rank") <= pivots_a_round).select("gid", "node", "comp")
-        own = written(pivots, "pivots")
-        first, other, by = own, state.select("gid", "node", "comp"), ["gid"]
+        first, other = state.where("pivot").select("gid", "node", "comp"), state.select("gid", "node", "comp")
         near = F.lit(True)
         if verified is not None:  # lists that are still open are long, or of sets that are not similar
-            first, other = own.join(traits, "node"), other.join(traits, "node")
+            first, other = (x.join(traits.drop("rep"), "node") for x in (first, other))
             near = possible({c: F.col(c) for c in ("size", *SKETCH)}, {c: F.col(f"b_{c}") for c in ("size", *SKETCH)}, percent)
-        other = other.withColumnsRenamed({c: f"b_{c}" for c in other.columns if c not in by})
-        pairs = first.join(other, by).where((F.col("comp") != F.col("b_comp")) & near).select(F.least("node", "b_node").alias("a"), F.greatest("node", "b_node").alias("b")).distinct()
+        other = other.withColumnsRenamed({c: f"b_{c}" for c in other.columns if c != "gid"})
+        pairs = first.join(other, "gid").where((F.col("comp") != F.col("b_comp")) & near).select(F.least("node", "b_node").alias("a"), F.greatest("node", "b_node").alias("b")).distinct()
         if verified is None:
-            x, y = (traits.withColumnsRenamed({c: f"{side}_{c}" for c in traits.columns}) for side in "ab")
+            x, y = (traits.select(*[F.col(c).alias(f"{side}_{c}") for c in ("node", "size", *SKETCH)]) for side in "ab")
             near = possible({c: F.col(f"a_{c}") for c in ("size", *SKETCH)}, {c: F.col(f"b_{c}") for c in ("size", *SKETCH)}, percent)
             pairs = pairs.join(x, F.col("a") == F.col("a_node")).join(y, F.col("b") == F.col("b_node")).where(near).select("a", "b")
         else:
             pairs = pairs.join(verified.select("a", "b"), ["a", "b"], "left_anti")
-        checked = written(linked(written(pairs, "pairs"), texts, n, percent), "checked-pairs")
+        pairs = written(pairs, "pairs")
+        checked = written(linked(pairs, texts, n, percent), "checked-pairs")
+        forget(pairs)
+        spent.append(checked)
         verified = checked if verified is None else verified.unionByName(checked)
-        label = written(components(verified.where("linked").select("a", "b")), "components")
-        rest = written(state.drop("comp").join(own.select("gid", "node"), ["gid", "node"], "left_anti"), "lists-left")
-        forget(state)
-        state = rest
+        if label is None or not checked.where("linked").isEmpty():
+            forget(label)
+            label = components(verified.where("linked").select("a", "b"))
+        state = state.where("NOT pivot").drop("comp", "pivot")
         pivots_a_round *= 4
 
-    lacking = made.where("gid IS NULL").select("node").distinct()
-    lacking = written(texts.join(lacking, "node"), "lacking")
-    if not lacking.isEmpty():
-        more = against_all(base.where("doc IS NOT NULL"), lacking, n, percent)
+    forget(state)
+    lacking_texts = written(texts.join(lacking, "node"), "lacking-texts")
+    if not lacking_texts.isEmpty():
+        more = against_all(base.where("doc IS NOT NULL"), lacking_texts, n, percent)
         links = more if verified is None else more.unionByName(verified.where("linked").select("a", "b"))
-        label = written(components(links), "components")
+        forget(label)
+        label = components(links)
+    for x in (*spent, texts, traits, lacking, lacking_texts):
+        forget(x)
 
     sets = sets.select("key", "rep")
     least = sets if label is None else sets.join(label, sets["key"] == label["node"], "left").select("key", "rep", "comp")

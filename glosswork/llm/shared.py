@@ -13,10 +13,14 @@ _OWN: list[str] = []
 
 
 def folder(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; a temporary one only where the session names none (tests)."""
+    """The cluster's checkpoint folder. Where the session names none, a local session (tests) gets a temporary one;
+    on a cluster that is an error, as its machines do not share a local folder."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     if not _OWN:
         keep = tempfile.TemporaryDirectory(prefix="glosswork-")
         atexit.register(keep.cleanup)
@@ -24,19 +28,27 @@ def folder(spark: SparkSession) -> str:
     return _OWN[0]
 
 
+#: Spark removes the shuffle files of a query when it ends; nothing reads them again, as the query's result is a table.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """The frame as a Parquet table in the shared folder, reread: lineage ends there, and a lost
     executor costs no more than reading it again."""
     spark = df.sparkSession
     path = f"{folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    spark.sparkContext._jvm.System.gc()  # Spark's cleaner frees the shuffle files of what has been written
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._written = path
     return out
 
 
-def forget(df: DataFrame) -> None:
+def forget(df: DataFrame | None) -> None:
     """Removes the table of a frame that `written` returned; other frames are left alone. Nothing may read it again."""
     path = getattr(df, "_written", None)
     if path:

@@ -116,7 +116,8 @@ def test_ngram_join(spark, corpus, docs, empty):
 
 
 def test_signatures_meet():
-    """Any two sets that are similar enough share a signature that the larger one probes."""
+    """Any two sets that are similar enough share a signature that the larger one may or must probe, on every choice
+    of as many segments as it needs credits."""
     rng = np.random.default_rng(5)
     import pyarrow as pa
 
@@ -129,25 +130,55 @@ def test_signatures_meet():
                 b[j] = "z"
             pairs.append((" ".join(a), " ".join(b)))
     s = ngram_join.Sets(pa.array([t for p in pairs for t in p]), 5)
-    uppers = np.array(ngram_join.BANDS)
-    band = np.searchsorted(uppers, s.size)
-    often = (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-    own = ngram_join.signatures(s, uppers[band], True, 75, often)
-    nxt = ngram_join.signatures(s, np.where(s.size * 100 // 75 > uppers[band], uppers[band + 1], 0), False, 75, often)
-    sig, row, index, probe = (np.concatenate((x, y)) for x, y in zip(own[:4], nxt[:4], strict=True))
+    upper = ngram_join.bands(s)
+    own = ngram_join.signatures(s, upper, True, 75)
+    nxt = ngram_join.signatures(s, np.where(s.size * 100 // 75 > upper, 2 * upper, 0), False, 75)
+    sig, row, flag = (np.concatenate((x, y)) for x, y in zip(own[:3], nxt[:3], strict=True))
+    need, every, _ = ngram_join.credits(s, ngram_join.Segments(s, upper), 75)
     for i in range(len(pairs)):
         x, y = 2 * i, 2 * i + 1
         hx, hy = (set(s.h[s.bounds[k] : s.bounds[k + 1]].tolist()) for k in (x, y))
-        if 100 * len(hx & hy) >= 75 * len(hx | hy) and not {x, y} & set(own[5].tolist()):
+        if 100 * len(hx & hy) >= 75 * len(hx | hy) and not {x, y} & set(own[3].tolist()):
             big, small = (x, y) if len(hx) >= len(hy) else (y, x)
-            meets = lambda p, q: set(sig[(row == p) & probe].tolist()) & set(sig[(row == q) & index].tolist())
-            assert meets(big, small) or (len(hx) == len(hy) and meets(small, big))
-
+            held = set(sig[(row == small) & ((flag & ngram_join.INDEXED) > 0)].tolist())
+            free = [z for z in sig[(row == big) & ((flag & ngram_join.MAY_PROBE) > 0)].tolist() if z not in held]
+            must = set(sig[(row == big) & ((flag & ngram_join.PROBES) > 0)].tolist()) & held
+            assert must or len(free) < need[big]  # segments that don't meet can't fill the credits
+
+
+def test_ngram_join_with_common_passages(spark):
+    """Passages that most sets hold, in parts from a third to nearly all of a text, and clusters of near copies."""
+    rng = np.random.default_rng(11)
+    make = lambda k: [f"w{x}" for x in rng.integers(0, 10**7, k)]
+    passage, line, rows = make(120), make(9), []
+    for i in range(260):
+        share = (20, 60, 110, 120)[i % 4]
+        rows.append((i, " ".join([*line, *passage[:share], *make(int(rng.integers(3, 140)))])))
+    for i in range(260, 420):  # a large cluster, some of it under the similarity
+        w = rows[2][1].split(" ")
+        for j in rng.choice(len(w), int(rng.integers(0, 9)), replace=False):
+            w[j] = f"x{i}"
+        rows.append((i, " ".join(w)))
+    rows += [(i, " ".join(line + make(i % 5))) for i in range(420, 470)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute_components(rows)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.joined(df).collect()}
+    assert got == want and 1 < len({c for _, c in want.values()}) < 400
+
+
+def test_against_all(spark, docs, corpus, monkeypatch):
+    """Every link of the sets given, and no other, in blocks of two sets."""
+    monkeypatch.setattr(ngram_join, "BLOCK_SETS", 2)
+    import pyarrow as pa
 
-def test_against_all(spark, docs, corpus):
-    short = spark.createDataFrame([(1, corpus[4][1])], "node long, text string")
-    got = ngram_join.against_all(docs.select(F.col("doc_id").alias("doc"), "text"), short, 5, 75)
-    assert got.count() >= 1
+    some = [corpus[k] for k in (2, 3, 4, 20, 122)]
+    short = spark.createDataFrame([(row[0], row[1]) for row in some], "node long, text string")
+    got = {tuple(r) for r in ngram_join.against_all(docs.select(F.col("doc_id").alias("doc"), "text"), short, 5, 75).collect()}
+    keys = ngram_join.Sets(pa.array([row[1] for row in corpus]), 5).key.view(np.int64).tolist()
+    grams = lambda t: (lambda w: {tuple(w[j : j + 5]) for j in range(max(1, len(w) - 4))} if w else set())(words((t or "").translate(LOWER)))
+    sets = [grams(row[1]) for row in corpus]
+    want = {(keys[x], keys[corpus.index(row)]) for row in some for x in range(len(corpus)) for a, b in [(sets[x], grams(row[1]))] if a & b and 100 * len(a & b) >= 75 * len(a | b)}
+    assert got == want and len(want) > 5
 
 
 def test_components(spark):
