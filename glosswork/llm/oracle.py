@@ -33,13 +33,15 @@ _RULES = {"short": "n_words < 50", "repeats": "100 * n_repeat_words > 50 * n_wor
 
 def _op3() -> str:
     sums = ", ".join(f"sum(({c})::int) AS f_{r}" for r, c in _RULES.items())
-    rate = []
-    for r in _RULES:
+    rates, lows, verdict = [], [], []
+    for r, c in _RULES.items():
         m, n = f"(sum(f_{r}) OVER () / sum(n) OVER ())", "sum(n) OVER ()"
         within = f"({m} * (1 - {m}))"
         between = f"((sum(f_{r} * f_{r} / n) OVER () - {n} * {m} * {m} - (count(*) OVER () - 1) * {within}) / nullif({n} - sum(n * n) OVER () / {n}, 0))"
-        strength = f"(CASE WHEN coalesce({between}, 0) > 0 THEN greatest({within} / {between} - 1, 1.0) ELSE {n} END)"
-        rate.append(f"(f_{r} + {strength} * {m}) / (n + {strength}) > 0.5")
+        rates.append(f"{m} AS m_{r}, CASE WHEN coalesce({between}, 0) > 0 THEN greatest({within} / {between} - 1, 1.0) ELSE {n} END AS s_{r}")
+        p = f"((f_{r} + s_{r} * m_{r}) / (n + s_{r}))"
+        lows.append(f"m_{r}, {p} - 2.0 * sqrt({p} * (1 - {p}) / (n + s_{r} + 1)) AS low_{r}")
+        verdict.append(f"low_{r} <= 4.0 * m_{r} AND NOT (low_{r} > m_{r} AND ({c}))")
     return rf"""
 WITH t AS (SELECT doc_id, coalesce(source, chr(0)) AS host, {T} AS text, {WORDS.format(T)} AS w, list_filter(string_split({T}, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines, row_number() OVER () AS r FROM documents),
 tri AS (SELECT r, i, w[i + 1:i + 3] AS x FROM (SELECT r, w, unnest(range(len(w) - 2)) AS i FROM t)),
@@ -47,8 +49,9 @@ rep AS (SELECT r, count(DISTINCT p) AS n FROM (SELECT r, unnest([i, i + 1, i + 2
 m AS (SELECT doc_id, host, len(w)::bigint AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::bigint AS word_chars, (length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::bigint AS n_symbols,
   (len(lines) - len(list_distinct(lines)))::bigint AS n_dup_lines, coalesce(n, 0) AS n_repeat_words, len(lines) AS n_lines FROM t LEFT JOIN rep USING (r)),
 h AS (SELECT host, count(*)::double AS n, {sums} FROM m GROUP BY host),
-bad AS (SELECT host, {" OR ".join(rate)} AS bad FROM h)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, {_RULES["short"]} OR {_RULES["repeats"]} AS base_failed, NOT ({_RULES["short"]} OR {_RULES["repeats"]}) AND NOT bad AS kept FROM m JOIN bad USING (host)"""
+prior AS (SELECT *, {", ".join(rates)} FROM h),
+low AS (SELECT host, {", ".join(lows)} FROM prior)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, {_RULES["short"]} OR {_RULES["repeats"]} AS base_failed, NOT ({_RULES["short"]} OR {_RULES["repeats"]}) AND {" AND ".join(verdict)} AS kept FROM m JOIN low USING (host)"""
 
 
 OP7 = f"""

@@ -202,11 +202,62 @@ def test_quality_rules(spark, corpus, docs, empty):
         assert r["base_failed"] == (len(w) < 50 or 100 * len(covered) > 50 * len(w)) and not (r["base_failed"] and r["kept"])
     kept = quality_rules.kept(docs)
     assert kept.columns == docs.columns and quality_rules.kept(empty).count() == 0
-    bad = spark.createDataFrame([(i, "x " * 10, "junk") for i in range(400)] + [(1000 + i, " ".join(f"w{i}x{j}" for j in range(60)), f"h{i % 4}" if i else "junk") for i in range(400)], "doc_id long, text string, source string")
+    bad = spark.createDataFrame([(i, "x " * 10, "junk") for i in range(400)] + [(1000 + i, " ".join(f"w{i}x{j}" for j in range(60)), f"h{i % 4}" if i else "junk") for i in range(4000)], "doc_id long, text string, source string")
     out = {r["doc_id"]: r["kept"] for r in quality_rules.judged(bad).collect()}
     assert not out[1000] and out[1001]  # a good document of a bad host goes, others stay
 
 
+def host_verdicts(rows):
+    """(rejected, watched rules) by host, from rows (host, failures by rule), in plain numbers."""
+    out, total = {}, len(rows)
+    by = {}
+    for host, fails in rows:
+        by.setdefault(host, []).append(fails)
+    for r in quality_rules.RULES:
+        m = sum(f[r] for _, f in rows) / total
+        counts = {h: (len(x), sum(f[r] for f in x)) for h, x in by.items()}
+        within = m * (1 - m)
+        spread = sum(f * f / n for n, f in counts.values()) - total * m * m - (len(counts) - 1) * within
+        room = total - sum(n * n for n, _ in counts.values()) / total
+        between = spread / room if room else 0
+        strength = max(within / between - 1, 1.0) if between > 0 else total
+        for h, (n, f) in counts.items():
+            p = (f + strength * m) / (n + strength)
+            low = p - 2 * math.sqrt(p * (1 - p) / (n + strength + 1))
+            bad, watched = out.setdefault(h, [False, set()])
+            out[h][0] = bad or low > 4 * m
+            if low > m:
+                watched.add(r)
+    return out
+
+
+def test_host_verdicts_decide(spark):
+    """A host of symbol junk is rejected, one that is somewhat worse loses its failing documents only; all against
+    plain numbers."""
+    rng = np.random.default_rng(2)
+    plain = lambda i: " ".join(f"w{i}x{j}" for j in range(60))
+    share = {**{f"h{k}": 0.05 for k in range(12)}, "worse": 0.2, "junk": 0.8}
+    rows = []
+    for host, p in share.items():
+        for _ in range(300):
+            i = len(rows)
+            rows.append((i, plain(i) + (" " + "|" * 60 if rng.random() < p else ""), host))
+    rows += [(len(rows) + i, f"{plain(i)}\nsame line", None) for i in range(5)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {r["doc_id"]: r for r in quality_rules.judged(df).collect()}
+
+    def fails(i):
+        r = got[i]
+        return {"short": r["n_words"] < 50, "repeats": 100 * r["n_repeat_words"] > 50 * r["n_words"], "symbols": 100 * r["n_symbols"] > 10 * r["word_chars"], "lines": False}
+
+    verdicts = host_verdicts([(h, fails(i)) for i, _, h in rows])
+    assert verdicts["junk"][0] and not verdicts["worse"][0] and verdicts["worse"][1] == {"symbols"} and not verdicts["h0"][1]
+    for i, _, h in rows:
+        f = fails(i)
+        assert got[i]["kept"] == (not got[i]["base_failed"] and not verdicts[h][0] and not any(f[r] for r in verdicts[h][1]))
+    assert any(f["symbols"] and got[i]["kept"] for i, _, h in rows for f in [fails(i)])  # junk of hosts that are not watched stays
+
+
 def test_cotraining(spark, empty):
     rng = np.random.default_rng(3)
     rows, labels = [], []
