@@ -11,7 +11,8 @@ Each leaf then fills its allocation from seeded epochs: an epoch is the leaf's d
 order drawn from (seed, epoch, document), and the leaf takes the longest run of whole documents
 from the start of the sequence of epochs that fits its allocation. Whole epochs are counted; only the
 last one needs an order. It is found without sorting the leaf: tokens are summed over equal slices
-of the order's key, the slice in which the allocation ends is found, and only that slice is ordered.
+of the order's key, the slice in which the allocation ends is found, and only that slice is ordered; while it
+has more than ORDERED rows in some leaf it is sliced again.
 """
 
 from __future__ import annotations
@@ -21,12 +22,14 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from glosswork.llm.shared import small, written
+from glosswork.llm.shared import forget, small, written
 
 LEVELS = ("domain", "lang", "source")
 SEED = 17
 EPOCHS = 3
-SLICES = 4096
+SLICE_BITS = 12
+KEY_BITS = 60
+ORDERED = 100_000
 WORD = r"[^\x20\x09-\x0D]+"
 NO = "\x00none"
 
@@ -112,15 +115,16 @@ def mix(
     Defined cases: a null level value is a branch of its own; a null or empty text has 0 tokens and
     is taken where its place in an epoch comes before the end; repeated rows share one place in the
     order and are taken together or not at all; an empty table stays empty; extra columns pass
-    unchanged.
+    unchanged whatever their names, but those named like an added one are replaced.
     """
     levels = dict(levels) if levels else {c: F.col(c) for c in LEVELS}
     names = [f"__l{i}" for i in range(len(levels))]
-    base = docs
-    for n, e in zip(names, levels.values(), strict=True):
-        base = base.withColumn(n, F.coalesce(e.cast("string"), F.lit(NO)))
-    base = base.withColumn("mix_tokens", words(F.col(text_col)))
-    base = base.withColumn("__key", F.concat_ws("/", F.coalesce(F.col(id_col).cast("string"), F.lit(NO)), F.when(F.col(id_col).isNull(), F.md5(F.coalesce(F.col(text_col), F.lit(""))))))
+    through = [c for c in docs.columns if c not in ("mix_tokens", "mix_copies")]
+    key = F.concat_ws("/", F.coalesce(F.col(id_col).cast("string"), F.lit(NO)), F.when(F.col(id_col).isNull(), F.md5(F.coalesce(F.col(text_col), F.lit("")))))
+    # the columns of docs take names of their own until the end
+    base = docs.select(
+        *[F.col(f"`{c}`").alias(f"__c{i}") for i, c in enumerate(through)], *[F.coalesce(e.cast("string"), F.lit(NO)).alias(n) for n, e in zip(names, levels.values(), strict=True)], words(F.col(text_col)).alias("mix_tokens"), key.alias("__key")
+    )
     narrow = written(base.select(*names, "__key", "mix_tokens"), "mix-tokens")  # the texts are read once for the plan
     leaves = narrow.groupBy(*names).agg(F.sum("mix_tokens").alias("tokens"))
     if isinstance(budget, float):
@@ -128,41 +132,42 @@ def mix(
     weights = {n: weights[k] for n, k in zip(names, levels, strict=True) if weights.get(k)} if weights else None
     plan = budgets(leaves, budget, tuple(names), weights, epochs)
     plan = plan.withColumn("full", F.when(F.col("tokens") > 0, F.floor(F.col("allocation") / F.col("tokens"))).otherwise(0).cast("int"))
-    plan = written(plan.withColumn("rest", F.col("allocation") - F.col("full") * F.col("tokens")).select(*names, "full", "rest"), "mix-plan")
+    # of each leaf's last epoch: the first bits of the order's key where it ends, and the tokens from there on
+    plan = written(plan.withColumn("rest", F.col("allocation") - F.col("full") * F.col("tokens")).select(*names, "full", "rest", F.lit(0).cast("long").alias("cut"), F.lit(True).alias("open")), "mix-plan")
 
     def placed(df: DataFrame, by: DataFrame) -> DataFrame:
-        """Rows with their leaf's plan and their place in its last epoch."""
-        df = df.join(small(by), names).withColumn("__order", key_slice(seed, F.col("full"), F.col("__key")))
-        return df.withColumn("__slice", F.shiftright("__order", 48).cast("int"))  # 12 of 60 bits: SLICES
-
-    keyed = placed(narrow, plan)
-    sums = keyed.groupBy(*names, "__slice", "rest").agg(F.sum("mix_tokens").alias("n"))
-    run = Window.partitionBy(*names).orderBy("__slice").rowsBetween(Window.unboundedPreceding, 0)
-    cut = (
-        sums.withColumn("upto", F.sum("n").over(run))
-        .where(F.col("upto") > F.col("rest"))
-        .groupBy(*names)
-        .agg(F.min(F.struct("__slice", (F.col("rest") - F.col("upto") + F.col("n")).alias("rest"))).alias("c"))
-        .select(*names, F.col("c.__slice").alias("__cut"), F.col("c.rest").alias("__rest"))
-    )
-    cut = written(cut, "mix-cut")
-    inside = (
-        keyed.join(small(cut), names)
-        .where(F.col("__slice") == F.col("__cut"))
-        .groupBy(*names, "__order", "__key", "mix_tokens", "__rest")
-        .agg(F.count(F.lit(1)).alias("same"))
-    )
+        return df.join(small(by), names).withColumn("__order", key_slice(seed, F.col("full"), F.col("__key")))
+
+    bits = 0
+    while True:
+        # rows of the slices in which leaves end
+        inside = placed(narrow, plan).where(F.col("open") & (F.shiftright("__order", KEY_BITS - bits) == F.col("cut")))
+        if bits and (bits >= KEY_BITS or inside.groupBy(*names).count().where(F.col("count") > ORDERED).isEmpty()):
+            break
+        bits += SLICE_BITS
+        sums = inside.groupBy(*names, "rest", F.shiftright("__order", KEY_BITS - bits).alias("slice")).agg(F.sum("mix_tokens").alias("n"))
+        run = Window.partitionBy(*names).orderBy("slice").rowsBetween(Window.unboundedPreceding, 0)
+        ends = sums.withColumn("upto", F.sum("n").over(run)).where(F.col("upto") > F.col("rest"))
+        ends = ends.groupBy(*names).agg(F.min(F.struct("slice", (F.col("rest") - F.col("upto") + F.col("n")).alias("left"))).alias("c"))
+        before = plan
+        # a leaf without an end in the epoch (it has no tokens) is closed
+        plan = written(plan.join(ends, names, "left").select(*names, "full", F.coalesce("c.left", "rest").alias("rest"), F.coalesce("c.slice", F.lit(0)).cast("long").alias("cut"), F.col("c").isNotNull().alias("open")), "mix-plan")
+        forget(before)
+    same = inside.groupBy(*names, "__order", "__key", "mix_tokens", "rest").agg(F.count(F.lit(1)).alias("same"))
     order = Window.partitionBy(*names).orderBy("__order", "__key", "mix_tokens").rowsBetween(Window.unboundedPreceding, 0)
-    fits = inside.withColumn("upto", F.sum(F.col("mix_tokens") * F.col("same")).over(order)).where(F.col("upto") <= F.col("__rest"))
-    last = fits.groupBy(*names).agg(F.max(F.struct("__order", "__key", "mix_tokens")).alias("__last"))
-    ends = written(plan.join(cut, names, "left").join(last, names, "left"), "mix-ends")
-    taken = placed(base, ends)
+    fits = same.withColumn("upto", F.sum(F.col("mix_tokens") * F.col("same")).over(order)).where(F.col("upto") <= F.col("rest"))
+    last = fits.groupBy(*names).agg(F.max(F.struct("__order", "__key", "mix_tokens")).alias("last"))
+    ends = written(plan.join(last, names, "left"), "mix-ends")
+    taken = placed(base, ends).withColumn("__slice", F.shiftright("__order", KEY_BITS - bits))
     place = F.struct(F.col("__order"), F.col("__key"), F.col("mix_tokens"))
-    more = F.col("__cut").isNull() & (F.col("rest") > 0) | (F.col("__slice") < F.col("__cut")) | F.coalesce((F.col("__slice") == F.col("__cut")) & (place <= F.col("__last")), F.lit(False))
-    taken = taken.withColumn("mix_copies", (F.col("full") + F.coalesce(more, F.lit(False)).cast("int")).cast("int"))
-    return taken.select(*[F.col(c) for c in docs.columns if c not in ("mix_tokens", "mix_copies")], "mix_tokens", "mix_copies")
+    more = F.col("open") & ((F.col("__slice") < F.col("cut")) | F.coalesce((F.col("__slice") == F.col("cut")) & (place <= F.col("last")), F.lit(False)))
+    copies = (F.col("full") + F.coalesce(more, F.lit(False)).cast("int")).cast("int")
+    forget(narrow)
+    forget(plan)
+    return taken.select(*[F.col(f"__c{i}").alias(c) for i, c in enumerate(through)], "mix_tokens", copies.alias("mix_copies"))
 
 
 def expanded(mixed: DataFrame) -> DataFrame:
     """A row for each copy that the mixture takes."""
-    return mixed.where(F.col("mix_copies") > 0).withColumn("__copy", F.explode(F.expr("sequence(1, mix_copies)"))).drop("__copy", "mix_copies", "mix_tokens")
+    through = [c for c in mixed.columns if c not in ("mix_copies", "mix_tokens")]
+    return mixed.where(F.col("mix_copies") > 0).select(*[F.col(f"`{c}`") for c in through], F.explode(F.expr("sequence(1, mix_copies)")).alias("__copy")).select(*[F.col(f"`{c}`") for c in through])

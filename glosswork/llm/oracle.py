@@ -70,5 +70,39 @@ def _op10() -> str:
     return f"WITH t AS (SELECT [{table}] AS shard) SELECT doc_id, {slot} AS slot, 'shard-' || lpad(shard[({slot}) + 1]::varchar, 3, '0') AS shard FROM documents, t"
 
 
+def _op8() -> str:
+    """Budgets level by level as windows over the few nodes, then each leaf's documents in the order of their keys."""
+    from glosswork.llm import mixing, registry
+
+    levels = ("domain", "lang", "source")
+
+    def weight(level: str) -> str:
+        cases = " ".join(f"WHEN '{k}' THEN {float(v)}::double" for k, v in registry.MIX_WEIGHTS.get(level, {}).items())
+        return f"(CASE {level} {cases} ELSE 1.0::double END)" if cases else "1.0::double"
+
+    out = []
+    for depth in range(1, 4):
+        upper, own, here = levels[: depth - 1], levels[depth - 1], levels[:depth]
+        given = "t.total AS given FROM leaf, (SELECT sum(tokens)::bigint AS total FROM leaf) t" if depth == 1 else f"any_value(got) AS given FROM leaf JOIN g{depth - 1} USING ({', '.join(upper)})"
+        by = f"PARTITION BY {', '.join(upper)} " if upper else ""
+        before = "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
+        out.append(f"""
+n{depth} AS (SELECT {", ".join(f"leaf.{c}" if depth == 1 else c for c in here)}, sum(leaf.tokens)::bigint AS tokens, sum(leaf.tokens)::bigint * {mixing.EPOCHS} AS cap, {given} GROUP BY {", ".join(here)}{", t.total" if depth == 1 else ""}),
+w{depth} AS (SELECT *, {weight(own)} AS w, cap / {weight(own)} AS ratio FROM n{depth}),
+s{depth} AS (SELECT *, coalesce(sum(cap) OVER (ord {before}), 0) AS cap_before, coalesce(sum(w) OVER (ord {before}), 0) AS w_before, sum(w) OVER every AS w_all, sum(cap) OVER every AS cap_all FROM w{depth} WINDOW ord AS ({by}ORDER BY ratio, {own}), every AS ({by})),
+l{depth} AS (SELECT *, max(CASE WHEN ratio > (given - cap_before) / (w_all - w_before) THEN (given - cap_before) / (w_all - w_before) END) OVER ({by}) AS lev FROM s{depth}),
+f{depth} AS (SELECT *, (CASE WHEN given >= cap_all OR lev IS NULL THEN cap ELSE least(cap, floor(w * lev)) END)::bigint AS low FROM l{depth}),
+r{depth} AS (SELECT *, least(given, cap_all) - sum(low) OVER ({by}) AS rest, coalesce(sum(cap - low) OVER ({by}ORDER BY ratio, {own} {before}), 0) AS room_before FROM f{depth}),
+g{depth} AS (SELECT {", ".join(here)}, tokens, (low + greatest(0, least(cap - low, rest - room_before)))::bigint AS got FROM r{depth})""")
+    return rf"""
+WITH doc AS (SELECT doc_id, lang AS in_lang, source AS in_source, len({WORDS.format(T)})::bigint AS mix_tokens, row_number() OVER () AS r,
+  'domain' || coalesce(try_cast(regexp_extract(source, '([0-9]+)', 1) AS int) % 4, 0)::varchar AS domain, coalesce(lang, chr(0)) AS lang, coalesce(source, chr(0)) AS source FROM documents),
+leaf AS (SELECT domain, lang, source, sum(mix_tokens)::bigint AS tokens FROM doc GROUP BY domain, lang, source),{",".join(out)},
+leaves AS (SELECT *, CASE WHEN tokens > 0 THEN got // tokens ELSE 0 END AS whole FROM g3),
+keyed AS (SELECT doc.*, whole, got - whole * tokens AS rest, substr(md5('{mixing.SEED}:' || whole::varchar || ':' || doc_id::varchar), 1, 15) AS k FROM doc JOIN leaves USING (domain, lang, source)),
+run AS (SELECT *, sum(mix_tokens) OVER (PARTITION BY domain, lang, source ORDER BY k, doc_id::varchar, mix_tokens RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto FROM keyed)
+SELECT doc_id, in_lang AS lang, in_source AS source, mix_tokens, (whole + (upto <= rest)::int)::int AS mix_copies FROM run"""
+
+
 def sql() -> dict[str, str]:
-    return {"op1_decontamination": OP1, "op2_ngram_join": OP2, "op3_quality_rules": _op3(), "op7_substring_dedup": OP7, "op10_sharding": _op10()}
+    return {"op1_decontamination": OP1, "op2_ngram_join": OP2, "op3_quality_rules": _op3(), "op7_substring_dedup": OP7, "op8_mixing": _op8(), "op10_sharding": _op10()}
