@@ -397,45 +397,168 @@ def test_substring_dedup(spark, corpus, docs, empty):
     assert substring_dedup.removed(empty).count() == 0
 
 
-def brute_budget(node, budget, capacity):
-    """Water-filling by bisection over real numbers."""
-    total = sum(c for _, c in node)
-    if budget >= total:
-        return [c for _, c in node]
-    lo, hi = 0.0, budget + 1.0
-    for _ in range(200):
-        mid = (lo + hi) / 2
-        lo, hi = (mid, hi) if sum(min(c, w * mid) for w, c in node) < budget else (lo, mid)
-    return [min(c, w * hi) for w, c in node]
-
-
-def test_mixing(spark, docs, empty):
-    leaves = [("d0", "en", "a", 100), ("d0", "en", "b", 10), ("d0", "fr", "c", 50), ("d1", "en", "e", 5), ("d1", "de", "f", 500)]
-    df = spark.createDataFrame(leaves, "domain string, lang string, source string, tokens long")
-    got = {r["source"]: r["allocation"] for r in mixing.budgets(df, 400, weights={"domain": {"d0": 3.0}}, epochs=2).collect()}
-    # 300 for d0 (room 320), 100 for d1 (room 1010); in d0 en 200 of 220 and fr 100 of 100, ...
-    assert sum(got.values()) == 400 and got["e"] == 10 and got["f"] == 90 and got["c"] == 100 and got["b"] == 20 and got["a"] == 180
+def brute_split(children, given):
+    """Whole tokens for children (name, weight over 0, capacity): water-filling in fractions, one saturated child after
+    another; what rounding leaves goes to the first with room, by capacity / weight and name."""
+    from fractions import Fraction
+
+    order = sorted(children, key=lambda c: (Fraction(c[2]) / Fraction(c[1]), c[0]))
+    if given >= sum(c for _, _, c in children):
+        return {n: c for n, _, c in children}
+    full = 0
+    while True:
+        left = given - sum(c for _, _, c in order[:full])
+        level = Fraction(left) / sum(Fraction(w) for _, w, _ in order[full:])
+        if Fraction(order[full][2]) / Fraction(order[full][1]) > level:
+            break
+        full += 1
+    got = {n: c if i < full else min(c, math.floor(Fraction(w) * level)) for i, (n, w, c) in enumerate(order)}
+    for n, _, c in order:
+        got[n] += (more := min(c - got[n], given - sum(got.values())))
+        assert more >= 0
+    return got
+
+
+def brute_budgets(leaves, budget, weights, epochs):
+    """{leaf path: tokens} down a tree of any depth."""
+
+    def down(prefix, given):
+        here = {p: t for p, t in leaves.items() if p[: len(prefix)] == prefix}
+        if list(here) == [prefix]:
+            return {prefix: given}
+        names = sorted({p[len(prefix)] for p in here})
+        kids = [(n, weights.get(n, 1.0), epochs * sum(t for p, t in here.items() if p[len(prefix)] == n)) for n in names]
+        out = {}
+        for n, got in brute_split(kids, given).items():
+            out |= down((*prefix, n), got)
+        return out
+
+    return down((), min(budget, epochs * sum(leaves.values())))
+
+
+def test_budgets(spark):
     rng = np.random.default_rng(1)
-    flat = [("x", "y", f"s{i}", int(rng.integers(1, 1000))) for i in range(30)]
-    w = {f"s{i}": float(rng.integers(1, 9)) for i in range(30)}
-    out = mixing.budgets(spark.createDataFrame(flat, "domain string, lang string, source string, tokens long"), 5000, weights={"source": w}, epochs=1)
-    got = {r["source"]: r["allocation"] for r in out.collect()}
-    want = brute_budget([(w[s], n) for _, _, s, n in flat], 5000, None)
-    assert sum(got.values()) == min(5000, sum(n for *_, n in flat)) and all(abs(got[s] - x) < 31 for (_, _, s, _), x in zip(flat, want, strict=True))
+    for budget in (37, 900, 4000, 11_111, 10**9):
+        leaves, weights = {}, {f"n{k}": float(rng.integers(1, 9)) for k in range(30)}
+        for i in range(40):
+            leaves[f"n{i % 3}", f"n{3 + int(rng.integers(0, 4))}", f"n{7 + int(rng.integers(0, 20))}"] = int(rng.integers(0, 600))
+        rows = [(*p, t) for p, t in leaves.items()]
+        df = spark.createDataFrame(rows, "domain string, lang string, source string, tokens long")
+        by_level = {c: weights for c in ("domain", "lang", "source")}
+        got = {(r["domain"], r["lang"], r["source"]): r["allocation"] for r in mixing.budgets(df, budget, weights=by_level, epochs=2).collect()}
+        assert got == brute_budgets(leaves, budget, weights, 2)
+
+
+def brute_mix(rows, levels, budget, weights, epochs, seed=mixing.SEED):
+    """{(id, tokens): copies} of rows (id, text, level values)."""
+    leaves, members = {}, {}
+    for i, t, *values in rows:
+        p = tuple("\x00none" if v is None else v for v in values)
+        leaves[p] = leaves.get(p, 0) + len(words(t))
+        members.setdefault(p, []).append((i, len(words(t))))
+    out = {}
+    for p, got in brute_budgets(leaves, budget, weights, epochs).items():
+        full, rest = divmod(got, leaves[p]) if leaves[p] else (0, 0)
+        key = lambda i: (int(hashlib.md5(f"{seed}:{full}:{i}".encode()).hexdigest()[:15], 16), str(i))  # noqa: E731,B023
+        ranked, upto = sorted({(*key(i), n) for i, n in members[p]}), 0
+        same = Counter((*key(i), n) for i, n in members[p])
+        taken = set()
+        for x in ranked:
+            upto += x[2] * same[x]
+            if upto > rest or not leaves[p]:
+                break
+            taken.add(x)
+        out |= {(i, n): full + ((*key(i), n) in taken) for i, n in members[p]}
+    return out
+
 
+@pytest.mark.parametrize("ordered", [100_000, 1])  # one slicing; slices down to single keys
+def test_mixing(spark, corpus, docs, empty, monkeypatch, ordered):
+    monkeypatch.setattr(mixing, "ORDERED", ordered)
     levels = {"lang": F.col("lang"), "source": F.col("source")}
-    mixed = mixing.mix(docs, 9000, levels, epochs=3).collect()
-    assert len(mixed) == docs.count() and all(0 <= r["mix_copies"] <= 3 for r in mixed)
-    taken = sum(r["mix_tokens"] * r["mix_copies"] for r in mixed)
-    assert taken <= 9000 + 1 and taken > 9000 - 20 * 9000  # whole documents: each leaf stops short of its allocation
-    by = {}
-    for r in mixed:
-        by.setdefault((r["lang"], r["source"]), []).append(r["mix_copies"])
-    assert all(max(c) - min(c) <= 1 for c in by.values())  # an epoch ends before the next begins
-    assert sum(r["mix_copies"] for r in mixed) == mixing.expanded(spark.createDataFrame(mixed, mixing.mix(docs, 9000, levels).schema)).count()
+    weights = {"lang": {"en": 3.0}, "source": {"s1": 2.0}}
+    rows = [(r[0], r[1], r[2], r[3]) for r in corpus]
+    clash = docs.withColumnsRenamed({"kept": "rest", "n_words": "full"}).withColumn("__order", F.lit("x")).withColumn("mix_tokens", F.lit("x")).withColumn("cut", F.lit(1))
+    for budget in (9000, 41_000) if ordered > 1 else (9000,):
+        mixed = mixing.mix(clash, budget, levels, weights, epochs=3)
+        assert mixed.columns == [*[c for c in clash.columns if c != "mix_tokens"], "mix_tokens", "mix_copies"]
+        got = mixed.collect()
+        want = brute_mix(rows, levels, budget, {"en": 3.0, "s1": 2.0}, 3)
+        assert len(got) == len(rows) and all(r["mix_copies"] == want[r["doc_id"], r["mix_tokens"]] and r["__order"] == "x" for r in got)
+        assert sum(r["mix_copies"] for r in got) == mixing.expanded(mixed).count() > 0
     assert mixing.mix(empty, 0.5, levels).count() == 0
 
 
+def brute_templates(pages):
+    """{(host, segments): (template, rejected)} of pages (host, segments, bad or None), by recursion over each host."""
+    out, z_of = {}, lambda a, n: (a + 0.5) / (n + 1)
+    hosts = {}
+    for h, segs, bad in pages:
+        n = hosts.setdefault(h, {}).setdefault(segs, [0, 0, 0])
+        n[0], n[1], n[2] = n[0] + 1, n[1] + (bad is not None), n[2] + (bad or 0)
+
+    def grow(host, paths, level, template):
+        kids = {}
+        for segs, n in paths.items():
+            if len(segs) < level:
+                out[host, segs] = template
+            else:
+                kids.setdefault(segs[level - 1], {})[segs] = n
+        total = np.sum([n for k in kids.values() for n in k.values()], axis=0) if kids else None
+        branches = {}
+        for seg, inside in kids.items():
+            n, lab, bad = np.sum(list(inside.values()), axis=0)
+            p = z_of(total[2], total[1])
+            gap = abs(z_of(bad, lab) - z_of(total[2] - bad, total[1] - lab))
+            z = gap / math.sqrt(p * (1 - p) * (1 / (lab + 1) + 1 / (total[1] - lab + 1)))
+            own = n == total[0] or (lab >= url_filters.SUPPORT and z >= url_filters.Z)
+            branches.setdefault(f"{template}/{seg if own else '*'}", {}).update(inside)
+        for t, inside in branches.items():
+            grow(host, inside, level + 1, t)
+
+    for h, paths in hosts.items():
+        grow(h, paths, 1, "")
+    labelled = [(h, out[h, segs], bad) for h, segs, bad in pages]
+    count = lambda keep: (sum(bad is not None for h, t, bad in labelled if keep(h, t)), sum(bad or 0 for h, t, bad in labelled if keep(h, t)))
+    lab, bad = count(lambda h, t: True)
+    base = 1 - (bad + 0.5) / (lab + 1)
+    scores = {}
+    for h, t in {(h, t) for h, t, _ in labelled}:
+        lab, bad = count(lambda x, _: x == h)  # noqa: B023
+        host = (lab - bad + 10 * base) / (lab + 10)
+        lab, bad = count(lambda x, y: (x, y) == (h, t))  # noqa: B023
+        p = (lab - bad + 10 * host) / (lab + 10)
+        scores[h, t] = (p, p + 2 * math.sqrt(p * (1 - p) / (lab + 11)) < base)
+    return {k: (t, *scores[k[0], t]) for k, t in out.items()}
+
+
+def test_url_templates_against_recursion(spark):
+    rng = np.random.default_rng(4)
+    rows = []
+    for i in range(1500):
+        host = f"h{min(int(rng.integers(0, 12)), 5)}.com"
+        depth = int(rng.integers(0, 5))
+        segs = [str(rng.choice(["a", "b", "c", "spam", "7"])) for _ in range(depth)]
+        if i % 97 == 0:
+            segs = ["deep"] * (30 + i % 2) + segs  # deeper than any usual path
+        bad = None if rng.random() < 0.4 else int(rng.random() < (0.9 if "spam" in segs[:1] or host == "h1.com" else 0.1))
+        rows.append((i, f"http://{host}/{'/'.join(segs)}", bad))
+    rows += rows[:9]
+    rows += [(9000, "http://h0.com/" + "y" * 100_000, None), (9001, None, 1), (9002, "no host", None)]
+    df = spark.createDataFrame(rows, "page_id long, url string, bad int").withColumn("host", F.lit("clash"))
+    got = url_filters.judged(df, F.col("bad") == 1, rules=(), keep=("page_id", "host"))
+    assert got.columns == ["page_id", *url_filters.ADDED]
+    parts = lambda u: ("", ()) if not u or "://" not in u else (u.split("/")[2], tuple("<n>" if x.isdigit() else x for x in u.split("/")[3:] if x))
+    want = brute_templates([(*parts(u), bad) for _, u, bad in rows])
+    url = {i: u for i, u, _ in rows}
+    out = got.collect()
+    assert len(out) == len(rows)
+    for r in out:
+        template, purity, rejected = want[parts(url[r["page_id"]])]
+        assert (r["template"], r["verdict"]) == (template, "block" if rejected else "allow") and r["purity"] == pytest.approx(purity)
+    assert 50 < sum(r["verdict"] == "block" for r in out) < 1000
+
+
 def test_url_filters(spark):
     urls = [f"https://a.example.com/{'bad' if i % 2 else 'good'}/{i}.html?x" for i in range(400)] + ["HTTP://WWW.Example.NET/de/8x#t", "http://x.org/es/", None, "nothing", "http://example.com/en/7", "http://b.com/en/1", "http://h"]
     df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").withColumn("verdict", F.lit("clash"))
