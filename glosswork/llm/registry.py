@@ -13,7 +13,7 @@ from glosswork.llm.shared import table
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return decontamination.scan(docs, table(spark, sf_dir, "benchmark"), keep=["doc_id"]).drop("spans")
+    return decontamination.scan(docs, table(spark, sf_dir, "benchmark"), keep=["doc_id"], spans=False).drop("spans")
 
 
 def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -76,12 +76,52 @@ def test_decontamination(spark, corpus, docs, empty):
                         ids |= owners
             want.append((row[0], len(w), len(hit), len(ids), hashlib.sha256(",".join(sorted(ids)).encode()).hexdigest(), bool(hit)))
         assert got == sorted(want)
+        fewer = decontamination.scan(docs, items, keep=["doc_id"], block_words=block, spans=False)
+        assert sorted(tuple(r) for r in fewer.drop("spans").collect()) == got and fewer.where(F.size("spans") > 0).isEmpty()
+    # the longest matches, from those of each pair of starts
+    texts_of = {str(i): [] for i, _ in pick}
+    for i, t in pick:
+        if i is not None:
+            texts_of[str(i)].append(alnum.findall((t or "").translate(LOWER)))
+    for r in decontamination.scan(docs.where("doc_id IN (0, 2, 4, 12)"), items, keep=["doc_id"]).collect():
+        w, want_spans = alnum.findall((corpus[r["doc_id"]][1] or "").translate(LOWER)), set()
+        for i, lists in texts_of.items():
+            for x in lists:
+                for a in range(len(w)):
+                    for b in range(len(x)):
+                        if w[a] == x[b] and (not a or not b or w[a - 1] != x[b - 1]):
+                            k = 0
+                            while a + k < len(w) and b + k < len(x) and w[a + k] == x[b + k]:
+                                k += 1
+                            if k >= min(10, len(x)):
+                                want_spans.add((i, b, a, k))
+        assert {(s["item_id"], s["item_start"], s["doc_start"], s["n_words"]) for s in r["spans"]} == want_spans
     clean = decontamination.clean(docs, items)
     assert clean.columns == docs.columns and {r["doc_id"] for r in clean.collect()} == {w[0] for w in want if not w[5]}
     assert decontamination.clean(empty, items).count() == 0
     assert decontamination.scan(docs, items.limit(0)).where("contaminated").count() == 0
 
 
+def test_decontamination_of_repeats():
+    """A text of two million equal words against an item of 200, in bounded memory."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from glosswork.llm.words import Words
+
+    items = decontamination.Items(["1", "2"], [" ".join("a" * 200), " ".join("ab" * 100)], 10)
+    words = Words(pa.array([" ".join("a" * 2_000_000), "a b " * 40 + "a " * 12]), alnum=True)
+    tracemalloc.start()
+    found = decontamination.Found(words, items, pa.array(items.vocabulary, pa.large_string()), 10)
+    row, item, start, end = found.hit()
+    spans = [len(p) for p, _, _ in found.longest()]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert list(zip(row.tolist(), item.tolist(), strict=True)) == [(0, 0), (1, 0), (1, 1)]
+    assert (end - start).tolist() == [2_000_000, 92] and sum(spans) > 0 and peak < 500e6
+
+
 def brute_components(corpus):
     sets = {}
     for row in corpus:
