@@ -13,7 +13,7 @@ SYMBOLS = "!@#$%^&+=<>?/|~`()[]{}_-"
 
 def candidates() -> Iterator[str]:
     """Characters in the order in which they are preferred: Latin, digits, symbols, Greek, Cyrillic."""
-    yield from string.ascii_letters[26:] + string.ascii_letters[:26]
+    yield from string.ascii_uppercase + string.ascii_lowercase
     yield from string.digits + SYMBOLS
     for first, last in (("Α", "Ω"), ("α", "ω"), ("А", "Я"), ("а", "я")):
         yield from (c for c in map(chr, range(ord(first), ord(last) + 1)) if c.isalpha())

@@ -10,6 +10,8 @@ from glosswork.functions.alphabet import REJECT
 from glosswork.operators import lexicon as L
 from glosswork.operators import prompts as P
 
+RUN = 4096
+
 
 def examples(lexicon: DataFrame) -> DataFrame:
     """One row for each polysemous form and sense whose example (its definition here) can be marked:
@@ -55,10 +57,14 @@ def length_buckets(rows: DataFrame, text: str, key: str, size: int = 4) -> DataF
 
 
 def running_accuracy(judged: DataFrame, order: list[str], size: int = 32) -> DataFrame:
-    """batch, correct, seen and the accuracy up to and with each batch; the running sum is over batches."""
-    per = batches(judged, order, size).groupBy("batch").agg(F.count_if("correct").alias("c"), F.count(F.lit(1)).alias("n"))
-    run = Window.orderBy("batch").rowsBetween(Window.unboundedPreceding, 0)
-    return per.select("batch", F.sum("c").over(run).alias("correct"), F.sum("n").over(run).alias("seen")).withColumn("accuracy", F.col("correct") / F.col("seen"))
+    """batch, correct, seen and the accuracy up to and with each batch. The running sum is inside runs of RUN batches; only one
+    total for each run is summed in one task."""
+    per = batches(judged, order, size).groupBy("batch").agg(F.count_if("correct").alias("c"), F.count(F.lit(1)).alias("n")).withColumn("run", F.floor(F.col("batch") / RUN))
+    before = Window.orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
+    base = per.groupBy("run").agg(F.sum("c").alias("c"), F.sum("n").alias("n")).select("run", *[F.coalesce(F.sum(x).over(before), F.lit(0)).alias(f"{x}0") for x in "cn"])
+    upto = Window.partitionBy("run").orderBy("batch").rowsBetween(Window.unboundedPreceding, 0)
+    out = per.join(base, "run").select("batch", (F.col("c0") + F.sum("c").over(upto)).alias("correct"), (F.col("n0") + F.sum("n").over(upto)).alias("seen"))
+    return out.withColumn("accuracy", F.col("correct") / F.col("seen"))
 
 
 def mismatches(judged: DataFrame, order: list[str], most: int = 10) -> DataFrame:

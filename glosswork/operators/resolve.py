@@ -11,6 +11,8 @@ from glosswork.operators import scoring as S
 from glosswork.operators import tokens as T
 from glosswork.operators.prompts import NONE
 
+DETAILS = ("description", "url")
+
 
 def contexts(tokens: DataFrame) -> DataFrame:
     """The distinct lemmas of each document."""
@@ -20,11 +22,13 @@ def contexts(tokens: DataFrame) -> DataFrame:
 def candidates(content: DataFrame, lexicon: DataFrame, context: DataFrame) -> DataFrame:
     """doc_id, form, pos, ord, synset_id, definition, overlap: each content word of a document once, with its
     senses and the words that each definition shares with the document, the word itself left out; and the
-    reject option. A word with several occurrences in a document is looked up and scored once."""
+    reject option. A word with several occurrences in a document is looked up and scored once. A word with more
+    senses than there are letters before the reject option can't be asked for: it has no candidates."""
     lex = L.bounded(lexicon.select("form", "synset_id"))
     shared = context.join(lex, context["lemma"] == lex["form"]).groupBy("doc_id", "synset_id").agg(F.count(F.lit(1)).alias("shared"))
     asked = content.select("doc_id", F.col("lemma").alias("form"), F.col("lex_pos").alias("pos")).distinct().withColumn("query_id", F.struct("doc_id", "form"))
-    senses = L.definitions(asked, lexicon).select("query_id.doc_id", "form", "pos", "ord", "synset_id", "definition")
+    senses = L.definitions(asked, lexicon).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("query_id"))).where(F.col("n") <= REJECT)
+    senses = senses.select("query_id.doc_id", "form", "pos", "ord", "synset_id", "definition")
     scored = senses.join(shared, ["doc_id", "synset_id"], "left").withColumn("overlap", F.coalesce(F.col("shared") - 1, F.lit(0)))
     none = senses.select("doc_id", "form", "pos").distinct().select("doc_id", "form", "pos", F.lit(REJECT).alias("ord"), F.lit("").alias("synset_id"), F.lit(NONE).alias("definition"), F.lit(0).cast("long").alias("overlap"))
     return scored.select(*none.columns).unionByName(none)
@@ -46,33 +50,37 @@ def disambiguate(docs: DataFrame, lexicon: DataFrame, scorer: S.Scorer | None =
 
 
 def entity_spans(tokens: DataFrame, gazetteer: DataFrame) -> DataFrame:
-    """Runs of tokens that are a gazetteer entry (id, label), in any case: doc_id, id, start_token, end_token
-    (inclusive), text (the label). The entry's first word is the equi-key."""
-    names = gazetteer.select("id", F.col("label").alias("text"), F.split(F.lower("label"), " ").alias("parts"))
+    """Runs of tokens that are a gazetteer entry (id, label; description and url where it has them), in any case:
+    doc_id, id, start_token, end_token (inclusive), text (the label), and these. The entry's first word is the
+    equi-key."""
+    more = [c for c in DETAILS if c in gazetteer.columns]
+    names = gazetteer.select("id", F.col("label").alias("text"), F.split(F.lower("label"), " ").alias("parts"), *more)
     names = names.withColumn("lemma", F.get("parts", 0)).withColumn("size", F.size("parts"))
     w = Window.partitionBy("doc_id").orderBy("position")
     longest = names.agg(F.max("size")).first()[0] or 1
     ahead = F.filter(F.array(*[F.lead("lemma", i).over(w) if i else F.col("lemma") for i in range(longest)]), lambda x: x.isNotNull())
     rows = tokens.select("doc_id", "position", "lemma", ahead.alias("ahead")).join(L.bounded(names), "lemma")
     rows = rows.where(F.slice("ahead", F.lit(1), F.col("size")) == F.col("parts"))
-    return rows.select("doc_id", "id", F.col("position").alias("start_token"), (F.col("position") + F.col("size") - 1).alias("end_token"), "text")
+    return rows.select("doc_id", "id", F.col("position").alias("start_token"), (F.col("position") + F.col("size") - 1).alias("end_token"), "text", *more)
 
 
 def covered_tokens(tokens: DataFrame, spans: DataFrame) -> DataFrame:
-    """Each token with the spans that cover it: the range join is bounded by the document."""
-    return tokens.join(spans, "doc_id").where(F.col("position").between(F.col("start_token"), F.col("end_token"))).select("doc_id", "position", "word", "id", "text")
+    """Each token with the spans that cover it: a row for each token of a span, joined by place."""
+    over = spans.select("doc_id", "id", "text", F.explode(F.sequence(*[F.col(c).cast(tokens.schema["position"].dataType) for c in ("start_token", "end_token")])).alias("position"))
+    return tokens.join(over, ["doc_id", "position"]).select("doc_id", "position", "word", "id", "text")
 
 
 def greedy_spans(spans: DataFrame) -> DataFrame:
     """Of overlapping spans the one that starts first stays (of those the longest, then the least id); what
     starts inside a span that stays goes. One fold over each document's sorted spans."""
-    items = F.array_sort(F.collect_list(F.struct("start_token", (-F.col("end_token")).alias("last"), "id", "text")))
-    kind = "array<struct<start_token:int,last:int,id:bigint,text:string>>"
+    more = [c for c in DETAILS if c in spans.columns]
+    items = F.array_sort(F.collect_list(F.struct("start_token", (-F.col("end_token")).alias("last"), "id", "text", *more)))
+    kind = f"array<struct<start_token:int,last:int,id:bigint,text:string{''.join(f',{c}:string' for c in more)}>>"
     start = F.struct(F.array().cast(kind).alias("kept"), F.lit(-1).alias("upto"))
 
     def step(acc, x):
         return F.when(x["start_token"] > acc["upto"], F.struct(F.concat(acc["kept"], F.array(x)).alias("kept"), (-x["last"]).alias("upto"))).otherwise(acc)
 
-    rows = spans.select("doc_id", F.col("start_token").cast("int"), F.col("end_token").cast("int"), F.col("id").cast("long").alias("id"), "text")
+    rows = spans.select("doc_id", F.col("start_token").cast("int"), F.col("end_token").cast("int"), F.col("id").cast("long").alias("id"), "text", *more)
     kept = rows.groupBy("doc_id").agg(items.cast(kind).alias("s")).select("doc_id", F.explode(F.aggregate("s", start, step, lambda a: a["kept"])).alias("x"))
-    return kept.select("doc_id", F.col("x.id").alias("id"), F.col("x.start_token").alias("start_token"), (-F.col("x.last")).alias("end_token"), F.col("x.text").alias("text"))
+    return kept.select("doc_id", F.col("x.id").alias("id"), F.col("x.start_token").alias("start_token"), (-F.col("x.last")).alias("end_token"), F.col("x.text").alias("text"), *[F.col(f"x.{c}").alias(c) for c in more])

@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 from abc import ABC, abstractmethod
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from glosswork.functions import text as X
 from glosswork.functions.alphabet import REJECT
+from glosswork.operators import prompts as P
 from glosswork.operators.prompts import NONE
 
 MISSING = "No definitions found"
@@ -54,22 +58,32 @@ class EmbeddingScorer(Scorer):
 
 
 class ModelScorer(Scorer):
-    """A masked language model's logits, where torch and transformers can be imported: `load` runs once in
-    each worker and returns a function from prompts and option counts to lists of logits."""
+    """A masked language model's logits. `load` runs once in each task and returns a function from a list of prompts to
+    a list of logits for all letters each. docs (doc_id, text) gives the sentences, in which the word's first
+    occurrence is marked. One prompt is made for each word of a document; words that can't be marked lose
+    their candidates."""
 
-    def __init__(self, load):
-        self.load = load
+    def __init__(self, load: Callable[[], Callable[[list[str]], list[list[float]]]], docs: DataFrame, mask: str = P.MASK):
+        self.load, self.docs, self.mask = load, docs, mask
 
     def score(self, candidates: DataFrame) -> DataFrame:
-        load = self.load
+        load, mask, by = self.load, self.mask, ["doc_id", "form", "pos"]
+        asked = P.gathered(candidates.where(F.col("ord") < REJECT), by).join(self.docs.select("doc_id", "text"), "doc_id")
+        prompt = P.render(F.col("form"), X.mark_first(F.col("text"), F.col("form")), F.col("definitions"), mask=mask)
+        asked = asked.select(*by, prompt.alias("prompt")).where("prompt IS NOT NULL")
 
-        @F.pandas_udf("double")
-        def logit(batches):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             model = load()
-            for prompts in batches:
-                yield model(prompts)
-
-        return candidates.withColumn("logit", logit("prompt"))
+            for batch in batches:
+                prompts = batch.column("prompt").to_pylist()
+                if any(mask not in x for x in prompts):
+                    raise ValueError(f"a prompt has no {mask}")
+                logits = pa.array(model(prompts), pa.list_(pa.float64())) if prompts else pa.array([], pa.list_(pa.float64()))
+                yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in by], logits], [*by, "logits"])
+
+        kinds = dict(asked.dtypes)
+        logits = asked.mapInArrow(run, ", ".join([*[f"{c} {kinds[c]}" for c in by], "logits array<double>"]))
+        return candidates.join(logits, by).withColumn("logit", F.get("logits", F.col("ord").cast("int"))).drop("logits")
 
 
 def softmax(rows: DataFrame, by: list[str], logit: str = "logit") -> DataFrame:

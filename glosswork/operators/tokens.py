@@ -12,11 +12,12 @@ from glosswork.operators import lexicon as L
 def base_tokens(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """id, position (from 0, blanks left out), word, start_char, end_char (code points).
 
-    The texts are dealt by id before they are cut, so the windows that add up the offsets need no
-    shuffle of tokens.
+    The texts are dealt by row before they are cut, so the windows that add up the offsets need no
+    shuffle of tokens. Rows of one id are cut each by itself.
     """
-    cut = docs.select(id_col, "text").repartition(F.col(id_col)).select(id_col, F.posexplode(X.segments(F.col("text"))).alias("seg", "word"))
-    order = Window.partitionBy(id_col).orderBy("seg")
+    dealt = docs.select(id_col, "text", F.monotonically_increasing_id().alias("__row")).repartition(F.col("__row"))
+    cut = dealt.select("__row", id_col, F.posexplode(X.segments(F.col("text"))).alias("seg", "word"))
+    order = Window.partitionBy("__row").orderBy("seg")
     run = order.rowsBetween(Window.unboundedPreceding, 0)
     solid = ~F.col("word").rlike(X.BLANK)
     cut = cut.withColumn("end_char", F.sum(F.length("word")).over(run)).withColumn("position", F.sum(solid.cast("int")).over(run) - 1)

@@ -62,6 +62,11 @@ CTE = {
     "spans": """spans AS (SELECT t.doc_id, g.id, t.position AS start_token, t.position + len(string_split(label, ' ')) - 1 AS end_token, label AS text
       FROM (SELECT *, lead(lemma) OVER (PARTITION BY doc_id ORDER BY position) AS nxt FROM tok) t JOIN gaz g
       ON string_split(label, ' ')[1] = lemma AND (len(string_split(label, ' ')) = 1 OR string_split(label, ' ')[2] = nxt))""",
+    # labels have one or two words, so overlapping spans are chains of neighbours, of which every other one stays
+    "greedy": """best AS (SELECT * FROM spans QUALIFY row_number() OVER (PARTITION BY doc_id, start_token ORDER BY end_token DESC, id) = 1),
+    chain AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id ORDER BY start_token) AS chain FROM
+      (SELECT *, (coalesce(lag(end_token) OVER (PARTITION BY doc_id ORDER BY start_token), -1) < start_token)::int AS fresh FROM best)),
+    greedy AS (SELECT doc_id, id, start_token, end_token, text FROM chain QUALIFY row_number() OVER (PARTITION BY doc_id, chain ORDER BY start_token) % 2 = 1)""",
     "words": """words AS (SELECT form AS word, synset_id AS id, pos, definition AS source_definition, array_to_string(list_reverse(string_split(definition, ' ')), ' ') AS alternative_definition,
       [definition, array_to_string(string_split(definition, ' ')[1:len(string_split(definition, ' ')) // 2], ' '), array_to_string(string_split(definition, ' ')[len(string_split(definition, ' ')) // 2 + 1:], ' ')] AS examples,
       row_number() OVER (PARTITION BY form ORDER BY synset_id) - 1 AS ord FROM lex)""",
@@ -84,7 +89,7 @@ CTE = {
     rej AS (SELECT word, id || '_none' AS synset_id, nr, '{LETTERS[REJECT]}' AS answer, 'What is the meaning of *' || word || '* in this sentence?' || chr(10) || chr(10) || 'Sentence: ' || marked || chr(10) || chr(10) || txt || chr(10) || '{LETTERS[REJECT]}. {NONE}' || chr(10) || chr(10) || 'Answer: [unused0] [MASK]' AS prompt FROM rline)""",
     "enc": f"""codes AS (SELECT item_id, list_transform(string_split(text, ''), lambda c: CASE WHEN c = '' THEN 0 ELSE ord(c) END) AS c FROM benchmark),
     ids AS (SELECT item_id, list_filter(list_concat(list_concat(c[1:len(c) // 2], [1]), c[len(c) // 2 + 1:]), lambda x: x < 128) AS ids, substr('{ABC}', (item_id % 127 + 1)::int, 1) AS answer FROM codes),
-    enc AS (SELECT item_id, answer, ids[1:120] AS input_ids, list_position(ids[1:120], 1)::bigint AS place, item_id % 127 AS label FROM ids)""",
+    enc AS (SELECT item_id, answer, ids[1:2048] AS input_ids, list_position(ids[1:2048], 1)::bigint AS place, item_id % 127 AS label FROM ids)""",
     "conv": "conv AS (SELECT conv_id || '/' || turn AS key, length(text) AS len, row_number() OVER (ORDER BY length(text), conv_id || '/' || turn) - 1 AS idx FROM conversations)",
 }
 
@@ -107,14 +112,14 @@ SQL = {
     "base_tokens": sql("tok", "SELECT doc_id, position, word, start_char, end_char FROM tok"),
     "content_words": sql("lex major tok tagged", "SELECT doc_id, position, lemma, pos, lex_pos FROM content"),
     "word_queries": sql("lex major tok tagged", "SELECT lemma AS form, lex_pos AS pos, count(*) AS asked FROM content GROUP BY ALL"),
-    "mark_by_index": sql("lex major tok tagged", "SELECT c.doc_id, position, md5(substr(text, 1, start_char) || '*' || word || '*' || substr(text, end_char + 1)) AS marked_md5 FROM content c JOIN documents d USING (doc_id) QUALIFY row_number() OVER (PARTITION BY c.doc_id ORDER BY position DESC) = 1"),
+    "mark_by_index": sql("lex major tok tagged", "SELECT c.doc_id, position, md5(substr(text, 1, start_char) || '*' || word || '*' || substr(text, end_char + 1)) AS marked_md5 FROM content c JOIN documents d USING (doc_id)"),
     "mark_by_search": sql("lex marks", "SELECT synset_id, form, marked FROM marks"),
     "option_letters": sql("lex asked ask defs", f"SELECT query_id, ord, substr('{ABC}', (ord + 1)::int, 1) AS letter, synset_id, definition FROM defs UNION ALL SELECT DISTINCT query_id, {REJECT}, '{LETTERS[REJECT]}', '', '{NONE}' FROM defs"),
     "render_prompt": sql("lex asked ask defs", f"""SELECT query_id, 'What is the meaning of *' || form || '* in this sentence?' || chr(10) || chr(10) || 'Sentence: Say *' || form || '*.' || chr(10) || chr(10)
       || string_agg(substr('{ABC}', (ord + 1)::int, 1) || '. ' || definition, chr(10) ORDER BY ord) || chr(10) || '{LETTERS[REJECT]}. {NONE}' || chr(10) || chr(10) || 'Answer: [unused0] [MASK]' AS prompt FROM defs GROUP BY query_id, form"""),
     "answer_alphabet": f"SELECT i AS idx, substr('{ABC}', (i + 1)::int, 1) AS letter FROM range(128) t(i)",
     "entity_spans": sql("tok gaz spans", "SELECT * FROM spans"),
-    "entity_coverage": sql("tok gaz spans", "SELECT t.doc_id, position, word, id, text FROM tok t JOIN spans s ON t.doc_id = s.doc_id AND position BETWEEN start_token AND end_token"),
+    "entity_coverage": sql("tok gaz spans", "SELECT t.doc_id, position, word, id, text FROM tok t JOIN (SELECT doc_id, id, text, unnest(range(start_token, end_token + 1)) AS position FROM spans) s USING (doc_id, position)"),
     "choice_softmax": sql("lex asked ask defs scored shares", "SELECT query_id, ord, round(p, 6) AS p FROM shares"),
     "choice_argmax": sql("lex asked ask defs scored shares", f"SELECT query_id, synset_id, definition, round(p, 6) AS confidence, ord = {REJECT} AS rejected FROM shares WHERE r = 1"),
     "choice_array_form": sql("lex asked ask defs scored shares", "SELECT query_id, synset_id, round(p, 6) AS confidence FROM shares WHERE r = 1"),
@@ -157,17 +162,44 @@ SQL = {
     "pending_forms": sql("lex", "SELECT DISTINCT form FROM lex WHERE form NOT IN (SELECT form FROM lex WHERE pos IN ('v', 'r'))"),
     "generate_gate": sql("lex", "SELECT form, CASE WHEN count(*) > 1 THEN 'generate' ELSE 'skip' END AS gate FROM lex GROUP BY form"),
     "training_directory": sql("lex", "SELECT synset_id AS id, pos, md5(definition) AS source_md5, 3::bigint AS examples FROM lex"),
-    "html_result": sql(RESOLVE + " resolved", """SELECT doc_id, md5('<table><tr>' || string_agg('<td>' || e(word) || '</td>', '' ORDER BY position) || '</tr><tr>' || string_agg('<td>' || coalesce('<a href="#' || e(synset_id) || '">' || e(synset_definition) || '</a>', '-') || '</td>', '' ORDER BY position) || '</tr></table>') AS html_md5 FROM resolved GROUP BY doc_id"""),
+    "greedy_spans": sql("tok gaz spans greedy", "SELECT * FROM greedy"),
+    "health": "SELECT 'ok' AS status",
+    "resolve_array_form": sql(RESOLVE, "SELECT doc_id, form, pos, CASE WHEN NOT rejected THEN synset_id END AS synset_id, confidence FROM pred"),
+    "nested_result": sql(RESOLVE + " resolved gaz spans greedy", """SELECT doc_id, n AS n_tokens, t AS tokens_md5, coalesce(n_entities, 0) AS n_entities, coalesce(entities_md5, md5('')) AS entities_md5 FROM
+      (SELECT doc_id, count(*) AS n, md5(string_agg(word || '|' || lemma || '|' || pos || '|' || position || '|' || start_char || '|' || end_char || '|' || coalesce(synset_id, '-') || '|' || coalesce(synset_definition, '-') || '|' || coalesce(format('{:.6f}', confidence), '-'), chr(10) ORDER BY position)) AS t FROM resolved GROUP BY doc_id)
+      LEFT JOIN (SELECT doc_id, count(*) AS n_entities, md5(string_agg(id || '|' || start_token || '|' || end_token || '|' || text || '|-|-', chr(10) ORDER BY start_token)) AS entities_md5 FROM greedy GROUP BY doc_id) USING (doc_id)"""),
+    "html_result": sql(RESOLVE + " resolved gaz spans greedy", """SELECT doc_id, md5('<table><tr>' || string_agg('<td>' || e(word) || '</td>', '' ORDER BY position) || '</tr><tr>' || string_agg('<td>' || coalesce('<a href="#' || e(synset_id) || '">' || e(synset_definition) || '</a>', '-') || '</td>', '' ORDER BY position) || '</tr><tr>' ||
+      string_agg(CASE WHEN start_token = position THEN '<td colspan="' || end_token - start_token + 1 || '"><a href="#' || id || '">' || e(text) || '</a></td>' WHEN id IS NULL THEN '<td>-</td>' ELSE '' END, '' ORDER BY position) || '</tr></table>') AS html_md5
+      FROM resolved LEFT JOIN (SELECT doc_id, id, start_token, end_token, text, unnest(range(start_token, end_token + 1)) AS position FROM greedy) USING (doc_id, position) GROUP BY doc_id"""),
     "letter_sidecar": f"SELECT '{ABC}' AS letters, 128::bigint AS num_letters",
     "request_errors": """SELECT conv_id, turn, CASE WHEN coalesce(text, '') = '' THEN '{"error":{"status":400,"message":"Missing parameter: text","type":"bad_request"}}' WHEN turn % 2 <> 0 THEN '{"error":{"status":400,"message":"Missing parameter: lang","type":"bad_request"}}' END AS error FROM conversations""",
 }
 
 
+def _requests() -> str:
+    from glosswork.sources.sinks import FIELDS, LEXICOGRAPHER
+
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    before, after = (quoted(x) for x in LEXICOGRAPHER.split("{}"))
+    text = "{'type': 'string'}"
+    fields = ", ".join(f"'{c}': " + ("{'type': 'array', 'items': {'type': 'string'}, 'minItems': 3, 'maxItems': 3}" if c == "examples" else text) for c in FIELDS)
+    item = f"{{'type': 'object', 'properties': {{{fields}}}, 'required': {list(FIELDS)}}}"
+    sense = "{'id': synset_id, 'attributes': {'pos': pos, 'definition': definition, 'examples': []::varchar[]}}"
+    return sql("lex", f"""SELECT form, to_json({{'model': 'any-model', 'stream': true, 'options': {{'temperature': 0}},
+      'messages': [{{'role': 'system', 'content': {before} || form || {after}}}, {{'role': 'user', 'content': senses}}],
+      'format': {{'type': 'array', 'minItems': n, 'maxItems': n, 'items': {item}}}}})::varchar AS payload
+      FROM (SELECT form, count(*) AS n, to_json(list({sense} ORDER BY synset_id))::varchar AS senses FROM lex GROUP BY form)""")
+
+
+SQL["llm_requests"] = _requests()
+
+
 def _escaped(column: str) -> str:
     for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("''", "&#39;")):
         column = f"replace({column}, '{a}', '{b}')"
     return column
 
 
-for _c in ("word", "synset_id", "synset_definition"):
+SQL["resolve_stream"] = SQL["resolve_array_form"]
+for _c in ("word", "synset_id", "synset_definition", "text"):
     SQL["html_result"] = SQL["html_result"].replace(f"e({_c})", _escaped(_c))

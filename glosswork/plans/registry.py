@@ -158,8 +158,7 @@ def word_queries(spark, d):
 
 @query
 def mark_by_index(spark, d):
-    content = T.content(tagged(spark, d)).groupBy("doc_id").agg(F.max(F.struct("position", "word", "start_char")).alias("x")).select("doc_id", "x.*")
-    return T.marked_by_index(docs(spark, d), content).select("doc_id", "position", F.md5("marked").alias("marked_md5"))
+    return T.marked_by_index(docs(spark, d), T.content(tagged(spark, d))).select("doc_id", "position", F.md5("marked").alias("marked_md5"))
 
 
 @query
@@ -423,10 +422,12 @@ def llm_requests(spark, d):
 
 
 def _folder(spark: SparkSession) -> str:
-    """The cluster's shared folder; a temporary one only where the session names none."""
+    """The cluster's shared folder; a temporary one only where a local session names none."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
+    if spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     if not _OWN:
         _OWN.append(tempfile.TemporaryDirectory(prefix="glosswork-"))
         atexit.register(_OWN[0].cleanup)
@@ -451,7 +452,15 @@ def training_directory(spark, d):
 @query
 def nested_result(spark, d):
     tokens = R.disambiguate(docs(spark, d), lex(spark, d)).withColumn("confidence", F.round("confidence", 6))
-    return sinks.nested(tokens, R.greedy_spans(spans(spark, d))).select("doc_id", F.get_json_object("result", "$.tokens[0].word").alias("first_word"), F.size(F.from_json("result", "tokens array<string>, entities array<string>")["tokens"]).alias("n_tokens"), F.size(F.from_json("result", "tokens array<string>, entities array<string>")["entities"]).alias("n_entities"))
+    result = sinks.nested(tokens, R.greedy_spans(spans(spark, d)))
+    token, entity = "word string, lemma string, pos string, position bigint, start_char bigint, end_char bigint, synset_id string, synset_definition string, confidence double", ", ".join(f"{c} {t}" for c, t in sinks.ENTITY.items())
+    read = result.select("doc_id", F.from_json("result", f"tokens array<struct<{token.replace(' ', ':').replace(',:', ',')}>>, entities array<struct<{entity.replace(' ', ':').replace(',:', ',')}>>").alias("r"))
+
+    def lines(items, fields):
+        part = lambda x, c: F.coalesce(F.when(x[c].isNotNull(), F.format_string("%.6f", x[c])) if c == "confidence" else x[c].cast("string"), F.lit("-"))
+        return F.md5(F.array_join(F.transform(items, lambda x: F.concat_ws("|", *[part(x, c) for c in fields])), "\n"))
+
+    return read.select("doc_id", F.size("r.tokens").alias("n_tokens"), lines("r.tokens", sinks.TOKEN).alias("tokens_md5"), F.size("r.entities").alias("n_entities"), lines("r.entities", list(sinks.ENTITY)).alias("entities_md5"))
 
 
 @query
@@ -459,6 +468,11 @@ def html_result(spark, d):
     return sinks.html(R.disambiguate(docs(spark, d), lex(spark, d)), R.greedy_spans(spans(spark, d))).select("doc_id", F.md5("html").alias("html_md5"))
 
 
+@query
+def health(spark, d):
+    return sinks.health(spark)
+
+
 @query
 def letter_sidecar(spark, d):
     return sinks.sidecar(spark).select(F.array_join("letters", "").alias("letters"), "num_letters")

@@ -1,7 +1,7 @@
 """Documents as a stream: row-local array expressions and one join with a static lexicon.
 
-Each text is cut into segments with offsets inside its own row; its distinct lemmas are looked up in one
-array row for each form; the choice is an array argmax. No window runs, so append mode works, and a batch
+Each text's distinct lemmas are taken inside its own row and looked up in one array row for each form, beside the
+text's lemmas; the choice is an array argmax. Forms with more senses than letters have no candidates, as in a batch. No window runs, so append mode works, and a batch
 run of the same frame gives the same rows.
 """
 

@@ -14,7 +14,6 @@ from glosswork.sources import readers, sinks
 
 DATA = "/root/testdata/sf0.001"
 TABLES = "documents benchmark conversations".split()
-SLOW = {"html_result", "sentence_rebuild"}
 
 
 @pytest.fixture(scope="module")
@@ -31,7 +30,7 @@ def rows(table):
     return names, sorted(zip(*[[repr(clean(v)) for v in table.column(n).to_pylist()] for n in names], strict=True))
 
 
-@pytest.mark.parametrize("name", sorted(set(registry.oracle_sql()) - SLOW))
+@pytest.mark.parametrize("name", sorted(registry.oracle_sql()))
 def test_sql(spark, duck, name):
     ours = registry.queries()[name](spark, DATA).toArrow()
     assert rows(ours) == rows(duck.execute(registry.oracle_sql()[name]).to_arrow_table())
@@ -128,6 +127,9 @@ def test_nested_keeps_nulls(spark):
     t = t.withColumns({c: F.lit(None).cast(k) for c, k in (("synset_id", "string"), ("synset_definition", "string"), ("confidence", "double"))})
     e = spark.createDataFrame([], "doc_id long, id long, start_token int, end_token int, text string")
     out = json.loads(sinks.nested(t, e).first()["result"])
+    one = spark.createDataFrame([(1, 7, 0, 0, "w", "what it is", "https://x")], "doc_id long, id long, start_token int, end_token int, text string, description string, url string")
+    assert json.loads(sinks.nested(t, resolve.greedy_spans(one)).first()["result"])["entities"] == [{"id": 7, "start_token": 0, "end_token": 0, "text": "w", "description": "what it is", "url": "https://x"}]
+    assert '<a href="https://x">w</a>' in sinks.html(t, one).first()["html"]
     assert out["entities"] == [] and out["tokens"][0]["synset_id"] is None and "confidence" in out["tokens"][0]
 
 
@@ -140,6 +142,56 @@ def test_stream_equals_batch(spark):
     assert rows(batch.toArrow()) == rows(live.toArrow())
 
 
+def test_repeated_ids(spark):
+    docs = spark.createDataFrame([(1, "one two"), (1, "three  four")], "doc_id long, text string")
+    got = sorted((r["word"], r["position"], r["start_char"]) for r in tokens.base_tokens(docs).collect())
+    assert got == [("four", 1, 7), ("one", 0, 0), ("three", 0, 0), ("two", 1, 4)]
+
+
+def test_too_many_senses(spark):
+    """A word with 128 senses has no candidates; one with 127 may take its last sense."""
+    lex = [(w, "n", i, f"{w}{i}", "some context words" if i == n - 1 else "other text") for w, n in (("many", 127), ("over", 128)) for i in range(n)]
+    lexicon_ = spark.createDataFrame(lex + [(w, "v", 0, w, "x") for w in ("context", "words")], "form string, pos string, ord int, synset_id string, definition string")
+    docs = spark.createDataFrame([(1, "many over context words")], "doc_id long, text string")
+    got = {r["form"]: r for r in resolve.predictions(tokens.tagged(tokens.base_tokens(docs), lexicon_), lexicon_).collect()}
+    assert "over" not in got and not got["many"]["rejected"]
+
+
+def test_model_scorer(spark):
+    """A model's logits for all letters, from one marked prompt a word; the model is loaded once a task."""
+    lexicon_ = spark.createDataFrame(LEX, "form string, pos string, ord int, synset_id string, definition string")
+    docs = spark.createDataFrame([(1, "the bank lends money"), (2, "a flat * bank")], "doc_id long, text string")
+
+    def load():
+        return lambda prompts: [[0.0, 3.0 if "*bank*" in p and "B. house for money" in p else -1.0] + [0.0] * 125 + [1.0] for p in prompts]
+
+    tagged = tokens.tagged(tokens.base_tokens(docs), lexicon_)
+    got = resolve.predictions(tagged, lexicon_, scoring.ModelScorer(load, docs)).collect()
+    assert [(r["doc_id"], r["form"], r["synset_id"]) for r in got] == [(1, "bank", "b2")]  # text 2 is marked already
+    with pytest.raises(Exception, match="no <mask>"):
+        scorer = scoring.ModelScorer(load, docs)
+        scorer.mask = "<mask>"
+        original, prompts.render = prompts.render, lambda *a, mask: F.lit("no mask here")
+        try:
+            resolve.predictions(tagged, lexicon_, scorer).collect()
+        finally:
+            prompts.render = original
+
+
+def test_other_scorers(spark):
+    c = spark.createDataFrame([("q", 0, "s", "d", [1.0, 0.0], [1.0, 0.0]), ("q", 1, "t", "e", [1.0, 0.0], [0.0, 2.0])], "q string, ord int, synset_id string, definition string, context_vec array<float>, sense_vec array<float>")
+    assert [r["logit"] for r in scoring.EmbeddingScorer().score(c).orderBy("ord").collect()] == [10.0, 0.0]
+    known = spark.createDataFrame([("q", 1, 2.5)], "q string, ord int, logit double")
+    assert [r["logit"] for r in scoring.PrecomputedScorer(known, ["q", "ord"]).score(c).orderBy("ord").collect()] == [0.0, 2.5]
+
+
+def test_running_accuracy_over_runs(spark, monkeypatch):
+    monkeypatch.setattr(corpus, "RUN", 3)
+    df = spark.createDataFrame([(i, i % 3 == 0) for i in range(200)], "i long, correct boolean")
+    got = corpus.running_accuracy(df, ["i"], 8).orderBy("batch").collect()
+    assert [(r["seen"], r["correct"]) for r in got] == [(k, len(range(0, k, 3))) for k in range(8, 201, 8)]
+
+
 def test_labels(spark):
     df = spark.createDataFrame([([7, 1, 9, 1], "B"), ([7, 8, 9, 9, 9, 1], "A")], "ids array<int>, a string")
     got = df.select(*[c.alias(n) for n, c in training.encoded(F.col("ids"), F.col("a"), 1, 5).items()]).collect()
