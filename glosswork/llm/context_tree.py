@@ -15,7 +15,7 @@ from __future__ import annotations
 
 import numpy as np
 
-DEPTH = 6
+DEPTH = 7  # with the byte that follows a context fills 64 bits
 _TABLE = 1 << 16
 _half: np.ndarray | None = None
 
@@ -136,34 +136,48 @@ def mixed_bits(tree, stop) -> np.ndarray:
 
 
 class Top:
-    """The nodes above the subtrees of two-byte contexts, from those subtrees' roots: dense arrays over
-    (nearest byte, bit, bits so far), at most 256 * 8 * 128 nodes."""
+    """The nodes of the two nearest bytes and above, from the summed roots of the subtrees below: sorted arrays over
+    (two bytes, bit, bits so far) of nodes that are there, and dense ones over (nearest byte, bit, bits so far),
+    256 * 8 * 128 nodes. log_w: the sum of the roots' weights, which are a node's children."""
 
     def __init__(self, sub: np.ndarray, bit: np.ndarray, prefix: np.ndarray, a: np.ndarray, b: np.ndarray, log_w: np.ndarray):
-        shape = (256, 8, 128)
-        at = ((sub >> 8) * 8 + bit) * 128 + prefix
-        total = lambda x, n: np.bincount(at, weights=x, minlength=n)
-        n = 256 * 8 * 128
-        self.a1, self.b1 = (total(x.astype(np.float64), n).reshape(shape) for x in (a, b))
-        kids = total(log_w, n).reshape(shape)
+        name = (sub.astype(np.int64) * 8 + bit) * 128 + prefix
+        order = np.argsort(name)
+        self.name, self.a2, self.b2 = name[order], a[order], b[order]
+        own = kt_block(self.a2, self.b2)
+        top = np.logaddexp(own, log_w[order])
+        self.stop2 = np.exp(own - top)
+        log_w = top - np.log(2.0)
+        shape, n = (256, 8, 128), 256 * 8 * 128
+        at = (self.name >> 18) << 10 | (self.name & 1023)
+        total = lambda x: np.bincount(at, weights=x, minlength=n).reshape(shape)
+        self.a1, self.b1, kids = total(self.a2.astype(np.float64)), total(self.b2.astype(np.float64)), total(log_w)
         own = kt_block(self.a1.astype(np.int64), self.b1.astype(np.int64))
         top = np.logaddexp(own, kids)
         self.stop1 = np.exp(own - top)
         self.a0, self.b0 = self.a1.sum(axis=0), self.b1.sum(axis=0)
         own = kt_block(self.a0.astype(np.int64), self.b0.astype(np.int64))
-        kids = (top - np.log(2.0)).sum(axis=0, where=self.a1 + self.b1 > 0)
+        there = np.bincount(at, minlength=n).reshape(shape) > 0
+        kids = (top - np.log(2.0)).sum(axis=0, where=there)
         self.stop0 = np.exp(own - np.logaddexp(own, kids))
 
-    def mixed(self, nearest: np.ndarray, byte: np.ndarray, p: np.ndarray) -> np.ndarray:
-        """ln of the bytes' probabilities, from the bits' probabilities p (8, n) at the subtrees' roots."""
+    def mixed(self, near: np.ndarray, byte: np.ndarray, p: np.ndarray) -> np.ndarray:
+        """ln of the bytes' probabilities after the two nearest bytes, from the bits' probabilities p (8, n) at the
+        subtrees' roots."""
         out = np.zeros(len(byte))
+        nearest = near >> 8
         for k in range(8):
             prefix = byte >> (8 - k)
             one = (byte >> (7 - k)) & 1 > 0
-            a, b, w = self.a1[nearest, k, prefix], self.b1[nearest, k, prefix], self.stop1[nearest, k, prefix]
-            q = w * (np.where(one, b, a) + 0.5) / (a + b + 1) + (1 - w) * p[k]
-            a, b, w = self.a0[k, prefix], self.b0[k, prefix], self.stop0[k, prefix]
-            out += np.log(w * (np.where(one, b, a) + 0.5) / (a + b + 1) + (1 - w) * q)
+            at = np.searchsorted(self.name, (near * 8 + k) * 128 + prefix)
+            q = p[k]
+            for a, b, w in (
+                (self.a2[at], self.b2[at], self.stop2[at]),
+                (self.a1[nearest, k, prefix], self.b1[nearest, k, prefix], self.stop1[nearest, k, prefix]),
+                (self.a0[k, prefix], self.b0[k, prefix], self.stop0[k, prefix]),
+            ):
+                q = w * (np.where(one, b, a) + 0.5) / (a + b + 1) + (1 - w) * q
+            out += np.log(q)
         return out
 
 

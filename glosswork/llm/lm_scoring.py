@@ -6,8 +6,9 @@ its own token alone.
 
 One pass counts, over all training texts, the words and the pairs of a context and its byte. Words are
 summed as rows; contexts go as packed lists, one for each subtree and task, and are summed where the
-subtree is made. The context trees are made from these counts in subtrees (one for each two nearest bytes, of
-distinct contexts only); their roots, at most 65,536 times 255 numbers, make the top. The scores of the most
+subtree is made. The context trees are made from these counts in subtrees (one for each three nearest bytes, of
+distinct contexts only); their roots are summed by Spark to the nodes of two nearest bytes, at most 65,536 times
+255 of them, which make the top. The scores of the most
 frequent contexts and the counts of the most frequent words are sent to the executors, the others are
 joined by shuffle. No table that grows
 with the corpus is broadcast without a bound, and nothing is left out of the counts.
@@ -28,6 +29,7 @@ from glosswork.llm.shared import forget, most_frequent, written
 from glosswork.llm.words import Words, slices
 
 DEPTH = tree.DEPTH
+NEAR = 3  # nearest bytes that name a subtree
 COUNT_BYTES = 16 << 20
 RUN_BYTES = 2 << 20
 KEPT_CONTEXTS = 1_000_000
@@ -90,7 +92,7 @@ def counts(docs: DataFrame, across: bool = False) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(np.full(len(key), kind, np.int8)), pa.array(key), pa.array(n.astype(np.int64)), *packed], ["kind", "key", "n", "keys", "ns"])
 
     def packed(key: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-        sub = key >> (8 * (DEPTH - 1))
+        sub = (key >> (8 * (DEPTH + 1 - NEAR))) & ((1 << (8 * NEAR)) - 1)
         first = np.flatnonzero(np.diff(sub, prepend=-1))
         at = np.append(first, len(key))
         step = np.diff(key, prepend=0)
@@ -132,20 +134,20 @@ def counts(docs: DataFrame, across: bool = False) -> DataFrame:
 def subtrees(contexts: DataFrame) -> DataFrame:
     """From the partial counts of contexts: for each key n and the probabilities of its byte's bits at the root of its subtree (p), and, as
     rows with p null, each subtree's nodes at its root: sub, bit, prefix, a, b, log_w."""
-    schema = "key bigint, n bigint, p array<double>, sub int, bit int, prefix int, a bigint, b bigint, log_w double"
+    schema = "key bigint, n bigint, p array<float>, sub int, bit int, prefix int, a bigint, b bigint, log_w double"
     names = ["key", "n", "p", "sub", "bit", "prefix", "a", "b", "log_w"]
 
     def made(sub: int, keys: list, ns: list) -> Iterator[pa.RecordBatch]:
         grams, n = _summed(np.concatenate(keys), np.concatenate(ns))
         grams = grams.view(np.uint64)
-        levels = tree.levels(grams, n, DEPTH, 2)
+        levels = tree.levels(grams, n, DEPTH, NEAR)
         stop, below = tree.weighted(levels)
         p = tree.mixed_bits(levels, stop)
         k = len(grams)
         for i in range(0, k, 50_000):
             part = np.ascontiguousarray(p[:, i : i + 50_000].T)
             m = len(part)
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(m + 1) * 8, pa.int32()), pa.array(part.ravel()))
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(m + 1) * 8, pa.int32()), pa.array(part.ravel().astype(np.float32)))
             yield pa.RecordBatch.from_arrays([pa.array(grams[i : i + m].view(np.int64)), pa.array(n[i : i + m]), lists, *[pa.nulls(m, t) for t in (pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.float64())]], names)
         last = levels[-1][0]
         for bit in range(8):
@@ -153,7 +155,7 @@ def subtrees(contexts: DataFrame) -> DataFrame:
             first = np.flatnonzero(np.concatenate(([True], run[1:] != run[:-1])))
             prefix = ((last.grams[first] & np.uint64(255)) >> np.uint64(8 - bit)).astype(np.int32)
             m = len(first)
-            yield pa.RecordBatch.from_arrays([pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.list_(pa.float64())), pa.array(np.full(m, sub, np.int32)), pa.array(np.full(m, bit, np.int32)), pa.array(prefix), pa.array(a), pa.array(b), pa.array(below[bit])], names)
+            yield pa.RecordBatch.from_arrays([pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.list_(pa.float32())), pa.array(np.full(m, sub, np.int32)), pa.array(np.full(m, bit, np.int32)), pa.array(prefix), pa.array(a), pa.array(b), pa.array(below[bit])], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, keys, ns = None, [], []
@@ -170,13 +172,12 @@ def subtrees(contexts: DataFrame) -> DataFrame:
 
     parts = int(contexts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = contexts.select(F.col("key").cast("int").alias("sub"), "keys", "ns")
-    # a key's sign bit is never set: a context of DEPTH < 7 bytes and a byte fill 8 * DEPTH + 8 bits
     return rows.repartition(parts, "sub").sortWithinPartitions("sub").mapInArrow(run, schema)
 
 
 def scored_contexts(made: DataFrame) -> DataFrame:
     """key, n, log10 of its byte's probability."""
-    nodes = made.where("p IS NULL").select("sub", "bit", "prefix", "a", "b", "log_w").toArrow()
+    nodes = made.where("p IS NULL").groupBy(F.shiftright("sub", 8).alias("sub"), "bit", "prefix").agg(*[F.sum(c).alias(c) for c in ("a", "b", "log_w")]).toArrow()
     top = tree.Top(*(np.asarray(nodes.column(c)) for c in ("sub", "bit", "prefix", "a", "b", "log_w")))
     sent = made.sparkSession.sparkContext.broadcast(top)
 
@@ -184,8 +185,8 @@ def scored_contexts(made: DataFrame) -> DataFrame:
         for batch in batches:
             if batch.num_rows:
                 key = np.asarray(batch.column("key"))
-                p = np.asarray(batch.column("p").flatten()).reshape(-1, 8).T
-                near = (key >> (8 * DEPTH)) & 255
+                p = np.asarray(batch.column("p").flatten()).astype(np.float64).reshape(-1, 8).T
+                near = (key >> (8 * (DEPTH - 1))) & 0xFFFF
                 yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("n"), pa.array(sent.value.mixed(near, key & 255, p) / np.log(10))], ["key", "n", "lp"])
 
     return made.where("p IS NOT NULL").select("key", "n", "p").mapInArrow(run, "key bigint, n bigint, lp double")
