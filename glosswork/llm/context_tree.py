@@ -15,7 +15,7 @@ from __future__ import annotations
 
 import numpy as np
 
-DEPTH = 7  # with the byte that follows a context fills 64 bits
+DEPTH = 6
 _TABLE = 1 << 16
 _half: np.ndarray | None = None
 
@@ -104,9 +104,9 @@ def weighted(tree: list[tuple[Level, np.ndarray]]) -> tuple[list[list[np.ndarray
             deep, deep_run = below[k], tree[i - 1][0].bits[k][0]
             first = np.flatnonzero(np.concatenate(([True], deep_run[1:] != deep_run[:-1]))) if len(deep_run) else np.zeros(0, np.int64)
             kids = np.bincount(run[up_below[first]], weights=deep, minlength=len(own))
-            top = np.logaddexp(own, kids)
-            stops.append(np.exp(own - top))
-            now.append(top - np.log(2.0))
+            top, stopping = _weight(own, kids)
+            stops.append(stopping)
+            now.append(top)
         stop.append(stops)
         below, up_below = now, up
     return stop, below
@@ -135,6 +135,12 @@ def mixed_bits(tree, stop) -> np.ndarray:
     return p
 
 
+def _weight(own: np.ndarray, kids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """ln of the nodes' weighted probabilities, and the posterior weight of stopping there."""
+    top = np.logaddexp(own, kids)
+    return top - np.log(2.0), np.exp(own - top)
+
+
 class Top:
     """The nodes of the two nearest bytes and above, from the summed roots of the subtrees below: sorted arrays over
     (two bytes, bit, bits so far) of nodes that are there, and dense ones over (nearest byte, bit, bits so far),
@@ -145,21 +151,18 @@ class Top:
         order = np.argsort(name)
         self.name, self.a2, self.b2 = name[order], a[order], b[order]
         own = kt_block(self.a2, self.b2)
-        top = np.logaddexp(own, log_w[order])
-        self.stop2 = np.exp(own - top)
-        log_w = top - np.log(2.0)
+        log_w, self.stop2 = _weight(own, log_w[order])
         shape, n = (256, 8, 128), 256 * 8 * 128
         at = (self.name >> 18) << 10 | (self.name & 1023)
         total = lambda x: np.bincount(at, weights=x, minlength=n).reshape(shape)
         self.a1, self.b1, kids = total(self.a2.astype(np.float64)), total(self.b2.astype(np.float64)), total(log_w)
         own = kt_block(self.a1.astype(np.int64), self.b1.astype(np.int64))
-        top = np.logaddexp(own, kids)
-        self.stop1 = np.exp(own - top)
+        top, self.stop1 = _weight(own, kids)
         self.a0, self.b0 = self.a1.sum(axis=0), self.b1.sum(axis=0)
         own = kt_block(self.a0.astype(np.int64), self.b0.astype(np.int64))
         there = np.bincount(at, minlength=n).reshape(shape) > 0
-        kids = (top - np.log(2.0)).sum(axis=0, where=there)
-        self.stop0 = np.exp(own - np.logaddexp(own, kids))
+        kids = top.sum(axis=0, where=there)
+        self.stop0 = _weight(own, kids)[1]
 
     def mixed(self, near: np.ndarray, byte: np.ndarray, p: np.ndarray) -> np.ndarray:
         """ln of the bytes' probabilities after the two nearest bytes, from the bits' probabilities p (8, n) at the

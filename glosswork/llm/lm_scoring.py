@@ -33,6 +33,7 @@ NEAR = 3  # nearest bytes that name a subtree
 COUNT_BYTES = 16 << 20
 RUN_BYTES = 2 << 20
 KEPT_CONTEXTS = 1_000_000
+SUBTREES_KEYS = 200_000
 SENT_WORDS = 500_000
 SENT_CONTEXTS = 4_000_000
 SPACE, END = b" ", b"\n"
@@ -137,7 +138,7 @@ def subtrees(contexts: DataFrame) -> DataFrame:
     schema = "key bigint, n bigint, p array<float>, sub int, bit int, prefix int, a bigint, b bigint, log_w double"
     names = ["key", "n", "p", "sub", "bit", "prefix", "a", "b", "log_w"]
 
-    def made(sub: int, keys: list, ns: list) -> Iterator[pa.RecordBatch]:
+    def made(keys: list, ns: list) -> Iterator[pa.RecordBatch]:
         grams, n = _summed(np.concatenate(keys), np.concatenate(ns))
         grams = grams.view(np.uint64)
         levels = tree.levels(grams, n, DEPTH, NEAR)
@@ -154,21 +155,24 @@ def subtrees(contexts: DataFrame) -> DataFrame:
             run, _, a, b = last.bits[bit]
             first = np.flatnonzero(np.concatenate(([True], run[1:] != run[:-1])))
             prefix = ((last.grams[first] & np.uint64(255)) >> np.uint64(8 - bit)).astype(np.int32)
+            sub = (last.grams[first] >> np.uint64(8)).astype(np.int32)
             m = len(first)
-            yield pa.RecordBatch.from_arrays([pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.list_(pa.float32())), pa.array(np.full(m, sub, np.int32)), pa.array(np.full(m, bit, np.int32)), pa.array(prefix), pa.array(a), pa.array(b), pa.array(below[bit])], names)
+            yield pa.RecordBatch.from_arrays([pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.list_(pa.float32())), pa.array(sub), pa.array(np.full(m, bit, np.int32)), pa.array(prefix), pa.array(a), pa.array(b), pa.array(below[bit])], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, keys, ns = None, [], []
+        at, keys, ns, held = None, [], [], 0
         for batch in batches:
             for sub, key, n in zip(*(batch.column(c) for c in ("sub", "keys", "ns")), strict=True):
                 if sub.as_py() != at:
-                    if keys:
-                        yield from made(at, keys, ns)
-                    at, keys, ns = sub.as_py(), [], []
+                    at = sub.as_py()
+                    if held >= SUBTREES_KEYS:  # small subtrees are made together
+                        yield from made(keys, ns)
+                        keys, ns, held = [], [], 0
                 keys.append(np.cumsum(np.frombuffer(key.as_buffer(), np.int64)))
                 ns.append(np.frombuffer(n.as_buffer(), np.int32).astype(np.int64))
+                held += len(keys[-1])
         if keys:
-            yield from made(at, keys, ns)
+            yield from made(keys, ns)
 
     parts = int(contexts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = contexts.select(F.col("key").cast("int").alias("sub"), "keys", "ns")
