@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _OWN: list[str] = []
+_TABLES: list[str] = []
 
 
 def folder(spark: SparkSession) -> str:
@@ -45,14 +46,29 @@ def written(df: DataFrame, name: str) -> DataFrame:
         spark.conf.set(CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._written = path
+    _TABLES.append(path)
     return out
 
 
+def tables() -> int:
+    """How many tables `written` has made so far, for `sweep`."""
+    return len(_TABLES)
+
+
+def sweep(spark: SparkSession, since: int) -> None:
+    """Removes the tables made since `tables` gave that number; for when a result that reads them is stored itself."""
+    for path in _TABLES[since:]:
+        drop(spark, path)
+    del _TABLES[since:]
+
+
 def forget(df: DataFrame | None) -> None:
     """Removes the table of a frame that `written` returned; other frames are left alone. Nothing may read it again."""
     path = getattr(df, "_written", None)
     if path:
         drop(df.sparkSession, path)
+        if path in _TABLES:
+            _TABLES.remove(path)
 
 
 def place(spark: SparkSession, name: str) -> str:

@@ -637,21 +637,54 @@ def test_sharding(spark, docs, empty):
         sharding.lookup(shards, 100)
 
 
+def brute_kept(rows):
+    """Ids that the quality rules keep, of rows (id, text, lang, source, ...)."""
+    fails = {}
+    for i, t, _, source, *_ in rows:
+        w = words(t)
+        tri = Counter(zip(w, w[1:], w[2:]))
+        covered = {p for j in range(len(w) - 2) if tri[tuple(w[j : j + 3])] > 1 for p in (j, j + 1, j + 2)}
+        lines = [x for x in (t or "").split("\n") if words(x)]
+        fails[i] = source, {
+            "short": len(w) < 50, "repeats": 100 * len(covered) > 50 * len(w), "symbols": 100 * len(re.findall(r"[#*$%&|<>]", t or "")) > 10 * sum(map(len, w)),
+            "lines": 100 * (len(lines) - len(set(lines))) > 30 * len(lines),
+        }
+    verdicts = host_verdicts(list(fails.values()))
+    return {i for i, (h, f) in fails.items() if not (f["short"] or f["repeats"] or verdicts[h][0] or any(f[r] for r in verdicts[h][1]))}
+
+
 def test_pipeline(spark, tmp_path, corpus):
+    """The pipeline's rows against brute force for every stage; the shard by the operator's table."""
     import corpus_pipeline
+    from glosswork.llm.registry import MIX_WEIGHTS
 
     unique = list({row[0]: row for row in corpus}.values())
     spark.createDataFrame([row[:5] for row in unique], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     item = " ".join(words(corpus[12][1])[-15:])
     spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
-    out = {r["doc_id"] for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
-    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
-    good = {r["doc_id"] for r in quality_rules.judged(docs).where("kept").collect()}
-    classes = brute_components([row for row in unique if row[0] in good])
-    single = {c for _, c in classes.values()}
+    out = [r["doc_id"] for r in corpus_pipeline.run(spark, str(tmp_path)).collect()]
+    good = brute_kept(unique)
+    single = {c for _, c in brute_components([row for row in unique if row[0] in good]).values()}
     alnum = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
     w = alnum.findall(item.translate(LOWER))
     windows = {tuple(w[j : j + 10]) for j in range(len(w) - 9)}
     touched = {i for i, t, *_ in unique if any(tuple(x[j : j + 10]) in windows for x in [alnum.findall((t or "").translate(LOWER))] for j in range(len(x) - 9))}
-    left = single - touched
-    assert out <= left and 12 not in out and len(out) >= len(left) / 3
+    left = [row for row in unique if row[0] in single - touched]
+    number = lambda s: int((re.findall(r"[0-9]+", s or "") or ["0"])[0]) % 4
+    rows = [(i, t, f"domain{number(source)}", lang, source) for i, t, lang, source, *_ in left]
+    budget = int(corpus_pipeline.MIX_BUDGET * sum(len(words(r[1])) for r in rows))
+    weights = {k: v for level in MIX_WEIGHTS.values() for k, v in level.items()}
+    copies = brute_mix(rows, None, budget, weights, 1)
+    want = {i for (i, _), n in copies.items() if n}
+    assert len(out) == len(set(out)) and set(out) == want and 12 not in want and len(want) >= len(left) / 2
+
+
+def test_pipeline_on_empty_and_repeated_rows(spark, tmp_path, corpus):
+    import corpus_pipeline
+
+    kinds = "doc_id long, text string, lang string, source string, n_chars long"
+    for name, rows in (("empty", []), ("repeated", [corpus[0][:5]] * 2 + [corpus[9][:5], (None, corpus[10][1], None, None, None)])):
+        spark.createDataFrame(rows, kinds).write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/{name}/benchmark.parquet")
+        out = [r["doc_id"] for r in corpus_pipeline.run(spark, f"{tmp_path}/{name}").collect()]
+        assert set(out) <= {r[0] for r in rows} and (name != "empty" or not out)
