@@ -10,9 +10,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 from glosswork.llm import decontamination, mixing, ngram_join, quality_rules, sharding
 from glosswork.llm.registry import MIX_WEIGHTS, mix_levels
-from glosswork.llm.shared import place, table
+from glosswork.llm.shared import drop, place, sweep, table, tables
 
-#: The share of the remaining tokens that the mixture takes, each document once at most.
+#: The share of the remaining tokens that the mixture takes, each document once at most: a mixture needs room to choose,
+#: so a fifth of the tokens, those of the sources over their weights first, always goes.
 MIX_BUDGET = 0.8
 
 
@@ -56,11 +57,17 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents, each written as Parquet to the shared folder and reread."""
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for i, (_, stage) in enumerate(STAGES):
+        made = tables()
         docs = stage(spark, docs, sf_dir)
         if i < len(STAGES) - 1:
             path = place(spark, f"stage-{i}")
             docs.write.parquet(path)
             docs = spark.read.parquet(path)
+            # the stage's own tables and its input have served
+            sweep(spark, made)
+            if before:
+                drop(spark, before)
+            before = path
     return docs
