@@ -293,7 +293,8 @@ def fit(made: DataFrame, labels: DataFrame, good: Column, id_col: str = "doc_id"
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                z = [pa.array(linear.logits(*_unpacked(batch.column(c)))) for linear, c in zip(sent.value, ("words", "meta"), strict=True)]
+                # rounded, so that equal rows are equal wherever they stand in their batch, and ties go by the hash
+                z = [pa.array(np.round(linear.logits(*_unpacked(batch.column(c))), 9)) for linear, c in zip(sent.value, ("words", "meta"), strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("row"), *z], ["id", "row", "text", "meta"])
 
         z = made.select("id", "row", "words", "meta").mapInArrow(run, f"id {made.schema['id'].dataType.simpleString()}, row bigint, text double, meta double")
