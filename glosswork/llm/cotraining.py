@@ -280,7 +280,9 @@ def fit(made: DataFrame, labels: DataFrame, good: Column, id_col: str = "doc_id"
     n = max(1, made.select("id").join(marked, "id").count())  # the labelled rows
     unit = F.xxhash64(F.col("id").cast("string"), F.lit(SEED)).bitwiseAND(F.lit((1 << 30) - 1))
     marks = marked if n <= sample else written(marked.where(unit < int((1 << 30) * (sample / n))), "cotraining-labels")
-    got = made.join(small(marks, MOST_LABELS), "id").select("y", F.pmod(F.xxhash64(F.col("id").cast("string"), F.lit(SEED + 1)), F.lit(5)).cast("int").alias("fold"), "words", "meta").toArrow()
+    fold = F.pmod(F.xxhash64(F.col("id").cast("string"), F.lit(SEED + 1)), F.lit(5)).cast("int").alias("fold")
+    got = made.join(small(marks, MOST_LABELS), "id").select("id", "y", fold, "words", "meta").toArrow()
+    got = got.sort_by([(c, "ascending") for c in ("id", "words", "meta")])  # the fit stops early, so it depends on the order of its rows
     y, fold = (np.asarray(got.column(c)).astype(np.int64) for c in ("y", "fold"))
     taken = np.zeros(0, np.int64)
 
@@ -329,7 +331,8 @@ def scored(made: DataFrame, model: Model, id_col: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            p = [1 / (1 + np.exp(-np.clip(z, -40, 40))) for z in sent.value.score(_unpacked(batch.column("words")), _unpacked(batch.column("meta")))]
+            # rounded as in the rounds: the sums depend on a row's place in its batch in the last digits
+            p = [np.round(1 / (1 + np.exp(-np.clip(z, -40, 40))), 9) for z in sent.value.score(_unpacked(batch.column("words")), _unpacked(batch.column("meta")))]
             yield pa.RecordBatch.from_arrays([batch.column("id"), *[pa.array(x) for x in p]], ["id", "text_score", "meta_score", "score"])
 
     rows = made.select("id", "words", "meta")
