@@ -62,10 +62,12 @@ def definitions(queries: DataFrame, lexicon: DataFrame) -> DataFrame:
 
 
 def local_map(queries: DataFrame, lexicon: DataFrame) -> DataFrame:
-    """As `definitions`, in the lexicon's own order (by synset here), without empty texts, one row a synset."""
-    lex = bounded(lexicon.where("definition <> ''").select("form", F.col("pos").alias("ask"), "synset_id", "definition"))
-    rows = expanded(queries).join(lex, ["form", "ask"]).groupBy("query_id", "form", "pos", "synset_id").agg(F.max("definition").alias("definition"))
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("synset_id")) - 1
+    """As `definitions`, without empty texts and with one row a synset: in the place where the lexicon lists it
+    first, with the text that it lists last."""
+    lex = bounded(lexicon.where("definition <> ''").select("form", F.col("pos").alias("ask"), F.col("ord").alias("sense"), "synset_id", "definition"))
+    place = F.struct("turn", "sense")
+    rows = expanded(queries).join(lex, ["form", "ask"]).groupBy("query_id", "form", "pos", "synset_id").agg(F.min(place).alias("place"), F.max_by("definition", place).alias("definition"))
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("place", "synset_id")) - 1
     return rows.select("query_id", "form", "pos", rank.alias("ord"), "synset_id", "definition")
 
 

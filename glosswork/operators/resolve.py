@@ -10,6 +10,7 @@ from glosswork.operators import lexicon as L
 from glosswork.operators import scoring as S
 from glosswork.operators import tokens as T
 from glosswork.operators.prompts import NONE
+from glosswork.sources.readers import check_language
 
 DETAILS = ("description", "url")
 
@@ -41,8 +42,10 @@ def predictions(docs_tokens: DataFrame, lexicon: DataFrame, scorer: S.Scorer | N
     return S.choose(rows, ["doc_id", "form", "pos"])
 
 
-def disambiguate(docs: DataFrame, lexicon: DataFrame, scorer: S.Scorer | None = None) -> DataFrame:
-    """Every token; content words with candidates have a confidence, and a synset unless rejected."""
+def disambiguate(docs: DataFrame, lexicon: DataFrame, scorer: S.Scorer | None = None, language: str = "en") -> DataFrame:
+    """Every token; content words with candidates have a confidence, and a synset unless rejected. A language
+    that isn't supported is an error."""
+    check_language(language)
     tokens = T.tagged(T.base_tokens(docs), lexicon)
     chosen = predictions(tokens, lexicon, scorer)
     by_lemma = chosen.select("doc_id", F.col("form").alias("lemma"), F.when(~F.col("rejected"), F.col("synset_id")).alias("synset_id"), F.when(~F.col("rejected"), F.col("definition")).alias("synset_definition"), "confidence")

@@ -108,6 +108,18 @@ def array_softmax(logits: Column) -> Column:
     return F.transform(e, lambda x: x / F.aggregate(e, F.lit(0.0), lambda s, y: s + y))
 
 
+def pruned(weights: Column, ids: Column) -> Column:
+    """The rows of a decoder's weights (or the entries of its bias) at the letters' token ids, in the letters' order; an
+    id without a row is an error."""
+    return F.transform(ids, lambda i: F.element_at(weights, i.cast("int") + 1))
+
+
+def letter_logits(hidden: Column, weights: Column, bias: Column) -> Column:
+    """The letters' logits of a mask's hidden state: a dot product with each pruned row, plus its bias."""
+    dot = lambda row: F.aggregate(F.zip_with(hidden, row, lambda x, y: x.cast("double") * y), F.lit(0.0), lambda s, x: s + x)
+    return F.zip_with(weights, bias, lambda row, b: dot(row) + b)
+
+
 def choice_slice(p: Column, n: Column) -> Column:
     """The probabilities of the n options and of the reject option, out of all letters'."""
     return F.concat(F.slice(p, F.lit(1), n), F.array(F.get(p, F.lit(REJECT))))

@@ -54,8 +54,8 @@ CTE = {
       (SELECT q.form, q.pos, synset_id, definition, turn, l.ord FROM askede q JOIN ask USING (pos) JOIN lex l ON l.form = q.form AND l.pos = ask.ask) GROUP BY ALL),
     judged AS (SELECT e.*, predicted, predicted = synset_id AS correct, synset_id || '/' || form AS key FROM examples e JOIN best USING (form, pos)),
     numbered AS (SELECT *, row_number() OVER (ORDER BY key) - 1 AS idx FROM judged)""",
-    "local": """local AS (SELECT query_id, form, pos, row_number() OVER (PARTITION BY query_id ORDER BY synset_id) - 1 AS ord, synset_id, definition FROM
-      (SELECT query_id, q.form, q.pos, synset_id, max(definition) AS definition FROM asked q JOIN ask USING (pos) JOIN lex l ON l.form = q.form AND l.pos = ask.ask WHERE definition <> '' GROUP BY ALL))""",
+    "local": """local AS (SELECT query_id, form, pos, row_number() OVER (PARTITION BY query_id ORDER BY place, synset_id) - 1 AS ord, synset_id, definition FROM
+      (SELECT query_id, q.form, q.pos, synset_id, min(row(turn, l.ord)) AS place, arg_max(definition, row(turn, l.ord)) AS definition FROM asked q JOIN ask USING (pos) JOIN lex l ON l.form = q.form AND l.pos = ask.ask WHERE definition <> '' GROUP BY ALL))""",
     "gaz": rf"""two AS (SELECT item_id, regexp_extract_all(text, '{W}+') AS w FROM benchmark),
     gaz AS (SELECT lower(label) AS label, min(id) AS id FROM (SELECT concat_ws(' ', w[1], w[2]) AS label, item_id AS id FROM two UNION ALL SELECT w[1], item_id + 1000000 FROM two)
       WHERE label IS NOT NULL AND label <> '' GROUP BY lower(label))""",
@@ -139,10 +139,10 @@ SQL = {
     "bucket_padding": sql("conv", "SELECT idx // 4 AS bucket, count(*) AS n, (count(*) * max(len) - sum(len))::bigint AS padding FROM conv GROUP BY 1"),
     "seeded_shuffle": "SELECT item_id, row_number() OVER (ORDER BY md5('42:' || item_id), item_id) - 1 AS idx FROM benchmark",
     "random_offsets": sql("lex", "SELECT form, pos, ('0x' || substr(md5('42:' || form || ':' || pos), 1, 8))::bigint % (128 - count(*)) AS \"offset\" FROM lex GROUP BY form, pos"),
-    "eval_examples": sql("lex ask marks examples asked local", f"""SELECT e.synset_id, e.form, substr('{ABC}', (place + 1)::int, 1) AS answer, md5('What is the meaning of *' || e.form || '* in this sentence?' || chr(10) || chr(10) || 'Sentence: ' || marked || chr(10) || chr(10) || txt || chr(10) || '{LETTERS[REJECT]}. {NONE}' || chr(10) || chr(10) || 'Answer: [unused0] [MASK]') AS prompt_md5
-      FROM (SELECT e.*, g.ord AS place FROM examples e JOIN (SELECT q.form, q.pos, l.synset_id, row_number() OVER (PARTITION BY q.form, q.pos ORDER BY l.synset_id) - 1 AS ord FROM (SELECT DISTINCT form, pos FROM examples) q JOIN ask USING (pos) JOIN lex l ON l.form = q.form AND l.pos = ask.ask) g
+    "eval_examples": sql("lex ask marks examples split", f"""SELECT e.synset_id, e.form, substr('{ABC}', (place + 1)::int, 1) AS answer, md5('What is the meaning of *' || e.form || '* in this sentence?' || chr(10) || chr(10) || 'Sentence: ' || marked || chr(10) || chr(10) || txt || chr(10) || '{LETTERS[REJECT]}. {NONE}' || chr(10) || chr(10) || 'Answer: [unused0] [MASK]') AS prompt_md5
+      FROM (SELECT e.*, g.ord AS place FROM (SELECT x.* FROM examples x JOIN parts p ON p.synset_id = x.synset_id AND part = 'eval') e JOIN (SELECT q.form, q.pos, l.synset_id, row_number() OVER (PARTITION BY q.form, q.pos ORDER BY turn, l.ord) - 1 AS ord FROM (SELECT DISTINCT form, pos FROM examples) q JOIN ask USING (pos) JOIN lex l ON l.form = q.form AND l.pos = ask.ask) g
         ON g.form = e.form AND g.pos = e.pos AND g.synset_id = e.synset_id) e JOIN
-      (SELECT form, pos, string_agg(substr('{ABC}', (ord + 1)::int, 1) || '. ' || definition, chr(10) ORDER BY ord) AS txt FROM (SELECT q.form, q.pos, definition, row_number() OVER (PARTITION BY q.form, q.pos ORDER BY l.synset_id) - 1 AS ord FROM (SELECT DISTINCT form, pos FROM examples) q JOIN ask USING (pos) JOIN lex l ON l.form = q.form AND l.pos = ask.ask) GROUP BY ALL HAVING count(*) <= {REJECT}) t
+      (SELECT form, pos, string_agg(substr('{ABC}', (ord + 1)::int, 1) || '. ' || definition, chr(10) ORDER BY ord) AS txt FROM (SELECT q.form, q.pos, definition, row_number() OVER (PARTITION BY q.form, q.pos ORDER BY turn, l.ord) - 1 AS ord FROM (SELECT DISTINCT form, pos FROM examples) q JOIN ask USING (pos) JOIN lex l ON l.form = q.form AND l.pos = ask.ask) GROUP BY ALL HAVING count(*) <= {REJECT}) t
       ON t.form = e.form AND t.pos = e.pos"""),
     "group_by_synset": sql("lex marks examples", "SELECT synset_id, string_agg(form, ' ' ORDER BY form) AS forms, count(*) AS n FROM examples GROUP BY ALL"),
     "sentence_rebuild": "SELECT doc_id, md5(text) AS text_md5 FROM documents",
@@ -161,7 +161,10 @@ SQL = {
     "skip_list": sql("lex", "SELECT DISTINCT form FROM lex WHERE pos = 'v'"),
     "pending_forms": sql("lex", "SELECT DISTINCT form FROM lex WHERE form NOT IN (SELECT form FROM lex WHERE pos IN ('v', 'r'))"),
     "generate_gate": sql("lex", "SELECT form, CASE WHEN count(*) > 1 THEN 'generate' ELSE 'skip' END AS gate FROM lex GROUP BY form"),
-    "training_directory": sql("lex", "SELECT synset_id AS id, pos, md5(definition) AS source_md5, 3::bigint AS examples FROM lex"),
+    "training_directory": sql("lex words", "SELECT word, ord, id, pos, md5(source_definition) AS source_md5, len(examples) AS examples FROM words"),
+    "lexicon_table": sql("lex", "SELECT form, pos, ord, synset_id, definition FROM lex"),
+    "service_lexicon": sql("lex", """SELECT form, pos, ord, synset_id, definition FROM (SELECT form, pos, ('0x' || substr(md5('7:' || form), 1, 8))::bigint % 40 AS batch_id,
+      row_number() OVER (PARTITION BY form ORDER BY synset_id) - 1 AS ord, synset_id, definition FROM lex WHERE pos = 'n') WHERE batch_id % 5 <> 0 AND batch_id % 7 <> 0"""),
     "greedy_spans": sql("tok gaz spans greedy", "SELECT * FROM greedy"),
     "health": "SELECT 'ok' AS status",
     "resolve_array_form": sql(RESOLVE, "SELECT doc_id, form, pos, CASE WHEN NOT rejected THEN synset_id END AS synset_id, confidence FROM pred"),

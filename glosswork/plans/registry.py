@@ -297,7 +297,8 @@ def random_offsets(spark, d):
 @query
 def eval_examples(spark, d):
     lexicon = lex(spark, d)
-    rows = C.eval_examples(C.examples(lexicon), lexicon)
+    held = C.split(C.examples(lexicon), N_EVAL).where("part = 'eval'").drop("part")
+    rows = C.eval_examples(held, lexicon)
     return rows.select("synset_id", "form", "answer", F.md5("prompt").alias("prompt_md5"))
 
 
@@ -382,6 +383,13 @@ def batch_reply(spark, d):
     return readers.batch_reply(replies(spark, d)).select("batch_id", "query", "ord", "synset_id", "definition")
 
 
+@query
+def service_lexicon(spark, d):
+    forms = lex(spark, d).where("pos = 'n'").select("form").distinct().withColumn("batch_id", X.number(X.key(7, F.col("form")), 40))
+    asked = forms.groupBy("batch_id").agg(F.array_sort(F.collect_list("form")).alias("x")).select("batch_id", F.posexplode("x").alias("query", "form"))
+    return readers.lexicon_of(asked.withColumn("pos", F.lit("n")), replies(spark, d))
+
+
 @query
 def synset_payload(spark, d):
     item = F.struct(F.lit("synset").alias("type"), F.col("synset_id").alias("id"), F.col("pos").alias("pos"), F.col("definition").alias("definition"), F.lit("x").alias("links"))
@@ -440,13 +448,15 @@ _OWN: list = []
 @query
 def training_directory(spark, d):
     path = f"{_folder(spark)}/words-{uuid.uuid4().hex}"
-    rows = words(spark, d)
-    item = F.struct("id", "pos", "source_definition", "alternative_definition", "examples")
-    lines = rows.groupBy("word").agg(F.array_sort(F.collect_list(F.struct("ord", item.alias("s")))).alias("x"))
-    # one file a word: the folder's name would be the word, so the word goes through the path of each task's file
-    lines.select(F.to_json(F.transform("x", lambda x: x["s"])).alias("value")).write.text(path)
-    files = spark.read.option("wholetext", False).text(path)
-    return files.select(F.explode(F.from_json("value", readers.TRAINING)).alias("s")).select("s.id", "s.pos", F.md5("s.source_definition").alias("source_md5"), F.size("s.examples").alias("examples"))
+    sinks.write_words(words(spark, d), path)
+    return readers.training_words(spark, path).select("word", "ord", "id", "pos", F.md5("source_definition").alias("source_md5"), F.size("examples").alias("examples"))
+
+
+@query
+def lexicon_table(spark, d):
+    path = f"{_folder(spark)}/lexicon-{uuid.uuid4().hex}"
+    lex(spark, d).withColumn("comment", F.lit("other columns are left out")).write.parquet(path)
+    return readers.lexicon(spark, path)
 
 
 @query
