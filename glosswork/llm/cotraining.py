@@ -106,18 +106,26 @@ class Linear:
             rate = np.average(y, weights=weight)
             self.bias = float(np.log(rate / (1 - rate)))
         n, total = np.diff(bounds), weight.sum()
+        # features that no row has and whose weight is 0 stay at 0, so the steps are taken over the others alone
+        there = self.w != 0
+        there[idx] = True
+        used = np.flatnonzero(there)
+        place = np.zeros(self.size, np.int32)
+        place[used] = np.arange(len(used))
+        idx = place[idx]
+        few = Linear(len(used), self.w[used], self.bias)
 
         def at(x: np.ndarray) -> tuple[float, np.ndarray]:
-            self.w, self.bias = x[:-1], x[-1]
-            z = self.logits(bounds, idx)
-            loss = (weight * (np.logaddexp(0, z) - y * z)).sum() / total + decay / 2 * (self.w**2).sum()
+            few.w, few.bias = x[:-1], x[-1]
+            z = few.logits(bounds, idx)
+            loss = (weight * (np.logaddexp(0, z) - y * z)).sum() / total + decay / 2 * (few.w**2).sum()
             err = weight * (1 / (1 + np.exp(-np.clip(z, -40, 40))) - y) / total
-            grad = decay * self.w
+            grad = decay * few.w
             for a, b in _blocks(len(n)):
-                grad += np.bincount(idx[bounds[a] : bounds[b]], weights=np.repeat(err[a:b], n[a:b]), minlength=self.size)
+                grad += np.bincount(idx[bounds[a] : bounds[b]], weights=np.repeat(err[a:b], n[a:b]), minlength=few.size)
             return loss, np.append(grad, err.sum())
 
-        x = np.append(self.w, self.bias)
+        x = np.append(few.w, few.bias)
         f, g = at(x)
         past: list[tuple[np.ndarray, np.ndarray]] = []
         for _ in range(steps):
@@ -144,7 +152,8 @@ class Linear:
             x, small_gain, f, g = x + size * d, f - f2 < 1e-6 * abs(f), f2, g2
             if small_gain:
                 break
-        at(x)
+        self.w, self.bias = np.zeros(self.size), float(x[-1])
+        self.w[used] = x[:-1]
 
     def calibrate(self, z: np.ndarray, y: np.ndarray) -> None:
         """Platt scaling by damped Newton steps, with smoothed targets."""
