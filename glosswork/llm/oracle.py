@@ -104,5 +104,20 @@ run AS (SELECT *, sum(mix_tokens) OVER (PARTITION BY domain, lang, source ORDER
 SELECT doc_id, in_lang AS lang, in_source AS source, mix_tokens, (whole + (upto <= rest)::int)::int AS mix_copies FROM run"""
 
 
+OP11 = rf"""
+WITH t AS (SELECT doc_id, {T} AS t, regexp_extract_all({T}, '[^\n]*\n|[^\n]+') AS u, sha256('7:' || coalesce(doc_id::varchar, '')) AS h FROM documents),
+h AS (SELECT doc_id, t, u, len(u)::bigint AS n, [('0x' || substr(h, 8 * i + 1, 8))::bigint FOR i IN range(4)] AS h FROM t),
+cut AS (SELECT *, least(h[1] % (n + 1), h[2] % (n + 1)) AS a, greatest(h[1] % (n + 1), h[2] % (n + 1)) AS b,
+  CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h[3] % 100 >= 100 THEN 'plain' WHEN h[4] % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM h),
+part AS (SELECT *, array_to_string(u[1:a], '') AS pre, array_to_string(u[a + 1:b], '') AS mid, array_to_string(u[b + 1:], '') AS suf FROM cut)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(pre) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(mid) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256, sha256(t) AS restored_sha256 FROM part"""
+
+OP13 = """
+WITH p AS (SELECT page_id, strlen(coalesce(html, ''))::bigint AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+f AS (SELECT *, CASE WHEN payload_bytes >= 100 THEN min(page_id) OVER (PARTITION BY payload_digest) END AS first FROM p)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN first <> page_id THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN first <> page_id THEN first END AS refers_to FROM f"""
+
+
 def sql() -> dict[str, str]:
-    return {"op1_decontamination": OP1, "op2_ngram_join": OP2, "op3_quality_rules": _op3(), "op7_substring_dedup": OP7, "op8_mixing": _op8(), "op10_sharding": _op10()}
+    return {"op1_decontamination": OP1, "op2_ngram_join": OP2, "op3_quality_rules": _op3(), "op7_substring_dedup": OP7, "op8_mixing": _op8(), "op10_sharding": _op10(), "op11_fill_in_middle": OP11, "op13_warc": OP13}
