@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glosswork.llm import cotraining, decontamination, fill_middle, lm_scoring, mixing, ngram_join, oracle, quality_rules, sharding, substring_dedup, token_files, url_filters, warc
+from glosswork.llm import cotraining, decontamination, fill_middle, lm_scoring, mixing, ngram_join, oracle, quality_rules, sharding, substring_dedup, token_alignment, token_files, url_filters, warc
 from glosswork.llm.shared import table
 
 
@@ -83,6 +83,13 @@ def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return token_alignment.align(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"), digest=True)
+
+
 def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
 

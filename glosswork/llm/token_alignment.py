@@ -1,0 +1,309 @@
+"""Alignment of two tokenizers' tokens by the bytes at which both end.
+
+Neither tokenizer ever joins what stands on both sides of a blank that follows another character, so texts are cut there into
+pieces (a slice of texts numbers its distinct pieces), and each distinct piece of the corpus is aligned once, in plain Spark: its
+tokens are exploded, their ends are windowed sums of lengths, tokens of both sides are joined on piece and end, running counts of the
+common ends number the groups, and the groups of both sides are joined. What a piece says of links is weighted by its
+occurrences. Last, each slice gets its pieces' results back and strings them together for its documents.
+
+A tokenizer pair for which the cut isn't safe (it is judged by pattern and vocabulary) gets whole texts as pieces.
+"""
+
+from __future__ import annotations
+
+import hashlib
+import json
+import os
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from glosswork.llm.shared import drop, forget, place, small, written
+from glosswork.llm.words import plain, slices
+
+SLICE_BYTES = 32 << 20
+ENCODED = 2000  # pieces that go to a tokenizer at once
+MOST_PAIRS = 500_000  # pairs of ids that may be broadcast
+SALT = 16
+NUMBERS = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")
+SPACE = "▁"
+
+
+def byte_letters() -> dict[str, int]:
+    """The letters that stand for bytes in byte-level vocabularies: printable ones for themselves, others from 256 on."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in set(shown)]
+    return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
+
+
+class First:
+    """A byte-level tokenizer's file: ids of texts as they stand, special tokens being plain text."""
+
+    def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
+        from tokenizers import Tokenizer
+
+        self.model = Tokenizer.from_file(path)
+        self.model.encode_special_tokens = True
+        letters = byte_letters()
+        self.bytes = {i: bytes(letters[c] for c in token) for token, i in self.model.get_vocab().items() if all(c in letters for c in token)}
+
+    def __call__(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
+
+
+class Second:
+    """A piece model: it puts a blank before a text, which a line feed in front, whose tokens are taken off again, keeps
+    away from what follows."""
+
+    def __init__(self, path: str):
+        from sentencepiece import SentencePieceProcessor
+
+        self.model = SentencePieceProcessor(model_file=path)
+        of = self.model
+        self.bytes = {i: bytes([int(of.id_to_piece(i)[3:5], 16)]) if of.is_byte(i) else of.id_to_piece(i).replace(SPACE, " ").encode() for i in range(of.get_piece_size())}
+        self.front = of.encode("\n")
+
+    def __call__(self, texts: list[str]) -> list[list[int]]:
+        n = len(self.front)
+        out = self.model.encode([f"\n{t}" for t in texts], num_threads=1)
+        if any(x[:n] != self.front for x in out):
+            raise ValueError("the piece model joins a line feed with what follows")
+        return [x[n:] for x in out]
+
+
+def can_cut(first: str, second: str) -> bool:
+    """Whether no token of either has a blank or a line feed after another character, and texts are taken as they stand."""
+    with open(first, encoding="utf-8") as f:
+        spec = json.load(f)
+    split = spec.get("pre_tokenizer") or {}
+    if spec.get("normalizer") or split.get("type") != "ByteLevel" or not split.get("use_regex", True) or split.get("add_prefix_space"):
+        return False
+    model = Second(second)
+    text = "  a b  \n\tc  é … ﬁ Ａ "
+    if b"".join(model.bytes[i] for i in model([text])[0]) != text.encode():
+        return False
+    names = (model.model.id_to_piece(i) for i in range(model.model.get_piece_size()) if not model.model.is_byte(i))
+    return not any("\n" in x or " " in x or SPACE in x.lstrip(SPACE) for x in names)
+
+
+def cuts(data: np.ndarray) -> np.ndarray:
+    """Places in UTF-8 at which a blank or a line feed follows a character that is no white space."""
+    at = np.flatnonzero((data == 32) | (data == 10))
+    at = at[at > 0]
+    last = data[at - 1]
+    ok = (last > 32) & (last < 127)
+    two, three = data[np.maximum(at - 2, 0)], data[np.maximum(at - 3, 0)]
+    wide = last >= 128
+    # other white space ends in C2 85, C2 A0, E1 9A x, E2 80 x, E2 81 x or E3 80 x
+    odd = ((two == 0xC2) & ((last == 0x85) | (last == 0xA0))) | (((three == 0xE1) | (three == 0xE2) | (three == 0xE3)) & ((two == 0x9A) | (two == 0x80) | (two == 0x81)))
+    return at[ok | (wide & ~odd)]
+
+
+def _pieces(texts: pa.Array, cut: bool) -> tuple[np.ndarray, pa.Array, np.ndarray]:
+    """Bounds (rows + 1) into the pieces, which are a dictionary and numbers into it. A blank is put before each text;
+    an empty text has no pieces."""
+    texts = plain(texts)
+    spaced = pc.binary_join_element_wise(pa.scalar(" ", pa.large_string()), texts, pa.scalar("", pa.large_string()))
+    spaced = pc.if_else(pc.equal(pc.binary_length(texts), 0), pa.scalar("", pa.large_string()), spaced)
+    _, offsets, body = spaced.buffers()
+    starts = np.frombuffer(offsets, np.int64)[spaced.offset : spaced.offset + len(spaced) + 1]
+    data = np.frombuffer(body, np.uint8)[: starts[-1]] if body is not None else np.zeros(0, np.uint8)
+    edges = np.union1d(cuts(data), starts) if cut else np.unique(starts)
+    bounds = np.searchsorted(edges, starts)
+    values = pa.LargeStringArray.from_buffers(len(edges) - 1, pa.py_buffer(edges.astype(np.int64)), body if body is not None else pa.py_buffer(b""))
+    coded = values.dictionary_encode()
+    return bounds, coded.dictionary, np.asarray(coded.indices).astype(np.int32)
+
+
+def _sliced(docs: DataFrame, first: str, second: str, id_col: str, text_col: str) -> str:
+    """Writes each slice's documents (the numbers of their pieces) and distinct pieces; gives the path."""
+    rows = docs.select(F.col(id_col).alias("doc"), F.col(text_col).cast("string").alias("text"), F.monotonically_increasing_id().alias("row"))
+    kind = rows.schema["doc"].dataType.simpleString()
+    names = ["kind", "slice", "doc", "codes", "code", "piece", "n"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cut = None
+        for batch in batches:
+            for part in slices(batch, "text", SLICE_BYTES):
+                cut = can_cut(first, second) if cut is None else cut
+                bounds, distinct, codes = _pieces(part.column("text"), cut)
+                here = part.column("row")[0].as_py()
+                body = codes.astype("<i4").tobytes()
+                of_docs = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(bounds) - 1, [None, pa.py_buffer(4 * bounds.astype(np.int64)), pa.py_buffer(body)])
+                for i in range(0, part.num_rows, 1000):
+                    m = min(1000, part.num_rows - i)
+                    yield pa.RecordBatch.from_arrays([pa.array(["docs"] * m), pa.array([here] * m, pa.int64()), part.column("doc").slice(i, m), of_docs.slice(i, m).cast(pa.binary()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.string()), pa.nulls(m, pa.int64())], names)
+                count = np.bincount(codes, minlength=len(distinct))
+                for i in range(0, len(distinct), 20_000):
+                    some = distinct.slice(i, 20_000)
+                    m = len(some)
+                    yield pa.RecordBatch.from_arrays([pa.array(["pieces"] * m), pa.array([here] * m, pa.int64()), pa.nulls(m, part.column("doc").type), pa.nulls(m, pa.binary()), pa.array(np.arange(i, i + m), pa.int32()), some.cast(pa.string()), pa.array(count[i : i + m], pa.int64())], names)
+
+    path = place(docs.sparkSession, "slices")
+    rows.mapInArrow(run, f"kind string, slice bigint, doc {kind}, codes binary, code int, piece string, n bigint").write.partitionBy("kind").option("compression", "zstd").parquet(path)
+    return path
+
+
+def encoded(pieces: DataFrame, first: str, second: str) -> DataFrame:
+    """key, piece, n with both sides' ids and byte lengths, and whether both sides' bytes are the piece."""
+    kinds = "key bigint, piece string, n bigint, ok boolean, a array<int>, a_len array<int>, b array<int>, b_len array<int>"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sides = None
+        for batch in batches:
+            sides = sides or (First(first), Second(second))
+            for i in range(0, batch.num_rows, ENCODED):
+                part = batch.slice(i, ENCODED)
+                texts = part.column("piece").to_pylist()
+                ok, out = [True] * len(texts), []
+                for side in sides:
+                    names = side.bytes
+                    ids = side(texts)
+                    said = [[names.get(x, b"") for x in one] for one in ids]
+                    ok = [good and b"".join(x) == t.encode() for good, x, t in zip(ok, said, texts, strict=True)]
+                    out += [pa.array(ids, pa.list_(pa.int32())), pa.array([list(map(len, x)) for x in said], pa.list_(pa.int32()))]
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("key", "piece", "n")), pa.array(ok), *out], ["key", "piece", "n", "ok", "a", "a_len", "b", "b_len"])
+
+    return pieces.mapInArrow(run, kinds)
+
+
+def tokens(pieces: DataFrame, side: str) -> DataFrame:
+    """key, end (bytes from the piece's start) and id of one side's tokens."""
+    rows = pieces.where("ok").select("key", F.posexplode(F.arrays_zip(F.col(side).alias("id"), F.col(f"{side}_len").alias("len"))).alias("pos", "t"))
+    upto = Window.partitionBy("key").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    return rows.select("key", F.col("t.id").alias(f"{side}_id"), F.sum("t.len").over(upto).alias("end"))
+
+
+def grouped(own: DataFrame, other: DataFrame, side: str, more: list[Column]) -> DataFrame:
+    """The groups of one side: a token's group is the number of common ends before its own end."""
+    to = "b" if side == "a" else "a"
+    before = Window.partitionBy("key").orderBy("end").rowsBetween(Window.unboundedPreceding, -1)
+    cut = F.col(f"{to}_id").isNotNull().cast("int")
+    rows = own.join(other, ["key", "end"], "left").withColumn("part", F.coalesce(F.sum(cut).over(before), F.lit(0)))
+    ids = F.transform(F.array_sort(F.collect_list(F.struct("end", f"{side}_id"))), lambda x: x[f"{side}_id"].cast("string"))
+    return rows.groupBy("key", "part").agg(F.array_join(ids, ",").alias(f"{side}_ids"), F.count(F.lit(1)).alias(f"{side}_n"), *more)
+
+
+def aligned_pieces(pieces: DataFrame) -> DataFrame:
+    """key, piece, n, n_a, n_b, groups (each with a semicolon after it) and links (a's id times 2 to the 32nd, plus b's) of the pieces;
+    where the bytes of a side differ all of these are null."""
+    dealt = pieces.repartition(F.col("key"))
+    a, b = tokens(dealt, "a"), tokens(dealt, "b")
+    # the last token of a group is the one that ends with the other side's
+    link = F.max(F.shiftleft(F.col("a_id").cast("long"), 32) + F.col("b_id")).alias("link")
+    both = grouped(a, b, "a", [link]).join(grouped(b, a, "b", []), ["key", "part"])
+    items = F.array_sort(F.collect_list(F.struct("part", F.concat("a_ids", F.lit("|"), "b_ids", F.lit(";")).alias("s"), "link")))
+    out = both.groupBy("key").agg(F.sum("a_n").alias("n_a"), F.sum("b_n").alias("n_b"), items.alias("x"))
+    out = out.select("key", "n_a", "n_b", F.array_join(F.transform("x", lambda x: x["s"]), "").alias("groups"), F.transform("x", lambda x: x["link"]).alias("links"))
+    return dealt.select("key", "piece", "n").join(out, "key", "left")
+
+
+def pair_counts(aligned: DataFrame) -> DataFrame:
+    """link (a pair of ids), count (its links in the whole corpus) and best (whether no pair of its b id has more)."""
+    counts = aligned.select("n", F.explode("links").alias("link")).groupBy("link").agg(F.sum("n").alias("count"))
+    best = Window.partitionBy(F.col("link").bitwiseAND(0xFFFFFFFF))
+    return counts.withColumn("best", F.col("count") == F.max("count").over(best))
+
+
+def _scored(aligned: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pieces with their numbers of best links and their sums of counts."""
+    links = aligned.select("key", F.explode("links").alias("link"))
+    few = small(pairs, MOST_PAIRS)
+    if few is pairs:  # a pair may hold a great part of the links
+        links = links.withColumn("salt", F.col("key") % SALT)
+        few = pairs.withColumn("salt", F.explode(F.array(*[F.lit(i).cast("long") for i in range(SALT)])))
+    sums = links.join(few, [c for c in links.columns if c in few.columns]).groupBy("key").agg(F.count_if("best").alias("n_best"), F.sum("count").alias("count_sum"))
+    n = F.size("links").cast("long")
+    return aligned.join(sums, "key").select("piece", "n_a", "n_b", n.alias("n_groups"), n.alias("n_links"), "n_best", "count_sum", "groups")
+
+
+def align(docs: DataFrame, first: str, second: str, digest: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Each document's id, the columns of NUMBERS, and `groups` (its groups' ids as a1,a2|b1;a3|b2), or with `digest` the SHA-256 of
+    these in `groups_sha256`. first: a byte-level tokenizer's file, second: a piece model's.
+
+    Defined cases: a null or empty text, and one that either side doesn't give back byte by byte, has zeros and an empty
+    string; ties for the highest count are all best; rows of one id are aligned and counted each by itself; other columns of docs are
+    left out, whatever their names; an empty table gives no rows.
+    """
+    spark = docs.sparkSession
+    path = _sliced(docs, first, second, id_col, text_col)
+    kind = docs.schema[id_col].dataType.simpleString()
+    whole = spark.read.schema(f"slice bigint, doc {kind}, codes binary, code int, piece string, n bigint, kind string")  # each read has columns of its own
+    of_docs = whole.parquet(path).where("kind = 'docs'").select("slice", "doc", "codes")
+    of_pieces = whole.parquet(path).where("kind = 'pieces'").select("slice", "code", "piece", "n")
+    distinct = of_pieces.groupBy("piece").agg(F.sum("n").alias("n")).select(F.monotonically_increasing_id().alias("key"), "piece", "n")
+    coded = written(encoded(distinct, first, second), "coded")
+    pieces = coded
+    if not (bad := coded.where("NOT ok")).isEmpty():  # their documents have no tokens, so what else these hold isn't counted
+        fewer = of_pieces.join(_lost(of_docs, of_pieces.join(bad.select("piece"), "piece")), ["slice", "code"]).groupBy("piece").agg(F.sum("lost").alias("lost"))
+        pieces = coded.join(fewer, "piece", "left").withColumn("n", F.col("n") - F.coalesce("lost", F.lit(0))).drop("lost")
+    before = spark.conf.get(_SUBSET)
+    spark.conf.set(_SUBSET, "false")  # what is dealt by piece can be joined on piece and end without being dealt again
+    try:
+        aligned = written(aligned_pieces(pieces), "aligned")
+    finally:
+        spark.conf.set(_SUBSET, before)
+    forget(coded)
+    pairs = written(pair_counts(aligned), "pairs")
+    results = written(_scored(aligned, pairs), "scored")
+    forget(aligned)
+    forget(pairs)
+    back = written(of_pieces.select("slice", "code", "piece").join(results, "piece", "left").drop("piece"), "results")
+    forget(results)
+    drop(spark, f"{path}/kind=pieces")
+    return _strung(of_docs, back, kind, digest, id_col)
+
+
+_SUBSET = "spark.sql.requireAllClusterKeysForCoPartition"
+
+
+def _lost(of_docs: DataFrame, bad: DataFrame) -> DataFrame:
+    """slice, code and lost: how often each piece stands in documents that hold a bad one."""
+
+    def run(key: tuple, docs: pa.Table, pieces: pa.Table) -> pa.Table:
+        codes = np.asarray(pieces.column("code"))
+        held = [np.frombuffer(x or b"", "<i4") for x in (docs.column("codes").to_pylist() if len(codes) else [])]
+        held = [x for x in held if np.isin(x, codes).any()]
+        code, n = np.unique(np.concatenate([np.zeros(0, "<i4"), *held]), return_counts=True)
+        return pa.table({"slice": pa.array([key[0].as_py()] * len(code), pa.int64()), "code": pa.array(code, pa.int32()), "lost": pa.array(n, pa.int64())})
+
+    return of_docs.select("slice", "codes").groupBy("slice").cogroup(bad.select("slice", "code").groupBy("slice")).applyInArrow(run, "slice bigint, code int, lost bigint")
+
+
+def _strung(of_docs: DataFrame, results: DataFrame, kind: str, digest: bool, id_col: str) -> DataFrame:
+    """Puts the results of each slice's pieces together for its documents."""
+
+    def run(docs: pa.Table, pieces: pa.Table) -> pa.Table:
+        n = pieces.num_rows
+        place_of = np.empty(n, np.int64)
+        place_of[np.asarray(pieces.column("code"))] = np.arange(n)
+        column = lambda c: np.asarray(pc.fill_null(pieces.column(c), 0)).astype(np.int64)
+        numbers = np.stack([column(c) for c in NUMBERS]) if n else np.zeros((len(NUMBERS), 0), np.int64)
+        good = np.asarray(pc.is_valid(pieces.column("groups")), bool) if n else np.zeros(0, bool)
+        groups = plain(pieces.column("groups")).cast(pa.large_binary()) if n else pa.array([], pa.large_binary())
+        ids, sums, texts = [], [], []
+        for batch in docs.to_batches():
+            for codes in batch.column("codes").to_pylist():
+                at = place_of[np.frombuffer(codes or b"", "<i4")]
+                whole = len(at) > 0 and bool(good[at].all())
+                sums.append(numbers[:, at].sum(1) if whole else np.zeros(len(NUMBERS), np.int64))
+                said = b""
+                if whole:
+                    taken = groups.take(pa.array(at))
+                    _, offsets, body = taken.buffers()
+                    offsets = np.frombuffer(offsets, np.int64)
+                    said = memoryview(body)[offsets[taken.offset] : offsets[taken.offset + len(taken)] - 1]
+                texts.append((hashlib.sha256(said).hexdigest() if digest and whole else bytes(said).decode()))
+            ids.append(batch.column("doc"))
+        sums = np.array(sums, np.int64).reshape(-1, len(NUMBERS))
+        out = [pa.chunked_array(ids, docs.schema.field("doc").type), *[pa.array(sums[:, i]) for i in range(len(NUMBERS))], pa.array(texts, pa.string())]
+        return pa.Table.from_arrays(out, [id_col, *NUMBERS, "said"])
+
+    both = of_docs.groupBy("slice").cogroup(results.groupBy("slice"))
+    out = both.applyInArrow(run, f"`{id_col}` {kind}, " + ", ".join(f"{c} bigint" for c in NUMBERS) + ", said string")
+    return out.withColumnRenamed("said", "groups_sha256" if digest else "groups")

@@ -242,7 +242,8 @@ class WarcReader(D.DataSourceReader):
         store, root = fs.FileSystem.from_uri(self.path)
         found = store.get_file_info(fs.FileSelector(root, recursive=True))
         files = sorted((-x.size, x.path) for x in found if x.is_file and x.path.endswith((".warc", ".warc.gz")) and "/_" not in x.path[len(root) :])
-        plans = [Files() for _ in range(min(len(files), max(1, -(sum(s for s, _ in files) // self.split))))]
+        most = -(-sum(-s for s, _ in files) // self.split)
+        plans = [Files() for _ in range(min(len(files), max(1, most)))]
         for i, (_, path) in enumerate(files):
             turn, at = divmod(i, len(plans))
             plans[at if turn % 2 == 0 else -1 - at].names.append(path)
