@@ -15,17 +15,18 @@ import hashlib
 import json
 import os
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from glosswork.llm.shared import drop, forget, place, small, written
+from glosswork.llm.shared import forget, small, written
 from glosswork.llm.words import plain, slices
 
-SLICE_BYTES = 32 << 20
+SLICE_BYTES = 12 << 20
 ENCODED = 2000  # pieces that go to a tokenizer at once
 MOST_PAIRS = 500_000  # pairs of ids that may be broadcast
 SALT = 16
@@ -50,7 +51,11 @@ class First:
         self.model = Tokenizer.from_file(path)
         self.model.encode_special_tokens = True
         letters = byte_letters()
-        self.bytes = {i: bytes(letters[c] for c in token) for token, i in self.model.get_vocab().items() if all(c in letters for c in token)}
+        self.bytes = [b""] * self.model.get_vocab_size()
+        for token, i in self.model.get_vocab().items():
+            if all(c in letters for c in token):
+                self.bytes[i] = bytes(letters[c] for c in token)
+        self.sizes = np.array([len(x) for x in self.bytes], np.int32)
 
     def __call__(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
@@ -65,7 +70,8 @@ class Second:
 
         self.model = SentencePieceProcessor(model_file=path)
         of = self.model
-        self.bytes = {i: bytes([int(of.id_to_piece(i)[3:5], 16)]) if of.is_byte(i) else of.id_to_piece(i).replace(SPACE, " ").encode() for i in range(of.get_piece_size())}
+        self.bytes = [bytes([int(of.id_to_piece(i)[3:5], 16)]) if of.is_byte(i) else of.id_to_piece(i).replace(SPACE, " ").encode() for i in range(of.get_piece_size())]
+        self.sizes = np.array([len(x) for x in self.bytes], np.int32)
         self.front = of.encode("\n")
 
     def __call__(self, texts: list[str]) -> list[list[int]]:
@@ -113,18 +119,22 @@ def _pieces(texts: pa.Array, cut: bool) -> tuple[np.ndarray, pa.Array, np.ndarra
     _, offsets, body = spaced.buffers()
     starts = np.frombuffer(offsets, np.int64)[spaced.offset : spaced.offset + len(spaced) + 1]
     data = np.frombuffer(body, np.uint8)[: starts[-1]] if body is not None else np.zeros(0, np.uint8)
-    edges = np.union1d(cuts(data), starts) if cut else np.unique(starts)
+    marks = np.zeros(len(data) + 1, bool)
+    marks[starts] = True
+    if cut:
+        marks[cuts(data)] = True
+    edges = np.flatnonzero(marks)
     bounds = np.searchsorted(edges, starts)
     values = pa.LargeStringArray.from_buffers(len(edges) - 1, pa.py_buffer(edges.astype(np.int64)), body if body is not None else pa.py_buffer(b""))
     coded = values.dictionary_encode()
     return bounds, coded.dictionary, np.asarray(coded.indices).astype(np.int32)
 
 
-def _sliced(docs: DataFrame, first: str, second: str, id_col: str, text_col: str) -> str:
-    """Writes each slice's documents (the numbers of their pieces) and distinct pieces; gives the path."""
+def _sliced(docs: DataFrame, first: str, second: str, id_col: str, text_col: str) -> DataFrame:
+    """A table of each slice's documents (with the numbers of their pieces) and of its distinct pieces."""
     rows = docs.select(F.col(id_col).alias("doc"), F.col(text_col).cast("string").alias("text"), F.monotonically_increasing_id().alias("row"))
     kind = rows.schema["doc"].dataType.simpleString()
-    names = ["kind", "slice", "doc", "codes", "code", "piece", "n"]
+    names = ["slice", "doc", "codes", "code", "piece", "n"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cut = None
@@ -137,16 +147,14 @@ def _sliced(docs: DataFrame, first: str, second: str, id_col: str, text_col: str
                 of_docs = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(bounds) - 1, [None, pa.py_buffer(4 * bounds.astype(np.int64)), pa.py_buffer(body)])
                 for i in range(0, part.num_rows, 1000):
                     m = min(1000, part.num_rows - i)
-                    yield pa.RecordBatch.from_arrays([pa.array(["docs"] * m), pa.array([here] * m, pa.int64()), part.column("doc").slice(i, m), of_docs.slice(i, m).cast(pa.binary()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.string()), pa.nulls(m, pa.int64())], names)
+                    yield pa.RecordBatch.from_arrays([pa.array([here] * m, pa.int64()), part.column("doc").slice(i, m), of_docs.slice(i, m).cast(pa.binary()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.string()), pa.nulls(m, pa.int64())], names)
                 count = np.bincount(codes, minlength=len(distinct))
                 for i in range(0, len(distinct), 20_000):
                     some = distinct.slice(i, 20_000)
                     m = len(some)
-                    yield pa.RecordBatch.from_arrays([pa.array(["pieces"] * m), pa.array([here] * m, pa.int64()), pa.nulls(m, part.column("doc").type), pa.nulls(m, pa.binary()), pa.array(np.arange(i, i + m), pa.int32()), some.cast(pa.string()), pa.array(count[i : i + m], pa.int64())], names)
+                    yield pa.RecordBatch.from_arrays([pa.array([here] * m, pa.int64()), pa.nulls(m, part.column("doc").type), pa.nulls(m, pa.binary()), pa.array(np.arange(i, i + m), pa.int32()), some.cast(pa.string()), pa.array(count[i : i + m], pa.int64())], names)
 
-    path = place(docs.sparkSession, "slices")
-    rows.mapInArrow(run, f"kind string, slice bigint, doc {kind}, codes binary, code int, piece string, n bigint").write.partitionBy("kind").option("compression", "zstd").parquet(path)
-    return path
+    return written(rows.mapInArrow(run, f"slice bigint, doc {kind}, codes binary, code int, piece string, n bigint"), "slices")
 
 
 def encoded(pieces: DataFrame, first: str, second: str) -> DataFrame:
@@ -160,13 +168,17 @@ def encoded(pieces: DataFrame, first: str, second: str) -> DataFrame:
             for i in range(0, batch.num_rows, ENCODED):
                 part = batch.slice(i, ENCODED)
                 texts = part.column("piece").to_pylist()
-                ok, out = [True] * len(texts), []
+                raw = [t.encode() for t in texts]
+                ok, out = np.ones(len(texts), bool), []
                 for side in sides:
-                    names = side.bytes
                     ids = side(texts)
-                    said = [[names.get(x, b"") for x in one] for one in ids]
-                    ok = [good and b"".join(x) == t.encode() for good, x, t in zip(ok, said, texts, strict=True)]
-                    out += [pa.array(ids, pa.list_(pa.int32())), pa.array([list(map(len, x)) for x in said], pa.list_(pa.int32()))]
+                    bounds = np.concatenate(([0], np.cumsum([len(x) for x in ids])))
+                    flat = np.fromiter(chain.from_iterable(ids), np.int32, bounds[-1])
+                    upto = np.concatenate(([0], np.cumsum(side.sizes[flat])))[bounds]
+                    said = b"".join([side.bytes[x] for x in flat.tolist()])
+                    ok &= [said[a:b] == t for a, b, t in zip(upto[:-1].tolist(), upto[1:].tolist(), raw, strict=True)]
+                    offsets = pa.array(bounds, pa.int32())
+                    out += [pa.ListArray.from_arrays(offsets, pa.array(x, pa.int32())) for x in (flat, side.sizes[flat])]
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("key", "piece", "n")), pa.array(ok), *out], ["key", "piece", "n", "ok", "a", "a_len", "b", "b_len"])
 
     return pieces.mapInArrow(run, kinds)
@@ -179,27 +191,20 @@ def tokens(pieces: DataFrame, side: str) -> DataFrame:
     return rows.select("key", F.col("t.id").alias(f"{side}_id"), F.sum("t.len").over(upto).alias("end"))
 
 
-def grouped(own: DataFrame, other: DataFrame, side: str, more: list[Column]) -> DataFrame:
-    """The groups of one side: a token's group is the number of common ends before its own end."""
-    to = "b" if side == "a" else "a"
-    before = Window.partitionBy("key").orderBy("end").rowsBetween(Window.unboundedPreceding, -1)
-    cut = F.col(f"{to}_id").isNotNull().cast("int")
-    rows = own.join(other, ["key", "end"], "left").withColumn("part", F.coalesce(F.sum(cut).over(before), F.lit(0)))
-    ids = F.transform(F.array_sort(F.collect_list(F.struct("end", f"{side}_id"))), lambda x: x[f"{side}_id"].cast("string"))
-    return rows.groupBy("key", "part").agg(F.array_join(ids, ",").alias(f"{side}_ids"), F.count(F.lit(1)).alias(f"{side}_n"), *more)
-
-
 def aligned_pieces(pieces: DataFrame) -> DataFrame:
     """key, piece, n, n_a, n_b, groups (each with a semicolon after it) and links (a's id times 2 to the 32nd, plus b's) of the pieces;
-    where the bytes of a side differ all of these are null."""
+    where the bytes of a side differ all of these are null. A token's group is the number of common ends before its own end."""
     dealt = pieces.repartition(F.col("key"))
-    a, b = tokens(dealt, "a"), tokens(dealt, "b")
-    # the last token of a group is the one that ends with the other side's
-    link = F.max(F.shiftleft(F.col("a_id").cast("long"), 32) + F.col("b_id")).alias("link")
-    both = grouped(a, b, "a", [link]).join(grouped(b, a, "b", []), ["key", "part"])
-    items = F.array_sort(F.collect_list(F.struct("part", F.concat("a_ids", F.lit("|"), "b_ids", F.lit(";")).alias("s"), "link")))
-    out = both.groupBy("key").agg(F.sum("a_n").alias("n_a"), F.sum("b_n").alias("n_b"), items.alias("x"))
-    out = out.select("key", "n_a", "n_b", F.array_join(F.transform("x", lambda x: x["s"]), "").alias("groups"), F.transform("x", lambda x: x["link"]).alias("links"))
+    ends = tokens(dealt, "a").join(tokens(dealt, "b"), ["key", "end"], "full")
+    before = Window.partitionBy("key").orderBy("end").rowsBetween(Window.unboundedPreceding, -1)
+    link = F.shiftleft(F.col("a_id").cast("long"), 32) + F.col("b_id")  # null where only one side ends
+    ends = ends.withColumn("link", link).withColumn("part", F.count("link").over(before))
+    items = F.array_sort(F.collect_list(F.struct("end", "a_id", "b_id")))
+    said = lambda c: F.array_join(F.transform("x", lambda x: x[c].cast("string")), ",")  # noqa: E731  nulls are left out
+    parts = ends.groupBy("key", "part").agg(items.alias("x"), F.max("link").alias("link"), F.count("a_id").alias("n_a"), F.count("b_id").alias("n_b"))
+    parts = parts.select("key", "n_a", "n_b", F.struct("part", F.concat(said("a_id"), F.lit("|"), said("b_id"), F.lit(";")).alias("s"), "link").alias("g"))
+    out = parts.groupBy("key").agg(F.sum("n_a").alias("n_a"), F.sum("n_b").alias("n_b"), F.array_sort(F.collect_list("g")).alias("g"))
+    out = out.select("key", "n_a", "n_b", F.array_join(F.transform("g", lambda x: x["s"]), "").alias("groups"), F.transform("g", lambda x: x["link"]).alias("links"))
     return dealt.select("key", "piece", "n").join(out, "key", "left")
 
 
@@ -231,11 +236,11 @@ def align(docs: DataFrame, first: str, second: str, digest: bool = False, id_col
     left out, whatever their names; an empty table gives no rows.
     """
     spark = docs.sparkSession
-    path = _sliced(docs, first, second, id_col, text_col)
     kind = docs.schema[id_col].dataType.simpleString()
-    whole = spark.read.schema(f"slice bigint, doc {kind}, codes binary, code int, piece string, n bigint, kind string")  # each read has columns of its own
-    of_docs = whole.parquet(path).where("kind = 'docs'").select("slice", "doc", "codes")
-    of_pieces = whole.parquet(path).where("kind = 'pieces'").select("slice", "code", "piece", "n")
+    both = _sliced(docs, first, second, id_col, text_col)
+    of_pieces = both.where("code IS NOT NULL").select("slice", "code", "piece", "n")
+    again = spark.read.schema(both.schema).parquet(both._written)  # columns of its own, for the joins by slice
+    of_docs = again.where("code IS NULL").select("slice", "doc", "codes")
     distinct = of_pieces.groupBy("piece").agg(F.sum("n").alias("n")).select(F.monotonically_increasing_id().alias("key"), "piece", "n")
     coded = written(encoded(distinct, first, second), "coded")
     pieces = coded
@@ -255,7 +260,6 @@ def align(docs: DataFrame, first: str, second: str, digest: bool = False, id_col
     forget(pairs)
     back = written(of_pieces.select("slice", "code", "piece").join(results, "piece", "left").drop("piece"), "results")
     forget(results)
-    drop(spark, f"{path}/kind=pieces")
     return _strung(of_docs, back, kind, digest, id_col)
 
 

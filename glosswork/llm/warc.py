@@ -249,8 +249,8 @@ class WarcReader(D.DataSourceReader):
             plans[at if turn % 2 == 0 else -1 - at].names.append(path)
         return plans
 
-    def read(self, partition: Files) -> Iterator[pa.RecordBatch]:
-        if not partition.names:
+    def read(self, partition: Files | None) -> Iterator[pa.RecordBatch]:
+        if partition is None:  # no file, no partition
             return
         store, _ = fs.FileSystem.from_uri(self.path)
         # the tests on the WARC header come before those that need the HTTP header
