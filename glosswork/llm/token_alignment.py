@@ -196,9 +196,13 @@ def aligned_pieces(pieces: DataFrame) -> DataFrame:
     where the bytes of a side differ all of these are null. A token's group is the number of common ends before its own end."""
     dealt = pieces.repartition(F.col("key"))
     ends = tokens(dealt, "a").join(tokens(dealt, "b"), ["key", "end"], "full")
+    # both ids in one number, 0 for none, as the rows are dealt again behind a full join
+    ends = ends.select("key", "end", (F.shiftleft(F.coalesce(F.col("a_id") + 1, F.lit(0)).cast("long"), 32) + F.coalesce(F.col("b_id") + 1, F.lit(0))).alias("ids"))
+    of_a, of_b = F.shiftright("ids", 32), F.col("ids").bitwiseAND(0xFFFFFFFF)
     before = Window.partitionBy("key").orderBy("end").rowsBetween(Window.unboundedPreceding, -1)
-    link = F.shiftleft(F.col("a_id").cast("long"), 32) + F.col("b_id")  # null where only one side ends
-    ends = ends.withColumn("link", link).withColumn("part", F.count("link").over(before))
+    cut = (of_a > 0) & (of_b > 0)
+    ends = ends.withColumn("part", F.count_if(cut).over(before)).withColumns({"a_id": F.when(of_a > 0, of_a - 1), "b_id": F.when(of_b > 0, of_b - 1)})
+    ends = ends.withColumn("link", F.shiftleft("a_id", 32) + F.col("b_id"))  # null where only one side ends
     items = F.array_sort(F.collect_list(F.struct("end", "a_id", "b_id")))
     said = lambda c: F.array_join(F.transform("x", lambda x: x[c].cast("string")), ",")  # noqa: E731  nulls are left out
     parts = ends.groupBy("key", "part").agg(items.alias("x"), F.max("link").alias("link"), F.count("a_id").alias("n_a"), F.count("b_id").alias("n_b"))
