@@ -9,6 +9,7 @@ from glosswork.functions import text as X
 from glosswork.functions.alphabet import REJECT
 from glosswork.operators import lexicon as L
 from glosswork.operators import prompts as P
+from glosswork.sources import store
 
 RUN = 4096
 
@@ -37,17 +38,31 @@ def accuracy(judged: DataFrame) -> DataFrame:
     return judged.agg(F.count_if("correct").alias("correct"), F.count(F.lit(1)).alias("seen"), F.coalesce(F.avg(F.col("correct").cast("double")), F.lit(0.0)).alias("accuracy"))
 
 
+def numbered(rows: DataFrame, order: list[str], parts: int | None = None) -> DataFrame:
+    """Adds idx, each row's place (from 0) in the order given.
+
+    The rows are dealt by ranges and sorted once, and written with their place in their range: the ranges are those of the table from
+    then on, for the counts as for the rows. Only the ranges' sizes, a row for each, are summed in one task.
+    Rows that are equal in the order are dealt on by a hash of all columns and by their input, so that a value that many
+    rows share has no task of its own. An order of equal rows is settled when the table is written.
+    """
+    parts = parts or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    plain = [f.name for f in rows.schema if not any(x in f.dataType.simpleString() for x in ("map<", "variant"))]
+    ties = {"__tie": F.xxhash64(*plain), "__row": F.monotonically_increasing_id()}
+    by = [*order, *ties]
+    dealt = rows.withColumns(ties).repartitionByRange(parts, *by).sortWithinPartitions(*by)
+    # in its upper bits the task's number, in its lower 33 the row's place in the task
+    table = store.written(dealt.withColumn("__at", F.monotonically_increasing_id()).drop(*ties), "numbered")
+    part, inside = F.shiftright("__at", 33), F.col("__at").bitwiseAND((1 << 33) - 1)
+    sizes = table.groupBy(part.alias("__part")).agg(F.count(F.lit(1)).alias("n"))
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    base = sizes.select("__part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__base"))
+    return table.withColumn("__part", part).join(F.broadcast(base), "__part").withColumn("idx", F.col("__base") + inside).drop("__at", "__part", "__base")
+
+
 def batches(rows: DataFrame, order: list[str], size: int = 32) -> DataFrame:
-    """Adds idx (from 0, in the order given) and batch. Row numbers are global: counts of range
-    partitions are added up, and only rows of one partition are numbered together."""
-    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    placed = rows.repartitionByRange(parts, *order).withColumn("__part", F.spark_partition_id())
-    sizes = placed.groupBy("__part").agg(F.count(F.lit(1)).alias("n"))
-    before = F.coalesce(F.sum("n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    base = sizes.select("__part", before.alias("base"))
-    inside = F.row_number().over(Window.partitionBy("__part").orderBy(*order)) - 1
-    out = placed.withColumn("__in", inside).join(F.broadcast(base), "__part").withColumn("idx", F.col("base") + F.col("__in"))
-    return out.withColumn("batch", F.floor(F.col("idx") / size)).drop("__part", "__in", "base")
+    """Adds idx (from 0, in the order given) and batch."""
+    return numbered(rows, order).withColumn("batch", F.floor(F.col("idx") / size))
 
 
 def length_buckets(rows: DataFrame, text: str, key: str, size: int = 4) -> DataFrame:

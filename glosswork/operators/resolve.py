@@ -6,13 +6,16 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from glosswork.functions.alphabet import REJECT
+from glosswork.operators import gazetteer as G
 from glosswork.operators import lexicon as L
 from glosswork.operators import scoring as S
 from glosswork.operators import tokens as T
 from glosswork.operators.prompts import NONE
+from glosswork.sources import store
 from glosswork.sources.readers import check_language
 
-DETAILS = ("description", "url")
+DETAILS = G.DETAILS
+FOLD = 4096
 
 
 def contexts(tokens: DataFrame) -> DataFrame:
@@ -54,17 +57,8 @@ def disambiguate(docs: DataFrame, lexicon: DataFrame, scorer: S.Scorer | None =
 
 def entity_spans(tokens: DataFrame, gazetteer: DataFrame) -> DataFrame:
     """Runs of tokens that are a gazetteer entry (id, label; description and url where it has them), in any case:
-    doc_id, id, start_token, end_token (inclusive), text (the label), and these. The entry's first word is the
-    equi-key."""
-    more = [c for c in DETAILS if c in gazetteer.columns]
-    names = gazetteer.select("id", F.col("label").alias("text"), F.split(F.lower("label"), " ").alias("parts"), *more)
-    names = names.withColumn("lemma", F.get("parts", 0)).withColumn("size", F.size("parts"))
-    w = Window.partitionBy("doc_id").orderBy("position")
-    longest = names.agg(F.max("size")).first()[0] or 1
-    ahead = F.filter(F.array(*[F.lead("lemma", i).over(w) if i else F.col("lemma") for i in range(longest)]), lambda x: x.isNotNull())
-    rows = tokens.select("doc_id", "position", "lemma", ahead.alias("ahead")).join(L.bounded(names), "lemma")
-    rows = rows.where(F.slice("ahead", F.lit(1), F.col("size")) == F.col("parts"))
-    return rows.select("doc_id", "id", F.col("position").alias("start_token"), (F.col("position") + F.col("size") - 1).alias("end_token"), "text", *more)
+    doc_id, id, start_token, end_token (inclusive), text (the label), and these."""
+    return G.spans(tokens, gazetteer)
 
 
 def covered_tokens(tokens: DataFrame, spans: DataFrame) -> DataFrame:
@@ -75,15 +69,48 @@ def covered_tokens(tokens: DataFrame, spans: DataFrame) -> DataFrame:
 
 def greedy_spans(spans: DataFrame) -> DataFrame:
     """Of overlapping spans the one that starts first stays (of those the longest, then the least id); what
-    starts inside a span that stays goes. One fold over each document's sorted spans."""
+    starts inside a span that stays goes. Documents of FOLD spans at most are folded inside a row; in others each span points to
+    the next one that starts behind its end, and the spans that the first one leads to are found by doubling the pointers."""
     more = [c for c in DETAILS if c in spans.columns]
-    items = F.array_sort(F.collect_list(F.struct("start_token", (-F.col("end_token")).alias("last"), "id", "text", *more)))
-    kind = f"array<struct<start_token:int,last:int,id:bigint,text:string{''.join(f',{c}:string' for c in more)}>>"
-    start = F.struct(F.array().cast(kind).alias("kept"), F.lit(-1).alias("upto"))
-
-    def step(acc, x):
-        return F.when(x["start_token"] > acc["upto"], F.struct(F.concat(acc["kept"], F.array(x)).alias("kept"), (-x["last"]).alias("upto"))).otherwise(acc)
-
-    rows = spans.select("doc_id", F.col("start_token").cast("int"), F.col("end_token").cast("int"), F.col("id").cast("long").alias("id"), "text", *more)
-    kept = rows.groupBy("doc_id").agg(items.cast(kind).alias("s")).select("doc_id", F.explode(F.aggregate("s", start, step, lambda a: a["kept"])).alias("x"))
-    return kept.select("doc_id", F.col("x.id").alias("id"), F.col("x.start_token").alias("start_token"), (-F.col("x.last")).alias("end_token"), F.col("x.text").alias("text"), *[F.col(f"x.{c}").alias(c) for c in more])
+    kind = {c: spans.schema[c].dataType for c in ("start_token", "end_token", "id")}
+    rows = spans.select("doc_id", *[F.col(c).cast("long").alias(c) for c in ("start_token", "end_token")], "id", "text", *more)
+    # one span for each start: the longest, of the longest the least id
+    first = F.struct((-F.col("end_token")).alias("last"), "id", "text", *more)
+    rows = store.written(rows.groupBy("doc_id", "start_token").agg(F.min(first).alias("x")), "spans")
+    sizes = rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+    large = sizes.where(F.col("n") > FOLD).select("doc_id")
+    if large.isEmpty():
+        kept = _folded(rows)
+    else:
+        kept = _folded(rows.join(large, "doc_id", "left_anti")).unionByName(_linked(rows.join(large, "doc_id", "left_semi")))
+    return kept.select("doc_id", F.col("x.id").alias("id"), F.col("start_token").cast(kind["start_token"]).alias("start_token"), (-F.col("x.last")).cast(kind["end_token"]).alias("end_token"), F.col("x.text").alias("text"), *[F.col(f"x.{c}").alias(c) for c in more])
+
+
+def _folded(rows: DataFrame) -> DataFrame:
+    """doc_id, start_token, x of the spans that stay, by one fold over each document's sorted spans."""
+    item = f"struct<start_token:bigint,x:{rows.schema['x'].dataType.simpleString()}>"
+    start = F.struct(F.array().cast(f"array<{item}>").alias("kept"), F.lit(-1).cast("long").alias("upto"))
+
+    def step(acc, s):
+        return F.when(s["start_token"] > acc["upto"], F.struct(F.concat(acc["kept"], F.array(s)).alias("kept"), (-s["x"]["last"]).alias("upto"))).otherwise(acc)
+
+    packed = rows.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("start_token", "x"))).alias("s"))
+    return packed.select("doc_id", F.explode(F.aggregate(F.col("s").cast(f"array<{item}>"), start, step, lambda a: a["kept"])).alias("k")).select("doc_id", "k.*")
+
+
+def _linked(rows: DataFrame) -> DataFrame:
+    """The same by pointers: after k rounds the reached spans are those less than 2^k steps behind the first."""
+    # a span asks for the first start behind its end: asking rows stand before starting rows of the same place
+    asks = rows.select("doc_id", (1 - F.col("x.last")).alias("place"), F.lit(0).alias("turn"), F.col("start_token").alias("at"))
+    starts = rows.select("doc_id", F.col("start_token").alias("place"), F.lit(1).alias("turn"), F.lit(None).cast("long").alias("at"))
+    behind = Window.partitionBy("doc_id").orderBy(F.desc("place"), F.desc("turn")).rowsBetween(Window.unboundedPreceding, 0)
+    to = F.last(F.when(F.col("turn") == 1, F.col("place")), ignorenulls=True).over(behind)
+    jumps = asks.unionByName(starts).withColumn("to", to).where("turn = 0 AND to IS NOT NULL").select("doc_id", "at", "to")
+    jumps = store.written(jumps, "jumps")
+    reached = rows.groupBy("doc_id").agg(F.min("start_token").alias("at"))
+    while True:
+        reached = store.written(reached.unionByName(reached.join(jumps, ["doc_id", "at"]).select("doc_id", F.col("to").alias("at"))), "reached")
+        far = jumps.join(jumps.select("doc_id", F.col("at").alias("to"), F.col("to").alias("over")), ["doc_id", "to"]).select("doc_id", "at", F.col("over").alias("to"))
+        jumps = store.written(far, "jumps")
+        if jumps.isEmpty():
+            return rows.join(reached.select("doc_id", F.col("at").alias("start_token")), ["doc_id", "start_token"])

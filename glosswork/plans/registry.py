@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
 from collections.abc import Callable
 from functools import wraps
 
@@ -21,7 +18,7 @@ from glosswork.operators import scoring as S
 from glosswork.operators import tokens as T
 from glosswork.operators import training as TR
 from glosswork.plans.oracle import SQL
-from glosswork.sources import readers, sinks
+from glosswork.sources import readers, sinks, store
 from glosswork.streaming import resolve as stream
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -407,7 +404,7 @@ def ndjson_fold(spark, d):
 
 @query
 def skip_list(spark, d):
-    path = f"{_folder(spark)}/skip-{uuid.uuid4().hex}"
+    path = store.place(spark, "skip")
     sinks.append_skipped(lex(spark, d).where("pos = 'v'").select(F.concat(F.lit("  "), "form").alias("form")), path)
     return readers.skip_list(spark, path)
 
@@ -429,32 +426,16 @@ def llm_requests(spark, d):
     return sinks.requests(lex(spark, d), "any-model")
 
 
-def _folder(spark: SparkSession) -> str:
-    """The cluster's shared folder; a temporary one only where a local session names none."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if named:
-        return named.rstrip("/")
-    if spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
-        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-    if not _OWN:
-        _OWN.append(tempfile.TemporaryDirectory(prefix="glosswork-"))
-        atexit.register(_OWN[0].cleanup)
-    return f"file://{_OWN[0].name}"
-
-
-_OWN: list = []
-
-
 @query
 def training_directory(spark, d):
-    path = f"{_folder(spark)}/words-{uuid.uuid4().hex}"
+    path = store.place(spark, "words")
     sinks.write_words(words(spark, d), path)
     return readers.training_words(spark, path).select("word", "ord", "id", "pos", F.md5("source_definition").alias("source_md5"), F.size("examples").alias("examples"))
 
 
 @query
 def lexicon_table(spark, d):
-    path = f"{_folder(spark)}/lexicon-{uuid.uuid4().hex}"
+    path = store.place(spark, "lexicon")
     lex(spark, d).withColumn("comment", F.lit("other columns are left out")).write.parquet(path)
     return readers.lexicon(spark, path)
 
@@ -501,7 +482,7 @@ def resolve_array_form(spark, d):
 
 @query
 def resolve_stream(spark, d):
-    at = f"{_folder(spark)}/stream-{uuid.uuid4().hex}"
+    at = store.place(spark, "stream")
     docs(spark, d).write.parquet(f"{at}/in")
     stream.run(spark, f"{at}/in", "doc_id bigint, text string", lex(spark, d), f"{at}/out", f"{at}/checkpoint")
     return spark.read.parquet(f"{at}/out").withColumn("confidence", F.round("confidence", 6))
