@@ -62,6 +62,13 @@ CTE = {
     "spans": """spans AS (SELECT t.doc_id, g.id, t.position AS start_token, t.position + len(string_split(label, ' ')) - 1 AS end_token, label AS text
       FROM (SELECT *, lead(lemma) OVER (PARTITION BY doc_id ORDER BY position) AS nxt FROM tok) t JOIN gaz g
       ON string_split(label, ' ')[1] = lemma AND (len(string_split(label, ' ')) = 1 OR string_split(label, ' ')[2] = nxt))""",
+    "labels": rf"""piece AS (SELECT item_id, text, regexp_extract_all(text, '[^ \t\n\r\f\x0B]+') AS p FROM benchmark),
+    label AS (SELECT label, min(item_id) AS id FROM (SELECT item_id, unnest(list_concat([text, array_to_string(p[1:3], ' ')], list_filter(p, lambda x: regexp_matches(x, '[^\p{{L}}\p{{N}}_]')))) AS label FROM piece) GROUP BY label),
+    entry AS (SELECT id, label, list_transform(list_filter(regexp_extract_all(label, '{W}+|[^\p{{L}}\p{{N}}_]'), lambda x: NOT regexp_matches(x, '^[ \t\n\r\f\x0B]$')), lambda x: lower(x)) AS w FROM label),
+    tokm AS MATERIALIZED (SELECT doc_id, position, lemma FROM tok),
+    cand AS (SELECT a.doc_id, a.position AS start_token, e.* FROM tokm a JOIN entry e ON a.lemma = e.w[1] JOIN tokm b ON b.doc_id = a.doc_id AND b.position = a.position + len(e.w) - 1 AND b.lemma = e.w[len(e.w)]),
+    word AS (SELECT doc_id, start_token, id, label, len(w) AS n, unnest(w) AS x, unnest(range(len(w))) AS i FROM cand),
+    lspan AS MATERIALIZED (SELECT v.doc_id, id, start_token, start_token + any_value(n) - 1 AS end_token, label AS text FROM word v JOIN tokm t ON t.doc_id = v.doc_id AND t.position = v.start_token + i AND t.lemma = x GROUP BY v.doc_id, id, start_token, label HAVING count(*) = any_value(n))""",
     # labels have one or two words, so overlapping spans are chains of neighbours, of which every other one stays
     "greedy": """best AS (SELECT * FROM spans QUALIFY row_number() OVER (PARTITION BY doc_id, start_token ORDER BY end_token DESC, id) = 1),
     chain AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id ORDER BY start_token) AS chain FROM
@@ -119,6 +126,12 @@ SQL = {
       || string_agg(substr('{ABC}', (ord + 1)::int, 1) || '. ' || definition, chr(10) ORDER BY ord) || chr(10) || '{LETTERS[REJECT]}. {NONE}' || chr(10) || chr(10) || 'Answer: [unused0] [MASK]' AS prompt FROM defs GROUP BY query_id, form"""),
     "answer_alphabet": f"SELECT i AS idx, substr('{ABC}', (i + 1)::int, 1) AS letter FROM range(128) t(i)",
     "entity_spans": sql("tok gaz spans", "SELECT * FROM spans"),
+    "gazetteer_spans": sql("tok labels", "SELECT * FROM lspan"),
+    "gazetteer_greedy": "WITH RECURSIVE " + ",\n".join(CTE[n] for n in ("tok", "labels")) + """,
+    one AS MATERIALIZED (SELECT * FROM lspan QUALIFY row_number() OVER (PARTITION BY doc_id, start_token ORDER BY end_token DESC, id, text) = 1),
+    walk AS (SELECT doc_id, min(start_token) AS s FROM one GROUP BY doc_id UNION ALL
+      SELECT w.doc_id, (SELECT min(n.start_token) FROM one n WHERE n.doc_id = w.doc_id AND n.start_token > o.end_token) FROM walk w JOIN one o ON o.doc_id = w.doc_id AND o.start_token = w.s)
+    SELECT one.* FROM one JOIN walk ON walk.doc_id = one.doc_id AND walk.s = one.start_token""",
     "entity_coverage": sql("tok gaz spans", "SELECT t.doc_id, position, word, id, text FROM tok t JOIN (SELECT doc_id, id, text, unnest(range(start_token, end_token + 1)) AS position FROM spans) s USING (doc_id, position)"),
     "choice_softmax": sql("lex asked ask defs scored shares", "SELECT query_id, ord, round(p, 6) AS p FROM shares"),
     "choice_argmax": sql("lex asked ask defs scored shares", f"SELECT query_id, synset_id, definition, round(p, 6) AS confidence, ord = {REJECT} AS rejected FROM shares WHERE r = 1"),

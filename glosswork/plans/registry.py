@@ -197,6 +197,27 @@ def greedy_spans(spark, d):
     return R.greedy_spans(spans(spark, d))
 
 
+def labels(spark: SparkSession, d: str) -> DataFrame:
+    """A gazetteer of labels as real ones have them: of each benchmark item the whole text, its first three pieces between blanks, and
+    each piece that has a mark in it."""
+    pieces = F.regexp_extract_all("text", F.lit(r"[^ \t\n\r\f\x0B]+"), F.lit(0))
+    marked = F.filter(pieces, lambda w: w.rlike(r"[^\p{L}\p{N}_]"))
+    some = F.concat(F.array(F.col("text"), F.array_join(F.slice(pieces, 1, 3), " ")), marked)
+    rows = table(spark, d, "benchmark").select(F.explode(some).alias("label"), "item_id")
+    return rows.groupBy("label").agg(F.min("item_id").alias("id"))
+
+
+@query
+def gazetteer_spans(spark, d):
+    """Labels with marks, and of whole texts."""
+    return R.entity_spans(T.base_tokens(docs(spark, d)), labels(spark, d))
+
+
+@query
+def gazetteer_greedy(spark, d):
+    return R.greedy_spans(R.entity_spans(T.base_tokens(docs(spark, d)), labels(spark, d)))
+
+
 @query
 def choice_softmax(spark, d):
     return S.softmax(scored(spark, d), ["query_id"]).select("query_id", "ord", F.round("p", 6).alias("p"))
