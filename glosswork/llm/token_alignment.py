@@ -191,13 +191,17 @@ def tokens(pieces: DataFrame, side: str) -> DataFrame:
     return rows.select("key", F.col("t.id").alias(f"{side}_id"), F.sum("t.len").over(upto).alias("end"))
 
 
-def aligned_pieces(pieces: DataFrame) -> DataFrame:
-    """key, piece, n, n_a, n_b, groups (each with a semicolon after it) and links (a's id times 2 to the 32nd, plus b's) of the pieces;
-    where the bytes of a side differ all of these are null. A token's group is the number of common ends before its own end."""
+def common_ends(pieces: DataFrame) -> DataFrame:
+    """key, end and `ids` of all tokens: those of both sides that end there, plus one each and in one number, 0 for none."""
     dealt = pieces.repartition(F.col("key"))
     ends = tokens(dealt, "a").join(tokens(dealt, "b"), ["key", "end"], "full")
-    # both ids in one number, 0 for none, as the rows are dealt again behind a full join
-    ends = ends.select("key", "end", (F.shiftleft(F.coalesce(F.col("a_id") + 1, F.lit(0)).cast("long"), 32) + F.coalesce(F.col("b_id") + 1, F.lit(0))).alias("ids"))
+    one = lambda c: F.coalesce(F.col(c) + 1, F.lit(0))
+    return ends.select("key", "end", (F.shiftleft(one("a_id").cast("long"), 32) + one("b_id")).alias("ids"))
+
+
+def aligned_pieces(pieces: DataFrame, ends: DataFrame) -> DataFrame:
+    """key, piece, n, n_a, n_b, groups (each with a semicolon after it) and links (a's id times 2 to the 32nd, plus b's) of the pieces;
+    where the bytes of a side differ all of these are null. A token's group is the number of common ends before its own end."""
     of_a, of_b = F.shiftright("ids", 32), F.col("ids").bitwiseAND(0xFFFFFFFF)
     before = Window.partitionBy("key").orderBy("end").rowsBetween(Window.unboundedPreceding, -1)
     cut = (of_a > 0) & (of_b > 0)
@@ -209,7 +213,7 @@ def aligned_pieces(pieces: DataFrame) -> DataFrame:
     parts = parts.select("key", "n_a", "n_b", F.struct("part", F.concat(said("a_id"), F.lit("|"), said("b_id"), F.lit(";")).alias("s"), "link").alias("g"))
     out = parts.groupBy("key").agg(F.sum("n_a").alias("n_a"), F.sum("n_b").alias("n_b"), F.array_sort(F.collect_list("g")).alias("g"))
     out = out.select("key", "n_a", "n_b", F.array_join(F.transform("g", lambda x: x["s"]), "").alias("groups"), F.transform("g", lambda x: x["link"]).alias("links"))
-    return dealt.select("key", "piece", "n").join(out, "key", "left")
+    return pieces.select("key", "piece", "n").join(out, "key", "left")
 
 
 def pair_counts(aligned: DataFrame) -> DataFrame:
@@ -220,7 +224,8 @@ def pair_counts(aligned: DataFrame) -> DataFrame:
 
 
 def _scored(aligned: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pieces with their numbers of best links and their sums of counts."""
+    """piece and said: its NUMBERS, comma-joined, a hash sign and its groups. One text is shorter than seven columns, and a piece's is
+    sent to every slice that has it."""
     links = aligned.select("key", F.explode("links").alias("link"))
     few = small(pairs, MOST_PAIRS)
     if few is pairs:  # a pair may hold a great part of the links
@@ -228,7 +233,8 @@ def _scored(aligned: DataFrame, pairs: DataFrame) -> DataFrame:
         few = pairs.withColumn("salt", F.explode(F.array(*[F.lit(i).cast("long") for i in range(SALT)])))
     sums = links.join(few, [c for c in links.columns if c in few.columns]).groupBy("key").agg(F.count_if("best").alias("n_best"), F.sum("count").alias("count_sum"))
     n = F.size("links").cast("long")
-    return aligned.join(sums, "key").select("piece", "n_a", "n_b", n.alias("n_groups"), n.alias("n_links"), "n_best", "count_sum", "groups")
+    numbers = F.concat_ws(",", "n_a", "n_b", n, n, "n_best", "count_sum")
+    return aligned.join(sums, "key").select("piece", F.concat(numbers, F.lit("#"), "groups").alias("said"))
 
 
 def align(docs: DataFrame, first: str, second: str, digest: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -254,10 +260,12 @@ def align(docs: DataFrame, first: str, second: str, digest: bool = False, id_col
     before = spark.conf.get(_SUBSET)
     spark.conf.set(_SUBSET, "false")  # what is dealt by piece can be joined on piece and end without being dealt again
     try:
-        aligned = written(aligned_pieces(pieces), "aligned")
+        ends = written(common_ends(pieces), "ends")
     finally:
         spark.conf.set(_SUBSET, before)
+    aligned = written(aligned_pieces(pieces, ends), "aligned")
     forget(coded)
+    forget(ends)
     pairs = written(pair_counts(aligned), "pairs")
     results = written(_scored(aligned, pairs), "scored")
     forget(aligned)
@@ -287,13 +295,14 @@ def _strung(of_docs: DataFrame, results: DataFrame, kind: str, digest: bool, id_
     """Puts the results of each slice's pieces together for its documents."""
 
     def run(docs: pa.Table, pieces: pa.Table) -> pa.Table:
-        n = pieces.num_rows
-        place_of = np.empty(n, np.int64)
-        place_of[np.asarray(pieces.column("code"))] = np.arange(n)
-        column = lambda c: np.asarray(pc.fill_null(pieces.column(c), 0)).astype(np.int64)
-        numbers = np.stack([column(c) for c in NUMBERS]) if n else np.zeros((len(NUMBERS), 0), np.int64)
-        good = np.asarray(pc.is_valid(pieces.column("groups")), bool) if n else np.zeros(0, bool)
-        groups = plain(pieces.column("groups")).cast(pa.large_binary()) if n else pa.array([], pa.large_binary())
+        place_of = np.empty(pieces.num_rows, np.int64)
+        place_of[np.asarray(pieces.column("code"))] = np.arange(pieces.num_rows)
+        good = np.asarray(pc.is_valid(pieces.column("said")), bool) if pieces.num_rows else np.zeros(0, bool)
+        split = pc.split_pattern(pc.replace_with_mask(plain(pieces.column("said")), pa.array(~good), pa.scalar(f"{','.join('0' * len(NUMBERS))}#", pa.large_string())), "#", max_splits=1) if len(good) else None
+        halves = split.flatten() if len(good) else pa.array([], pa.large_string())
+        groups = halves.take(pa.array(np.arange(1, len(halves), 2))).cast(pa.large_binary())
+        numbers = pc.split_pattern(halves.take(pa.array(np.arange(0, len(halves), 2))), ",").flatten().cast(pa.int64()) if len(good) else pa.array([], pa.int64())
+        numbers = np.asarray(numbers).reshape(-1, len(NUMBERS)).T
         ids, sums, texts = [], [], []
         for batch in docs.to_batches():
             for codes in batch.column("codes").to_pylist():
