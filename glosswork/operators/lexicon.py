@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 
 POS = "nvasr"
 MOST_BROADCAST = 1_000_000
+MOST_BYTES = 256 << 20
+HEAVY = 1000
+SALT = 32
 # Universal parts of speech of content words, and the lexicon's codes for them.
 RECODED = {"NOUN": "n", "PROPN": "n", "NUM": "n", "INTJ": "n", "VERB": "v", "ADJ": "a", "ADV": "r"}
 UNIVERSAL = {"n": "NOUN", "v": "VERB", "a": "ADJ", "s": "ADJ", "r": "ADV"}
@@ -24,9 +27,41 @@ def universal(pos) -> "F.Column":
     return F.try_element_at(F.create_map(*[F.lit(x) for kv in UNIVERSAL.items() for x in kv]), pos)
 
 
-def bounded(df: DataFrame, most: int = MOST_BROADCAST) -> DataFrame:
-    """The frame marked for broadcast if a count shows it to be small; else as it is."""
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+def bounded(df: DataFrame, most: int = MOST_BROADCAST, bytes_: int = MOST_BYTES) -> DataFrame:
+    """The frame marked for broadcast if it has at most `most` rows and its texts, arrays and numbers, measured, at most `bytes_` bytes;
+    else as it is."""
+    few = df.limit(most + 1)
+    size = F.lit(16 + 8 * len(df.columns))
+    for f in df.schema:
+        kind = f.dataType.simpleString()
+        if kind in ("string", "binary"):
+            size += F.coalesce(F.octet_length(f.name), F.lit(0))
+        elif kind.startswith(("array", "struct", "map")):
+            size += F.coalesce(F.octet_length(F.to_json(F.struct(f.name))), F.lit(0))
+    n, total = few.agg(F.count(F.lit(1)), F.coalesce(F.sum(size.cast("long")), F.lit(0))).first()
+    return F.broadcast(df) if n <= most and total <= bytes_ else df
+
+
+def looked_up(rows: DataFrame, table: DataFrame, keys: list[str], most: int = MOST_BROADCAST, bytes_: int = MOST_BYTES) -> DataFrame:
+    """The rows with the table's columns, null where it has no such keys (which it has several times where several rows match).
+
+    A table that is small enough is broadcast. Of a larger one, the rows of the keys that over one in HEAVY of the rows ask for are
+    joined apart: their rows are dealt over SALT places each, and the table's rows for them, whose keys are HEAVY at most, are
+    given to every place. The others are joined by shuffle.
+    """
+    small = bounded(table, most, bytes_)
+    if small is not table:
+        return rows.join(small, keys, "left")
+    counts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
+    total = rows.count()
+    hot = F.broadcast(counts.where(F.col("__n") * HEAVY > total).select(*keys, F.lit(True).alias("__hot")))
+    salts = F.array(*[F.lit(i) for i in range(SALT)])
+    spread = F.coalesce("__hot", F.lit(False))
+    for k in keys:  # a null finds nothing, in any place
+        spread |= F.col(k).isNull()
+    told = rows.join(hot, keys, "left").withColumn("__salt", F.when(spread, F.pmod(F.monotonically_increasing_id(), F.lit(SALT)).cast("int")).otherwise(0))
+    dealt = table.join(hot, keys, "left").withColumn("__salt", F.explode(F.when(F.col("__hot"), salts).otherwise(F.array(F.lit(0))))).drop("__hot")
+    return told.drop("__hot").join(dealt, [*keys, "__salt"], "left").drop("__salt")
 
 
 def derived(benchmark: DataFrame) -> DataFrame:
@@ -45,7 +80,7 @@ def forms(lexicon: DataFrame) -> DataFrame:
 
 def lookup(queries: DataFrame, lexicon: DataFrame) -> DataFrame:
     """queries (query_id, form, pos) with their senses in rank order; one row of nulls where there is none."""
-    return queries.join(bounded(lexicon), ["form", "pos"], "left").select("query_id", "form", "pos", "ord", "synset_id", "definition")
+    return looked_up(queries, lexicon, ["form", "pos"]).select("query_id", "form", "pos", "ord", "synset_id", "definition")
 
 
 def expanded(queries: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,7 +32,7 @@ def candidates(content: DataFrame, lexicon: DataFrame, context: DataFrame) -> Da
     senses than there are letters before the reject option can't be asked for: it has no candidates."""
     lex = L.bounded(lexicon.select("form", "synset_id"))
     shared = context.join(lex, context["lemma"] == lex["form"]).groupBy("doc_id", "synset_id").agg(F.count(F.lit(1)).alias("shared"))
-    asked = content.select("doc_id", F.col("lemma").alias("form"), F.col("lex_pos").alias("pos")).distinct().withColumn("query_id", F.struct("doc_id", "form"))
+    asked = content.select("doc_id", F.col("lemma").alias("form"), F.col("lex_pos").alias("pos")).distinct().withColumn("query_id", F.struct("doc_id", "form", "pos"))
     senses = L.definitions(asked, lexicon).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("query_id"))).where(F.col("n") <= REJECT)
     senses = senses.select("query_id.doc_id", "form", "pos", "ord", "synset_id", "definition")
     scored = senses.join(shared, ["doc_id", "synset_id"], "left").withColumn("overlap", F.coalesce(F.col("shared") - 1, F.lit(0)))
@@ -45,14 +47,15 @@ def predictions(docs_tokens: DataFrame, lexicon: DataFrame, scorer: S.Scorer | N
     return S.choose(rows, ["doc_id", "form", "pos"])
 
 
-def disambiguate(docs: DataFrame, lexicon: DataFrame, scorer: S.Scorer | None = None, language: str = "en") -> DataFrame:
+def disambiguate(docs: DataFrame, lexicon: DataFrame, scorer: S.Scorer | None = None, language: str = "en", tagger: Callable[[DataFrame, DataFrame], DataFrame] = T.tagged) -> DataFrame:
     """Every token; content words with candidates have a confidence, and a synset unless rejected. A language
-    that isn't supported is an error."""
+    that isn't supported is an error. tagger: what gives tokens a lemma and a part of speech; `tagged` of `tokens` knows the lexicon's
+    forms as they stand, that of `morphology` inflected ones too."""
     check_language(language)
-    tokens = T.tagged(T.base_tokens(docs), lexicon)
+    tokens = tagger(T.base_tokens(docs), lexicon).withColumn("lex_pos", L.recode(F.col("pos")))
     chosen = predictions(tokens, lexicon, scorer)
-    by_lemma = chosen.select("doc_id", F.col("form").alias("lemma"), F.when(~F.col("rejected"), F.col("synset_id")).alias("synset_id"), F.when(~F.col("rejected"), F.col("definition")).alias("synset_definition"), "confidence")
-    return tokens.join(by_lemma, ["doc_id", "lemma"], "left").select("doc_id", "position", "word", "lemma", "pos", "start_char", "end_char", "synset_id", "synset_definition", "confidence")
+    by_lemma = chosen.select("doc_id", F.col("form").alias("lemma"), F.col("pos").alias("lex_pos"), F.when(~F.col("rejected"), F.col("synset_id")).alias("synset_id"), F.when(~F.col("rejected"), F.col("definition")).alias("synset_definition"), "confidence")
+    return tokens.join(by_lemma, ["doc_id", "lemma", "lex_pos"], "left").select("doc_id", "position", "word", "lemma", "pos", "start_char", "end_char", "synset_id", "synset_definition", "confidence")
 
 
 def entity_spans(tokens: DataFrame, gazetteer: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from glosswork.functions.alphabet import LETTERS, REJECT
+from glosswork.operators.morphology import RULES
 
 W = r"[\p{L}\p{N}_]"
 ABC = LETTERS.replace("'", "''")
@@ -30,7 +31,7 @@ CTE = {
     "pred": f"""context AS (SELECT DISTINCT doc_id, lemma FROM tagged WHERE regexp_matches(word, '^[A-Za-z]{{4,}}$')),
     shared AS (SELECT doc_id, synset_id, count(*) AS n FROM context JOIN lex ON form = lemma GROUP BY ALL),
     once AS (SELECT DISTINCT doc_id, lemma AS form, lex_pos AS pos FROM content),
-    sense AS (SELECT doc_id, q.form, q.pos, row_number() OVER (PARTITION BY doc_id, q.form ORDER BY turn, l.ord) - 1 AS ord, synset_id, definition
+    sense AS (SELECT doc_id, q.form, q.pos, row_number() OVER (PARTITION BY doc_id, q.form, q.pos ORDER BY turn, l.ord) - 1 AS ord, synset_id, definition
       FROM once q JOIN ask USING (pos) JOIN lex l ON l.form = q.form AND l.pos = ask.ask),
     cand AS (SELECT s.*, coalesce(n - 1, 0) AS logit FROM sense s LEFT JOIN shared USING (doc_id, synset_id)
       UNION ALL SELECT DISTINCT doc_id, form, pos, {REJECT}, '', '{NONE}', 0 FROM sense),
@@ -38,7 +39,8 @@ CTE = {
       exp(logit - max(logit) OVER q) / sum(exp(logit - m)) OVER q AS p, row_number() OVER (PARTITION BY doc_id, form, pos ORDER BY logit DESC, ord) AS r
       FROM (SELECT *, max(logit) OVER (PARTITION BY doc_id, form, pos) AS m FROM cand) WINDOW q AS (PARTITION BY doc_id, form, pos)) WHERE r = 1)""",
     "resolved": """resolved AS (SELECT t.doc_id, position, word, lemma, t.pos, start_char, end_char, CASE WHEN NOT rejected THEN synset_id END AS synset_id,
-      CASE WHEN NOT rejected THEN definition END AS synset_definition, confidence FROM tagged t LEFT JOIN pred p ON p.doc_id = t.doc_id AND p.form = t.lemma)""",
+      CASE WHEN NOT rejected THEN definition END AS synset_definition, confidence FROM tagged t LEFT JOIN pred p ON p.doc_id = t.doc_id AND p.form = t.lemma
+      AND p.pos = CASE t.pos WHEN 'NOUN' THEN 'n' WHEN 'VERB' THEN 'v' WHEN 'ADJ' THEN 'a' WHEN 'ADV' THEN 'r' END)""",
     "scored": f"""scored AS (SELECT query_id, ord, synset_id, definition, length(definition) % 7 AS logit FROM defs
       UNION ALL SELECT DISTINCT query_id, {REJECT}, '', '{NONE}', 3 FROM defs)""",
     "shares": """shares AS (SELECT *, exp(logit - m) / sum(exp(logit - m)) OVER (PARTITION BY query_id) AS p, row_number() OVER (PARTITION BY query_id ORDER BY logit DESC, ord) AS r
@@ -62,6 +64,28 @@ CTE = {
     "spans": """spans AS (SELECT t.doc_id, g.id, t.position AS start_token, t.position + len(string_split(label, ' ')) - 1 AS end_token, label AS text
       FROM (SELECT *, lead(lemma) OVER (PARTITION BY doc_id ORDER BY position) AS nxt FROM tok) t JOIN gaz g
       ON string_split(label, ' ')[1] = lemma AND (len(string_split(label, ' ')) = 1 OR string_split(label, ' ')[2] = nxt))""",
+    "lemmas": rf"""rule(r, p, suffix, ending) AS (VALUES {", ".join(f"({i}, '{p}', '{x}', '{y}')" for i, (p, x, y) in enumerate(RULES))}),
+    vocab AS (SELECT DISTINCT lower(word) AS word FROM tok WHERE regexp_matches(word, '^{W}')),
+    known AS (SELECT form AS lemma, CASE WHEN pos = 's' THEN 'a' ELSE pos END AS p, count(*) AS senses FROM lex GROUP BY ALL),
+    exc AS (SELECT reverse(form) AS word, min(CASE WHEN pos = 's' THEN 'a' ELSE pos END) AS p, form AS lemma FROM lex GROUP BY form),
+    made AS (SELECT word, 2 AS kind, length(suffix) AS cut, p, left(word, length(word) - length(suffix)) || ending AS lemma FROM vocab JOIN rule ON ends_with(word, suffix) AND length(word) > length(suffix)
+      UNION ALL SELECT word, 1, 0, p, lemma FROM vocab JOIN exc USING (word)),
+    every AS (SELECT word, kind, cut, p, lemma, senses FROM made JOIN known USING (lemma, p) UNION ALL
+      SELECT word, 0, 0, CASE WHEN pos = 's' THEN 'a' ELSE pos END, word, senses FROM vocab JOIN major ON form = word),
+    lemmas AS (SELECT word, lemma, p AS pos FROM every QUALIFY row_number() OVER (PARTITION BY word ORDER BY kind, cut DESC, senses DESC, position(p IN 'nvar'), lemma, p) = 1)""",
+    "tagged_by_lemmas": rf"""tagged AS (SELECT t.doc_id, position, t.word, start_char, end_char, coalesce(m.lemma, t.lemma) AS lemma, CASE WHEN NOT regexp_matches(t.word, '^{W}') THEN 'PUNCT' WHEN m.pos = 'n' THEN 'NOUN'
+      WHEN m.pos = 'v' THEN 'VERB' WHEN m.pos = 'a' THEN 'ADJ' WHEN m.pos = 'r' THEN 'ADV' ELSE 'X' END AS pos FROM tok t LEFT JOIN lemmas m ON m.word = t.lemma),
+    content AS (SELECT *, CASE pos WHEN 'NOUN' THEN 'n' WHEN 'VERB' THEN 'v' WHEN 'ADJ' THEN 'a' WHEN 'ADV' THEN 'r' END AS lex_pos FROM tagged WHERE pos NOT IN ('PUNCT', 'X'))""",
+    "nest": rf"""syn AS (SELECT item_id AS nr, 'syn-' || lpad(item_id::varchar, 8, '0') || '-' || substr('nvasr', (item_id % 5 + 1)::int, 1) AS synset_id, substr('nvasr', (item_id % 5 + 1)::int, 1) AS pos, text AS definition,
+      list_filter(list_distinct(list_transform(regexp_extract_all(text, '{W}+'), lambda w: lower(w))), lambda w: regexp_matches(w, '^[a-z]{{4,}}$')) AS bag, regexp_extract_all(text, '{W}+') AS run,
+      CASE WHEN item_id % 4 = 3 THEN []::varchar[] ELSE list_concat(list_filter(string_split(text, '.'), lambda x: x <> ''), [text]) END AS examples FROM benchmark),
+    wordn AS (SELECT *, list_position(list_transform(run, lambda w: lower(w)), lemma) AS spot FROM (SELECT nr, synset_id, pos, definition, examples, run, unnest(bag) AS lemma FROM syn)),
+    entries AS (SELECT *, row_number() OVER (PARTITION BY nr ORDER BY spot) - 1 AS word_nr FROM wordn),
+    formn AS (SELECT e.*, f.form_nr, CASE f.form_nr WHEN 0 THEN lemma ELSE lemma || 's' END AS form FROM entries e CROSS JOIN (VALUES (0), (1)) f(form_nr)),
+    examplen AS (SELECT *, unnest(examples) AS sentence, generate_subscripts(examples, 1) - 1 AS example_nr FROM formn),
+    exmark AS (SELECT *, CASE WHEN contains(lower(sentence), form) THEN regexp_replace(sentence, '(^|[^\p{{L}}\p{{N}}_])(' || form || ')($|[^\p{{L}}\p{{N}}_])', '\1*\2*\3', 'i') END AS marked FROM examplen),
+    usable AS (SELECT nr, word_nr, form_nr, example_nr, synset_id, form, lemma, pos, sentence, marked FROM exmark JOIN (SELECT lemma, pos FROM entries GROUP BY ALL HAVING count(DISTINCT synset_id) > 1) USING (lemma, pos)
+      WHERE position('*' IN sentence) = 0 AND marked <> sentence)""",
     "labels": rf"""piece AS (SELECT item_id, text, regexp_extract_all(text, '[^ \t\n\r\f\x0B]+') AS p FROM benchmark),
     label AS (SELECT label, min(item_id) AS id FROM (SELECT item_id, unnest(list_concat([text, array_to_string(p[1:3], ' ')], list_filter(p, lambda x: regexp_matches(x, '[^\p{{L}}\p{{N}}_]')))) AS label FROM piece) GROUP BY label),
     entry AS (SELECT id, label, list_transform(list_filter(regexp_extract_all(label, '{W}+|[^\p{{L}}\p{{N}}_]'), lambda x: NOT regexp_matches(x, '^[ \t\n\r\f\x0B]$')), lambda x: lower(x)) AS w FROM label),
@@ -124,8 +148,16 @@ SQL = {
     "option_letters": sql("lex asked ask defs", f"SELECT query_id, ord, substr('{ABC}', (ord + 1)::int, 1) AS letter, synset_id, definition FROM defs UNION ALL SELECT DISTINCT query_id, {REJECT}, '{LETTERS[REJECT]}', '', '{NONE}' FROM defs"),
     "render_prompt": sql("lex asked ask defs", f"""SELECT query_id, 'What is the meaning of *' || form || '* in this sentence?' || chr(10) || chr(10) || 'Sentence: Say *' || form || '*.' || chr(10) || chr(10)
       || string_agg(substr('{ABC}', (ord + 1)::int, 1) || '. ' || definition, chr(10) ORDER BY ord) || chr(10) || '{LETTERS[REJECT]}. {NONE}' || chr(10) || chr(10) || 'Answer: [unused0] [MASK]' AS prompt FROM defs GROUP BY query_id, form"""),
-    "answer_alphabet": f"SELECT i AS idx, substr('{ABC}', (i + 1)::int, 1) AS letter FROM range(128) t(i)",
+    "answer_alphabet": sql("lex asked ask defs", f"""SELECT i AS idx, substr('{ABC}', (i + 1)::int, 1) AS letter, coalesce(n, 0) AS options FROM range(128) t(i) LEFT JOIN
+      (SELECT ord, count(*) AS n FROM (SELECT ord FROM defs UNION ALL SELECT {REJECT} FROM (SELECT DISTINCT query_id FROM defs)) GROUP BY ord) ON ord = i"""),
     "entity_spans": sql("tok gaz spans", "SELECT * FROM spans"),
+    "lemmas": sql("lex major tok lemmas", "SELECT * FROM lemmas"),
+    "lemmatised_tokens": sql("lex major tok lemmas tagged_by_lemmas", "SELECT doc_id, position, word, lemma, pos FROM tagged"),
+    "disambiguate_lemmatised": sql("lex ask major tok lemmas tagged_by_lemmas pred resolved", "SELECT doc_id, position, word, lemma, pos, start_char, end_char, synset_id, confidence FROM resolved"),
+    "wordnet_examples": sql("nest", "SELECT * FROM usable"),
+    "wordnet_lexicon": sql("nest", "SELECT lemma AS form, pos, row_number() OVER (PARTITION BY lemma, pos ORDER BY nr, word_nr) - 1 AS ord, synset_id, definition FROM entries"),
+    "wordnet_training": sql("nest", """, words AS (SELECT lemma AS word, synset_id AS id, pos, definition AS source_definition, definition AS alternative_definition, examples, row_number() OVER (PARTITION BY lemma ORDER BY nr, word_nr) - 1 AS ord FROM entries),
+    """ + ",\n".join(CTE[n] for n in ("sent", "train", "tmajor", "reject")) + " SELECT word, count(*) AS examples, count(DISTINCT sentence) AS sentences FROM (SELECT word, sentence FROM lines UNION ALL SELECT word, sentence FROM rsent JOIN (SELECT DISTINCT word FROM rline) USING (word)) GROUP BY ALL"),
     "gazetteer_spans": sql("tok labels", "SELECT * FROM lspan"),
     "gazetteer_greedy": "WITH RECURSIVE " + ",\n".join(CTE[n] for n in ("tok", "labels")) + """,
     one AS MATERIALIZED (SELECT * FROM lspan QUALIFY row_number() OVER (PARTITION BY doc_id, start_token ORDER BY end_token DESC, id, text) = 1),
@@ -179,7 +211,7 @@ SQL = {
     "service_lexicon": sql("lex", """SELECT form, pos, ord, synset_id, definition FROM (SELECT form, pos, ('0x' || substr(md5('7:' || form), 1, 8))::bigint % 40 AS batch_id,
       row_number() OVER (PARTITION BY form ORDER BY synset_id) - 1 AS ord, synset_id, definition FROM lex WHERE pos = 'n') WHERE batch_id % 5 <> 0 AND batch_id % 7 <> 0"""),
     "greedy_spans": sql("tok gaz spans greedy", "SELECT * FROM greedy"),
-    "health": "SELECT 'ok' AS status",
+    "health": sql("lex", "SELECT 'ok' AS status, count(*) AS senses, true AS now FROM lex"),
     "resolve_array_form": sql(RESOLVE, "SELECT doc_id, form, pos, CASE WHEN NOT rejected THEN synset_id END AS synset_id, confidence FROM pred"),
     "nested_result": sql(RESOLVE + " resolved gaz spans greedy", """SELECT doc_id, n AS n_tokens, t AS tokens_md5, coalesce(n_entities, 0) AS n_entities, coalesce(entities_md5, md5('')) AS entities_md5 FROM
       (SELECT doc_id, count(*) AS n, md5(string_agg(word || '|' || lemma || '|' || pos || '|' || position || '|' || start_char || '|' || end_char || '|' || coalesce(synset_id, '-') || '|' || coalesce(synset_definition, '-') || '|' || coalesce(format('{:.6f}', confidence), '-'), chr(10) ORDER BY position)) AS t FROM resolved GROUP BY doc_id)
@@ -187,7 +219,7 @@ SQL = {
     "html_result": sql(RESOLVE + " resolved gaz spans greedy", """SELECT doc_id, md5('<table><tr>' || string_agg('<td>' || e(word) || '</td>', '' ORDER BY position) || '</tr><tr>' || string_agg('<td>' || coalesce('<a href="#' || e(synset_id) || '">' || e(synset_definition) || '</a>', '-') || '</td>', '' ORDER BY position) || '</tr><tr>' ||
       string_agg(CASE WHEN start_token = position THEN '<td colspan="' || end_token - start_token + 1 || '"><a href="#' || id || '">' || e(text) || '</a></td>' WHEN id IS NULL THEN '<td>-</td>' ELSE '' END, '' ORDER BY position) || '</tr></table>') AS html_md5
       FROM resolved LEFT JOIN (SELECT doc_id, id, start_token, end_token, text, unnest(range(start_token, end_token + 1)) AS position FROM greedy) USING (doc_id, position) GROUP BY doc_id"""),
-    "letter_sidecar": f"SELECT '{ABC}' AS letters, 128::bigint AS num_letters",
+    "letter_sidecar": sql("lex asked ask defs", f"SELECT '{ABC}' AS letters, 128::bigint AS num_letters, max(n) AS most FROM (SELECT count(*) AS n FROM defs GROUP BY query_id)"),
     "request_errors": """SELECT conv_id, turn, CASE WHEN coalesce(text, '') = '' THEN '{"error":{"status":400,"message":"Missing parameter: text","type":"bad_request"}}' WHEN turn % 2 <> 0 THEN '{"error":{"status":400,"message":"Missing parameter: lang","type":"bad_request"}}' END AS error FROM conversations""",
 }
 
@@ -208,6 +240,9 @@ def _requests() -> str:
 
 
 SQL["llm_requests"] = _requests()
+# both sides of the join are made once
+for _n in ("tok", "spans"):
+    SQL["entity_coverage"] = SQL["entity_coverage"].replace(f"\n    {_n} AS (", f"\n    {_n} AS MATERIALIZED (").replace(f"\n{_n} AS (", f"\n{_n} AS MATERIALIZED (")
 
 
 def _escaped(column: str) -> str:

@@ -12,11 +12,13 @@ from glosswork.functions import alphabet as A
 from glosswork.functions import text as X
 from glosswork.operators import corpus as C
 from glosswork.operators import lexicon as L
+from glosswork.operators import morphology as M
 from glosswork.operators import prompts as P
 from glosswork.operators import resolve as R
 from glosswork.operators import scoring as S
 from glosswork.operators import tokens as T
 from glosswork.operators import training as TR
+from glosswork.operators import wordnet as N
 from glosswork.plans.oracle import SQL
 from glosswork.sources import readers, sinks, store
 from glosswork.streaming import resolve as stream
@@ -153,6 +155,64 @@ def word_queries(spark, d):
     return T.content(tagged(spark, d)).groupBy(F.col("lemma").alias("form"), F.col("lex_pos").alias("pos")).agg(F.count(F.lit(1)).alias("asked"))
 
 
+def irregular(spark: SparkSession, d: str) -> DataFrame:
+    """Exceptions: the words of documents that begin with the letters of a form in reverse order stand for that form."""
+    forms = lex(spark, d).groupBy("form").agg(F.min(F.when(F.col("pos") == "s", "a").otherwise(F.col("pos"))).alias("pos"))
+    return forms.select(F.reverse("form").alias("form"), "pos", F.col("form").alias("lemma"))
+
+
+def morphological(spark: SparkSession, d: str):
+    return lambda tokens, lexicon: M.tagged(tokens, lexicon, irregular(spark, d))
+
+
+@query
+def lemmas(spark, d):
+    """Base forms of the documents' distinct words."""
+    words = T.base_tokens(docs(spark, d)).where(F.col("word").rlike(f"^{X.WORD}")).select(F.lower("word").alias("word")).distinct()
+    return M.lemmas(words, lex(spark, d), irregular(spark, d))
+
+
+@query
+def lemmatised_tokens(spark, d):
+    return morphological(spark, d)(T.base_tokens(docs(spark, d)), lex(spark, d)).select("doc_id", "position", "word", "lemma", "pos")
+
+
+@query
+def disambiguate_lemmatised(spark, d):
+    """The whole flow with base forms."""
+    out = R.disambiguate(docs(spark, d), lex(spark, d), tagger=morphological(spark, d))
+    return out.withColumn("confidence", F.round("confidence", 6)).drop("synset_definition")
+
+
+def synsets(spark: SparkSession, d: str) -> DataFrame:
+    """A nested lexicon: an item is a synset, its words of four letters or more are its words, with a plural each; its pieces between
+    full stops and its whole text are its examples, but every fourth item has none."""
+    words = F.filter(F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit(X.WORD + "+"), F.lit(0)), F.lower)), lambda w: w.rlike("^[a-z]{4,}$"))
+    sentences = F.concat(F.filter(F.split("text", r"\."), lambda x: x != ""), F.array("text"))
+    pos = F.substring(F.lit(L.POS), (F.col("item_id") % 5 + 1).cast("int"), F.lit(1))
+    nested = F.transform(words, lambda w: F.struct(w.alias("lemma"), F.array(w, F.concat(w, F.lit("s"))).alias("forms")))
+    return table(spark, d, "benchmark").select(
+        F.col("item_id").alias("nr"), F.concat(F.lit("syn-"), F.lpad(F.col("item_id").cast("string"), 8, "0"), F.lit("-"), pos).alias("synset_id"), pos.alias("pos"),
+        F.col("text").alias("definition"), nested.alias("words"), F.when(F.col("item_id") % 4 == 3, F.array().cast("array<string>")).otherwise(sentences).alias("examples"),
+    )
+
+
+@query
+def wordnet_examples(spark, d):
+    return N.examples(synsets(spark, d))
+
+
+@query
+def wordnet_lexicon(spark, d):
+    return N.lexicon(synsets(spark, d))
+
+
+@query
+def wordnet_training(spark, d):
+    """How many training examples each lemma gets from its synsets' examples."""
+    return TR.training_set(N.training_words(synsets(spark, d))).groupBy("word").agg(F.count(F.lit(1)).alias("examples"), F.countDistinct("sentence").alias("sentences"))
+
+
 @query
 def mark_by_index(spark, d):
     return T.marked_by_index(docs(spark, d), T.content(tagged(spark, d))).select("doc_id", "position", F.md5("marked").alias("marked_md5"))
@@ -178,7 +238,10 @@ def render_prompt(spark, d):
 
 @query
 def answer_alphabet(spark, d):
-    return spark.createDataFrame([(i, c) for i, (c, _) in enumerate(A.alphabet())], "idx int, letter string")
+    """Each letter with the number of options that stand under it in all look-ups."""
+    letters = spark.createDataFrame([(i, c) for i, (c, _) in enumerate(A.alphabet())], "idx int, letter string")
+    used = P.options(L.definitions(every_query(spark, d), lex(spark, d)), ["query_id"]).groupBy("letter").agg(F.count(F.lit(1)).alias("options"))
+    return letters.join(used, "letter", "left").select("idx", "letter", F.coalesce("options", F.lit(0)).alias("options"))
 
 
 @query
@@ -482,12 +545,15 @@ def html_result(spark, d):
 
 @query
 def health(spark, d):
-    return sinks.health(spark)
+    """The answer of a service that has loaded the lexicon."""
+    return sinks.health(lex(spark, d)).select("status", "senses", (F.abs(F.unix_timestamp() - F.unix_timestamp("timestamp")) < 3600).alias("now"))
 
 
 @query
 def letter_sidecar(spark, d):
-    return sinks.sidecar(spark).select(F.array_join("letters", "").alias("letters"), "num_letters")
+    """The file beside a model's weights, and the letters that the lexicon's widest look-up needs."""
+    most = L.definitions(every_query(spark, d), lex(spark, d)).groupBy("query_id").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n").alias("most"))
+    return sinks.sidecar(spark).join(most).select(F.array_join("letters", "").alias("letters"), "num_letters", "most")
 
 
 @query
