@@ -15,6 +15,7 @@ import hashlib
 import json
 import os
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -82,6 +83,13 @@ class Second:
         return [x[n:] for x in out]
 
 
+@lru_cache(1)
+def _sides(first: str, second: str) -> tuple[First, Second]:
+    """Both tokenizers, loaded once in a worker."""
+    return First(first), Second(second)
+
+
+@lru_cache(1)
 def can_cut(first: str, second: str) -> bool:
     """Whether no token of either has a blank or a line feed after another character, and texts are taken as they stand."""
     with open(first, encoding="utf-8") as f:
@@ -137,11 +145,9 @@ def _sliced(docs: DataFrame, first: str, second: str, id_col: str, text_col: str
     names = ["slice", "doc", "codes", "code", "piece", "n"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cut = None
         for batch in batches:
             for part in slices(batch, "text", SLICE_BYTES):
-                cut = can_cut(first, second) if cut is None else cut
-                bounds, distinct, codes = _pieces(part.column("text"), cut)
+                bounds, distinct, codes = _pieces(part.column("text"), can_cut(first, second))
                 here = part.column("row")[0].as_py()
                 body = codes.astype("<i4").tobytes()
                 of_docs = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(bounds) - 1, [None, pa.py_buffer(4 * bounds.astype(np.int64)), pa.py_buffer(body)])
@@ -162,9 +168,8 @@ def encoded(pieces: DataFrame, first: str, second: str) -> DataFrame:
     kinds = "key bigint, piece string, n bigint, ok boolean, a array<int>, a_len array<int>, b array<int>, b_len array<int>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sides = None
         for batch in batches:
-            sides = sides or (First(first), Second(second))
+            sides = _sides(first, second)
             for i in range(0, batch.num_rows, ENCODED):
                 part = batch.slice(i, ENCODED)
                 texts = part.column("piece").to_pylist()
@@ -317,6 +322,8 @@ def _strung(of_docs: DataFrame, results: DataFrame, kind: str, digest: bool, id_
                     said = memoryview(body)[offsets[taken.offset] : offsets[taken.offset + len(taken)] - 1]
                 texts.append((hashlib.sha256(said).hexdigest() if digest and whole else bytes(said).decode()))
             ids.append(batch.column("doc"))
+        del halves, groups, numbers
+        pa.default_memory_pool().release_unused()  # an idle worker keeps no more than it needs
         sums = np.array(sums, np.int64).reshape(-1, len(NUMBERS))
         out = [pa.chunked_array(ids, docs.schema.field("doc").type), *[pa.array(sums[:, i]) for i in range(len(NUMBERS))], pa.array(texts, pa.string())]
         return pa.Table.from_arrays(out, [id_col, *NUMBERS, "said"])
