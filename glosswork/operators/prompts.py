@@ -36,6 +36,12 @@ def render(word: Column, marked: Column, definitions: Column, offset: Column | N
     return F.when((start >= 0) & (start + F.size(definitions) <= REJECT), text)
 
 
+def plain(word: str, marked: str, definitions: list[str], mask: str = MASK) -> str:
+    """The same prompt made in Python, where a task makes many of one text."""
+    lines = "\n".join([*(f"{letter_}. {d}" for letter_, d in zip(LETTERS, definitions)), f"{LETTERS[REJECT]}. {NONE}"])  # noqa: B905
+    return QUESTION.format(word, marked, lines, mask)
+
+
 def gathered(senses: DataFrame, by: list[str]) -> DataFrame:
     """One row for each query with its senses as an array in rank order."""
     items = F.array_sort(F.collect_list(F.struct("ord", "synset_id", "definition")))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from glosswork.functions.alphabet import REJECT
 from glosswork.operators import gazetteer as G
 from glosswork.operators import lexicon as L
+from glosswork.operators import prompts as P
 from glosswork.operators import scoring as S
 from glosswork.operators import tokens as T
 from glosswork.operators.prompts import NONE
@@ -47,15 +48,33 @@ def predictions(docs_tokens: DataFrame, lexicon: DataFrame, scorer: S.Scorer | N
     return S.choose(rows, ["doc_id", "form", "pos"])
 
 
-def disambiguate(docs: DataFrame, lexicon: DataFrame, scorer: S.Scorer | None = None, language: str = "en", tagger: Callable[[DataFrame, DataFrame], DataFrame] = T.tagged) -> DataFrame:
+Tagger = Callable[[DataFrame, DataFrame], DataFrame]
+
+
+def disambiguate(docs: DataFrame, lexicon: DataFrame, scorer: S.Scorer | S.ModelScorer | None = None, language: str = "en", tagger: Tagger = T.tagged) -> DataFrame:
     """Every token; content words with candidates have a confidence, and a synset unless rejected. A language
-    that isn't supported is an error. tagger: what gives tokens a lemma and a part of speech; `tagged` of `tokens` knows the lexicon's
-    forms as they stand, that of `morphology` inflected ones too."""
+    that isn't supported is an error.
+
+    tagger: what gives tokens a lemma and a part of speech; `tagged` of `tokens` knows the lexicon's forms as they stand, that of
+    `morphology` inflected ones too. With a `ModelScorer` each occurrence is marked and scored for itself (ids must then be one document's
+    each); with another scorer a word is scored once a document. The tokens are written once, and read by look-up, context and result.
+    """
     check_language(language)
-    tokens = tagger(T.base_tokens(docs), lexicon).withColumn("lex_pos", L.recode(F.col("pos")))
-    chosen = predictions(tokens, lexicon, scorer)
-    by_lemma = chosen.select("doc_id", F.col("form").alias("lemma"), F.col("pos").alias("lex_pos"), F.when(~F.col("rejected"), F.col("synset_id")).alias("synset_id"), F.when(~F.col("rejected"), F.col("definition")).alias("synset_definition"), "confidence")
-    return tokens.join(by_lemma, ["doc_id", "lemma", "lex_pos"], "left").select("doc_id", "position", "word", "lemma", "pos", "start_char", "end_char", "synset_id", "synset_definition", "confidence")
+    tokens = store.written(tagger(T.base_tokens(docs), lexicon).withColumn("lex_pos", L.recode(F.col("pos"))), "tokens")
+    if isinstance(scorer, S.ModelScorer):
+        content = tokens.where("lex_pos IS NOT NULL").select("doc_id", "position", "word", "start_char", F.col("lemma").alias("form"), F.col("lex_pos").alias("pos"))
+        chosen, on = scorer.chosen(docs, content, packed_senses(content, lexicon)), ["doc_id", "position"]
+    else:
+        chosen, on = predictions(tokens, lexicon, scorer).withColumnsRenamed({"form": "lemma", "pos": "lex_pos"}), ["doc_id", "lemma", "lex_pos"]
+    told = lambda c: F.when(~F.col("rejected"), F.col(c))
+    by = chosen.select(*on, told("synset_id").alias("synset_id"), told("definition").alias("synset_definition"), "confidence")
+    return tokens.join(by, on, "left").select("doc_id", "position", "word", "lemma", "pos", "start_char", "end_char", "synset_id", "synset_definition", "confidence")
+
+
+def packed_senses(content: DataFrame, lexicon: DataFrame) -> DataFrame:
+    """form, pos, senses (in rank order) of the look-ups of content, each once; forms with more senses than letters have none."""
+    asked = content.select("form", "pos").distinct().withColumn("query_id", F.struct("form", "pos"))
+    return P.gathered(L.definitions(asked, lexicon), ["form", "pos"]).where(F.size("senses") <= REJECT).select("form", "pos", "senses")
 
 
 def entity_spans(tokens: DataFrame, gazetteer: DataFrame) -> DataFrame:

@@ -9,8 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from glosswork.functions import text as X
 from glosswork.functions.alphabet import REJECT
+from glosswork.operators import lexicon as L
 from glosswork.operators import prompts as P
 from glosswork.operators.prompts import NONE
 
@@ -57,33 +57,90 @@ class EmbeddingScorer(Scorer):
         return candidates.withColumn("logit", F.coalesce(F.try_divide(dot(a, b), F.sqrt(dot(a, a) * dot(b, b))), F.lit(0.0)) * self.weight)
 
 
-class ModelScorer(Scorer):
-    """A masked language model's logits. `load` runs once in each task and returns a function from a list of prompts to
-    a list of logits for all letters each. docs (doc_id, text) gives the sentences, in which the word's first
-    occurrence is marked. One prompt is made for each word of a document; words that can't be marked lose
-    their candidates."""
+Model = Callable[[list[str]], list[list[float]]]
 
-    def __init__(self, load: Callable[[], Callable[[list[str]], list[list[float]]]], docs: DataFrame, mask: str = P.MASK):
-        self.load, self.docs, self.mask = load, docs, mask
 
-    def score(self, candidates: DataFrame) -> DataFrame:
-        load, mask, by = self.load, self.mask, ["doc_id", "form", "pos"]
-        asked = P.gathered(candidates.where(F.col("ord") < REJECT), by).join(self.docs.select("doc_id", "text"), "doc_id")
-        prompt = P.render(F.col("form"), X.mark_first(F.col("text"), F.col("form")), F.col("definitions"), mask=mask)
-        asked = asked.select(*by, prompt.alias("prompt")).where("prompt IS NOT NULL")
+def in_buckets(model: Model, prompts: Iterator[tuple], size: int, ahead: int, most_chars: int) -> Iterator[tuple]:
+    """(key, prompt) to (key, prompt, logits, longest): prompts are held until there are `ahead` of them or they have `most_chars`
+    characters, and go to the model in order of length, `size` at a time. longest: the length up to which the prompt was padded."""
+
+    def flushed(held: list[tuple]) -> Iterator[tuple]:
+        held.sort(key=lambda x: len(x[1]))
+        for i in range(0, len(held), size):
+            part = held[i : i + size]
+            logits = model([p for _, p in part])
+            if len(logits) != len(part):
+                raise ValueError(f"{len(logits)} results for {len(part)} prompts")
+            yield from ((k, p, z, len(part[-1][1])) for (k, p), z in zip(part, logits, strict=True))
+
+    held, chars = [], 0
+    for item in prompts:
+        held.append(item)
+        chars += len(item[1])
+        if len(held) >= ahead or chars >= most_chars:
+            yield from flushed(held)
+            held, chars = [], 0
+    yield from flushed(held)
+
+
+class ModelScorer:
+    """A masked language model's choice for every occurrence of a content word, each marked at its own place.
+
+    load: runs once in each task and gives a function from a list of prompts to a list of logits for all letters each. A text and
+    its words' places make one row, so a text isn't copied for each of its words: prompts are made in the task, one after
+    the other, and scored in buckets of similar length (`size` prompts, chosen among `ahead`).
+    """
+
+    def __init__(self, load: Callable[[], Model], mask: str = P.MASK, size: int = 4, ahead: int = 256, most_chars: int = 16 << 20):
+        self.load, self.mask, self.size, self.ahead, self.most_chars = load, mask, size, ahead, most_chars
+
+    def scored(self, docs: DataFrame, content: DataFrame, senses: DataFrame) -> DataFrame:
+        """docs: doc_id, text. content: doc_id, position, word, start_char, and form and pos of its senses. senses: form, pos, senses
+        (array of ord, synset_id, definition in rank order, fewer than the letters). Gives doc_id, position, form, pos, logits (of the senses, then of
+        the reject option), chars and longest (of the prompt, and of its bucket). Ids of documents are taken to be their own; rows of
+        content without senses have no row."""
+        load, mask, size, ahead, most = self.load, self.mask, self.size, self.ahead, self.most_chars
+        asked = content.join(L.bounded(senses.select("form", "pos", F.transform("senses", lambda s: s["definition"]).alias("definitions"))), ["form", "pos"])
+        places = F.sort_array(F.collect_list(F.struct("position", "start_char", "word", "form", "pos", "definitions")))
+        rows = asked.groupBy("doc_id").agg(places.alias("places")).join(docs.select("doc_id", "text"), "doc_id")
+        kinds = dict(content.dtypes)
+        out = f"doc_id {kinds['doc_id']}, position {kinds['position']}, form string, pos string, logits array<double>, chars int, longest int"
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             model = load()
-            for batch in batches:
-                prompts = batch.column("prompt").to_pylist()
-                if any(mask not in x for x in prompts):
-                    raise ValueError(f"a prompt has no {mask}")
-                logits = pa.array(model(prompts), pa.list_(pa.float64())) if prompts else pa.array([], pa.list_(pa.float64()))
-                yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in by], logits], [*by, "logits"])
 
-        kinds = dict(asked.dtypes)
-        logits = asked.mapInArrow(run, ", ".join([*[f"{c} {kinds[c]}" for c in by], "logits array<double>"]))
-        return candidates.join(logits, by).withColumn("logit", F.get("logits", F.col("ord").cast("int"))).drop("logits")
+            def prompts() -> Iterator[tuple]:
+                for batch in batches:
+                    for i in range(batch.num_rows):
+                        doc, text = batch.column("doc_id")[i].as_py(), batch.column("text")[i].as_py()
+                        for x in batch.column("places")[i]:
+                            x = x.as_py()
+                            at, end = x["start_char"], x["start_char"] + len(x["word"])
+                            prompt = P.plain(x["word"], f"{text[:at]}*{text[at:end]}*{text[end:]}", x["definitions"], mask)
+                            yield (doc, x["position"], x["form"], x["pos"], len(x["definitions"])), prompt
+
+            done: list[tuple] = []
+            for item in in_buckets(model, prompts(), size, ahead, most):
+                done.append(item)
+                if len(done) >= ahead:
+                    yield batched(done)
+                    done = []
+            if done:
+                yield batched(done)
+
+        def batched(done: list[tuple]) -> pa.RecordBatch:
+            columns = [list(c) for c in zip(*[k[:4] for k, *_ in done], strict=True)]
+            logits = [[*z[: k[4]], z[REJECT]] for k, _, z, _ in done]
+            return pa.RecordBatch.from_pydict(dict(zip(("doc_id", "position", "form", "pos"), columns, strict=True)) | {"logits": logits, "chars": pa.array([len(p) for _, p, _, _ in done], pa.int32()), "longest": pa.array([n for *_, n in done], pa.int32())})
+
+        return rows.select("doc_id", "text", "places").mapInArrow(run, out)
+
+    def chosen(self, docs: DataFrame, content: DataFrame, senses: DataFrame) -> DataFrame:
+        """doc_id, position, synset_id, definition, confidence, rejected of each occurrence: the softmax's first greatest, in its own row."""
+        rows = self.scored(docs, content, senses).withColumn("x", array_choice(array_softmax(F.col("logits")))).join(L.bounded(senses), ["form", "pos"])
+        sense = F.get("senses", F.col("x.index").cast("int"))
+        none = F.col("x.index") == F.size("senses")
+        return rows.select("doc_id", "position", F.when(none, "").otherwise(sense["synset_id"]).alias("synset_id"), F.when(none, NONE).otherwise(sense["definition"]).alias("definition"), F.col("x.confidence").alias("confidence"), none.alias("rejected"))
 
 
 def softmax(rows: DataFrame, by: list[str], logit: str = "logit") -> DataFrame:
@@ -95,12 +152,14 @@ def softmax(rows: DataFrame, by: list[str], logit: str = "logit") -> DataFrame:
 
 def choose(rows: DataFrame, by: list[str]) -> DataFrame:
     """The best candidate (of equal ones the first) of each query with its confidence; the reject option is
-    told by its rank, not by its text, and has no synset."""
-    w = Window.partitionBy(*by)
-    best = F.row_number().over(w.orderBy(F.desc("logit"), "ord"))
-    rows = softmax(rows, by).withColumn("__r", best).where("__r = 1")
-    none = F.col("ord") == REJECT
-    return rows.select(*by, F.when(none, "").otherwise(F.col("synset_id")).alias("synset_id"), F.when(none, NONE).otherwise(F.col("definition")).alias("definition"), F.col("p").alias("confidence"), none.alias("rejected"))
+    told by its rank, not by its text, and has no synset. One aggregate: the best so far and the scores, which are as many as there are
+    letters at most, are gathered before rows are dealt; no query's rows are sorted."""
+    best = F.max_by(F.struct("ord", "synset_id", "definition"), F.struct("logit", (-F.col("ord")).alias("first")))
+    rows = rows.groupBy(*by).agg(best.alias("x"), F.array_sort(F.collect_list("logit")).alias("z"))  # in order, so that sums don't depend on it
+    top = F.array_max("z")
+    share = 1 / F.aggregate("z", F.lit(0.0), lambda s, x: s + F.exp(x - top))
+    none = F.col("x.ord") == REJECT
+    return rows.select(*by, F.when(none, "").otherwise(F.col("x.synset_id")).alias("synset_id"), F.when(none, NONE).otherwise(F.col("x.definition")).alias("definition"), share.alias("confidence"), none.alias("rejected"))
 
 
 def array_softmax(logits: Column) -> Column:

@@ -151,6 +151,17 @@ SQL = {
     "answer_alphabet": sql("lex asked ask defs", f"""SELECT i AS idx, substr('{ABC}', (i + 1)::int, 1) AS letter, coalesce(n, 0) AS options FROM range(128) t(i) LEFT JOIN
       (SELECT ord, count(*) AS n FROM (SELECT ord FROM defs UNION ALL SELECT {REJECT} FROM (SELECT DISTINCT query_id FROM defs)) GROUP BY ord) ON ord = i"""),
     "entity_spans": sql("tok gaz spans", "SELECT * FROM spans"),
+    "ndjson_stream": "SELECT conv_id AS stream_id, md5(string_agg(coalesce(text, ''), '' ORDER BY turn)) AS content_md5 FROM conversations WHERE turn <= 2 GROUP BY conv_id HAVING max(turn) = 2",
+    "generation_run": sql("lex", """, f AS (SELECT form, count(*) AS n, max(md5('~' || definition)) AS m FROM lex GROUP BY form), a AS (SELECT form FROM f UNION SELECT 'un' || form FROM f)
+    SELECT form, CASE WHEN n IS NULL THEN 'no synset' WHEN n = 1 THEN 'one synset' WHEN length(form) = 9 THEN 'failed' ELSE 'made' END AS outcome, CASE WHEN n > 1 AND length(form) = 9 THEN 'no answer' END AS message,
+      CASE WHEN n > 1 AND length(form) <> 9 THEN n END AS senses, CASE WHEN n > 1 AND length(form) <> 9 THEN m END AS greatest_md5 FROM a LEFT JOIN f USING (form)"""),
+    "occurrence_choices": sql("lex ask major tok tagged", f""", pairs AS (SELECT DISTINCT lemma AS form, lex_pos AS pos FROM content),
+    sense AS (SELECT q.form, q.pos, row_number() OVER (PARTITION BY q.form, q.pos ORDER BY turn, l.ord) - 1 AS ord, synset_id, definition FROM pairs q JOIN ask USING (pos) JOIN lex l ON l.form = q.form AND l.pos = ask.ask),
+    pack AS (SELECT form, pos, count(*) AS n, list(synset_id ORDER BY ord) AS ids, string_agg(substr('{ABC}', (ord + 1)::int, 1) || '. ' || definition, chr(10) ORDER BY ord) AS txt FROM sense GROUP BY ALL HAVING count(*) <= {REJECT}),
+    asked AS (SELECT c.doc_id, position, lemma, n, ids, ('0x' || substr(md5('What is the meaning of *' || word || '* in this sentence?' || chr(10) || chr(10) || 'Sentence: ' || substr(text, 1, start_char) || '*' || word || '*' || substr(text, end_char + 1) || chr(10) || chr(10) || txt || chr(10)
+      || '{LETTERS[REJECT]}. {NONE}' || chr(10) || chr(10) || 'Answer: [unused0] [MASK]'), 1, 8))::bigint AS h FROM content c JOIN pack ON form = lemma AND pack.pos = lex_pos JOIN documents d ON d.doc_id = c.doc_id),
+    z AS (SELECT *, list_transform(list_concat(range(0, n), [{REJECT}]), lambda i: (h + i * 7919) % 1000 / 100) AS z FROM asked)
+    SELECT doc_id, position, lemma, CASE WHEN list_position(z, list_max(z)) <= n THEN ids[list_position(z, list_max(z))] END AS synset_id, round(1 / list_sum(list_transform(z, lambda x: exp(x - list_max(z)))), 6) AS confidence FROM z"""),
     "lemmas": sql("lex major tok lemmas", "SELECT * FROM lemmas"),
     "lemmatised_tokens": sql("lex major tok lemmas tagged_by_lemmas", "SELECT doc_id, position, word, lemma, pos FROM tagged"),
     "disambiguate_lemmatised": sql("lex ask major tok lemmas tagged_by_lemmas pred resolved", "SELECT doc_id, position, word, lemma, pos, start_char, end_char, synset_id, confidence FROM resolved"),

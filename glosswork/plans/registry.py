@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
+import re
 from collections.abc import Callable
 from functools import wraps
 
@@ -21,6 +24,7 @@ from glosswork.operators import training as TR
 from glosswork.operators import wordnet as N
 from glosswork.plans.oracle import SQL
 from glosswork.sources import readers, sinks, store
+from glosswork.streaming import fold, generate
 from glosswork.streaming import resolve as stream
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -564,15 +568,72 @@ def request_errors(spark, d):
 
 @query
 def resolve_array_form(spark, d):
-    return stream.resolved(docs(spark, d), stream.packed(lex(spark, d))).withColumn("confidence", F.round("confidence", 6))
+    """The streaming flow on a batch."""
+    return stream.resolved(docs(spark, d), lex(spark, d)).withColumn("confidence", F.round("confidence", 6))
 
 
 @query
 def resolve_stream(spark, d):
     at = store.place(spark, "stream")
-    docs(spark, d).write.parquet(f"{at}/in")
-    stream.run(spark, f"{at}/in", "doc_id bigint, text string", lex(spark, d), f"{at}/out", f"{at}/checkpoint")
-    return spark.read.parquet(f"{at}/out").withColumn("confidence", F.round("confidence", 6))
+    docs(spark, d).repartition(3).write.parquet(f"{at}/in")
+    stream.run(spark, f"{at}/in", "doc_id bigint, text string", lex(spark, d), f"{at}/out", f"{at}/checkpoint", maxFilesPerTrigger=2)
+    return stream.results(spark, f"{at}/out").withColumn("confidence", F.round("confidence", 6))
+
+
+@query
+def ndjson_stream(spark, d):
+    """Conversations as streamed responses, a few turns a micro-batch; a response ends with its third turn, and gives nothing before."""
+    at = store.place(spark, "responses")
+    line = F.to_json(F.struct(F.struct(F.col("text").alias("content")).alias("message"), (F.col("turn") == 2).alias("done")))
+    rows = store.written(table(spark, d, "conversations").select(F.col("conv_id").alias("stream_id"), F.col("turn").alias("line_no"), line.alias("value")), "lines")
+    for turn in range(3):  # a file each, in this order
+        rows.where(f"line_no = {turn}" if turn < 2 else "line_no >= 2").coalesce(1).write.mode("append").parquet(f"{at}/in")
+    lines = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{at}/in")
+    fold.folded(lines).writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/checkpoint").outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema("stream_id bigint, content string").parquet(f"{at}/out").select("stream_id", F.md5("content").alias("content_md5"))
+
+
+def echoed(payload: str):
+    """A made-up service: each synset that is asked for with its definition behind a tilde, in two lines and an end; no answer for
+    forms of nine letters."""
+    asked = json.loads(payload)
+    if re.search(r"word form '[a-z]{9}'", asked["messages"][0]["content"]):
+        raise OSError("no answer")
+    senses = [{"id": x["id"], "pos": x["attributes"]["pos"], "source_definition": x["attributes"]["definition"], "alternative_definition": "~" + x["attributes"]["definition"], "examples": ["one", "two", "three"]} for x in json.loads(asked["messages"][1]["content"])]
+    text = json.dumps(senses)
+    for part in (text[: len(text) // 2], text[len(text) // 2 :]):
+        yield json.dumps({"message": {"content": part}, "done": False})
+    yield json.dumps({"done": True})
+
+
+@query
+def generation_run(spark, d):
+    """Forms in three files, of which one comes twice, generated micro-batch by micro-batch: each form's outcome and its file's senses."""
+    at = store.place(spark, "generation")
+    lexicon = store.written(lex(spark, d), "lexicon")
+    forms = L.forms(lexicon).unionByName(lexicon.select(F.concat(F.lit("un"), "form").alias("form")).distinct()).withColumn("n", F.length("form") % 3)
+    for n in (0, 1, 2, 0):
+        forms.where(f"n = {n}").select("form").coalesce(1).write.mode("append").text(f"{at}/in")
+    log = generate.run(spark, f"{at}/in", lambda todo: todo.join(lexicon, "form"), echoed, "any-model", f"{at}/out", f"{at}/checkpoint", maxFilesPerTrigger=1)
+    made = readers.training_words(spark, f"{at}/out/words").groupBy(F.col("word").alias("form")).agg(F.count(F.lit(1)).alias("senses"), F.max(F.md5("alternative_definition")).alias("greatest_md5"))
+    return log.join(made, "form", "left")
+
+
+def hashed_model():
+    """A made-up model: each letter's logit is a hash of the whole prompt, shifted by the letter."""
+
+    def score(prompts):
+        start = [int(hashlib.md5(p.encode()).hexdigest()[:8], 16) for p in prompts]
+        return [[(h + i * 7919) % 1000 / 100 for i in range(A.SIZE)] for h in start]
+
+    return score
+
+
+@query
+def occurrence_choices(spark, d):
+    """Every occurrence of a content word marked at its own place and scored by a model."""
+    out = R.disambiguate(docs(spark, d), lex(spark, d), S.ModelScorer(hashed_model)).where("confidence IS NOT NULL")
+    return out.select("doc_id", "position", "lemma", "synset_id", F.round("confidence", 6).alias("confidence"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -1,57 +1,40 @@
-"""Documents as a stream: row-local array expressions and one join with a static lexicon.
+"""Documents as a stream, resolved micro-batch by micro-batch with the batch's own plan.
 
-Each text's distinct lemmas are taken inside its own row and looked up in one array row for each form, beside the
-text's lemmas; the choice is an array argmax. Forms with more senses than letters have no candidates, as in a batch. No window runs, so append mode works, and a batch
-run of the same frame gives the same rows.
+Words are exploded, joined with the senses and with an inverted index of the definitions (word to synsets), and counted by hash: bytes
+and time grow with a text's length. Each micro-batch has a folder of its own under `out`, written over if the batch runs
+again, so that a killed stream that starts anew gives each document once.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glosswork.functions import text as X
-from glosswork.functions.alphabet import REJECT
-from glosswork.operators import lexicon as L
-from glosswork.operators import scoring as S
+from glosswork.operators import resolve as R
+from glosswork.operators import tokens as T
+from glosswork.sources import store
 
 
-def _words(text: str) -> Column:
-    """The distinct lemmas of a text."""
-    runs = F.regexp_extract_all(text, F.lit(X.WORD + "+"), F.lit(0))
-    return F.array_distinct(F.transform(F.filter(runs, lambda w: w.rlike("^[A-Za-z]{4,}$")), F.lower))
+def resolved(docs: DataFrame, lexicon: DataFrame) -> DataFrame:
+    """docs: doc_id, text. One row for each distinct content word of a document: doc_id, form, pos, synset_id (null if
+    rejected), confidence."""
+    tokens = store.written(T.tagged(T.base_tokens(docs), lexicon), "tokens")
+    out = R.predictions(tokens, lexicon)
+    return out.select("doc_id", "form", "pos", F.when(~F.col("rejected"), F.col("synset_id")).alias("synset_id"), "confidence")
 
 
-def packed(lexicon: DataFrame) -> DataFrame:
-    """One row for each form of the lexicon: the senses of its majority part of speech in rank order."""
-    major = L.majority_pos(lexicon).select("form", F.when(F.col("pos") == "s", "a").otherwise(F.col("pos")).alias("pos"))
-    asked = major.withColumn("query_id", F.col("form"))
-    senses = L.definitions(asked, lexicon)
-    senses = senses.withColumn("gloss", _words("definition"))
-    items = F.array_sort(F.collect_list(F.struct("ord", "synset_id", "definition", "gloss")))
-    return senses.groupBy("form", "pos").agg(items.alias("senses")).where(F.size("senses") <= REJECT)
+def run(spark: SparkSession, source: str, schema: str, lexicon: DataFrame, out: str, checkpoint: str, **options) -> None:
+    """Reads Parquet files as a stream, resolves what is there, and writes each micro-batch to `out`. options: the file source's."""
+    settled = store.written(lexicon, "lexicon")  # one lexicon for all micro-batches
 
+    def resolve(rows: DataFrame, batch: int) -> None:
+        resolved(rows, settled).write.mode("overwrite").parquet(f"{out}/batch={batch}")
 
-def resolved(docs: DataFrame, senses: DataFrame) -> DataFrame:
-    """docs: doc_id, text (a stream or not). One row for each distinct content word: doc_id, form, pos,
-    synset_id (null if rejected), confidence."""
-    # a generator keeps each text's words as a column: inlined, every look-up would cut the text again
-    context = docs.select("doc_id", F.explode(F.array(_words("text"))).alias("context"))
-    rows = context.select("doc_id", "context", F.explode("context").alias("form"))
-    rows = rows.join(F.broadcast(senses) if senses.limit(L.MOST_BROADCAST + 1).count() <= L.MOST_BROADCAST else senses, "form")
-
-    def overlap(s):
-        return F.size(F.array_intersect(s["gloss"], F.col("context"))).cast("double") - 1
-
-    logits = F.concat(F.transform("senses", overlap), F.array(F.lit(0.0)))  # the reject option comes last
-    rows = rows.withColumn("logits", F.explode(F.array(logits)))
-    rows = rows.withColumn("p", F.explode(F.array(S.array_softmax(F.col("logits"))))).withColumn("choice", S.array_choice(F.col("p")))
-    chosen = F.get("senses", F.col("choice.index").cast("int"))
-    return rows.select("doc_id", "form", "pos", chosen["synset_id"].alias("synset_id"), F.col("choice.confidence").alias("confidence"))
+    stream = spark.readStream.schema(schema).options(**options).parquet(source).select("doc_id", "text")
+    query = stream.writeStream.foreachBatch(resolve).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query.awaitTermination()
 
 
-def run(spark: SparkSession, source: str, schema: str, lexicon: DataFrame, out: str, checkpoint: str) -> None:
-    """Reads Parquet files as a stream, resolves what is there, and appends to `out`."""
-    stream = spark.readStream.schema(schema).parquet(source).select("doc_id", "text")
-    query = resolved(stream, packed(lexicon)).writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
-    query.awaitTermination()
+def results(spark: SparkSession, out: str) -> DataFrame:
+    """What a stream has written so far."""
+    return spark.read.parquet(out).drop("batch")

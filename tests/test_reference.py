@@ -137,7 +137,7 @@ def test_stream_equals_batch(spark):
     from glosswork.streaming import resolve as stream
 
     lex = registry.lex(spark, DATA)
-    batch = stream.resolved(registry.docs(spark, DATA), stream.packed(lex)).withColumn("confidence", F.round("confidence", 6))
+    batch = stream.resolved(registry.docs(spark, DATA), lex).withColumn("confidence", F.round("confidence", 6))
     live = registry.queries()["resolve_stream"](spark, DATA)
     assert rows(batch.toArrow()) == rows(live.toArrow())
 
@@ -157,27 +157,6 @@ def test_too_many_senses(spark):
     assert "over" not in got and not got["many"]["rejected"]
 
 
-def test_model_scorer(spark):
-    """A model's logits for all letters, from one marked prompt a word; the model is loaded once a task."""
-    lexicon_ = spark.createDataFrame(LEX, "form string, pos string, ord int, synset_id string, definition string")
-    docs = spark.createDataFrame([(1, "the bank lends money"), (2, "a flat * bank")], "doc_id long, text string")
-
-    def load():
-        return lambda prompts: [[0.0, 3.0 if "*bank*" in p and "B. house for money" in p else -1.0] + [0.0] * 125 + [1.0] for p in prompts]
-
-    tagged = tokens.tagged(tokens.base_tokens(docs), lexicon_)
-    got = resolve.predictions(tagged, lexicon_, scoring.ModelScorer(load, docs)).collect()
-    assert [(r["doc_id"], r["form"], r["synset_id"]) for r in got] == [(1, "bank", "b2")]  # text 2 is marked already
-    with pytest.raises(Exception, match="no <mask>"):
-        scorer = scoring.ModelScorer(load, docs)
-        scorer.mask = "<mask>"
-        original, prompts.render = prompts.render, lambda *a, mask: F.lit("no mask here")
-        try:
-            resolve.predictions(tagged, lexicon_, scorer).collect()
-        finally:
-            prompts.render = original
-
-
 def test_other_scorers(spark):
     c = spark.createDataFrame([("q", 0, "s", "d", [1.0, 0.0], [1.0, 0.0]), ("q", 1, "t", "e", [1.0, 0.0], [0.0, 2.0])], "q string, ord int, synset_id string, definition string, context_vec array<float>, sense_vec array<float>")
     assert [r["logit"] for r in scoring.EmbeddingScorer().score(c).orderBy("ord").collect()] == [10.0, 0.0]
