@@ -118,8 +118,8 @@ CTE = {
     rline AS (SELECT s.word, s.id, s.nr, s.marked, string_agg(substr('{ABC}', (o + ('0x' || substr(md5('42:rejectoffset:' || s.word), 1, 8))::bigint % ({REJECT} - n + 1) + 1)::int, 1) || '. ' || definition, chr(10) ORDER BY o) AS txt
       FROM rsent s JOIN ropt USING (word) WHERE n <= {REJECT} GROUP BY ALL),
     rej AS (SELECT word, id || '_none' AS synset_id, nr, '{LETTERS[REJECT]}' AS answer, 'What is the meaning of *' || word || '* in this sentence?' || chr(10) || chr(10) || 'Sentence: ' || marked || chr(10) || chr(10) || txt || chr(10) || '{LETTERS[REJECT]}. {NONE}' || chr(10) || chr(10) || 'Answer: [unused0] [MASK]' AS prompt FROM rline)""",
-    "enc": f"""codes AS (SELECT item_id, list_transform(string_split(text, ''), lambda c: CASE WHEN c = '' THEN 0 ELSE ord(c) END) AS c FROM benchmark),
-    ids AS (SELECT item_id, list_filter(list_concat(list_concat(c[1:len(c) // 2], [1]), c[len(c) // 2 + 1:]), lambda x: x < 128) AS ids, substr('{ABC}', (item_id % 127 + 1)::int, 1) AS answer FROM codes),
+    "enc": f"""codes AS (SELECT item_id, list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda c: ('0x' || c)::int + 2) AS c FROM benchmark),
+    ids AS (SELECT item_id, list_concat(list_concat(c[1:len(c) // 2], [1]), c[len(c) // 2 + 1:]) AS ids, substr('{ABC}', (item_id % 127 + 1)::int, 1) AS answer FROM codes),
     enc AS (SELECT item_id, answer, ids[1:2048] AS input_ids, list_position(ids[1:2048], 1)::bigint AS place, item_id % 127 AS label FROM ids)""",
     "conv": "conv AS (SELECT conv_id || '/' || turn AS key, length(text) AS len, row_number() OVER (ORDER BY length(text), conv_id || '/' || turn) - 1 AS idx FROM conversations)",
 }

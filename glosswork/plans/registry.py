@@ -425,11 +425,12 @@ def training_majority(spark, d):
 
 
 def encoded(spark, d, most=TR.MAX_LENGTH):
-    """Benchmark texts as character codes with a mask (id 1) in the middle, and an answer letter; cut to `most` ids."""
-    codes = F.transform(F.split("text", ""), lambda c: F.ascii(c))
+    """Benchmark texts as the bytes of their UTF-8 (plus 2, as 0 is padding and 1 the mask) with a mask in the middle, and an answer letter;
+    cut to `most` ids."""
+    codes = F.transform(F.regexp_extract_all(F.hex(F.encode("text", "UTF-8")), F.lit(".."), F.lit(0)), lambda c: F.conv(c, 16, 10).cast("int") + 2)
     half = F.floor(F.size(codes) / 2).cast("int")
     ids = F.concat(F.slice(codes, F.lit(1), half), F.array(F.lit(1)), F.slice(codes, half + 1, F.size(codes)))
-    rows = table(spark, d, "benchmark").select("item_id", F.filter(ids, lambda x: x < 128).alias("ids"), P.letter(F.col("item_id") % 127).alias("answer"))
+    rows = table(spark, d, "benchmark").select("item_id", ids.alias("ids"), P.letter(F.col("item_id") % 127).alias("answer"))
     return rows.select("item_id", "answer", *[c.alias(n) for n, c in TR.encoded(F.col("ids"), F.col("answer"), 1, most).items()])
 
 
