@@ -11,13 +11,17 @@ T = "coalesce(text, '')"
 
 OP1 = f"""
 WITH item AS (SELECT item_id::varchar AS item, {ALNUM.format(LOW.format(T))} AS w FROM benchmark WHERE item_id IS NOT NULL),
-win AS (SELECT item, least(10, len(w)) AS k, w[i + 1:i + least(10, len(w))] AS x FROM (SELECT *, unnest(range(len(w) - least(10, len(w)) + 1)) AS i FROM item WHERE len(w) > 0)),
+win AS (SELECT item, i AS j, least(10, len(w)) AS k, w[i + 1:i + least(10, len(w))] AS x FROM (SELECT *, unnest(range(len(w) - least(10, len(w)) + 1)) AS i FROM item WHERE len(w) > 0)),
 doc AS (SELECT doc_id, row_number() OVER () AS r, {ALNUM.format(LOW.format(T))} AS w FROM documents),
-hit AS (SELECT DISTINCT r, i, d.k, item FROM (SELECT r, k, i, w[i + 1:i + k] AS x FROM (SELECT r, k, w, unnest(range(len(w) - k + 1)) AS i FROM doc, (SELECT DISTINCT k FROM win))) d JOIN win ON win.k = d.k AND win.x = d.x),
+met AS MATERIALIZED (SELECT r, i, j, d.k, item FROM (SELECT r, k, i, w[i + 1:i + k] AS x FROM (SELECT r, k, w, unnest(range(len(w) - k + 1)) AS i FROM doc, (SELECT DISTINCT k FROM win))) d JOIN win ON win.k = d.k AND win.x = d.x),
+hit AS (SELECT DISTINCT r, i, k, item FROM met),
 word AS (SELECT r, count(DISTINCT p) AS n FROM (SELECT r, unnest(range(i, i + k)) AS p FROM hit) GROUP BY r),
-its AS (SELECT r, count(*) AS n, string_agg(item, ',' ORDER BY item) AS s FROM (SELECT DISTINCT r, item FROM hit) GROUP BY r)
-SELECT doc_id, len(w)::bigint AS n_words, coalesce(word.n, 0) AS n_hit, coalesce(its.n, 0) AS n_items, sha256(coalesce(s, '')) AS items_sha256, coalesce(word.n, 0) > 0 AS contaminated
-FROM doc LEFT JOIN word USING (r) LEFT JOIN its USING (r)"""
+its AS (SELECT r, count(*) AS n, string_agg(item, ',' ORDER BY item) AS s FROM (SELECT DISTINCT r, item FROM hit) GROUP BY r),
+span AS (SELECT r, item, min(j) AS item_at, min(i) AS doc_at, any_value(k) + count(*) - 1 AS n FROM (SELECT *, i - row_number() OVER (PARTITION BY r, item, i - j ORDER BY i) AS run FROM met) GROUP BY r, item, i - j, run),
+best AS (SELECT *, count(*) OVER (PARTITION BY r) AS spans FROM span QUALIFY row_number() OVER (PARTITION BY r ORDER BY n DESC, item, item_at, doc_at) = 1)
+SELECT doc_id, len(w)::bigint AS n_words, coalesce(word.n, 0) AS n_hit, coalesce(its.n, 0) AS n_items, sha256(coalesce(s, '')) AS items_sha256, coalesce(word.n, 0) > 0 AS contaminated,
+  coalesce(spans, 0) AS n_spans, best.n AS longest_words, best.item AS longest_item, item_at AS longest_item_start, doc_at AS longest_doc_start
+FROM doc LEFT JOIN word USING (r) LEFT JOIN its USING (r) LEFT JOIN best USING (r)"""
 
 OP2 = f"""
 WITH RECURSIVE doc AS (SELECT doc_id, {WORDS.format(LOW.format(T))} AS w FROM documents),

@@ -12,8 +12,14 @@ from glosswork.llm.shared import table
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Beside the digests the number of longest matches, and the longest of them with its places (of equal ones the first item's,
+    then the first in it, then in the document)."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return decontamination.scan(docs, table(spark, sf_dir, "benchmark"), keep=["doc_id"], spans=False).drop("spans")
+    out = decontamination.scan(docs, table(spark, sf_dir, "benchmark"), keep=["doc_id"])
+    first = F.array_min(F.transform("spans", lambda s: F.struct((-s["n_words"]).alias("less"), s["item_id"].alias("item"), s["item_start"].alias("at"), s["doc_start"].alias("start"))))
+    out = out.withColumn("x", first).withColumn("n_spans", F.size("spans").cast("long")).drop("spans")
+    columns = {"longest_words": -F.col("x.less"), "longest_item_start": F.col("x.at"), "longest_doc_start": F.col("x.start")}
+    return out.withColumn("longest_item", F.col("x.item")).withColumns({k: v.cast("long") for k, v in columns.items()}).drop("x")
 
 
 def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
