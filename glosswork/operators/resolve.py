@@ -26,26 +26,39 @@ def contexts(tokens: DataFrame) -> DataFrame:
     return tokens.where(F.col("word").rlike("^[A-Za-z]{4,}$")).select("doc_id", "lemma").distinct()
 
 
-def candidates(content: DataFrame, lexicon: DataFrame, context: DataFrame) -> DataFrame:
-    """doc_id, form, pos, ord, synset_id, definition, overlap: each content word of a document once, with its
-    senses and the words that each definition shares with the document, the word itself left out; and the
-    reject option. A word with several occurrences in a document is looked up and scored once. A word with more
-    senses than there are letters before the reject option can't be asked for: it has no candidates."""
+def ranked(lexicon: DataFrame) -> DataFrame:
+    """form, pos, ord, synset_id, definition of all look-ups that a token can ask for: the senses in rank order, satellites behind
+    adjectives, and the reject option. Forms with more senses than there are letters before it can't be asked for and are left out.
+    Ranks are made once for the lexicon, not for each document."""
+    satellite = F.col("pos") == "s"
+    rows = lexicon.select("form", F.when(satellite, "a").otherwise(F.col("pos")).alias("pos"), satellite.alias("turn"), "ord", "synset_id", "definition")
+    by = Window.partitionBy("form", "pos")
+    rows = rows.withColumn("n", F.count(F.lit(1)).over(by)).where(F.col("n") <= REJECT)
+    rows = rows.withColumn("ord", F.row_number().over(by.orderBy("turn", "ord")) - 1).select("form", "pos", "ord", "synset_id", "definition")
+    none = rows.where("ord = 0").select("form", "pos", F.lit(REJECT).alias("ord"), F.lit("").alias("synset_id"), F.lit(NONE).alias("definition"))
+    return rows.unionByName(none)
+
+
+def candidates(content: DataFrame, senses: DataFrame, lexicon: DataFrame, context: DataFrame) -> DataFrame:
+    """The look-ups of each document's content words, each word once, with their senses (rows of `ranked`, whatever columns it brings) and the
+    words that each definition shares with the document, the word itself left out, as overlap."""
     lex = L.bounded(lexicon.select("form", "synset_id"))
     shared = context.join(lex, context["lemma"] == lex["form"]).groupBy("doc_id", "synset_id").agg(F.count(F.lit(1)).alias("shared"))
-    asked = content.select("doc_id", F.col("lemma").alias("form"), F.col("lex_pos").alias("pos")).distinct().withColumn("query_id", F.struct("doc_id", "form", "pos"))
-    senses = L.definitions(asked, lexicon).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("query_id"))).where(F.col("n") <= REJECT)
-    senses = senses.select("query_id.doc_id", "form", "pos", "ord", "synset_id", "definition")
-    scored = senses.join(shared, ["doc_id", "synset_id"], "left").withColumn("overlap", F.coalesce(F.col("shared") - 1, F.lit(0)))
-    none = senses.select("doc_id", "form", "pos").distinct().select("doc_id", "form", "pos", F.lit(REJECT).alias("ord"), F.lit("").alias("synset_id"), F.lit(NONE).alias("definition"), F.lit(0).cast("long").alias("overlap"))
-    return scored.select(*none.columns).unionByName(none)
+    asked = content.select("doc_id", F.col("lemma").alias("form"), F.col("lex_pos").alias("pos")).distinct()
+    rows = asked.join(L.bounded(senses), ["form", "pos"]).join(shared, ["doc_id", "synset_id"], "left")
+    return rows.withColumn("overlap", F.coalesce(F.col("shared") - 1, F.lit(0))).drop("shared")
 
 
 def predictions(docs_tokens: DataFrame, lexicon: DataFrame, scorer: S.Scorer | None = None) -> DataFrame:
-    """doc_id, form, pos, synset_id, definition, confidence, rejected."""
-    content = T.content(docs_tokens)
-    rows = (scorer or S.OverlapScorer()).score(candidates(content, lexicon, contexts(docs_tokens)))
-    return S.choose(rows, ["doc_id", "form", "pos"])
+    """doc_id, form, pos, synset_id, definition, confidence, rejected. Definitions, which are long, go through the shuffles only for
+    scorers that read them; else they are looked up for the chosen senses."""
+    senses, scorer, by = ranked(lexicon), scorer or S.OverlapScorer(), ["doc_id", "form", "pos"]
+    if scorer.reads_definitions:
+        return S.choose(scorer.score(candidates(T.content(docs_tokens), senses, lexicon, contexts(docs_tokens))), by)
+    rows = candidates(T.content(docs_tokens), senses.drop("definition"), lexicon, contexts(docs_tokens))
+    chosen = S.choose(scorer.score(rows).withColumn("definition", F.lit("")), by).drop("definition")
+    texts = senses.groupBy("form", "pos", "synset_id").agg(F.min_by("definition", "ord").alias("definition"))
+    return chosen.join(L.bounded(texts), ["form", "pos", "synset_id"]).select(*by, "synset_id", "definition", "confidence", "rejected")
 
 
 Tagger = Callable[[DataFrame, DataFrame], DataFrame]

@@ -18,7 +18,9 @@ MISSING = "No definitions found"
 
 
 class Scorer(ABC):
-    """Adds `logit` to candidates (query columns, ord, synset_id, definition)."""
+    """Adds `logit` to candidates (query columns, ord, synset_id, and definition if it is read)."""
+
+    reads_definitions = True
 
     @abstractmethod
     def score(self, candidates: DataFrame) -> DataFrame: ...
@@ -28,6 +30,8 @@ class OverlapScorer(Scorer):
     """Simplified Lesk: the words that a definition shares with the context, times `weight`. Needs the
     column `overlap`."""
 
+    reads_definitions = False
+
     def __init__(self, weight: float = 1.0):
         self.weight = weight
 

@@ -200,6 +200,8 @@ SQL = {
         ON g.form = e.form AND g.pos = e.pos AND g.synset_id = e.synset_id) e JOIN
       (SELECT form, pos, string_agg(substr('{ABC}', (ord + 1)::int, 1) || '. ' || definition, chr(10) ORDER BY ord) AS txt FROM (SELECT q.form, q.pos, definition, row_number() OVER (PARTITION BY q.form, q.pos ORDER BY turn, l.ord) - 1 AS ord FROM (SELECT DISTINCT form, pos FROM examples) q JOIN ask USING (pos) JOIN lex l ON l.form = q.form AND l.pos = ask.ask) GROUP BY ALL HAVING count(*) <= {REJECT}) t
       ON t.form = e.form AND t.pos = e.pos"""),
+    "prompt_masks": sql("lex ask marks examples", f"""SELECT form, count(*) AS prompts, bool_and(true) AS all_masked, bool_or(contains(marked, '[MASK]') OR contains(txt, '[MASK]')) AS any_twice FROM examples e JOIN
+      (SELECT q.form, q.pos, string_agg(definition, chr(10)) AS txt, count(*) AS n FROM (SELECT DISTINCT form, pos FROM examples) q JOIN ask USING (pos) JOIN lex l ON l.form = q.form AND l.pos = ask.ask GROUP BY ALL HAVING count(*) <= {REJECT}) t USING (form, pos) GROUP BY form"""),
     "group_by_synset": sql("lex marks examples", "SELECT synset_id, string_agg(form, ' ' ORDER BY form) AS forms, count(*) AS n FROM examples GROUP BY ALL"),
     "sentence_rebuild": "SELECT doc_id, md5(text) AS text_md5 FROM documents",
     "train_examples": sql("lex words sent train", "SELECT word, synset_id, nr, answer, md5(prompt) AS prompt_md5 FROM train"),

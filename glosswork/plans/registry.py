@@ -399,6 +399,14 @@ def sentence_rebuild(spark, d):
     return cut.groupBy("doc_id").agg(F.md5(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "w"))), lambda x: x["w"]), "")).alias("text_md5"))
 
 
+@query
+def prompt_masks(spark, d):
+    """Whether all prompts of a form can be unmasked, and whether any has two masks."""
+    lexicon = lex(spark, d)
+    rows = C.eval_examples(C.examples(lexicon), lexicon).withColumn("masks", F.size(F.split("prompt", r"\[MASK\]")) - 1)
+    return rows.groupBy("form").agg(F.count(F.lit(1)).alias("prompts"), F.bool_and(F.col("masks") > 0).alias("all_masked"), F.bool_or(F.col("masks") > 1).alias("any_twice"))
+
+
 def words(spark, d):
     return TR.words_of(lex(spark, d))
 

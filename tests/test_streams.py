@@ -114,7 +114,7 @@ def test_bytes_grow_with_the_text(spark):
         assert rows == n
         from glosswork.operators import resolve
 
-        found = resolve.candidates(tokens.content(tokens.tagged(tokens.base_tokens(docs), lex)), lex, resolve.contexts(tokens.tagged(tokens.base_tokens(docs), lex)))
+        found = resolve.candidates(tokens.content(tokens.tagged(tokens.base_tokens(docs), lex)), resolve.ranked(lex), lex, resolve.contexts(tokens.tagged(tokens.base_tokens(docs), lex)))
         return found.agg(F.sum(F.length(F.to_json(F.struct("*"))))).first()[0]
 
     assert written(20_000) < 4.5 * written(5_000)
