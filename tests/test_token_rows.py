@@ -1,9 +1,12 @@
 """Tokens are placed inside their text: nothing about them is shuffled or sorted."""
 
+import hashlib
+
 import pyarrow as pa
 from pyspark.sql import functions as F
 
 from glosswork.operators import lexicon, tokens
+from glosswork.plans import registry
 
 ODD = [(1, "Ab, c"), (1, "Ab"), (2, None), (3, ""), (4, " \n\t"), (5, "é😀x_1 y z"), (None, "a b"), (6, "x " * 5000)]
 
@@ -49,3 +52,14 @@ def test_tokens_are_not_sorted(spark):
     for df in (tokens.base_tokens(docs), tokens.content(tokens.tagged(tokens.base_tokens(docs), lex)).select("doc_id", F.col("lemma"))):
         up = operators(df).split("MapInArrow")[0]  # what stands above the cutting
         assert "Window" not in operators(df).split("BroadcastExchange")[0] and "Exchange hash" not in up and "Sort " not in up
+
+
+def test_rebuilt_in_the_row(spark, tmp_path):
+    """Pieces are put together in their text's row and none of them is dealt; null and empty texts have no row."""
+    spark.createDataFrame(ODD, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    out = registry.queries()["sentence_rebuild"](spark, str(tmp_path))
+    assert "Generate" not in operators(out)
+    texts = {i: t for i, t in ODD if t}
+    got = {r["doc_id"]: r["text_md5"] for r in out.collect()}
+    assert set(got) == set(texts)
+    assert all(got[i] == hashlib.md5(t.encode()).hexdigest() for i, t in texts.items() if i != 1)
