@@ -83,3 +83,16 @@ def test_a_model_that_gives_too_few_results(spark):
     docs = spark.createDataFrame([(1, "the bank")], "doc_id long, text string")
     with pytest.raises(Exception, match="0 results for 1 prompts"):
         resolve.disambiguate(docs, lex, scoring.ModelScorer(lambda: lambda prompts: [])).collect()
+
+
+@pytest.mark.parametrize("held", [0, 1 << 20])
+def test_definitions_are_not_dealt_with_occurrences(spark, monkeypatch, held):
+    """A task looks definitions up where they fit it; where they don't, they come with the occurrences. The results are the same."""
+    monkeypatch.setattr(scoring, "HELD_BYTES", held)
+    lex = spark.createDataFrame(LEX, SCHEMA)
+    docs = spark.createDataFrame([(1, "the bank flat (bank)"), (2, "no word")], "doc_id long, text string")
+    content = spark.createDataFrame([(1, 1, "bank", 4, "bank", "n"), (1, 2, "flat", 9, "flat", "a"), (1, 4, "bank", 15, "bank", "n"), (2, 0, "no", 0, "no", "n")], "doc_id long, position long, word string, start_char long, form string, pos string")
+    out = scoring.ModelScorer(by_place).scored(docs, content, resolve.packed_senses(content, lex))
+    assert sorted((r["doc_id"], r["position"], r["form"], len(r["logits"])) for r in out.collect()) == [(1, 1, "bank", 3), (1, 2, "flat", 3), (1, 4, "bank", 3)]
+    dealt = [n.split("]")[0] for n in out._jdf.queryExecution().optimizedPlan().toString().split("collect_list(struct(position")[1:]]
+    assert dealt and all(("definitions" in n) == (held == 0) for n in dealt)
