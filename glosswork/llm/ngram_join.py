@@ -19,10 +19,14 @@ with all sets, in blocks.
 Members of a chosen list become a pair only if their sets can be so similar: their odd sketches (the parities
 of their counts in 512 equal parts of the universe) differ in no more bits than the sets in elements, of
 which there must be at most H. Signatures travel packed by bucket. What shares a signature is verified on
-the whole texts. Lists are not expanded into pairs: in each round a few of a list's probing members are
-compared with the others that are not yet in their component; lists within one component are dropped. A
-pair that shares a chosen list and is in no common component at the end has been compared, so no link
-between components is lost.
+the whole texts. Lists are not expanded into pairs: one of a list's probing members is compared with the others,
+and lists within one component are dropped. The sets in lists that stay open mostly share a passage without being
+similar. They are listed anew, by their single elements: of similar sets the smaller, of size b, lacks at most
+(q - p) b / (q + p) of its elements in the larger, so it probes its rarest elements, one more than that. A passage that
+leaves a set so many elements of its own is then in none of its probes. Near copies that are not similar enough are in
+many of these lists together, so lists that hang together become one where that saves comparisons. Then rounds follow: in each a few
+of a list's probing members are compared with the others that are not yet in their component. A pair that shares
+a chosen list and is in no common component at the end has been compared, so no link between components is lost.
 """
 
 from __future__ import annotations
@@ -158,6 +162,20 @@ def signatures(sets: Sets, upper: np.ndarray, own: bool, percent: int):
     return (*(np.concatenate(x) for x in zip(*out, strict=True)), short)
 
 
+def partitioned(sets: Sets, percent: int):
+    """The signatures of the sets' own bands and of the next, as in `signatures`."""
+    upper = bands(sets)
+    most = sets.size * 100 // percent
+    own = signatures(sets, upper, True, percent)
+    nxt = signatures(sets, np.where((upper > 0) & (most > upper), 2 * upper, 0), False, percent)
+    return (*(np.concatenate((x, y)) for x, y in zip(own[:3], nxt[:3], strict=True)), own[3])
+
+
+def single(sets: Sets, percent: int):
+    """Every element as a signature, as in `signatures`; no set lacks credits."""
+    return mixed(sets.h ^ U(0xD6E8FEB86659FD93)), sets.row, np.full(len(sets.h), INDEXED | MAY_PROBE, np.int64), np.zeros(0, np.int64)
+
+
 def bands(sets: Sets) -> np.ndarray:
     """The upper size of each row's band; 0 for an empty set."""
     uppers = np.array(BANDS)
@@ -185,22 +203,16 @@ def measured(docs: DataFrame, n: int, percent: int) -> DataFrame:
 LIST = "gid bigint, node bigint, flag tinyint, times int, members bigint"
 
 
-def lists(docs: DataFrame, n: int, percent: int, buckets: int) -> DataFrame:
-    """The members (node, flag) of each signature's list that several sets share, one of which may probe: the
+def lists(docs: DataFrame, n: int, percent: int, buckets: int, signed=partitioned) -> DataFrame:
+    """The members (node, flag) of the list of each signature (`signed`) that several sets share, one of which may probe: the
     list's name gid, how many signatures of the bucket have this list, and its length. gid null: a set
     without enough credits."""
-    uppers = np.array(BANDS)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
                 s = Sets(part.column("text"), n)
-                upper = bands(s)
-                most = s.size * 100 // percent
-                nxt = np.where((upper > 0) & (most > upper), 2 * upper, 0)
-                a = signatures(s, upper, True, percent)
-                b = signatures(s, nxt, False, percent)
-                sig, row, flag = (np.concatenate((x, y)) for x, y in zip(a[:3], b[:3], strict=True))
+                sig, row, flag, short = signed(s, percent)
                 node = s.key
                 bucket = ((sig >> U(40)) * U(buckets) >> U(24)).astype(np.int32)
                 order = np.argsort(bucket, kind="stable")
@@ -216,7 +228,6 @@ def lists(docs: DataFrame, n: int, percent: int, buckets: int) -> DataFrame:
                     to.append(int(k))
                     blob.append(np.array([cut[k + 1] - cut[k], len(used)], "<u4").tobytes() + node[used].tobytes() + five.tobytes() + place.tobytes())
                 yield pa.RecordBatch.from_arrays([pa.array(to, pa.int32()), pa.array(blob, pa.binary()), pa.nulls(len(to), pa.int64())], ["to", "blob", "node"])
-                short = a[3]
                 if len(short):
                     yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(short)) % buckets, pa.int32()), pa.nulls(len(short), pa.binary()), pa.array(node[short].view(np.int64))], ["to", "blob", "node"])
 
@@ -308,6 +319,51 @@ def probes(made: DataFrame, sets: DataFrame) -> DataFrame:
     return bought.unionByName(must).distinct()
 
 
+def probed(made: DataFrame, sets: DataFrame) -> DataFrame:
+    """gid, node, probe: the members of every list that a set has to probe, as a written table; from `lists`, whose table
+    is removed. sets: key, spare."""
+    chosen = written(probes(made.where("gid IS NOT NULL"), sets), "probes")
+    state = made.where("gid IS NOT NULL").select("gid", "node").distinct().join(chosen.select("gid").distinct(), "gid", "left_semi")
+    state = written(state.join(chosen.withColumn("probe", F.lit(True)), ["gid", "node"], "left").select("gid", "node", F.coalesce("probe", F.lit(False)).alias("probe")), "probed-lists")
+    forget(made)
+    forget(chosen)
+    return state
+
+
+def by_elements(state: DataFrame, texts: DataFrame, traits: DataFrame, n: int, percent: int, buckets: int) -> DataFrame:
+    """Lists like `probed` gives, of the single elements of all sets in state (node, comp); the smaller of two similar sets
+    probes. Lists within one component are left out."""
+    table = written(state.select("node", "comp").distinct(), "open-nodes")
+    nodes = small(table.select("node"))
+    made = written(lists(texts.join(nodes, "node"), n, percent, buckets, single), "element-lists")
+    lacked = F.floor((100 - percent) * F.col("size") / (100 + percent))  # elements that the larger set may not have
+    out = probed(made, traits.join(nodes, "node").select(F.col("node").alias("key"), (F.col("size") - lacked - 1).alias("spare")))
+    open_ = out.join(small(table), "node").groupBy("gid").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count_if("probe").alias("n")).where("lo < hi AND n > 0")
+    left = written(out.join(open_, "gid", "left_semi"), "probed-lists")
+    for x in (table, out):
+        forget(x)
+    return together(left)
+
+
+def together(state: DataFrame) -> DataFrame:
+    """The lists (gid, node, probe), those that hang together by their members made one list where that takes no more
+    comparisons: near copies are in many of each other's lists, and would meet in each. As a written table; state's is
+    removed."""
+    label = components(state.select(F.col("gid").alias("a"), F.col("node").alias("b")))
+    held = written(state.join(label.select(F.col("node").alias("gid"), F.col("comp").alias("all")), "gid"), "held-lists")
+    for x in (state, label):
+        forget(x)
+    work = lambda by: held.groupBy("all", by).agg(F.count_if("probe").cast("double").alias("p"), F.count(F.lit(1)).alias("n"))
+    apart = work("gid").groupBy("all").agg(F.sum(F.col("p") * F.col("n")).alias("apart"))
+    one = work("node").groupBy("all").agg(F.count_if(F.col("p") > 0).cast("double").alias("p"), F.count(F.lit(1)).alias("n"))
+    one = written(apart.join(one, "all").where(F.col("p") * F.col("n") <= F.col("apart")).select("all"), "one-list")
+    joint = held.join(one, "all", "left_semi").groupBy(F.col("all").alias("gid"), "node").agg(F.bool_or("probe").alias("probe"))
+    out = written(held.join(one, "all", "left_anti").select("gid", "node", "probe").unionByName(joint), "probed-lists")
+    for x in (held, one):
+        forget(x)
+    return out
+
+
 def possible(a: dict[str, Column], b: dict[str, Column], percent: int) -> Column:
     """Whether two sets' sizes and sketches leave room for the similarity."""
     apart = F.lit(0)
@@ -391,12 +447,8 @@ def joined(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: i
     made = written(lists(base.where("doc IS NOT NULL"), n, percent, buckets), "lists")
 
     sets = table.where("doc IS NOT NULL AND n_shingles > 0").groupBy("key", "key2").agg(F.min("doc").alias("rep"), F.first("n_shingles").alias("size"), F.first("spare").alias("spare"), *[F.first(c).alias(c) for c in SKETCH])
-    chosen = written(probes(made.where("gid IS NOT NULL"), sets), "probes")
-    state = made.where("gid IS NOT NULL").select("gid", "node").distinct().join(chosen.select("gid").distinct(), "gid", "left_semi")
-    state = written(state.join(chosen.withColumn("probe", F.lit(True)), ["gid", "node"], "left").select("gid", "node", F.coalesce("probe", F.lit(False)).alias("probe")), "probed-lists")
     lacking = written(made.where("gid IS NULL").select("node").distinct(), "lacking")
-    forget(made)
-    forget(chosen)
+    state = probed(made, sets)
 
     nodes = state.select("node").unionByName(lacking).distinct()
     traits = written(sets.join(nodes.withColumnRenamed("node", "key"), "key").select(F.col("key").alias("node"), "rep", "size", *SKETCH), "nodes")
@@ -407,7 +459,7 @@ def joined(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: i
 
     verified = label = None
     spent = []  # tables that the result doesn't read
-    pivots_a_round = 1
+    pivots_a_round, alone = 1, False
     while True:
         last = state
         if label is not None:
@@ -422,6 +474,11 @@ def joined(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: i
         forget(last)
         if state.isEmpty():
             break
+        if verified is not None and not alone:
+            last, pivots_a_round, alone = state, 1, True
+            state = by_elements(last, texts, traits, n, percent, buckets)
+            forget(last)
+            continue
         first, other = state.where("pivot").select("gid", "node", "comp"), state.select("gid", "node", "comp")
         near = F.lit(True)
         if verified is not None:  # lists that are still open are long, or of sets that are not similar
