@@ -99,8 +99,8 @@ class Linear:
             out[a:b] = upto[at[1:]] - upto[at[:-1]] + self.bias
         return out
 
-    def fit(self, bounds: np.ndarray, idx: np.ndarray, y: np.ndarray, weight: np.ndarray, steps: int, decay: float) -> None:
-        """L-BFGS with backtracking; from the last weights if there are any."""
+    def fit(self, bounds: np.ndarray, idx: np.ndarray, y: np.ndarray, weight: np.ndarray, steps: int, decay: float, own: bool = False) -> None:
+        """L-BFGS with backtracking; from the last weights if there are any. own: idx may be written over."""
         if self.w is None:
             self.w = np.zeros(self.size)
             rate = np.average(y, weights=weight)
@@ -112,7 +112,11 @@ class Linear:
         used = np.flatnonzero(there)
         place = np.zeros(self.size, np.int32)
         place[used] = np.arange(len(used))
-        idx = place[idx]
+        if own:
+            for a in range(0, len(idx), 1 << 18):
+                idx[a : a + (1 << 18)] = place[idx[a : a + (1 << 18)]]
+        else:
+            idx = place[idx]
         few = Linear(len(used), self.w[used], self.bias)
 
         def at(x: np.ndarray) -> tuple[float, np.ndarray]:
@@ -216,8 +220,27 @@ def _unpacked(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarra
     return at - at[0], idx
 
 
-def _after(a: tuple, b: tuple) -> tuple[np.ndarray, np.ndarray]:
-    return np.concatenate((a[0], b[0][1:] + a[0][-1])), np.concatenate((a[1], b[1]))
+def _training(parts: list[tuple[tuple[np.ndarray, np.ndarray], np.ndarray]], size: int, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """The features of the rows of all parts ((bounds, features), rows), without those that fewer than `least` rows
+    have. Counted first and then filled in by blocks, so that beside the parts this one array is in memory."""
+
+    def blocks() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for features, rows in parts:
+            for a, b in _blocks(len(rows)):
+                yield _rows(*features, rows[a:b])
+
+    df = np.zeros(size, np.int64)
+    for _, idx in blocks():
+        df += np.bincount(idx, minlength=size)
+    common = df >= least
+    out, counts, at = np.empty(int(df[common].sum()), np.int32), [np.zeros(1, np.int64)], 0
+    for bounds, idx in blocks():
+        kept = common[idx]
+        upto = np.concatenate(([0], np.cumsum(kept)))
+        counts.append(np.diff(upto[bounds]))
+        out[at : at + upto[-1]] = idx[kept]
+        at += int(upto[-1])
+    return np.cumsum(np.concatenate(counts)), out
 
 
 def cotrain(text: tuple, meta: tuple, y: np.ndarray, fold: np.ndarray, pool, rounds: int = ROUNDS) -> Model:
@@ -226,7 +249,7 @@ def cotrain(text: tuple, meta: tuple, y: np.ndarray, fold: np.ndarray, pool, rou
     views = {"text": (Linear(1 << BITS), 1e-5), "meta": (Linear(META), 1e-4)}
     x = {"text": text, "meta": meta}
     start = np.flatnonzero(fold > 0)
-    train = {v: [start] for v in views}
+    train = {v: [(x[v], start)] for v in views}
     label = {v: [y[start].astype(float)] for v in views}
     weight = {v: [np.ones(len(start))] for v in views}
     model = Model(views["text"][0], views["meta"][0], 0.0)
@@ -240,22 +263,14 @@ def cotrain(text: tuple, meta: tuple, y: np.ndarray, fold: np.ndarray, pool, rou
     rate = float(y[start].mean())
     for r in range(rounds + 1):
         for v, (linear, decay) in views.items():
-            bounds, idx = _rows(*x[v], np.concatenate(train[v]))
-            if v == "text":
-                df = np.zeros(1 << BITS, np.int64)
-                for a, b in _blocks(len(bounds) - 1):
-                    df += np.bincount(idx[bounds[a] : bounds[b]], minlength=1 << BITS)
-                common = (df >= MIN_ROWS)[idx]
-                kept = [common[bounds[a] : bounds[a + 1]].sum() for a in range(len(bounds) - 1)]
-                bounds, idx = np.concatenate(([0], np.cumsum(kept))).astype(np.int64), idx[common]
-            linear.fit(bounds, idx, np.concatenate(label[v]), np.concatenate(weight[v]), 120 if r == 0 else 40, decay)
+            bounds, idx = _training(train[v], linear.size, MIN_ROWS if v == "text" else 1)
+            linear.fit(bounds, idx, np.concatenate(label[v]), np.concatenate(weight[v]), 120 if r == 0 else 40, decay, own=True)
+            del bounds, idx
         found = pool(model.text, model.meta, rate) if r < rounds else None
         if found is None:
             break
         for other, (words, layout, sure) in (("meta", found["text"]), ("text", found["meta"])):
-            at = len(x["text"][0]) - 1
-            x = {"text": _after(x["text"], words), "meta": _after(x["meta"], layout)}
-            train[other].append(np.arange(at, at + len(sure)))
+            train[other].append((words if other == "text" else layout, np.arange(len(sure))))
             label[other].append(sure.astype(float))
             weight[other].append(np.full(len(sure), PSEUDO_WEIGHT))
     rows = np.flatnonzero(fold == 0)
@@ -293,6 +308,8 @@ def fit(made: DataFrame, labels: DataFrame, good: Column, id_col: str = "doc_id"
     got = made.join(small(marks, MOST_LABELS), "id").select("id", "y", fold, "words", "meta").toArrow()
     got = got.sort_by([(c, "ascending") for c in ("id", "words", "meta")])  # the fit stops early, so it depends on the order of its rows
     y, fold = (np.asarray(got.column(c)).astype(np.int64) for c in ("y", "fold"))
+    words, layout = _unpacked(got.column("words")), _unpacked(got.column("meta"))
+    del got
     taken = np.zeros(0, np.int64)
 
     def rows_of(rows: np.ndarray) -> DataFrame:
@@ -330,7 +347,7 @@ def fit(made: DataFrame, labels: DataFrame, good: Column, id_col: str = "doc_id"
             out[v] = (_rows(*words, at), _rows(*layout, at), np.repeat([0, 1], [len(down), len(up)]))
         return out
 
-    return cotrain(_unpacked(got.column("words")), _unpacked(got.column("meta")), y, fold, pool, rounds)
+    return cotrain(words, layout, y, fold, pool, rounds)
 
 
 def scored(made: DataFrame, model: Model, id_col: str) -> DataFrame:
