@@ -8,8 +8,8 @@ then has equal subsets, one with two credits has subsets that differ by one elem
 signatures of the subset and of its one-deletion neighbours show.
 
 Every set is indexed in its own band and, if a larger partner can be there, in the next; the larger set
-probes. All signatures of a bucket meet in one task, so the exact length of every list is known before a
-probe is chosen. A set's segments whose list holds no other set are credits that cost nothing; only the
+probes. All signatures of a bucket meet in one task, so the length of every list is known before a
+probe is chosen (fewer than one in a hundred share by chance, as 32 bits are kept beside the bucket: they cost comparisons, no links). A set's segments whose list holds no other set are credits that cost nothing; only the
 credits it lacks beyond these are bought, from its shortest lists (equal lists count as one), and a set
 whose free credits reach H + 1 probes nothing. So a passage that many sets share costs nothing as long
 as it is not most of a set. Sets with fewer non-empty segments than H + 1 take second credits on segments with
@@ -46,11 +46,15 @@ N = 5
 PERCENT = 75
 BANDS = [8 << i for i in range(40)]
 DELETIONS = 8  # segments with a deletion index in the larger bands
-BUCKET_ROWS = 3_000_000
+BUCKET_ROWS = 12_000_000
+PARTS = 8  # of a bucket, worked on one after the other
+HELD_ROWS = 1_000_000
+LEAST_BUCKETS = 16  # if there are so many shuffle partitions
 BLOCK_SETS = 2000
 INDEXED, MAY_PROBE, PROBES = 1, 2, 4
 SKETCH = tuple(f"s{i}" for i in range(8))
 U = np.uint64
+LOW = U((1 << 32) - 1)
 
 
 def segments_of(upper: int) -> tuple[int, int]:
@@ -214,19 +218,16 @@ def lists(docs: DataFrame, n: int, percent: int, buckets: int, signed=partitione
                 s = Sets(part.column("text"), n)
                 sig, row, flag, short = signed(s, percent)
                 node = s.key
-                bucket = ((sig >> U(40)) * U(buckets) >> U(24)).astype(np.int32)
-                order = np.argsort(bucket, kind="stable")
-                sig, row, flag = sig[order], row[order], flag[order].astype(np.uint32)
+                bucket = (sig >> U(40)) * U(buckets) >> U(24)
+                low = bucket << U(32) | sig & LOW  # the low 32 bits, beside the bucket; more sharing than there is costs a comparison
+                order = np.argsort(low)
+                low, row, flag, bucket = low[order], row[order], flag[order].astype(np.uint32), bucket[order].astype(np.int64)
                 cut = np.concatenate(([0], np.cumsum(np.bincount(bucket, minlength=buckets))))
                 to, blob = [], []
                 for k in np.flatnonzero(np.diff(cut)):
                     c = slice(cut[k], cut[k + 1])
-                    used, local = np.unique(row[c], return_inverse=True)
-                    five = sig[c].view(np.uint8).reshape(-1, 8)[:, :5]  # the low 40 bits, beside the bucket
-                    # an Arrow batch has fewer rows than 21 bits count
-                    place = (local.astype(np.uint32) << 3 | flag[c]).astype("<u4").view(np.uint8).reshape(-1, 4)[:, :3]
                     to.append(int(k))
-                    blob.append(np.array([cut[k + 1] - cut[k], len(used)], "<u4").tobytes() + node[used].tobytes() + five.tobytes() + place.tobytes())
+                    blob.append(_packed(low[c] & LOW, row[c], flag[c], node))
                 yield pa.RecordBatch.from_arrays([pa.array(to, pa.int32()), pa.array(blob, pa.binary()), pa.nulls(len(to), pa.int64())], ["to", "blob", "node"])
                 if len(short):
                     yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(short)) % buckets, pa.int32()), pa.nulls(len(short), pa.binary()), pa.array(node[short].view(np.int64))], ["to", "blob", "node"])
@@ -253,23 +254,53 @@ def lists(docs: DataFrame, n: int, percent: int, buckets: int, signed=partitione
     return packed.repartition(parts, "to").sortWithinPartitions("to").mapInArrow(unpack, LIST)
 
 
+def _packed(low: np.ndarray, row: np.ndarray, flag: np.ndarray, node: np.ndarray) -> bytes:
+    """One bucket's signatures (ascending, 32 bits), their rows and flags. Each row's node stands once. Each part of the bucket
+    has the steps from signature to signature and the places of rows and flags, byte by byte, so that what is small or regular
+    in them compresses."""
+    used, local = np.unique(row, return_inverse=True)
+    place = local.astype(np.uint32) << 3 | flag  # an Arrow batch has fewer rows than 21 bits count
+    cut = np.searchsorted(low, np.arange(PARTS + 1, dtype=U) * U(2**32 // PARTS))
+    parts = []
+    for i, j in zip(cut[:-1], cut[1:], strict=True):
+        step = np.diff(low[i:j], prepend=U(0)).astype("<u4").view(np.uint8).reshape(-1, 4)
+        planes = np.concatenate((step, place[i:j].astype("<u4").view(np.uint8).reshape(-1, 4)[:, :3]), axis=1).T
+        parts.append(pa.compress(planes.tobytes(), codec="zstd", asbytes=True) if j > i else b"")
+    head = np.array([len(used), *np.diff(cut), *map(len, parts)], "<u4")
+    return b"".join((head.tobytes(), node[used].tobytes(), *parts))
+
+
+def _unpacked(b: bytes, part: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The signatures, nodes and flags of a part of what `_packed` gave."""
+    head = np.frombuffer(b, "<u4", 1 + 2 * PARTS).astype(np.int64)
+    used, k, sizes = int(head[0]), int(head[1 + part]), head[1 + PARTS :]
+    names = np.frombuffer(b, U, used, 4 * len(head))
+    at = 4 * len(head) + 8 * used + int(sizes[:part].sum())
+    if not k:
+        return np.zeros(0, U), np.zeros(0, U), np.zeros(0, np.uint8)
+    planes = np.frombuffer(pa.decompress(memoryview(b)[at : at + int(sizes[part])], 7 * k, codec="zstd"), np.uint8).reshape(7, k).T
+    place = np.zeros((k, 4), np.uint8)
+    place[:, :3] = planes[:, 4:]
+    place = place.view("<u4").ravel()
+    return np.cumsum(np.ascontiguousarray(planes[:, :4]).view("<u4").ravel(), dtype=U), names[place >> 3], (place & 7).astype(np.uint8)
+
+
 def _shared(blobs: list[bytes]) -> Iterator[pa.RecordBatch]:
     """The lists of a bucket that two sets or more share, one of which may probe; lists with the same members and flags
-    are one."""
-    sig, node, flag = [], [], []
-    for b in blobs:
-        k, used = (int(x) for x in np.frombuffer(b, "<u4", 2))
-        names = np.frombuffer(b, U, used, 8)
-        at = 8 + 8 * used
-        five = np.zeros((k, 8), np.uint8)
-        five[:, :5] = np.frombuffer(b, np.uint8, 5 * k, at).reshape(-1, 5)
-        three = np.zeros((k, 4), np.uint8)
-        three[:, :3] = np.frombuffer(b, np.uint8, 3 * k, at + 5 * k).reshape(-1, 3)
-        place = three.view("<u4").ravel()
-        sig.append(five.view(U).ravel())
-        node.append(names[place >> 3])
-        flag.append((place & 7).astype(np.uint8))
-    sig, node, flag = np.concatenate(sig), np.concatenate(node), np.concatenate(flag)
+    are one (in every HELD_ROWS rows or more of them)."""
+    held, rows = [], 0
+    for part in range(PARTS):
+        held.append(_lists_of([_unpacked(b, part) for b in blobs]))
+        rows += len(held[-1][3])
+        if rows > HELD_ROWS or part == PARTS - 1:
+            yield from _merged(held)
+            held, rows = [], 0
+    blobs.clear()
+
+
+def _lists_of(blobs: list[tuple]) -> tuple[np.ndarray, ...]:
+    """The lists of a bucket's part: names, how many signatures have each, lengths; and the nodes and flags of their members."""
+    sig, node, flag = (np.concatenate(x) for x in zip(*blobs, strict=True))
     blobs.clear()
     order = np.argsort(sig)
     sig = sig[order]
@@ -284,8 +315,9 @@ def _shared(blobs: list[bytes]) -> Iterator[pa.RecordBatch]:
     new = np.ones(len(sig), bool)
     new[1:] = (sig[1:] != sig[:-1]) | (node[1:] != node[:-1])  # copies of a set are one node
     first = np.flatnonzero(new)
+    none = np.zeros(0, np.int64)
     if not len(first):
-        return
+        return none.astype(U), none, none, none.astype(U), none.astype(np.uint8)
     flag = np.bitwise_or.reduceat(flag, first)
     sig, node = sig[first], node[first]
     group = np.flatnonzero(np.concatenate(([True], sig[1:] != sig[:-1])))
@@ -294,12 +326,25 @@ def _shared(blobs: list[bytes]) -> Iterator[pa.RecordBatch]:
     member = mixed(node ^ mixed(flag.astype(U)))
     name = mixed(np.add.reduceat(member, group) + size.astype(U))
     keep = (size > 1) & (probing > 0)
-    _, one, times = np.unique(name[keep], return_index=True, return_counts=True)
+    named, one, times = np.unique(name[keep], return_index=True, return_counts=True)
     chosen = np.flatnonzero(keep)[one]
-    length = size[chosen]
-    where = np.repeat(group[chosen] - np.cumsum(length) + length, length) + np.arange(length.sum())
-    list_of = np.repeat(np.arange(len(chosen)), length)
-    gid = name[chosen].view(np.int64)
+    where = _runs(group[chosen], size[chosen])
+    return named, times, size[chosen], node[where], flag[where]
+
+
+def _runs(start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """The places of runs, one after the other."""
+    return np.repeat(start - np.cumsum(length) + length, length) + np.arange(length.sum())
+
+
+def _merged(held: list[tuple]) -> Iterator[pa.RecordBatch]:
+    """The rows of lists (`_lists_of`), each name's once."""
+    name, times, length, node, flag = (np.concatenate(x) for x in zip(*held, strict=True))
+    held.clear()
+    gid, one, which = np.unique(name, return_index=True, return_inverse=True)
+    times = np.bincount(which, times, minlength=len(gid))
+    where = _runs((np.cumsum(length) - length)[one], length[one])
+    list_of, length, gid = np.repeat(np.arange(len(gid)), length[one]), length[one], gid.view(np.int64)
     for i in range(0, len(where), 100_000):
         w, g = where[i : i + 100_000], list_of[i : i + 100_000]
         yield pa.RecordBatch.from_arrays(
@@ -374,7 +419,8 @@ def possible(a: dict[str, Column], b: dict[str, Column], percent: int) -> Column
 
 
 def linked(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
-    """a, b, linked: the verified pairs. texts: node, text."""
+    """a, b, linked: the verified pairs, of a written table. texts: node, text; pairs counted to be few are sent to the
+    texts, so that only theirs are dealt."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -392,7 +438,10 @@ def linked(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFram
 
     left = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
     right = texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
-    return pairs.join(left, "a").join(right, "b").mapInArrow(run, "a bigint, b bigint, linked boolean")
+    few = small(pairs)
+    if few is not pairs:
+        right = right.join(few.select("b"), "b", "left_semi")
+    return few.join(left, "a").join(right, "b").mapInArrow(run, "a bigint, b bigint, linked boolean")
 
 
 def against_all(docs: DataFrame, short: DataFrame, n: int, percent: int) -> DataFrame:
@@ -443,7 +492,8 @@ def joined(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: i
     table = written(measured(base, n, percent), "sets")
     sized = table.agg(F.coalesce(F.sum("n_shingles"), F.lit(0)).alias("s")).first()["s"]
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    buckets = max(parts, -(-int(sized) // BUCKET_ROWS))
+    # a bucket names each of its rows once: few buckets, so that names don't outgrow the signatures
+    buckets = max(min(parts, LEAST_BUCKETS), -(-int(sized) // BUCKET_ROWS))
     made = written(lists(base.where("doc IS NOT NULL"), n, percent, buckets), "lists")
 
     sets = table.where("doc IS NOT NULL AND n_shingles > 0").groupBy("key", "key2").agg(F.min("doc").alias("rep"), F.first("n_shingles").alias("size"), F.first("spare").alias("spare"), *[F.first(c).alias(c) for c in SKETCH])
