@@ -39,3 +39,12 @@ def test_predictions(spark, tables):
     rows = same(spark, tables, "predictions")
     chosen = {(r["form"], r["synset_id"]) for r in rows}
     assert ("bank", f"syn-{5 * 129:08d}-n") in chosen and any(f == "flat" and s.endswith("-s") for f, s in chosen)
+
+
+def test_stream(spark, tables):
+    assert len({r["synset_id"] for r in same(spark, tables, "resolve_stream") if r["form"] == "bank"}) > 40
+
+
+def test_lemmatised(spark, tables):
+    rows = same(spark, tables, "disambiguate_lemmatised")
+    assert any(r["word"] == "banks" and r["synset_id"] == f"syn-{5 * 139:08d}-n" for r in rows)
